@@ -80,11 +80,11 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def with_columns_from_text(
-    df: DataFrame, column: str, added: list[tuple[str, T.DataType]], rows: Callable[[list[bytes]], list[list]], keep_text: bool = True
+    df: DataFrame, column: str, added: list[tuple[str, T.DataType]], rows: Callable[[pa.RecordBatch], list], keep_text: bool = True
 ) -> DataFrame:
     """Add columns computed from a text column by Arrow batches; other columns pass through untouched.
 
-    rows(list of texts as bytes) returns one list of values per added column. Added names must be new.
+    rows(batch) returns one sequence of values per added column. Added names must be new.
     """
     kept = [f for f in df.schema.fields if keep_text or f.name != column]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in added])
@@ -93,7 +93,7 @@ def with_columns_from_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = rows(text_bytes(batch, column))
+            made = rows(batch)
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             arrays += [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
