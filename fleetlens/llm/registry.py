@@ -1,15 +1,18 @@
 """The queries of this subpackage, one for each operator, and their DuckDB oracles where SQL expresses them."""
 
-from fleetlens.llm import license, mixing, neardup, packing, quality, urlfilter, warc
+from fleetlens.llm import license, mixing, multiindex, neardup, ngram, packing, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_multi_index": multiindex.op2_multi_index,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_mix": mixing.op5_mix,
     "op6_license_scan": license.op6_license_scan,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_warc": warc.op8_warc,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_lm_scores": ngram.op10_lm_scores,
 }
 ORACLES = {
     "op4_url_filter": urlfilter.oracle(),
