@@ -169,13 +169,15 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool = True) -> DataFrame:
-    """docs with n_shingles, component_id (least doc_id reachable by links) and kept (it is that document)."""
-    docs = docs.drop("n_shingles", "component_id", "kept")
+    """docs with n_shingles, component_id (least doc_id reachable by links), kept (it is that document) and chosen (the
+    one row of its component that stands for all; a row without words or doc_id stands for itself)."""
+    docs = docs.drop("n_shingles", "component_id", "kept", "chosen")
     key, sig = free_name(docs, "key"), free_name(docs, "sig")
     signed = with_columns_from_text(docs, "text", [("n_shingles", T.LongType()), (key, T.BinaryType()), (sig, T.BinaryType())], lambda batch: sign(batch, how))
-    rows = written(signed, "near-rows")
-    live = rows.where(F.col(key).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(key).alias("key"), F.col(sig).alias("sig"), "n_shingles", "text")
-    classes = written(live.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "near-classes")
+    unit = free_name(docs, "unit")
+    rows = written(signed.withColumn(unit, F.monotonically_increasing_id()), "near-rows")
+    live = rows.where(F.col(key).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(key).alias("key"), F.col(sig).alias("sig"), "n_shingles", "text", F.col(unit).alias("unit"))
+    classes = written(live.groupBy("key").agg(F.min(F.struct("doc_id", "unit")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "near-classes")
 
     width = 4 * how.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i))
@@ -209,7 +211,7 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
         pairs = written(pairs, "near-pairs")
         likely = written(prune(pairs, classes, how), "near-likely")
         needed = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
-        texts = written(live.select("key", "doc_id", "text").join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "near-texts")
+        texts = written(live.select("key", "unit", "text").join(classes.select("key", F.col("rep.unit").alias("unit")), ["key", "unit"]).join(needed, "key", "left_semi").select("key", "text"), "near-texts")
         found = written(confirm(likely, texts, how), "near-links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -223,14 +225,16 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
     reps = classes.select("key", "rep")
     if labels is not None:
         rooted = reps.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        joined = labels.join(reps, "key").groupBy("root").agg(F.min("rep").alias("component_id"))
-        reps = rooted.join(joined, "root", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    else:
-        reps = reps.select("key", F.col("rep").alias("component_id"))
-    out = rows.drop(sig).join(reps.withColumnRenamed("key", f"{key}_class"), F.col(key) == F.col(f"{key}_class"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        joined = labels.join(reps, "key").groupBy("root").agg(F.min("rep").alias("least"))
+        reps = rooted.join(joined, "root", "left").select("key", F.coalesce("least", "rep").alias("rep"))
+    class_key = f"{key}_class"
+    out = rows.drop(sig).join(reps.withColumnRenamed("key", class_key), F.col(key) == F.col(class_key), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep.doc_id", "doc_id"))
     names = [c for c in docs.columns if keep_text or c != "text"]
-    return out.select(*[F.col(f"`{c}`") for c in names], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select(
+        *[F.col(f"`{c}`") for c in names], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col(unit) == F.col("rep.unit"), F.lit(True)).alias("chosen"),
+    )
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
