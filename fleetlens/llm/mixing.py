@@ -43,7 +43,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     filling = Window.orderBy(F.col("most") / F.col("w"), "sid")
     before = F.coalesce(F.sum("most").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("level", (F.lit(share) * F.sum("source_size").over(whole) - before) / F.sum("w").over(filling.rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("water", F.min(F.when(F.col("most") / F.col("w") > F.col("level"), F.col("level"))).over(whole))
+    # Levels fall from the first source below its cap on, so the largest is the first one.
+    rows = rows.withColumn("water", F.max(F.when(F.col("most") / F.col("w") > F.col("level"), F.col("level"))).over(whole))
     return rows.select("source", "n", "source_size", "sid", F.least("most", F.coalesce(F.col("water") * F.col("w"), F.col("most"))).alias("target"))
 
 
@@ -88,7 +89,7 @@ def land(active: list[list], drift: float = 0.0) -> dict:
 
 
 def _flight_group(last: bool, seed: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = random.Random(zlib.crc32(f"{seed}|{'|'.join(str(int(k)) for k in key)}".encode()))
         pdf = pdf.sort_values(["size", "h", "unit"], ascending=[False, True, True], kind="stable")
         done, active = flight(pdf[["unit", "size", "p"]].values.tolist(), rng)

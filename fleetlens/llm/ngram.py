@@ -148,7 +148,7 @@ def _rows(out: list) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_pairs(folder: str, shards: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
         context, token, n = (np.concatenate(x) for x in zip(*map(unpack_pairs, pdf["packed"])))
         first, keys, n = counted(pair_key(context, token), n)
@@ -170,7 +170,7 @@ def _merge_pairs(folder: str, shards: int):
 
 
 def _merge_words(folder: str):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
         of = lambda kind, columns: [np.concatenate(x) for x in zip(*[unpack_sorted(p, columns) for p in pdf["packed"][pdf["kind"] == kind]])] or [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * columns
         word, n = of(1, 1)
