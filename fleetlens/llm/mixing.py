@@ -22,6 +22,7 @@ import random
 import zlib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import WORD_PATTERN, free_name, table, written
 
 BLOCK = 1024
+#: The shortest documents of a block, which wait for the landing problem.
+RESERVE = 12
 WEIGHTS = (5.0, 2.0, 1.0)
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
@@ -76,27 +79,42 @@ def flight(units: list[list], rng: random.Random) -> tuple[dict, list[list]]:
         active = [u for u in active if u[0] not in done]
 
 
-def land(active: list[list], drift: float = 0.0) -> dict:
-    """The corner of the last units whose words (and then number) come nearest to what their probabilities promise."""
-    best = None
-    for mask in range(1 << len(active)):
-        took = [mask >> i & 1 for i in range(len(active))]
-        words = sum(u[1] * (t - u[2]) for u, t in zip(active, took)) + drift
-        score = (abs(words), abs(sum(t - u[2] for u, t in zip(active, took))), mask)
-        if best is None or score < best[0]:
-            best = (score, took)
-    return {u[0]: t for u, t in zip(active, best[1])}
+def land(units: list[list], decided: dict, active: list[list]) -> dict:
+    """The landing problem: round the last units, then flip or swap units while that brings the words nearer to what the
+    units' probabilities promise (swaps keep the number of documents; ties go to the first)."""
+    took = {**decided, **{u[0]: int(u[2] >= 0.5) for u in active}}
+    size = np.array([u[1] for u in units])
+    x = np.array([took[u[0]] for u in units], dtype=np.float64)
+    drift = float((size * (x - np.array([u[2] for u in units]))).sum())
+    for _ in range(64):
+        on, off = np.flatnonzero(x == 1), np.flatnonzero(x == 0)
+        best = (abs(drift) - 1e-6, None)
+        flips = np.abs(drift + size * (1 - 2 * x))
+        if len(flips) and flips.min() < best[0]:
+            best = (float(flips.min()), (int(flips.argmin()),))
+        if len(on) and len(off):
+            swaps = np.abs(drift + size[off][None, :] - size[on][:, None])
+            if swaps.min() <= best[0]:
+                i, j = np.unravel_index(int(swaps.argmin()), swaps.shape)
+                best = (float(swaps.min()), (int(on[i]), int(off[j])))
+        if best[1] is None:
+            break
+        for i in best[1]:
+            drift += size[i] * (1 - 2 * x[i])
+            x[i] = 1 - x[i]
+    return {u[0]: int(v) for u, v in zip(units, x)}
 
 
 def _flight_group(last: bool, seed: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = random.Random(zlib.crc32(f"{seed}|{'|'.join(str(int(k)) for k in key)}".encode()))
         pdf = pdf.sort_values(["size", "h", "unit"], ascending=[False, True, True], kind="stable")
-        done, active = flight(pdf[["unit", "size", "p"]].values.tolist(), rng)
-        if last and active:
-            done |= land(active)
-            active = []
-        fraction = {u[0]: u[2] for u in active}
+        units = pdf[["unit", "size", "p"]].values.tolist()
+        aside = [] if last else units[-RESERVE:]
+        done, active = flight(units[: len(units) - len(aside)], rng)
+        if last:
+            done, active = land(units, done, active), []
+        fraction = {u[0]: u[2] for u in active + aside}
         unit = pdf["unit"].tolist()
         return pd.DataFrame({"unit": pdf["unit"], "sid": pdf["sid"], "size": pdf["size"], "h": pdf["h"], "p": [fraction.get(u, 0.0) for u in unit], "took": [-1 if u in fraction else done[u] for u in unit]})
 
