@@ -6,11 +6,11 @@ over the sources finds the water level). A document of a source with target/size
 one more with inclusion probability p.
 
 Cube method: blocks of at most about BLOCK documents of one source run the flight phase, which moves the inclusion
-probabilities along the null space of the two constraints (words, documents) until at most two stay fractional. What
-stays fractional meets in new blocks, so each round leaves a few of a thousand; once a source's rest fits in one
-block, its last two are landed on the corner nearest the word target. Documents are visited from long to short, so
-what is left for landing is short. All draws are seeded by source and block, and blocks are cut by a hash of doc_id, so
-reruns agree on any cluster.
+probabilities along the null space of the two constraints (words, documents) until at most two stay fractional; the
+block's RESERVE shortest documents wait. Both meet in new blocks, so each round leaves a few of a hundred; once a
+source's rest fits in one block, that is the landing problem: a last flight, rounding, and flips and swaps towards the
+word target. All draws are seeded by source and block, and blocks are cut by a hash of doc_id, so reruns agree on any
+cluster.
 
 Defined cases: null text has size 0; null source is a source; null doc_ids are dealt to blocks by row; repeated rows
 are sampled each; an empty table gives an empty result. Other columns pass through.
