@@ -36,8 +36,8 @@ from fleetlens.llm.tokens import P, chunks, mix, words
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Bigrams that a task holds before it counts and sends them, and text for each shard.
-BUFFER = 3_000_000
-SHARD_BYTES = 16 << 20
+BUFFER = 1_500_000
+SHARD_BYTES = 8 << 20
 PREFIX = np.uint64(24)
 
 
@@ -150,12 +150,15 @@ def _rows(out: list) -> Iterator[pa.RecordBatch]:
 def _merge_pairs(folder: str, shards: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
-        context, token, n = (np.concatenate(x) for x in zip(*map(unpack_pairs, pdf["packed"])))
+        rows = [(1, shard, p, None) for p in pdf["packed"][pdf["kind"] == 1]]  # words have the same shards
+        packed = pdf["packed"][pdf["kind"] == 2]
+        if not len(packed):
+            return pd.DataFrame(rows, columns=["kind", "shard", "packed", "said"])
+        context, token, n = (np.concatenate(x) for x in zip(*map(unpack_pairs, packed)))
         first, keys, n = counted(pair_key(context, token), n)
         context, token = context[first], token[first]
         put_file(f"{folder}/pairs-{shard:06d}.key", lambda out: out.write(keys.astype("<u8").tobytes()))
         put_file(f"{folder}/pairs-{shard:06d}.n", lambda out: out.write(n.astype("<u4").tobytes()))
-        rows = []
         order, v, total = counted(context, n)
         parts = [np.add.reduceat(flag[np.argsort(context, kind="stable")], np.searchsorted(np.sort(context), v)) for flag in ((n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))]
         for s, lo, hi in _cuts(shard_of(v << PREFIX, shards), shards):
@@ -218,11 +221,9 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     schema = "kind int, shard long, packed binary"
-    packed = written(docs.mapInArrow(_count(shards), schema), "ngram-counts")
     out = "kind int, shard long, packed binary, said string"
-    pairs = written(packed.where("kind = 2").groupBy("shard").applyInPandas(_merge_pairs(folder, shards), out), "ngram-pairs")
-    for_words = packed.where("kind = 1").unionByName(pairs.where("kind > 0").drop("said"))
-    done = written(for_words.groupBy("shard").applyInPandas(_merge_words(folder), out), "ngram-words")
+    pairs = written(docs.mapInArrow(_count(shards), schema).groupBy("shard").applyInPandas(_merge_pairs(folder, shards), out), "ngram-pairs")
+    done = written(pairs.where("kind > 0").drop("said").groupBy("shard").applyInPandas(_merge_words(folder), out), "ngram-words")
     facts = lambda df, names: df.where("kind = 0").select(F.from_json("said", "tokens long, words long, before long, pairs long, of array<long>").alias("s")).agg(*[F.sum(f"s.{x}").alias(x) for x in names], *[F.sum(F.col("s.of")[k]).alias(f"of{k}") for k in range(4)]).first()
     p, w = facts(pairs, ["pairs"]), facts(done, ["tokens", "words", "before"])
     number = lambda x: int(x or 0)
@@ -270,7 +271,7 @@ def scores(batch: pa.RecordBatch, model: dict) -> list[np.ndarray]:
     d, d1, of1 = np.array([0.0, *model["d"]]), np.array([0.0, *model["d1"]]), model["of1"]
     V, N, types = model["words"], model["tokens"], model["pairs"]
     removed = sum(x * k for x, k in zip(model["d1"], [of1[0], of1[1], V - of1[0] - of1[1]])) if types else 0.0
-    for chunk in chunks(batch, "text", 8 << 20):
+    for chunk in chunks(batch, "text", 3 << 20):
         context, token, bounds = token_stream(*words(chunk, lower=True))
         known, inverse = np.unique(np.concatenate([token, context]), return_inverse=True)
         n, before, total, one, two, more = look_up(model, "words", known, [(c, "<u8") for c in ("n", "before", "total", "one", "two", "more")])
