@@ -7,8 +7,8 @@
 3. Pairs are pruned batch by batch of the signature as soon as the posterior chance of similarity >= threshold falls
    below `miss`; survivors are confirmed on full shingle sets.
 4. Components come from rounds of large-star and small-star on the links. Buckets whose members are still in several
-   components go on: while they are large, with a further hub; then with all pairs across components. So no candidate
-   pair that could join two components goes unseen, and none within a component is looked at again.
+   components go on with a further hub while that halves what is left, and then with all pairs across components. So no
+   candidate pair that could join two components goes unseen, and none within a component is looked at again.
 
 At the defaults a pair of similarity 0.8 shares no band with probability 7e-5 and is pruned with less than `miss` a
 batch. Everything is in tables of the shared folder; nothing of the corpus comes to the driver.
@@ -25,8 +25,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,14 @@ from fleetlens.llm.common import free_name, table, text_bytes, with_columns_from
 from fleetlens.llm.tokens import P, chunks, mix, shingles, words
 
 
+#: Members of a bucket whose pairs come from a join; rows of the two sides of a block comparison.
+SMALL_BUCKET, X_BLOCK, Y_BLOCK = 24, 256, 1024
+#: Further hashes for the block comparison.
+WIDE = 1024
+#: Row numbers of up to this many texts (8 bytes each) are broadcast.
+BROADCAST_ROWS = 500_000
+
+
 @dataclass(frozen=True)
 class NearDup:
     """percent: least similarity of a link, in whole percent; miss: chance at which a pair is given up unverified."""
@@ -81,19 +90,40 @@ def sign(batch: pa.RecordBatch, how: NearDup) -> list[list]:
     return [sizes, keys, signatures]
 
 
+def fewest(n: int, t: float, miss: float) -> int:
+    """Fewest of n equal hashes with which the posterior chance of agreement t or more is `miss` at least: a uniform prior
+    gives a beta posterior, whose mass above t is P(Bin(n + 1, t) <= matches)."""
+    mass, m = 0.0, 0
+    while m <= n:
+        mass += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(t) + (n + 1 - m) * math.log(1 - t)) if t < 1 else float(m == n)
+        if mass >= miss:
+            break
+        m += 1
+    return m
+
+
 def least_matches(how: NearDup) -> list[tuple[int, int]]:
-    """(hashes seen, fewest equal ones to go on) after each batch: a uniform prior and binomial agreement give a beta
-    posterior, whose mass above the threshold is P(Bin(n + 1, threshold) <= matches)."""
-    t, out = how.percent / 100, []
-    for n in [*range(how.batch, how.size, how.batch), how.size]:
-        mass, m = 0.0, 0
-        while m <= n:
-            mass += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-            if mass >= how.miss:
-                break
-            m += 1
-        out.append((n, m))
-    return out
+    """(hashes seen, fewest equal ones to go on) after each batch."""
+    return [(n, fewest(n, how.percent / 100, how.miss)) for n in [*range(how.batch, how.size, how.batch), how.size]]
+
+
+def widen(texts: DataFrame, how: NearDup) -> DataFrame:
+    """key and wide: WIDE further minima of each text, one byte each, for pairs that the signature leaves open."""
+    flip, times = (x[how.size :] for x in seeds(how.size + WIDE))
+
+    def rows(batch: pa.RecordBatch) -> list[list]:
+        out: list = [None] * batch.num_rows
+        for chunk in chunks(batch, "text"):
+            windows, bounds = shingles(*words(chunk, lower=True), how.shingle)
+            for i in range(chunk.n):
+                mine = np.unique(windows[bounds[i] : bounds[i + 1]])
+                least = np.full(WIDE, ~np.uint64(0))
+                for at in range(0, len(mine), 256):
+                    least = np.minimum(least, ((mine[at : at + 256, None] ^ flip) * times).min(axis=0))
+                out[chunk.first + i] = (mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
+        return [out]
+
+    return with_columns_from_text(texts, "text", [("wide", T.BinaryType())], rows, keep_text=False)
 
 
 def similar(a: bytes, b: bytes, how: NearDup, sets: dict) -> bool:
@@ -115,11 +145,12 @@ def similar(a: bytes, b: bytes, how: NearDup, sets: dict) -> bool:
 
 
 def prune(pairs: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (a, b) that survive the sequential comparison of their signatures; signs: key, sig, n_shingles."""
+    """The pairs (a, b, other binaries) that survive the sequential comparison of their signatures, with their equal
+    hashes (matches); signs: key, sig, n_shingles."""
     left = signs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
     right = signs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
     both = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * how.percent)
-    steps = least_matches(how)
+    steps, names = least_matches(how), pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,14 +160,16 @@ def prune(pairs: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
                 matches[alive] += (x[alive, seen:n] == y[alive, seen:n]).sum(axis=1)
                 alive = alive[matches[alive] >= least]
                 seen = n
-            yield batch.select(["a", "b"]).take(pa.array(alive))
+            kept = batch.select(names).take(pa.array(alive))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matches[alive].astype(np.int32))], names=[*names, "matches"])
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+    schema = ", ".join(f"{c} binary" for c in names) + ", matches int"
+    return both.select(*names, "sig_a", "sig_b").mapInArrow(run, schema)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; texts: key, text, a row a key."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    both = pairs.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +181,61 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def texts_of(pairs: DataFrame, live: DataFrame, classes: DataFrame) -> DataFrame:
+    """key and text of the classes in pairs. Their rows are fetched by a broadcast of row numbers while these are few."""
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    units = written(classes.join(keys, "key", "left_semi").select(F.col("rep.unit").alias("unit")), "near-units")
+    few = units.count() <= BROADCAST_ROWS
+    return written(live.select("key", "unit", "text").join(F.broadcast(units) if few else units, "unit", "left_semi").select("key", "text"), "near-texts")
+
+
+def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
+    """All likely pairs (a, b, root_b, matches) of the buckets' members in different components.
+
+    Pairs of small buckets come from a join. In a larger one the members outside its largest component are compared with
+    all its members, both in blocks of bounded size, so that only likely pairs leave a task; WIDE further hashes narrow what the signature leaves open.
+    """
+    sized = left.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("main"))
+    left = left.join(sized.select("bucket", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.m")).alias("others")), "bucket")
+    small, large = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET)
+    other = small.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"))
+    near = small.select("bucket", F.col("key").alias("a"), F.col("root").alias("root_a")).join(other, "bucket").where("a < b and root_a <> root_b").select("a", "b", "root_b").distinct()
+    near = prune(near, signs, how)
+    blocks = lambda count, size: F.ceil(F.col(count) / size).cast("int")
+    keys = large.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct()
+    wide = written(widen(texts_of(keys, live, signs), how), "near-wide")
+    large = large.join(signs.select("key", "sig", "n_shingles"), "key").join(wide, "key").withColumn("x", blocks("others", X_BLOCK)).withColumn("y", blocks("n", Y_BLOCK))
+    place = lambda of: F.pmod(F.xxhash64("key"), F.col(of)).cast("int")
+    columns = ["bucket", "xb", "yb", "key", "root", "sig", "wide", "n_shingles"]
+    probes = large.where("root <> main").withColumn("xb", place("x")).withColumn("yb", F.explode(F.sequence(F.lit(0), F.col("y") - 1))).select(columns)
+    filed = large.withColumn("yb", place("y")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("x") - 1))).select(columns)
+    steps = least_matches(how)
+    least_wide = fewest(WIDE, how.percent / 100 + (1 - how.percent / 100) / 256, how.miss)
+
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(one) and len(two):
+            x, y = (np.frombuffer(b"".join(d), dtype="<u4").reshape(-1, how.size) for d in (one["x_sig"], two["sig"]))
+            wide_x, wide_y = (np.frombuffer(b"".join(d), dtype=np.uint8).reshape(-1, WIDE) for d in (one["x_wide"], two["wide"]))
+            n_y = two["n_shingles"].to_numpy()
+            keys, roots = two["key"].tolist(), two["root"].tolist()
+            for sign_x, more_x, key_x, root_x, n_x in zip(x, wide_x, one["x_key"], one["x_root"], one["x_n_shingles"]):
+                alive = np.flatnonzero(np.minimum(n_x, n_y) * 100 >= np.maximum(n_x, n_y) * how.percent)
+                matches, done = np.zeros(len(y), dtype=np.int64), 0
+                for n, least in steps:
+                    matches[alive] += (y[alive, done:n] == sign_x[done:n]).sum(axis=1)
+                    alive, done = alive[matches[alive] >= least], n
+                alive = np.array([j for j in alive if roots[j] != root_x], dtype=np.int64)
+                more = (wide_y[alive] == more_x).sum(axis=1)
+                out += [(key_x, keys[j], roots[j], int(m)) for j, m in zip(alive, more) if m >= least_wide]
+        return pd.DataFrame(out, columns=["a", "b", "root_b", "matches"])
+
+    by = ["bucket", "xb", "yb"]
+    probes = probes.toDF(*[f"x_{c}" for c in columns])
+    far = probes.groupBy(*[f"x_{c}" for c in by]).cogroup(filed.groupBy(*by)).applyInPandas(compare, "a binary, b binary, root_b binary, matches int")
+    return near.select("a", "b", "root_b", "matches").unionByName(far.distinct())
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """key and root (least key of its component) of every key in links (a, b), by large-star and small-star rounds."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
@@ -187,40 +275,48 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
     degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
     ranked = written(members.drop("n").join(degree, "key"), "near-ranked")
 
-    links, labels, tested = None, None, None
-    left = ranked.withColumn("root", F.col("key"))
-    before = None
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+
+    def link(pairs: DataFrame) -> None:
+        """Confirm likely pairs (a, b), add their links and find the components anew."""
+        nonlocal links, labels
+        found = written(confirm(pairs, texts_of(pairs, live, classes), how), "near-links")
+        links = found if links is None else links.unionByName(found)
+        labels = written(components(links, "near-star"), "near-labels")
+
+    def rooted(rows_: DataFrame) -> DataFrame:
+        rows_ = rows_.drop("root")
+        return rows_.withColumn("root", F.col("key")) if labels is None else rows_.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    def unresolved(rows_: DataFrame) -> DataFrame:
+        """Rows of the buckets whose members are in several components."""
+        open_ones = rows_.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+        return written(rows_.join(open_ones, "bucket", "left_semi"), "near-left")
+
+    left, before = rooted(ranked), None
     while True:
         cross = left.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
         todo = cross.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         pairs_left, rows_left = todo[0] or 0.0, todo[1] or 0.0
-        if not pairs_left:
+        if pairs_left <= 4 * rows_left or before is not None and pairs_left > 0.5 * before:
             break
-        exhaust = pairs_left <= 8 * rows_left or before is not None and pairs_left > 0.9 * before
         before = pairs_left
-        if exhaust:
-            other = left.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"))
-            pairs = left.select("bucket", F.col("key").alias("a"), F.col("root").alias("root_a")).join(other, "bucket").where("a < b and root_a <> root_b").select("a", "b")
-        else:
-            hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("b"))
-            at = left.join(hubs, "bucket")
-            pairs = at.where("key <> b").select(F.col("key").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        likely = written(prune(pairs, classes, how), "near-likely")
-        needed = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
-        texts = written(live.select("key", "unit", "text").join(classes.select("key", F.col("rep.unit").alias("unit")), ["key", "unit"]).join(needed, "key", "left_semi").select("key", "text"), "near-texts")
-        found = written(confirm(likely, texts, how), "near-links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = written(components(links, "near-star"), "near-labels")
-        if exhaust:
-            break
-        left = at.where("key <> b").drop("b").drop("root").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_ones = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        left = written(left.join(open_ones, "bucket", "left_semi"), "near-left")
+        hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("b"))
+        at = left.join(hubs, "bucket").where("key <> b")
+        link(written(prune(written(at.select(F.col("key").alias("a"), "b").distinct(), "near-pairs"), classes, how), "near-likely"))
+        left = unresolved(rooted(at.drop("b")))
+    if pairs_left:
+        likely = written(across(left, live, classes, how), "near-likely")
+        # The best few pairs of a class and a component first; then, of what is still apart, all.
+        best = Window.partitionBy("a", "root_b").orderBy(F.desc("matches"), "b")
+        link(likely.withColumn("place", F.row_number().over(best)).where("place <= 2").select("a", "b").distinct())
+        mine = [labels.select(F.col("key").alias(k), F.col("root").alias(f"r_{k}")) for k in ("a", "b")]
+        apart = likely.join(mine[0], "a", "left").join(mine[1], "b", "left").where("coalesce(r_a, a) <> coalesce(r_b, b)")
+        seen = likely.withColumn("place", F.row_number().over(best)).where("place <= 2").select("a", "b")
+        rest = written(apart.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "near-rest")
+        if rest.limit(1).count():
+            link(rest)
 
     reps = classes.select("key", "rep")
     if labels is not None:
