@@ -7,8 +7,8 @@
 3. Pairs are pruned batch by batch of the signature as soon as the posterior chance of similarity >= threshold falls
    below `miss`; survivors are confirmed on full shingle sets.
 4. Components come from rounds of large-star and small-star on the links. Buckets whose members are still in several
-   components go on with a further hub while that halves what is left, and then with all pairs across components. So no
-   candidate pair that could join two components goes unseen, and none within a component is looked at again.
+   components go on with all pairs across components (while that were too many, and a further hub halves them, with
+   one more). So no candidate pair that could join two components goes unseen.
 
 At the defaults a pair of similarity 0.8 shares no band with probability 7e-5 and is pruned with less than `miss` a
 batch. Everything is in tables of the shared folder; nothing of the corpus comes to the driver.
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,6 +212,8 @@ def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) ->
     steps = least_matches(how)
     least_wide = fewest(WIDE, how.percent / 100 + (1 - how.percent / 100) / 256, how.miss)
 
+    sure = WIDE + 1 - fewest(WIDE, (1 - how.percent / 100) * 255 / 256, how.miss)
+
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(one) and len(two):
@@ -227,7 +229,14 @@ def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) ->
                     alive, done = alive[matches[alive] >= least], n
                 alive = np.array([j for j in alive if roots[j] != root_x], dtype=np.int64)
                 more = (wide_y[alive] == more_x).sum(axis=1)
-                out += [(key_x, keys[j], roots[j], int(m)) for j, m in zip(alive, more) if m >= least_wide]
+                found: dict = {}
+                for j, m in zip(alive.tolist(), more.tolist()):
+                    if m >= least_wide:
+                        found.setdefault(roots[j], []).append((m, keys[j]))
+                for root, pairs in found.items():
+                    pairs.sort(reverse=True)
+                    # Where the best pairs are surely links, they join the components and the others add nothing.
+                    out += [(key_x, key, root, m) for m, key in (pairs[:2] if pairs[0][0] >= sure else pairs)]
         return pd.DataFrame(out, columns=["a", "b", "root_b", "matches"])
 
     by = ["bucket", "xb", "yb"]
@@ -239,19 +248,17 @@ def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) ->
 def components(links: DataFrame, name: str) -> DataFrame:
     """key and root (least key of its component) of every key in links (a, b), by large-star and small-star rounds."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Now each u has smaller neighbours v only; all of them and u itself move to the least.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = large.join(low.where("n > 1"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        # Done when all are stars: no least neighbour has a neighbour below it.
+        if not edges.join(edges.select(F.col("u").alias("w")).distinct(), F.col("v") == F.col("w"), "left_semi").limit(1).count():
             break
-        state = now
     pairs = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("key"), "root")
     return pairs.unionByName(pairs.select(F.col("root").alias("key"), "root").distinct())
 
@@ -296,27 +303,18 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
 
     left, before = rooted(ranked), None
     while True:
-        cross = left.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        todo = cross.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        pairs_left, rows_left = todo[0] or 0.0, todo[1] or 0.0
-        if pairs_left <= 4 * rows_left or before is not None and pairs_left > 0.5 * before:
+        cross = left.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg(F.sum("m").alias("s"), F.max("m").alias("most"), F.sum(F.col("m") * F.col("m")).alias("q"))
+        todo = cross.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s"), F.sum((F.col("s") - F.col("most")) * F.col("s") / X_BLOCK)).first()
+        pairs_left, rows_left, copies = (x or 0.0 for x in todo)
+        if pairs_left <= 4 * rows_left or before is not None and (copies <= 8 * rows_left or pairs_left > 0.5 * before):
             break
         before = pairs_left
         hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("b"))
         at = left.join(hubs, "bucket").where("key <> b")
-        link(written(prune(written(at.select(F.col("key").alias("a"), "b").distinct(), "near-pairs"), classes, how), "near-likely"))
+        link(written(prune(at.select(F.col("key").alias("a"), "b").distinct(), classes, how), "near-likely"))
         left = unresolved(rooted(at.drop("b")))
     if pairs_left:
-        likely = written(across(left, live, classes, how), "near-likely")
-        # The best few pairs of a class and a component first; then, of what is still apart, all.
-        best = Window.partitionBy("a", "root_b").orderBy(F.desc("matches"), "b")
-        link(likely.withColumn("place", F.row_number().over(best)).where("place <= 2").select("a", "b").distinct())
-        mine = [labels.select(F.col("key").alias(k), F.col("root").alias(f"r_{k}")) for k in ("a", "b")]
-        apart = likely.join(mine[0], "a", "left").join(mine[1], "b", "left").where("coalesce(r_a, a) <> coalesce(r_b, b)")
-        seen = likely.withColumn("place", F.row_number().over(best)).where("place <= 2").select("a", "b")
-        rest = written(apart.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "near-rest")
-        if rest.limit(1).count():
-            link(rest)
+        link(written(across(left, live, classes, how).select("a", "b").distinct(), "near-likely"))
 
     reps = classes.select("key", "rep")
     if labels is not None:
