@@ -4,7 +4,7 @@ arrays in the shared folder, and memory-mapped by the workers that score.
 Counting: each task hashes its words (64 bits) and gathers bigrams up to a bounded buffer, counts them there by
 sorting, and sends one packed array to each shard of the hash range; the number of shards follows the text's size, so a
 shard's arrays are of bounded size. A bigram is two 40-bit prefixes of its words' hashes. A bigram shard is merged,
-sorted and written as arrays (key, count); what its bigrams say about their words (continuations, successors, totals)
+sorted and written as arrays (key, count in a byte, with larger counts apart); what its bigrams say about their words (continuations, successors, totals)
 goes as packed arrays to the word shards, where it meets the words' own counts and is written in the same manner.
 
 Model, with bigram discounts D1, D2, D3+ and unigram discounts from counts of counts (Chen and Goodman), V known
@@ -36,8 +36,8 @@ from fleetlens.llm.tokens import P, chunks, mix, words
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Bigrams that a task holds before it counts and sends them, and text for each shard.
-BUFFER = 1_500_000
-SHARD_BYTES = 8 << 20
+BUFFER = 2_500_000
+SHARD_BYTES = 16 << 20
 PREFIX = np.uint64(24)
 
 
@@ -78,15 +78,21 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def pack_pairs(context: np.ndarray, token: np.ndarray, counts: np.ndarray) -> bytes:
-    """Two 40-bit words in 10 bytes, then the counts, deflated as most are 1."""
+    """Two 40-bit words in 10 bytes, sorted so that the first 8 are differences, whose upper bytes deflate as the counts do."""
     high = (context << np.uint64(24)) | (token >> np.uint64(16))
-    return np.int64(len(context)).tobytes() + high.astype("<u8").tobytes() + (token & np.uint64(0xFFFF)).astype("<u2").tobytes() + zlib.compress(counts.astype("<u4").tobytes(), 1)
+    order = np.argsort(high)
+    planes = np.diff(high[order], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    low = (token[order] & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    return np.int64(len(context)).tobytes() + planes[:5].tobytes() + low + zlib.compress(planes[5:].tobytes() + counts[order].astype("<u4").tobytes(), 1)
 
 
 def unpack_pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    high, low = np.frombuffer(raw, "<u8", n, 8), np.frombuffer(raw, "<u2", n, 8 + 8 * n)
-    counts = np.frombuffer(zlib.decompress(raw[8 + 10 * n :]), "<u4")
+    low = np.frombuffer(raw, "<u2", n, 8 + 5 * n)
+    rest = zlib.decompress(raw[8 + 7 * n :])
+    planes = np.concatenate([np.frombuffer(raw, np.uint8, 5 * n, 8).reshape(5, n), np.frombuffer(rest, np.uint8, 3 * n).reshape(3, n)])
+    high = np.cumsum(planes.T.copy().view("<u8").reshape(n).astype(np.uint64))
+    counts = np.frombuffer(rest, "<u4", n, 3 * n)
     return high >> np.uint64(24), ((high & np.uint64(0xFFFFFF)) << np.uint64(16)) | low.astype(np.uint64), counts.astype(np.int64)
 
 
@@ -158,7 +164,10 @@ def _merge_pairs(folder: str, shards: int):
         first, keys, n = counted(pair_key(context, token), n)
         context, token = context[first], token[first]
         put_file(f"{folder}/pairs-{shard:06d}.key", lambda out: out.write(keys.astype("<u8").tobytes()))
-        put_file(f"{folder}/pairs-{shard:06d}.n", lambda out: out.write(n.astype("<u4").tobytes()))
+        put_file(f"{folder}/pairs-{shard:06d}.n", lambda out: out.write(np.minimum(n, 255).astype(np.uint8).tobytes()))
+        often = n >= 255
+        put_file(f"{folder}/often-{shard:06d}.key", lambda out: out.write(keys[often].astype("<u8").tobytes()))
+        put_file(f"{folder}/often-{shard:06d}.n", lambda out: out.write(n[often].astype("<u8").tobytes()))
         order, v, total = counted(context, n)
         parts = [np.add.reduceat(flag[np.argsort(context, kind="stable")], np.searchsorted(np.sort(context), v)) for flag in ((n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))]
         for s, lo, hi in _cuts(shard_of(v << PREFIX, shards), shards):
@@ -198,7 +207,7 @@ def _merge_words(folder: str):
         columns = {"n": n, "before": at(w, before), "total": at(v, total_v), "one": at(v, ones), "two": at(v, twos), "more": at(v, mores)}
         put_file(f"{folder}/words-{shard:06d}.key", lambda out: out.write(known.astype("<u8").tobytes()))
         for name, values in columns.items():
-            put_file(f"{folder}/words-{shard:06d}.{name}", lambda out, values=values: out.write(values.astype("<u8").tobytes()))
+            put_file(f"{folder}/words-{shard:06d}.{name}", lambda out, values=values, kind="<u8" if name in ("n", "total") else "<u4": out.write(values.astype(kind).tobytes()))
         said = {"tokens": int(n.sum()), "words": int((n > 0).sum()), "before": int(before.sum()), "of": [int((before == k).sum()) for k in (1, 2, 3, 4)]}
         return pd.DataFrame([(0, shard, None, json.dumps(said))], columns=["kind", "shard", "packed", "said"])
 
@@ -250,7 +259,7 @@ def mapped(uri: str, kind: str) -> np.ndarray:
 def look_up(model: dict, table_name: str, keys: np.ndarray, columns: list[tuple[str, str]]) -> list[np.ndarray]:
     """Columns of the sorted hash arrays at keys (ascending); 0 where a key isn't there."""
     out = [np.zeros(len(keys), dtype=np.int64) for _ in columns]
-    there = set(model["pair_shards" if table_name == "pairs" else "word_shards"])
+    there = set(model["word_shards" if table_name == "words" else "pair_shards"])
     for s, lo, hi in _cuts(shard_of(keys, model["shards"]), model["shards"]):
         if s not in there:
             continue
@@ -274,12 +283,14 @@ def scores(batch: pa.RecordBatch, model: dict) -> list[np.ndarray]:
     for chunk in chunks(batch, "text", 3 << 20):
         context, token, bounds = token_stream(*words(chunk, lower=True))
         known, inverse = np.unique(np.concatenate([token, context]), return_inverse=True)
-        n, before, total, one, two, more = look_up(model, "words", known, [(c, "<u8") for c in ("n", "before", "total", "one", "two", "more")])
+        n, before, total, one, two, more = look_up(model, "words", known, [("n", "<u8"), ("before", "<u4"), ("total", "<u8"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")])
         p1 = np.maximum(before - d1[np.minimum(before, 3)], 0) / max(types, 1) + (removed / types if types else 1.0) / (V + 1)
         gamma = np.where(total > 0, (d[1] * one + d[2] * two + d[3] * more) / np.maximum(total, 1), 1.0)
         w, v = inverse[: len(token)], inverse[len(token) :]
         pairs, pair_at = np.unique(pair_key(context >> PREFIX, token >> PREFIX), return_inverse=True)
-        (seen,) = look_up(model, "pairs", pairs, [("n", "<u4")])
+        (seen,) = look_up(model, "pairs", pairs, [("n", "u1")])
+        often = np.flatnonzero(seen == 255)
+        seen[often] = look_up(model, "often", pairs[often], [("n", "<u8")])[0]
         c = seen[pair_at]
         p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total[v], 1) + gamma[v] * p1[w]
         b = np.log10((n[w] + 0.1) / (N + 0.1 * (V + 1)))
