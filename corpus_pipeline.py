@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import mixing, neardup, packing, quality, toxicity
-from fleetlens.llm.common import table, written
+from fleetlens.llm.common import recorded, remove_path, table, written
 
 
 def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -45,7 +45,24 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+_leftover: list[str] = []
+
+
+def _swept(stage):
+    """The stage, which first removes the tables that the stage before wrote for itself: its result is written by now."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _leftover:
+            remove_path(spark, _leftover.pop())
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _leftover.extend(made)
+        return out
+
+    return run
+
+
+STAGES = [("quality", _swept(quality_stage)), ("toxicity", _swept(toxicity_stage)), ("near_duplicates", _swept(near_duplicate_stage)), ("mixing", _swept(mixing_stage)), ("packing", _swept(packing_stage))]
 #: The stages past the first can't be expressed in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +38,35 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that written() makes meanwhile, so that their maker can remove them once nothing reads them."""
+    made: list[str] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording.remove(made)
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a Python task, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    for made in _recording:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,6 +124,8 @@ def with_columns_from_text(
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             arrays += [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+            del made, arrays, batch
+        release()
 
     return df.mapInArrow(run, schema)
 

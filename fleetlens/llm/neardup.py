@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import free_name, table, text_bytes, with_columns_from_text, written
+from fleetlens.llm.common import free_name, release, table, text_bytes, with_columns_from_text, written
 from fleetlens.llm.tokens import P, chunks, mix, shingles, words
 
 
@@ -162,6 +162,7 @@ def prune(pairs: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
                 seen = n
             kept = batch.select(names).take(pa.array(alive))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matches[alive].astype(np.int32))], names=[*names, "matches"])
+        release()
 
     schema = ", ".join(f"{c} binary" for c in names) + ", matches int"
     return both.select(*names, "sig_a", "sig_b").mapInArrow(run, schema)
@@ -177,6 +178,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
         for batch in batches:
             yes = [i for i, (a, b) in enumerate(zip(text_bytes(batch, "text_a"), text_bytes(batch, "text_b"))) if similar(a, b, how, sets)]
             yield batch.select(["a", "b"]).take(pa.array(yes, type=pa.int64()))
+        sets.clear()
+        release()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import held_out, open_fs, put_file, shared_path, table, with_columns_from_text, written
+from fleetlens.llm.common import held_out, open_fs, put_file, release, shared_path, table, with_columns_from_text, written
 from fleetlens.llm.tokens import P, chunks, mix, words
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
@@ -137,6 +137,7 @@ def _count(shards: int):
         if pairs:
             flush(pairs, out)
             yield from _rows(out)
+        release()
 
     return run
 
@@ -176,6 +177,8 @@ def _merge_pairs(folder: str, shards: int):
         for s, lo, hi in _cuts(shard_of(w << PREFIX, shards), shards):
             rows.append((4, s, pack_sorted(w[lo:hi], before[lo:hi]), None))
         rows.append((0, shard, None, json.dumps({"pairs": len(n), "of": [int((n == k).sum()) for k in (1, 2, 3, 4)]})))
+        del context, token, keys, n, v, w, before, total, parts, order
+        release()
         return pd.DataFrame(rows, columns=["kind", "shard", "packed", "said"])
 
     return run

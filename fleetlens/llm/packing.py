@@ -18,6 +18,7 @@ get them from tiktoken with the same vocabulary, which yields the same ids sever
 from __future__ import annotations
 
 import base64
+import json
 import random
 import re
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import table, text_bytes, written
+from fleetlens.llm.common import release, table, text_bytes, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -48,20 +49,27 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str) -> Callable[[s
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    exact: list = []
+
+    def plain(text: str) -> np.ndarray:
+        if not exact:
+            from tokenizers import Tokenizer
+
+            exact.append(Tokenizer.from_file(json_path))
+        return np.array(exact[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    exact = Tokenizer.from_file(json_path)
-    specials = [t.content for t in exact.get_added_tokens_decoder().values()]
-    plain = lambda s: np.array(exact.encode(s, add_special_tokens=False).ids, dtype=np.uint32)
     if not ranks_path:
         _encoders[json_path, ranks_path] = plain
         return plain
     import tiktoken
 
+    with open(json_path, encoding="utf-8") as f:
+        specials = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    odd = re.compile("|".join([r"[^\x00-ɏ]", *map(re.escape, specials)]))
+    del ranks
+    odd = re.compile("|".join([r"[^\x00-\u024f]", *map(re.escape, specials)]))
 
     def encode(s: str) -> np.ndarray:
         return plain(s) if odd.search(s) else np.array(fast.encode_ordinary(s), dtype=np.uint32)
@@ -104,6 +112,8 @@ def pieces(docs: DataFrame, paths: tuple[str, str | None, str], capacity: int =
             arrays = [batch.column(batch.schema.get_field_index(k)).take(at) for k in keep]
             arrays += [pa.array(v, type=kind) for v, (_, _, kind) in zip(rows, added)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            del rows, arrays, batch
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -232,6 +242,7 @@ def _epoch(capacity: int, seed: int, generations: int):
                 elites.append(_assignment(best, len(lengths)))
                 n_bins.append(len(best))
             yield pd.DataFrame({"block": pdf["block"], "island": pdf["island"], "lengths": pdf["lengths"], "elite": elites, "n_bins": n_bins})
+        release()
 
     return run
 

@@ -25,6 +25,7 @@ from fleetlens.llm.common import table, with_columns_from_text, written
 from fleetlens.llm.tokens import BLANK, BYTE_VALUES, NEWLINE, chunks, mix, shingles
 
 ALPHA = 0.01
+BROADCAST_GROUPS = 100_000
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 MEASURES = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType())]
 IS_SYMBOL = np.zeros(256, dtype=bool)
@@ -142,11 +143,14 @@ WITH long AS (
   JOIN (SELECT * FROM fences WHERE level = 'lang') l ON s.lang IS NOT DISTINCT FROM l.lang
   JOIN (SELECT * FROM fences WHERE level = 'all') a ON a.level IS NOT DISTINCT FROM (CASE WHEN s.level = 'source' THEN 'all' END)
 )
+"""
+
+KEPT_SQL = """
 SELECT {columns}, NOT base_failed AND
     CAST(n_symbols AS DOUBLE) / nullif(n_words, 0) <= symbols_most AND CAST(n_dup_lines AS DOUBLE) / nullif(n_words, 0) <= dup_most AND
     CAST(n_repeat_words AS DOUBLE) / nullif(n_words, 0) <= repeat_most AND
     CAST(word_chars AS DOUBLE) / nullif(n_words, 0) <= length_most AND CAST(word_chars AS DOUBLE) / nullif(n_words, 0) >= length_least AS {kept}
-FROM {m} d LEFT JOIN chosen c ON d.lang IS NOT DISTINCT FROM c.f_lang AND d.source IS NOT DISTINCT FROM c.f_source
+FROM {m} d LEFT JOIN {chosen} c ON d.lang IS NOT DISTINCT FROM c.f_lang AND d.source IS NOT DISTINCT FROM c.f_source
 """
 
 
@@ -166,8 +170,10 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), keep_text: bool
     measured = written(measured, "quality")
     spark = docs.sparkSession
     columns = ", ".join(f"d.`{c}`" for c in measured.columns)
-    query = RULES_SQL.format(m="{m}", columns=columns, kept="kept", **_numbers(rules))
-    out = spark.sql(query, m=measured)
+    chosen = written(spark.sql(RULES_SQL.format(m="{m}", **_numbers(rules)) + "SELECT * FROM chosen", m=measured), "quality-fences")
+    # A row for each (lang, source); shuffled once they are many.
+    hint = "/*+ BROADCAST(c) */ " if chosen.count() <= BROADCAST_GROUPS else ""
+    out = spark.sql(KEPT_SQL.format(m="{m}", chosen="{chosen}", columns=hint + columns, kept="kept"), m=measured, chosen=chosen)
     return out.withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
@@ -200,6 +206,6 @@ words AS (
 
 def oracle(docs: str = "documents", rules: QualityRules = QualityRules(), columns: str = "d.doc_id, d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed") -> str:
     """DuckDB SQL of judge() over a table; one statement."""
-    body = RULES_SQL.format(m="base", columns=columns, kept="kept", **_numbers(rules)).strip()
+    body = (RULES_SQL.format(m="base", **_numbers(rules)) + KEPT_SQL.format(m="base", chosen="chosen", columns=columns, kept="kept")).strip()
     body = body.removeprefix("WITH ")
     return "WITH " + MEASURES_SQL.replace("{docs}", docs).strip() + ", " + body.replace("NOT base_failed AND", "coalesce(NOT base_failed AND", 1).replace(">= length_least AS kept", ">= length_least, false) AS kept")
