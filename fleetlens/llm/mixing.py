@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import WORD_PATTERN, free_name, table, written
 
 BLOCK = 1024
+#: Decisions that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: The shortest documents of a block, which wait for the landing problem.
 RESERVE = 12
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -151,6 +153,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
         decided = fixed if decided is None else decided.unionByName(fixed)
         left = out.where("took < 0").drop("took")
         turn += 1
+    # The decisions (12 bytes a document) are broadcast while they are few; then the texts needn't be shuffled.
+    if decided.count() <= BROADCAST_ROWS:
+        decided = F.broadcast(decided)
     joined = rows.join(decided, F.col(unit) == F.col("u_unit"), "left").join(named.drop("n"), F.col("source").eqNullSafe(F.col("s_source")))
     copies = F.col("whole") + F.coalesce("took", F.lit(0))
     return joined.select(*[F.col(f"`{c}`") for c in sized.columns], "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
