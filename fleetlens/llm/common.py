@@ -71,6 +71,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by_task(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as written() does, bucketed by `key`, which is constant within each task: each task writes one file, nothing is
+    shuffled, and a join by `key` with a table hashed into as many partitions leaves df where it is.
+
+    The catalogue entry goes at once; files and the plan that reads them stay.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    for made in _recording:
+        made.append(path)
+    entry = "fleetlens_" + uuid.uuid4().hex
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(entry)
+    out = spark.table(entry)
+    out = out.select(*[F.col(f"`{c}`") for c in out.columns])
+    spark.sql(f"DROP TABLE {entry}")
+    return out
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a shared folder through the cluster's own file system."""
     jvm = spark.sparkContext._jvm

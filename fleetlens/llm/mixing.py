@@ -27,11 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WORD_PATTERN, free_name, table, written
+from fleetlens.llm.common import WORD_PATTERN, free_name, table, written, written_by_task
 
 BLOCK = 1024
-#: Decisions that are broadcast at most.
-BROADCAST_ROWS = 500_000
 #: The shortest documents of a block, which wait for the landing problem.
 RESERVE = 12
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -130,7 +128,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
     if not keep_text:
         sized = sized.drop("text")
-    rows = written(sized.withColumn(unit, F.monotonically_increasing_id()), "mix-rows")
+    # A unit is the task that wrote the row (upper 31 bits) and the row's number there (lower 33).
+    part = free_name(sized.withColumn(unit, F.lit(0)), "part")
+    numbered = sized.withColumn(unit, F.monotonically_increasing_id()).withColumn(part, F.shiftright(unit, 33))
+    rows = written_by_task(numbered, "mix-rows", part, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sources = written(targets(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, cap), "mix-sources")
 
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -153,11 +154,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
         decided = fixed if decided is None else decided.unionByName(fixed)
         left = out.where("took < 0").drop("took")
         turn += 1
-    # The decisions (12 bytes a document) are broadcast while they are few; then the texts needn't be shuffled.
-    if decided.count() <= BROADCAST_ROWS:
-        decided = F.broadcast(decided)
-    joined = rows.join(decided, F.col(unit) == F.col("u_unit"), "left").join(named.drop("n"), F.col("source").eqNullSafe(F.col("s_source")))
-    copies = F.col("whole") + F.coalesce("took", F.lit(0))
+    # Every row's decision, as one array for each task that wrote rows, in their order: looked up by row number, it meets
+    # the texts where they lie, at any size. An array is as long as a task's input has rows.
+    idle = light.where(~((F.col("p") > 0) & (F.col("size") > 0))).select(F.col("unit").alias("u_unit"), F.lit(0).alias("took"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("u_unit"), F.col("took").cast("byte").alias("t"))))
+    decisions = decided.unionByName(idle).groupBy(F.shiftright("u_unit", 33).alias("u_part")).agg(F.transform(ordered, lambda x: x["t"]).alias("tooks"))
+    joined = rows.join(decisions.hint("shuffle_hash"), F.col(part) == F.col("u_part"))
+    took = F.get("tooks", F.expr(f"cast(`{unit}` & {(1 << 33) - 1} as int)"))
+    joined = joined.withColumn("took", took).drop("tooks").join(named.drop("n"), F.col("source").eqNullSafe(F.col("s_source")))
+    copies = F.col("whole") + F.col("took")
     return joined.select(*[F.col(f"`{c}`") for c in sized.columns], "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
