@@ -89,6 +89,20 @@ def written_by_task(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
     return out
 
 
+def rows_of_tasks(rows: DataFrame, part: str, unit: str, units: DataFrame) -> DataFrame:
+    """The rows whose unit (as of monotonically_increasing_id, so part = unit >> 33) is in units (unit, distinct).
+
+    rows come from written_by_task() by part and stay where they are: each task that wrote rows gets one string of a byte
+    for each of its rows, in order, and looks up its own. Only row numbers are shuffled.
+    """
+    number = F.expr(f"cast(unit & {(1 << 33) - 1} as int)")
+    lists = units.groupBy(F.shiftright("unit", 33).alias("u_part")).agg(F.array_sort(F.collect_list(number)).alias("ns"))
+    gaps = F.transform("ns", lambda n, i: F.concat(F.repeat(F.lit("0"), n - F.coalesce(F.get("ns", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    marks = lists.select("u_part", F.encode(F.array_join(gaps, ""), "UTF-8").alias("marks"))
+    found = rows.join(marks.hint("shuffle_hash"), F.col(part) == F.col("u_part"))
+    return found.where(F.expr(f"substring(marks, cast(`{unit}` & {(1 << 33) - 1} as int) + 1, 1) = X'31'")).drop("u_part", "marks")
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a shared folder through the cluster's own file system."""
     jvm = spark.sparkContext._jvm

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import free_name, release, table, text_bytes, with_columns_from_text, written
+from fleetlens.llm.common import free_name, release, rows_of_tasks, table, text_bytes, with_columns_from_text, written, written_by_task
 from fleetlens.llm.tokens import P, chunks, mix, shingles, words
 
 
@@ -39,8 +39,6 @@ from fleetlens.llm.tokens import P, chunks, mix, shingles, words
 SMALL_BUCKET, X_BLOCK, Y_BLOCK = 24, 256, 1024
 #: Further hashes for the block comparison.
 WIDE = 1024
-#: Row numbers of up to this many texts (8 bytes each) are broadcast.
-BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -185,11 +183,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
 
 
 def texts_of(pairs: DataFrame, live: DataFrame, classes: DataFrame) -> DataFrame:
-    """key and text of the classes in pairs. Their rows are fetched by a broadcast of row numbers while these are few."""
+    """key and text of the classes in pairs, fetched where the rows lie by their numbers."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    units = written(classes.join(keys, "key", "left_semi").select(F.col("rep.unit").alias("unit")), "near-units")
-    few = units.count() <= BROADCAST_ROWS
-    return written(live.select("key", "unit", "text").join(F.broadcast(units) if few else units, "unit", "left_semi").select("key", "text"), "near-texts")
+    units = classes.join(keys, "key", "left_semi").select(F.col("rep.unit").alias("unit"))
+    return written(rows_of_tasks(live.select("key", "unit", "part", "text"), "part", "unit", units).select("key", "text"), "near-texts")
 
 
 def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
@@ -273,8 +270,10 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
     key, sig = free_name(docs, "key"), free_name(docs, "sig")
     signed = with_columns_from_text(docs, "text", [("n_shingles", T.LongType()), (key, T.BinaryType()), (sig, T.BinaryType())], lambda batch: sign(batch, how))
     unit = free_name(docs, "unit")
-    rows = written(signed.withColumn(unit, F.monotonically_increasing_id()), "near-rows")
-    live = rows.where(F.col(key).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(key).alias("key"), F.col(sig).alias("sig"), "n_shingles", "text", F.col(unit).alias("unit"))
+    part = free_name(signed.withColumn(unit, F.lit(0)), "part")
+    numbered = signed.withColumn(unit, F.monotonically_increasing_id()).withColumn(part, F.shiftright(unit, 33))
+    rows = written_by_task(numbered, "near-rows", part, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    live = rows.where(F.col(key).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(key).alias("key"), F.col(sig).alias("sig"), "n_shingles", "text", F.col(unit).alias("unit"), F.col(part).alias("part"))
     classes = written(live.groupBy("key").agg(F.min(F.struct("doc_id", "unit")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "near-classes")
 
     width = 4 * how.rows
