@@ -63,3 +63,13 @@ def recoverable(policy: Column, healthy: Column, least: int) -> Column:
 
 def has_bits(owned: Column, required: Column) -> Column:
     return owned.bitwiseAND(required) == required
+
+
+def lower_digest(value: Column) -> Column:
+    """A SHA-256 id in lower-case hex, as localisation wants it."""
+    return value.rlike("^[0-9a-f]{64}$")
+
+
+def any_digest(value: Column) -> Column:
+    """A SHA-256 id in hex of either case, as the content store takes it."""
+    return value.rlike("^[0-9a-fA-F]{64}$")

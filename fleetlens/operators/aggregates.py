@@ -66,3 +66,9 @@ def noise_class(summary: DataFrame, gate: Column) -> DataFrame:
     share = rows.agg(F.avg(F.col("noisy").cast("double")).alias("share"))
     joined = rows.join(F.broadcast(share))
     return joined.withColumn("noise", F.when(~gate, "gate_failed").when(F.col("share") > 0.20, "environmental").when(F.col("noisy"), "case_specific").otherwise("none")).drop("share", "noisy")
+
+
+def median_of_most(rows: DataFrame, keys: list[str], run: list[str], value: str) -> DataFrame:
+    """The largest value of each run, and the median over the runs."""
+    most = rows.groupBy(*keys, *run).agg(F.max(value).alias("most"))
+    return most.groupBy(*keys).agg(F.expr("percentile(most, 0.5)").alias("median_of_most"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.fleet import recoverable
+
 
 def dedup(chunks: DataFrame) -> DataFrame:
     """Per document, chunks uploaded (the first of their digest) and bytes reused; the first comes from an aggregate."""
@@ -35,3 +37,25 @@ def repair_plan(catalog: DataFrame, lanes: int, budget: int) -> DataFrame:
     grouped = jobs.groupBy("lane").agg(F.count("*").alias("jobs"), items.alias("items"))
     planned = F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: F.when(acc + x["bytes"] <= budget, acc + x["bytes"]).otherwise(acc))
     return grouped.select("lane", "jobs", planned.alias("planned"))
+
+
+def inputs_recoverable(inputs: DataFrame, catalog: DataFrame, least: int) -> DataFrame:
+    """Per task: all inputs can be recovered (unknown ones can't), and the fewest healthy copies among the known."""
+    known = catalog.select("digest", recoverable(F.col("policy"), F.col("healthy"), least).alias("ok"), "healthy")
+    rows = inputs.join(known, "digest", "left")
+    return rows.groupBy("task_id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("recoverable"), F.coalesce(F.min("healthy"), F.lit(0)).alias("least_copies"))
+
+
+def unreferenced(removed: DataFrame, kept: DataFrame) -> DataFrame:
+    """Digests of removed manifests that no kept one holds, with their size."""
+    return removed.join(kept.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.max("size").alias("size"))
+
+
+def manifest_check(chunks: DataFrame, totals: DataFrame, most: int) -> DataFrame:
+    """Per document: indexes run from 0 without gaps, sizes lie in 1 .. most and sum to the total."""
+    seen = chunks.groupBy("doc_id").agg(
+        F.count("*").alias("chunks"), F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"),
+        F.countDistinct("chunk_index").alias("places"), F.min("size").alias("least"), F.max("size").alias("largest"), F.sum("size").alias("bytes"),
+    )
+    good = "first = 0 and last = chunks - 1 and places = chunks and least > 0 and largest <= {most} and bytes = total".format(most=most)
+    return seen.join(totals, "doc_id").select("doc_id", "chunks", F.expr(good).alias("valid"))

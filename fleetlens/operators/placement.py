@@ -62,3 +62,20 @@ def place(requests: DataFrame, nodes: DataFrame, observations: DataFrame) -> Dat
         F.coalesce(F.least(F.greatest(F.size("good") - 1, F.lit(0)), F.lit(FALLBACKS)), F.lit(0)).cast("long").alias("fallbacks"),
         F.round(F.col("local_cost") - first["remote_cost"] - MARGIN, 6).alias("gain"),
     )
+
+
+def candidate_index(needs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """Nodes with all bits of each requirement by an inverted index: bit to nodes, counted; none required takes all."""
+    of = lambda column: F.filter(F.array(*[F.lit(1 << b) for b in range(bits)]), lambda m: F.col(column).bitwiseAND(m) != 0)
+    wanted = needs.withColumn("m", of("required_bits")).withColumn("n", F.size("m"))
+    filed = nodes.select("node_id", F.explode(of("bits")).alias("bit"))
+    found = wanted.select("required_bits", "n", F.explode("m").alias("bit")).join(filed, "bit").groupBy("required_bits", "n", "node_id").agg(F.count("*").alias("hits"))
+    free = wanted.where("n = 0").select("required_bits").join(nodes.select("node_id"))
+    return found.where("hits = n").select("required_bits", "node_id").unionByName(free)
+
+
+def first_outcome(tried: DataFrame, fallbacks: int) -> DataFrame:
+    """Where each task's list of candidates ends: at the first one that isn't rejected, among the first fallbacks + 1."""
+    final = F.when(F.col("outcome") != "rejected", F.struct("rank", "outcome"))
+    ended = tried.where(F.col("rank") <= fallbacks + 1).groupBy("task_id").agg(F.min(final).alias("x"))
+    return ended.select("task_id", F.coalesce("x.rank", F.lit(0)).alias("ended_at"), F.coalesce("x.outcome", F.lit("exhausted")).alias("outcome"))

@@ -91,3 +91,40 @@ def chain_check(rows: DataFrame, key: str, order: list[str], own: Column) -> Dat
     rows = rows.withColumn("hash", F.sha2(own, 256)).withColumn("previous", F.lag("hash", 1, "genesis").over(at))
     last = F.max_by("hash", F.struct(*order))
     return rows.groupBy(key).agg(F.count("*").alias("links"), F.count_if(F.col("previous") == "genesis").alias("starts"), last.alias("head"))
+
+
+def count_windows(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
+    """rows with batch: their key's fixed windows of `size` rows, the last of which may be short."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("batch", F.floor((number - 1) / size))
+
+
+def dwell(rows: DataFrame, key: str, order: list[str], candidate: Column, over: Column, ticks: int) -> DataFrame:
+    """rows with due: the same candidate has been over the margin for `ticks` observations; a miss or a change restarts."""
+    at = Window.partitionBy(key).orderBy(*order)
+    rows = rows.withColumn("tick", F.row_number().over(at)).withColumn("over", over).withColumn("candidate", candidate)
+    goes_on = F.col("over") & F.coalesce(F.lag("over").over(at), F.lit(False)) & F.coalesce(F.lag("candidate").over(at) == F.col("candidate"), F.lit(False))
+    rows = rows.withColumn("cut", F.when(~goes_on, F.col("tick")))
+    start = F.max("cut").over(at.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("due", F.col("over") & (F.col("tick") - start >= ticks)).drop("tick", "over", "candidate", "cut")
+
+
+def integer_pressure(pulses: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Pressure of each key after its last pulse: truncating integer average in hundredths, rounded and at most 100."""
+    log = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("long").alias("p"))))
+    grouped = pulses.groupBy(key).agg(log.alias("log"))
+    last = F.aggregate("log", F.lit(0).cast("long"), lambda a, x: F.floor((8 * a + 200 * x["p"]) / 10).cast("long"))
+    return grouped.select(key, F.least(F.lit(100).cast("long"), F.floor((last + 50) / 100)).alias("pressure"))
+
+
+def latest_grants(log: DataFrame) -> DataFrame:
+    """The last grant of each task: attempt, node and until."""
+    return log.groupBy("task_id").agg(F.max(F.struct("attempt", "node", "until")).alias("g")).select("task_id", "g.*")
+
+
+def validate_results(results: DataFrame, grants: DataFrame, now: float) -> DataFrame:
+    """results with verdict: an expired grant goes before a fenced attempt or node; without a grant all are fenced."""
+    held = grants.select("task_id", F.col("attempt").alias("g_attempt"), F.col("node").alias("g_node"), "until")
+    same = (F.col("attempt") == F.col("g_attempt")) & (F.col("node") == F.col("g_node"))
+    verdict = F.when(F.col("until") <= now, "grant_expired").when(same, "accepted").otherwise("fenced")
+    return results.join(held, "task_id", "left").withColumn("verdict", verdict).drop("g_attempt", "g_node", "until")

@@ -39,3 +39,14 @@ def authorisations(orders: DataFrame, supplier: DataFrame, at: str, days: int) -
 def impact(attempts: DataFrame) -> DataFrame:
     """Tasks and outputs that each node's compromise would touch."""
     return attempts.groupBy("node").agg(F.countDistinct("task_id").alias("tasks"), F.count("*").alias("outputs"), F.min("task_id").alias("first_task"))
+
+
+def decay(reputations: DataFrame, ticks: int) -> DataFrame:
+    """Reputations after idle ticks: reliability drifts to one half, mismatch to zero."""
+    kept = 0.99**ticks
+    return reputations.withColumn("reliability", 0.5 + (F.col("reliability") - 0.5) * kept).withColumn("mismatch", F.col("mismatch") * kept)
+
+
+def quorum(votes: DataFrame, valid, required: int) -> DataFrame:
+    """Per task: enough signers, every one of them valid."""
+    return votes.groupBy("task_id").agg(F.count("*").alias("signers"), ((F.count("*") >= required) & F.bool_and(valid)).alias("passed"))

@@ -1 +1,2 @@
 
+from fleetlens.plans import catalog, extended  # noqa: F401
