@@ -158,12 +158,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     # the texts where they lie, at any size. An array is as long as a task's input has rows.
     idle = light.where(~((F.col("p") > 0) & (F.col("size") > 0))).select(F.col("unit").alias("u_unit"), F.lit(0).alias("took"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("u_unit"), F.col("took").cast("byte").alias("t"))))
-    decisions = decided.unionByName(idle).groupBy(F.shiftright("u_unit", 33).alias("u_part")).agg(F.transform(ordered, lambda x: x["t"]).alias("tooks"))
-    joined = rows.join(decisions.hint("shuffle_hash"), F.col(part) == F.col("u_part"))
-    took = F.get("tooks", F.expr(f"cast(`{unit}` & {(1 << 33) - 1} as int)"))
-    joined = joined.withColumn("took", took).drop("tooks").join(named.drop("n"), F.col("source").eqNullSafe(F.col("s_source")))
-    copies = F.col("whole") + F.col("took")
-    return joined.select(*[F.col(f"`{c}`") for c in sized.columns], "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    own, list_, of = free_name(rows, "own"), free_name(rows, "list"), free_name(rows, "of")  # docs may have any names
+    decisions = decided.unionByName(idle).groupBy(F.shiftright("u_unit", 33).alias(own)).agg(F.transform(ordered, lambda x: x["t"]).alias(list_))
+    joined = rows.join(decisions.hint("shuffle_hash"), F.col(part) == F.col(own))
+    took = F.get(list_, F.expr(f"cast(`{unit}` & {(1 << 33) - 1} as int)"))
+    joined = joined.withColumn(own, took).drop(list_).join(named.select(F.struct("s_source", "source_size", "target", "whole").alias(of)), F.col("source").eqNullSafe(F.col(f"{of}.s_source")))
+    copies = F.col(f"{of}.whole") + F.col(own)
+    return joined.select(*[F.col(f"`{c}`") for c in sized.columns], f"{of}.source_size", f"{of}.target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

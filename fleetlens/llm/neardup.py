@@ -323,13 +323,13 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
         rooted = reps.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
         joined = labels.join(reps, "key").groupBy("root").agg(F.min("rep").alias("least"))
         reps = rooted.join(joined, "root", "left").select("key", F.coalesce("least", "rep").alias("rep"))
-    class_key = f"{key}_class"
-    out = rows.drop(sig).join(reps.withColumnRenamed("key", class_key), F.col(key) == F.col(class_key), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep.doc_id", "doc_id"))
+    class_key, rep = free_name(rows, "class"), free_name(rows, "rep")
+    out = rows.drop(sig).join(reps.select(F.col("key").alias(class_key), F.col("rep").alias(rep)), F.col(key) == F.col(class_key), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(f"{rep}.doc_id", "doc_id"))
     names = [c for c in docs.columns if keep_text or c != "text"]
     return out.select(
         *[F.col(f"`{c}`") for c in names], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        F.coalesce(F.col(unit) == F.col("rep.unit"), F.lit(True)).alias("chosen"),
+        F.coalesce(F.col(unit) == F.col(f"{rep}.unit"), F.lit(True)).alias("chosen"),
     )
 
 

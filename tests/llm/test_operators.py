@@ -204,3 +204,19 @@ def test_multi_index_recall_and_odd_vectors(spark):
         hit += len({r.vec_id for r in mine} & set(np.argsort(-s)[:5].tolist()))
     assert hit >= 54 and not {r.query_id for r in out} & {900, 950}
     assert multiindex.search(table_.limit(0), lambda i: i % 50 == 0).count() == 0
+
+
+ODD_NAMES = ["took", "tooks", "u_part", "u_unit", "unit", "part", "_unit", "_part", "own", "list", "of", "whole", "p", "sid", "s_source", "h", "rep", "key", "_key", "sig", "root", "marks", "ns", "bucket"]
+
+
+@pytest.mark.parametrize("operator", [mixing.mix, neardup.near_duplicates])
+def test_bucketed_operators_bear_clashing_names_and_no_rows(spark, docs, operator):
+    """Other columns, whatever their names, come back with their rows and change nothing; no rows give none."""
+    odd = docs.select("doc_id", "text", "source", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in ODD_NAMES])
+    plain, out = operator(docs), operator(odd)
+    added = [c for c in plain.columns if c not in docs.columns]
+    rows = lambda df: sorted(map(repr, df.select("doc_id", *added).collect()))
+    assert rows(out) == rows(plain)
+    assert out.columns[: len(odd.columns)] == odd.columns
+    assert out.where(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in ODD_NAMES)).count() == 0
+    assert operator(odd.where("false")).count() == 0
