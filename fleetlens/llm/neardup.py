@@ -256,8 +256,9 @@ def components(links: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = large.join(low.where("n > 1"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), name)
-        # Done when all are stars: no least neighbour has a neighbour below it.
-        if not edges.join(edges.select(F.col("u").alias("w")).distinct(), F.col("v") == F.col("w"), "left_semi").limit(1).count():
+        # Done when all are stars: no key has two neighbours below it, or one below and one above.
+        ends = edges.select(F.col("u").alias("w"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("w"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if not ends.groupBy("w").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").limit(1).count():
             break
     pairs = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("key"), "root")
     return pairs.unionByName(pairs.select(F.col("root").alias("key"), "root").distinct())

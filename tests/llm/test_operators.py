@@ -94,6 +94,47 @@ def test_large_bucket_is_completed_by_blocks(spark):
     assert out == dict(enumerate(root))
 
 
+def chain(n):
+    return [(i, i + 1) for i in range(n - 1)]
+
+
+def two_stars(n):
+    return [(0, i) for i in range(1, n + 1)] + [(n + 1, i) for i in range(n, 2 * n)]
+
+
+def in_key_order(graph, seed):
+    """The graph's links between 4-byte keys that a random order gives to its nodes."""
+    order = sorted({x for e in graph for x in e})
+    random.Random(seed).shuffle(order)
+    return [tuple(bytes([0, 0, 0, order[x]]) for x in e) for e in graph]
+
+
+def roots_of(spark, links):
+    return {bytes(r.key): bytes(r.root) for r in neardup.components(spark.createDataFrame(links, "a binary, b binary"), "star").collect()}
+
+
+#: One of the first orders at which a test for local roots alone ends too early.
+@pytest.mark.parametrize("graph, seed", [(chain(5), 3), (chain(6), 3), (chain(8), 10), (chain(10), 0), (two_stars(10), 0), (two_stars(50), 1)])
+def test_components_are_whole_in_one_key_order(spark, graph, seed):
+    links = in_key_order(graph, seed)
+    keys = {k for e in links for k in e}
+    assert roots_of(spark, links) == dict.fromkeys(keys, min(keys))
+
+
+def test_components_by_hand_and_over_many_key_orders(spark):
+    key = lambda *x: bytes(x)
+    hand = [(key(a), key(b)) for a, b in [(1, 5), (5, 4), (4, 3), (3, 2)]]
+    assert roots_of(spark, hand) == {key(i): key(1) for i in range(1, 6)}
+    links, want = [], {}
+    for n, graph in enumerate([*map(chain, range(5, 11)), two_stars(10), two_stars(50)]):
+        for seed in range(60):
+            mine = [tuple(key(seed, n) + k for k in e) for e in in_key_order(graph, seed)]
+            keys = {k for e in mine for k in e}
+            links += mine
+            want |= dict.fromkeys(keys, min(keys))
+    assert roots_of(spark, links) == want
+
+
 def test_mixing(spark, docs):
     out = mixing.mix(docs).collect()
     again = {(r.doc_id, r.taken) for r in mixing.mix(docs).collect()}
