@@ -190,7 +190,8 @@ def texts_of(pairs: DataFrame, live: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
-    """All likely pairs (a, b, root_b, matches) of the buckets' members in different components.
+    """Likely pairs (a, b, root_b, cut) of the buckets' members in different components; where the best two of a and a
+    component are surely links, others of theirs are left out of a block and cut is true.
 
     Pairs of small buckets come from a join. In a larger one the members outside its largest component are compared with
     all its members, both in blocks of bounded size, so that only likely pairs leave a task; WIDE further hashes narrow what the signature leaves open.
@@ -200,7 +201,7 @@ def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) ->
     small, large = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET)
     other = small.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"))
     near = small.select("bucket", F.col("key").alias("a"), F.col("root").alias("root_a")).join(other, "bucket").where("a < b and root_a <> root_b").select("a", "b", "root_b").distinct()
-    near = prune(near, signs, how)
+    near = prune(near, signs, how).withColumn("cut", F.lit(False))
     blocks = lambda count, size: F.ceil(F.col(count) / size).cast("int")
     keys = large.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct()
     wide = written(widen(texts_of(keys, live, signs), how), "near-wide")
@@ -235,14 +236,15 @@ def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) ->
                         found.setdefault(roots[j], []).append((m, keys[j]))
                 for root, pairs in found.items():
                     pairs.sort(reverse=True)
-                    # Where the best pairs are surely links, they join the components and the others add nothing.
-                    out += [(key_x, key, root, m) for m, key in (pairs[:2] if pairs[0][0] >= sure else pairs)]
-        return pd.DataFrame(out, columns=["a", "b", "root_b", "matches"])
+                    # Where the best pairs are links, they join the components and the others add nothing.
+                    cut = pairs[0][0] >= sure and len(pairs) > 2
+                    out += [(key_x, key, root, cut) for _, key in (pairs[:2] if cut else pairs)]
+        return pd.DataFrame(out, columns=["a", "b", "root_b", "cut"])
 
     by = ["bucket", "xb", "yb"]
     probes = probes.toDF(*[f"x_{c}" for c in columns])
-    far = probes.groupBy(*[f"x_{c}" for c in by]).cogroup(filed.groupBy(*by)).applyInPandas(compare, "a binary, b binary, root_b binary, matches int")
-    return near.select("a", "b", "root_b", "matches").unionByName(far.distinct())
+    far = probes.groupBy(*[f"x_{c}" for c in by]).cogroup(filed.groupBy(*by)).applyInPandas(compare, "a binary, b binary, root_b binary, cut boolean")
+    return near.select("a", "b", "root_b", "cut").unionByName(far.distinct())
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -317,7 +319,16 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
         link(written(prune(at.select(F.col("key").alias("a"), "b").distinct(), classes, how), "near-likely"))
         left = unresolved(rooted(at.drop("b")))
     if pairs_left:
-        link(written(across(left, live, classes, how).select("a", "b").distinct(), "near-likely"))
+        likely = written(across(left, live, classes, how), "near-likely")
+        link(likely.select("a", "b").distinct())
+        # Where pairs were left out and a is still apart from that component, all its pairs with it are confirmed.
+        mine = [labels.select(F.col("key").alias(k), F.col("root").alias(f"r_{k}")) for k in ("a", "root_b")]
+        apart = likely.where("cut").select("a", "root_b").distinct().join(mine[0], "a", "left").join(mine[1], "root_b", "left")
+        apart = written(apart.where("coalesce(r_a, a) <> coalesce(r_root_b, root_b)").select("a", "root_b"), "near-apart")
+        if apart.limit(1).count():
+            rest = apart.join(left.select("bucket", F.col("key").alias("a")), "a").join(left.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b")), ["bucket", "root_b"])
+            rest = prune(rest.select("a", "b").distinct(), classes, how).select("a", "b").join(likely.select("a", "b").distinct(), ["a", "b"], "left_anti")
+            link(written(rest, "near-rest"))
 
     reps = classes.select("key", "rep")
     if labels is not None:

@@ -94,6 +94,30 @@ def test_large_bucket_is_completed_by_blocks(spark):
     assert out == dict(enumerate(root))
 
 
+def test_pairs_left_out_are_confirmed_where_the_best_fail(spark, monkeypatch):
+    """Of 45 near copies 15 are held apart from the hub, and the pairs chosen for them first count as failed."""
+    rng = random.Random(5)
+    base = prose(rng, 300).split()
+    rows = []
+    for i in range(45):
+        w = list(base)
+        w[rng.randrange(300)] = f"apart{i}" if i < 15 else f"x{i}"
+        rows.append((i, " ".join(w)))
+    confirm, calls = neardup.confirm, []
+
+    def failing(pairs, texts, how):
+        calls.append(pairs.count())
+        found = confirm(pairs, texts, how)
+        if len(calls) == 1:
+            held = texts.where("text like '%apart%'").select("key")
+            return found.join(held.select(F.col("key").alias("a")), "a", "left_anti").join(held.select(F.col("key").alias("b")), "b", "left_anti").select("a", "b")
+        return found.where("false") if len(calls) == 2 else found
+
+    monkeypatch.setattr(neardup, "confirm", failing)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDup()).collect()
+    assert {r.component_id for r in out} == {0}, calls
+
+
 def chain(n):
     return [(i, i + 1) for i in range(n - 1)]
 
