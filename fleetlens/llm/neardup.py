@@ -14,8 +14,8 @@ At the defaults a pair of similarity 0.8 shares no band with probability 7e-5 an
 batch. Everything is in tables of the shared folder; nothing of the corpus comes to the driver.
 
 Defined cases: a text without words (or null) has no shingles and is its own component; one with fewer words than a
-shingle is one shingle; rows that share a doc_id are one document; a null doc_id has a null component and is kept;
-an empty table gives an empty result. Other columns pass through.
+shingle is one shingle; rows that share a doc_id are one document; a row with a null doc_id is compared as any other and
+links others, but its component is null and it is kept only if it is chosen; an empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -268,7 +268,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool = True) -> DataFrame:
     """docs with n_shingles, component_id (least doc_id reachable by links), kept (it is that document) and chosen (the
-    one row of its component that stands for all; a row without words or doc_id stands for itself)."""
+    one row of its component that stands for all, one with a doc_id if there is any; a row without words stands for itself)."""
     docs = docs.drop("n_shingles", "component_id", "kept", "chosen")
     key, sig = free_name(docs, "key"), free_name(docs, "sig")
     signed = with_columns_from_text(docs, "text", [("n_shingles", T.LongType()), (key, T.BinaryType()), (sig, T.BinaryType())], lambda batch: sign(batch, how))
@@ -276,8 +276,8 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
     part = free_name(signed.withColumn(unit, F.lit(0)), "part")
     numbered = signed.withColumn(unit, F.monotonically_increasing_id()).withColumn(part, F.shiftright(unit, 33))
     rows = written_by_task(numbered, "near-rows", part, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    live = rows.where(F.col(key).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(key).alias("key"), F.col(sig).alias("sig"), "n_shingles", "text", F.col(unit).alias("unit"), F.col(part).alias("part"))
-    classes = written(live.groupBy("key").agg(F.min(F.struct("doc_id", "unit")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "near-classes")
+    live = rows.where(F.col(key).isNotNull()).select("doc_id", F.col(key).alias("key"), F.col(sig).alias("sig"), "n_shingles", "text", F.col(unit).alias("unit"), F.col(part).alias("part"))
+    classes = written(live.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "unit")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "near-classes")
 
     width = 4 * how.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i))
@@ -338,10 +338,11 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
     class_key, rep = free_name(rows, "class"), free_name(rows, "rep")
     out = rows.drop(sig).join(reps.select(F.col("key").alias(class_key), F.col("rep").alias(rep)), F.col(key) == F.col(class_key), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(f"{rep}.doc_id", "doc_id"))
+    chosen = F.coalesce(F.col(unit) == F.col(f"{rep}.unit"), F.lit(True))
     names = [c for c in docs.columns if keep_text or c != "text"]
     return out.select(
-        *[F.col(f"`{c}`") for c in names], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        F.coalesce(F.col(unit) == F.col(f"{rep}.unit"), F.lit(True)).alias("chosen"),
+        *[F.col(f"`{c}`") for c in names], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, chosen).alias("kept"),
+        chosen.alias("chosen"),
     )
 
 

@@ -118,6 +118,17 @@ def test_pairs_left_out_are_confirmed_where_the_best_fail(spark, monkeypatch):
     assert {r.component_id for r in out} == {0}, calls
 
 
+def test_copies_without_id_leave_one_row(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 150) for _ in range(3))
+    rows = [(None, a), (None, a), (None, a + " more"), (5, b), (None, b), (None, b + " more"), (None, c), (None, None)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = collections.Counter((r.text or "")[:40] for r in out if r.chosen)
+    assert kept == {a[:40]: 1, b[:40]: 1, c[:40]: 1, "": 1} and len(out) == len(rows)
+    assert [r.component_id for r in out if r.doc_id is not None] == [5] and all(r.component_id is None for r in out if r.doc_id is None)
+    assert all(r.kept == r.chosen for r in out) and [r.chosen for r in out if r.doc_id == 5] == [True]
+
+
 def chain(n):
     return [(i, i + 1) for i in range(n - 1)]
 
