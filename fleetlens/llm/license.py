@@ -71,14 +71,15 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", keep_text: bool
     The second is keyed by the raw text's digest, so equal texts are looked up once.
     """
     docs = docs.drop("text_digest", "license", "line_licenses")
-    lengths = sorted({r.length for r in known.select("length").distinct().limit(BROADCAST_TEXTS).collect()})
     small = known.count() <= BROADCAST_TEXTS
+    # Of more known texts than that, the lengths aren't collected and lines of any length are hashed.
+    lengths = sorted({r.length for r in known.select("length").distinct().collect()}) if small else []
     near = F.broadcast if small else (lambda x: x)
     lines, raw, fits = free_name(docs, "lines"), free_name(docs, "raw"), free_name(docs, "fits")
     whole = F.trim(F.regexp_replace(F.col(lines), r"[ \n]+", " "))
     line = lambda x: F.trim(F.regexp_replace(x, " +", " "))
-    near_lines = F.filter(F.split(F.col(lines), "\n"), lambda x: F.length(x) >= (lengths[0] if lengths else 1 << 30))
-    forms = F.filter(F.transform(near_lines, line), lambda x: F.length(x).isin(lengths))
+    near_lines = F.filter(F.split(F.col(lines), "\n"), lambda x: F.length(x) >= (lengths[0] if lengths else 1 << 30 if small else 1))
+    forms = F.filter(F.transform(near_lines, line), lambda x: F.length(x).isin(lengths) if small else F.length(x) > 0)
     out = docs.withColumn(lines, canonical_lines(F.col(text)))
     out = out.withColumn("text_digest", F.sha2(whole, 256)).withColumn(fits, F.array_distinct(F.transform(forms, lambda x: F.sha2(x, 256))))
     out = out.withColumn(raw, F.when(F.size(fits) > 0, F.sha2(F.col(text), 256)))

@@ -225,6 +225,14 @@ def test_license_scan(spark):
     assert out[0][0] == "MIT" and out[1] == (None, ["MIT"]) and out[2] == (None, []) == out[3]
 
 
+def test_license_lines_of_a_catalogue_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(license, "BROADCAST_TEXTS", 1)
+    texts = [(f"L{n}", " ".join(["notice"] * n)) for n in range(1, 6)]
+    rows = [(n, f"Some line before.\n{text}.\n\n") for n, (_, text) in enumerate(texts, 1)]
+    out = license.scan(spark.createDataFrame(rows, "doc_id long, text string"), license.known_licenses(spark, texts)).collect()
+    assert {r.doc_id: r.line_licenses for r in out} == {n: [f"L{n}"] for n in range(1, 6)}
+
+
 def test_warc_round_trip(spark):
     html = "<p>" + "é" * 80 + "</p>"
     rows = [(5, "http://a/", html), (2, None, html), (9, "http://b/\r\nX", html), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (None, "u", html)]
