@@ -20,7 +20,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master, one of our own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if not spark.sparkContext.getCheckpointDir():
@@ -28,6 +28,8 @@ def shared_root(spark: SparkSession) -> str:
         return conf.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="fleetlens-")
         spark.sparkContext.setCheckpointDir(f"file://{folder}")
         return f"file://{folder}"
@@ -103,6 +105,36 @@ def rows_of_tasks(rows: DataFrame, part: str, unit: str, units: DataFrame) -> Da
     return found.where(F.expr(f"substring(marks, cast(`{unit}` & {(1 << 33) - 1} as int) + 1, 1) = X'31'")).drop("u_part", "marks")
 
 
+def by_task(rows: DataFrame, part: str, unit: str, decided: DataFrame, name: str) -> DataFrame:
+    """rows with the column `name`: what decided (unit, d: a row for each row of rows) says of each.
+
+    rows come from written_by_task() by part and stay where they are: decisions are shuffled, one array for each task that
+    wrote rows, in their order, and looked up by row number. An array is as long as the rows of one input split.
+    """
+    own, list_ = free_name(rows, "own"), free_name(rows, "list")
+    ordered = F.array_sort(F.collect_list(F.struct("unit", "d")))
+    lists = decided.groupBy(F.shiftright("unit", 33).alias(own)).agg(F.transform(ordered, lambda x: x["d"]).alias(list_))
+    joined = rows.join(lists.hint("shuffle_hash"), F.col(part) == F.col(own))
+    return joined.withColumn(name, F.get(list_, F.expr(f"cast(`{unit}` & {(1 << 33) - 1} as int)"))).drop(own, list_)
+
+
+def numbered(rows: DataFrame, name: str) -> tuple[DataFrame, str, str]:
+    """(rows as a table bucketed by writing task, and the names of its columns part and unit)."""
+    unit = free_name(rows, "unit")
+    part = free_name(rows.withColumn(unit, F.lit(0)), "part")
+    out = rows.withColumn(unit, F.monotonically_increasing_id()).withColumn(part, F.shiftright(unit, 33))
+    return written_by_task(out, name, part, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), part, unit
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """many joined with one (a row for each keys) on keys; the rows of a hot key are dealt by `by` over `salts` tasks, to
+    which its row of `one` is copied as far as many has rows there."""
+    salt = free_name(many, "salt")
+    salted = many.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = one.join(salted.select(*keys, salt).distinct(), keys)
+    return salted.join(copies, [*keys, salt], how).drop(salt)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a shared folder through the cluster's own file system."""
     jvm = spark.sparkContext._jvm

@@ -1,49 +1,52 @@
 """Near duplicates by MinHash with sequential Bayesian verification.
 
-1. Every text's word shingles give a signature of bands * rows minima; texts with the same word sequence form a class
-   and one of them stands for it.
+1. Every text's word shingles give a signature of bands * rows minima; texts with the same word sequence (by SHA-256 of
+   it) form a class, and one of them stands for it.
 2. Classes that share a band's hash are in one bucket. In each bucket the class with the largest total bucket size
    (the likeliest original of a group of copies) is compared with all others, so a bucket of n gives n - 1 pairs.
 3. Pairs are pruned batch by batch of the signature as soon as the posterior chance of similarity >= threshold falls
    below `miss`; survivors are confirmed on full shingle sets.
 4. Components come from rounds of large-star and small-star on the links. Buckets whose members are still in several
-   components go on with all pairs across components (while that were too many, and a further hub halves them, with
-   one more). So no candidate pair that could join two components goes unseen.
+   components have a further hub while that halves what is left to compare; then the members outside a bucket's largest
+   component are compared with all its members, in blocks of bounded size that hold full shingle sets. A block gives the
+   links of a spanning forest of its components and nothing else, so its result is as long as its input at most, no
+   candidate pair that could join two components goes unseen, and one rule prunes in buckets of any size.
 
 At the defaults a pair of similarity 0.8 shares no band with probability 7e-5 and is pruned with less than `miss` a
-batch. Everything is in tables of the shared folder; nothing of the corpus comes to the driver.
+batch. Rows of hot classes, hubs and buckets are dealt over several tasks. Everything is in tables of the shared folder;
+nothing of the corpus comes to the driver.
 
 Defined cases: a text without words (or null) has no shingles and is its own component; one with fewer words than a
-shingle is one shingle; rows that share a doc_id are one document; a row with a null doc_id is compared as any other and
-links others, but its component is null and it is kept only if it is chosen; an empty table gives an empty result. Other columns pass through.
+shingle is one shingle; rows that share a doc_id are compared each; a row with a null doc_id is compared as any other and
+links others, but its component is null and it is kept only if it is chosen; an empty table gives an empty result. Other
+columns pass through, whatever their names; those named as an added one give way to it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import free_name, release, rows_of_tasks, table, text_bytes, with_columns_from_text, written, written_by_task
-from fleetlens.llm.tokens import P, chunks, mix, shingles, words
+from fleetlens.llm.common import by_task, free_name, numbered, release, rows_of_tasks, spread_join, table, text_bytes, with_columns_from_text, written
+from fleetlens.llm.tokens import chunks, shingles, words
 
-
-#: Members of a bucket whose pairs come from a join; rows of the two sides of a block comparison.
-SMALL_BUCKET, X_BLOCK, Y_BLOCK = 24, 256, 1024
-#: Further hashes for the block comparison.
-WIDE = 1024
+#: Rows of the two sides of a block, and shingles in them, about which a larger bucket is cut.
+X_BLOCK, Y_BLOCK, BLOCK_SHINGLES = 256, 1024, 1 << 20
+#: Width of the size classes in a block comparison: similar sets are in the same class or in neighbouring ones.
+SIZE_STEP = 1.26
 
 
 @dataclass(frozen=True)
 class NearDup:
-    """percent: least similarity of a link, in whole percent; miss: chance at which a pair is given up unverified."""
+    """percent: least similarity of a link, in whole percent (80 or more); miss: chance at which a pair is given up unverified."""
 
     shingle: int = 5
     percent: int = 80
@@ -63,16 +66,13 @@ def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(batch: pa.RecordBatch, how: NearDup) -> list[list]:
-    """Set size, class key (16 bytes, null without words) and signature (null without words) of each text."""
+    """Set size, class key (SHA-256 of the word sequence, null without words) and signature of each text."""
     flip, times = seeds(how.size)
     sizes, keys, signatures = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
     for chunk in chunks(batch, "text"):
         hashes, bounds = words(chunk, lower=True)
         windows, w_bounds = shingles(hashes, bounds, how.shingle)
-        place = np.arange(len(hashes), dtype=np.uint64)
-        # A text's key: two sums over its words with their places in the text, mixed apart.
-        place = place - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
-        one, two = mix(hashes + mix(place * P + np.uint64(1))), mix(hashes ^ mix(place * P + np.uint64(2)))
+        raw = chunk.data.tobytes()
         for i in range(chunk.n):
             if bounds[i] == bounds[i + 1]:
                 continue
@@ -83,8 +83,7 @@ def sign(batch: pa.RecordBatch, how: NearDup) -> list[list]:
             row = chunk.first + i
             sizes[row] = len(mine)
             signatures[row] = (least >> np.uint64(32)).astype("<u4").tobytes()
-            own = slice(bounds[i], bounds[i + 1])
-            keys[row] = np.array([one[own].sum(), two[own].sum()], dtype=np.uint64).tobytes()
+            keys[row] = hashlib.sha256(b" ".join(raw[chunk.offsets[i] : chunk.offsets[i + 1]].lower().split())).digest()
     return [sizes, keys, signatures]
 
 
@@ -105,240 +104,256 @@ def least_matches(how: NearDup) -> list[tuple[int, int]]:
     return [(n, fewest(n, how.percent / 100, how.miss)) for n in [*range(how.batch, how.size, how.batch), how.size]]
 
 
-def widen(texts: DataFrame, how: NearDup) -> DataFrame:
-    """key and wide: WIDE further minima of each text, one byte each, for pairs that the signature leaves open."""
-    flip, times = (x[how.size :] for x in seeds(how.size + WIDE))
-
-    def rows(batch: pa.RecordBatch) -> list[list]:
-        out: list = [None] * batch.num_rows
-        for chunk in chunks(batch, "text"):
-            windows, bounds = shingles(*words(chunk, lower=True), how.shingle)
-            for i in range(chunk.n):
-                mine = np.unique(windows[bounds[i] : bounds[i + 1]])
-                least = np.full(WIDE, ~np.uint64(0))
-                for at in range(0, len(mine), 256):
-                    least = np.minimum(least, ((mine[at : at + 256, None] ^ flip) * times).min(axis=0))
-                out[chunk.first + i] = (mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
-        return [out]
-
-    return with_columns_from_text(texts, "text", [("wide", T.BinaryType())], rows, keep_text=False)
+def survivors(one: np.ndarray, many: np.ndarray, alive: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Which rows of many (of those in alive) one signature, or one for each row, doesn't rule out, batch by batch."""
+    matches, seen = np.zeros(len(many), dtype=np.int64), 0
+    for n, least in steps:
+        with_ = one[seen:n] if one.ndim == 1 else one[alive, seen:n]
+        matches[alive] += (many[alive, seen:n] == with_).sum(axis=1)
+        alive, seen = alive[matches[alive] >= least], n
+    return alive
 
 
-def similar(a: bytes, b: bytes, how: NearDup, sets: dict) -> bool:
-    """The exact test on full shingle sets; sets holds the last few texts' sets."""
+def stacked(signatures: list[bytes], size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), dtype="<u4").reshape(-1, size)
 
-    def of(text: bytes) -> set:
-        found = sets.get(text)
-        if found is None:
-            w = text.lower().split()
-            found = set(zip(*[w[k:] for k in range(how.shingle)])) if len(w) >= how.shingle else ({tuple(w)} if w else set())
-            if len(sets) >= 4:
-                sets.pop(next(iter(sets)))
-            sets[text] = found
-        return found
 
-    x, y = of(a), of(b)
+def similar(x: set, y: set, how: NearDup) -> bool:
     both = len(x & y)
     return both > 0 and 100 * both >= how.percent * (len(x) + len(y) - both)
 
 
+def shingle_set(text: bytes, size: int) -> set:
+    w = text.lower().split()
+    return set(zip(*[w[k:] for k in range(size)])) if len(w) >= size else ({tuple(w)} if w else set())
+
+
 def prune(pairs: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (a, b, other binaries) that survive the sequential comparison of their signatures, with their equal
-    hashes (matches); signs: key, sig, n_shingles."""
-    left = signs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-    right = signs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * how.percent)
-    steps, names = least_matches(how), pairs.columns
+    """The pairs (a, b) that survive the sequential comparison of their signatures; b may be a hub; signs: id, sig, n_shingles."""
+    left = signs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+    right = signs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+    both = spread_join(pairs.join(left, "a"), right, ["b"], "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * how.percent)
+    steps = least_matches(how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), dtype="<u4").reshape(-1, how.size) for c in ("sig_a", "sig_b"))
-            alive, matches, seen = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), 0
-            for n, least in steps:
-                matches[alive] += (x[alive, seen:n] == y[alive, seen:n]).sum(axis=1)
-                alive = alive[matches[alive] >= least]
-                seen = n
-            kept = batch.select(names).take(pa.array(alive))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matches[alive].astype(np.int32))], names=[*names, "matches"])
+            x, y = (stacked(batch.column(batch.schema.get_field_index(c)).to_pylist(), how.size) for c in ("sig_a", "sig_b"))
+            yield batch.select(["a", "b"]).take(pa.array(survivors(x, y, np.arange(len(x)), steps)))
         release()
 
-    schema = ", ".join(f"{c} binary" for c in names) + ", matches int"
-    return both.select(*names, "sig_a", "sig_b").mapInArrow(run, schema)
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def texts_of(ids: DataFrame, live: DataFrame) -> DataFrame:
+    """id and text of the classes in ids (id), fetched where the rows lie by their numbers."""
+    units = ids.select(F.col("id").alias("unit")).distinct()
+    return written(rows_of_tasks(live.select("id", "part", "text"), "part", "id", units).select("id", "text"), "near-texts")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts: key, text, a row a key."""
-    both = pairs.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+def confirm(pairs: DataFrame, live: DataFrame, how: NearDup, salts: int = 64) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. A hub's text goes once to each of the tasks that its
+    pairs are dealt to, ahead of the texts that it is compared with."""
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
+    texts = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), live)
+    mine = pairs.join(texts.select(F.col("id").alias("a"), "text"), "a").select("b", "salt", "a", "text")
+    hubs = pairs.select("b", "salt").distinct().join(texts.select(F.col("id").alias("b"), "text"), "b")
+    dealt = mine.unionByName(hubs.select("b", "salt", F.lit(None).cast("long").alias("a"), "text"))
+    dealt = dealt.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict = {}
+        hub: set = set()
         for batch in batches:
-            yes = [i for i, (a, b) in enumerate(zip(text_bytes(batch, "text_a"), text_bytes(batch, "text_b"))) if similar(a, b, how, sets)]
+            yes = []
+            for i, (a, text) in enumerate(zip(batch.column(batch.schema.get_field_index("a")).to_pylist(), text_bytes(batch, "text"))):
+                own = shingle_set(text, how.shingle)
+                if a is None:
+                    hub = own
+                elif similar(own, hub, how):
+                    yes.append(i)
             yield batch.select(["a", "b"]).take(pa.array(yes, type=pa.int64()))
-        sets.clear()
+        hub = set()
         release()
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def texts_of(pairs: DataFrame, live: DataFrame, classes: DataFrame) -> DataFrame:
-    """key and text of the classes in pairs, fetched where the rows lie by their numbers."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    units = classes.join(keys, "key", "left_semi").select(F.col("rep.unit").alias("unit"))
-    return written(rows_of_tasks(live.select("key", "unit", "part", "text"), "part", "unit", units).select("key", "text"), "near-texts")
+def sets_of(ids: DataFrame, live: DataFrame, how: NearDup) -> DataFrame:
+    """id and full set (ascending 64-bit shingle hashes, 8 bytes each) of the classes in ids."""
 
+    def rows(batch: pa.RecordBatch) -> list[list]:
+        out: list = [None] * batch.num_rows
+        for chunk in chunks(batch, "text"):
+            windows, bounds = shingles(*words(chunk, lower=True), how.shingle)
+            for i in range(chunk.n):
+                out[chunk.first + i] = np.unique(windows[bounds[i] : bounds[i + 1]]).tobytes()
+        return [out]
 
-def across(left: DataFrame, live: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
-    """Likely pairs (a, b, root_b, cut) of the buckets' members in different components; where the best two of a and a
-    component are surely links, others of theirs are left out of a block and cut is true.
-
-    Pairs of small buckets come from a join. In a larger one the members outside its largest component are compared with
-    all its members, both in blocks of bounded size, so that only likely pairs leave a task; WIDE further hashes narrow what the signature leaves open.
+    return written(with_columns_from_text(texts_of(ids, live), "text", [("full", T.BinaryType())], rows, keep_text=False), "near-sets")
+
+
+def forest(one: list[tuple], two: list[tuple], how: NearDup, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links (a, b) between members (id, root, n_shingles, sig, full) of one and of two that join different components, each
+    exact on full sets: a spanning forest of what they join, so fewer than there are members."""
+    if not one or not two:
+        return []
+    x, y = (stacked([m[3] for m in part], how.size) for part in (one, two))
+    n_y = np.array([m[2] for m in two])
+    sets = [np.frombuffer(m[4], dtype=np.uint64) for m in two]
+    above: dict = {}
+
+    def top(r):
+        while r in above:
+            r = above[r]
+        return r
+
+    out = []
+    for (id_x, root_x, n_x, _, full), sig in zip(one, x):
+        alive = np.flatnonzero(np.minimum(n_x, n_y) * 100 >= np.maximum(n_x, n_y) * how.percent)
+        alive = survivors(sig, y, alive, steps)
+        mine = top(root_x)
+        alive = [j for j in alive.tolist() if top(two[j][1]) != mine]
+        if not alive:
+            continue
+        own = np.frombuffer(full, dtype=np.uint64)
+        lengths = n_y[alive]
+        joined = np.concatenate([sets[j] for j in alive])
+        place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        both = np.add.reduceat((own[place] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+        for j in np.flatnonzero(100 * both >= how.percent * (n_x + lengths - both)).tolist():
+            other = top(two[alive[j]][1])
+            if other != top(root_x):
+                above[max(other, top(root_x))] = min(other, top(root_x))
+                out.append((id_x, two[alive[j]][0]))
+    return out
+
+
+def across(left: DataFrame, signs: DataFrame, live: DataFrame, how: NearDup) -> DataFrame:
+    """Links (a, b) that join the components of each bucket's members; left: bucket, id, root.
+
+    Members outside a bucket's largest component are compared with all its members of a like set size, both in blocks.
     """
-    sized = left.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("main"))
-    left = left.join(sized.select("bucket", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.m")).alias("others")), "bucket")
-    small, large = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET)
-    other = small.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    near = small.select("bucket", F.col("key").alias("a"), F.col("root").alias("root_a")).join(other, "bucket").where("a < b and root_a <> root_b").select("a", "b", "root_b").distinct()
-    near = prune(near, signs, how).withColumn("cut", F.lit(False))
-    blocks = lambda count, size: F.ceil(F.col(count) / size).cast("int")
-    keys = large.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct()
-    wide = written(widen(texts_of(keys, live, signs), how), "near-wide")
-    large = large.join(signs.select("key", "sig", "n_shingles"), "key").join(wide, "key").withColumn("x", blocks("others", X_BLOCK)).withColumn("y", blocks("n", Y_BLOCK))
-    place = lambda of: F.pmod(F.xxhash64("key"), F.col(of)).cast("int")
-    columns = ["bucket", "xb", "yb", "key", "root", "sig", "wide", "n_shingles"]
-    probes = large.where("root <> main").withColumn("xb", place("x")).withColumn("yb", F.explode(F.sequence(F.lit(0), F.col("y") - 1))).select(columns)
-    filed = large.withColumn("yb", place("y")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("x") - 1))).select(columns)
+    left = left.select("bucket", "id", "root").join(signs.select("id", "n_shingles"), "id")
+    left = left.withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(SIZE_STEP)).cast("int"))
+    main = left.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
+    left = written(spread_join(left, main, ["bucket"], "id"), "near-open")
+    out_ = F.col("root") != F.col("main")
+    blocks = lambda rows, many: F.ceil(F.greatest(F.sum(rows.cast("int")) / many, F.sum(F.when(rows, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    cuts = left.groupBy("bucket", "c").agg(blocks(out_, X_BLOCK).alias("x"), blocks(F.lit(True), Y_BLOCK).alias("y"))
+    dealt = spread_join(left, cuts, ["bucket", "c"], "id").withColumn("at", F.xxhash64("id", F.lit(7)))
+    # A block is (bucket, class of its x side, x block, class of its y side, y block).
+    near = lambda name: F.explode(F.expr("array(c - 1, c, c + 1)")).alias(name)
+    own = ["bucket", "id", "root", "n_shingles"]
+    probes = dealt.where(out_).select(*own, F.col("c").alias("cx"), F.pmod("at", "x").cast("int").alias("xb"), near("cy"))
+    probes = spread_join(probes, cuts.select("bucket", F.col("c").alias("cy"), F.col("y").alias("many")), ["bucket", "cy"], "id")
+    probes = probes.select(*own, "cx", "xb", "cy", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("yb"), F.lit(0).alias("side"))
+    filed = dealt.select(*own, F.col("c").alias("cy"), F.pmod("at", "y").cast("int").alias("yb"), near("cx"))
+    filed = spread_join(filed, cuts.where("x > 0").select("bucket", F.col("c").alias("cx"), F.col("x").alias("many")), ["bucket", "cx"], "id")
+    filed = filed.select(*own, "cx", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("xb"), "cy", "yb", F.lit(1).alias("side"))
+    full = sets_of(left.select("id"), live, how).join(signs.select("id", "sig"), "id")
+    block = ["bucket", "cx", "xb", "cy", "yb"]
+    rows = spread_join(probes.unionByName(filed), full, ["id"], "bucket")
+    rows = rows.select(*block, "side", "id", "root", "n_shingles", "sig", "full").repartition(*block).sortWithinPartitions(*block, "side", "id")
     steps = least_matches(how)
-    least_wide = fewest(WIDE, how.percent / 100 + (1 - how.percent / 100) / 256, how.miss)
-
-    sure = WIDE + 1 - fewest(WIDE, (1 - how.percent / 100) * 255 / 256, how.miss)
-
-    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(one) and len(two):
-            x, y = (np.frombuffer(b"".join(d), dtype="<u4").reshape(-1, how.size) for d in (one["x_sig"], two["sig"]))
-            wide_x, wide_y = (np.frombuffer(b"".join(d), dtype=np.uint8).reshape(-1, WIDE) for d in (one["x_wide"], two["wide"]))
-            n_y = two["n_shingles"].to_numpy()
-            keys, roots = two["key"].tolist(), two["root"].tolist()
-            for sign_x, more_x, key_x, root_x, n_x in zip(x, wide_x, one["x_key"], one["x_root"], one["x_n_shingles"]):
-                alive = np.flatnonzero(np.minimum(n_x, n_y) * 100 >= np.maximum(n_x, n_y) * how.percent)
-                matches, done = np.zeros(len(y), dtype=np.int64), 0
-                for n, least in steps:
-                    matches[alive] += (y[alive, done:n] == sign_x[done:n]).sum(axis=1)
-                    alive, done = alive[matches[alive] >= least], n
-                alive = np.array([j for j in alive if roots[j] != root_x], dtype=np.int64)
-                more = (wide_y[alive] == more_x).sum(axis=1)
-                found: dict = {}
-                for j, m in zip(alive.tolist(), more.tolist()):
-                    if m >= least_wide:
-                        found.setdefault(roots[j], []).append((m, keys[j]))
-                for root, pairs in found.items():
-                    pairs.sort(reverse=True)
-                    # Where the best pairs are links, they join the components and the others add nothing.
-                    cut = pairs[0][0] >= sure and len(pairs) > 2
-                    out += [(key_x, key, root, cut) for _, key in (pairs[:2] if cut else pairs)]
-        return pd.DataFrame(out, columns=["a", "b", "root_b", "cut"])
-
-    by = ["bucket", "xb", "yb"]
-    probes = probes.toDF(*[f"x_{c}" for c in columns])
-    far = probes.groupBy(*[f"x_{c}" for c in by]).cogroup(filed.groupBy(*by)).applyInPandas(compare, "a binary, b binary, root_b binary, cut boolean")
-    return near.select("a", "b", "root_b", "cut").unionByName(far.distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sides = None, ([], [])
+        for batch in batches:
+            found = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:5] != current:
+                    found += forest(*sides, how, steps)
+                    current, sides = row[:5], ([], [])
+                sides[row[5]].append(row[6:])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = forest(*sides, how, steps)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        release()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
-    """key and root (least key of its component) of every key in links (a, b), by large-star and small-star rounds."""
+    """id and root (least id of its component) of every id in links (a, b), by large-star and small-star rounds."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Now each u has smaller neighbours v only; all of them and u itself move to the least.
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = large.join(low.where("n > 1"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = spread_join(large, low.where("n > 1").select("u", "m"), ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), name)
-        # Done when all are stars: no key has two neighbours below it, or one below and one above.
+        # Done when all are stars: no id has two neighbours below it, or one below and one above.
         ends = edges.select(F.col("u").alias("w"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("w"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         if not ends.groupBy("w").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").limit(1).count():
             break
-    pairs = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("key"), "root")
-    return pairs.unionByName(pairs.select(F.col("root").alias("key"), "root").distinct())
-
+    pairs = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
+    return pairs.unionByName(pairs.select(F.col("root").alias("id"), "root").distinct())
 
-def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool = True) -> DataFrame:
-    """docs with n_shingles, component_id (least doc_id reachable by links), kept (it is that document) and chosen (the
-    one row of its component that stands for all, one with a doc_id if there is any; a row without words stands for itself)."""
-    docs = docs.drop("n_shingles", "component_id", "kept", "chosen")
-    key, sig = free_name(docs, "key"), free_name(docs, "sig")
-    signed = with_columns_from_text(docs, "text", [("n_shingles", T.LongType()), (key, T.BinaryType()), (sig, T.BinaryType())], lambda batch: sign(batch, how))
-    unit = free_name(docs, "unit")
-    part = free_name(signed.withColumn(unit, F.lit(0)), "part")
-    numbered = signed.withColumn(unit, F.monotonically_increasing_id()).withColumn(part, F.shiftright(unit, 33))
-    rows = written_by_task(numbered, "near-rows", part, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    live = rows.where(F.col(key).isNotNull()).select("doc_id", F.col(key).alias("key"), F.col(sig).alias("sig"), "n_shingles", "text", F.col(unit).alias("unit"), F.col(part).alias("part"))
-    classes = written(live.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "unit")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "near-classes")
 
+def _linked(signs: DataFrame, live: DataFrame, how: NearDup) -> DataFrame | None:
+    """id and root of the classes that have links; None without any candidates."""
     width = 4 * how.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i))
-    entries = classes.select("key", F.explode(bands).alias("bucket"))
+    entries = signs.select("id", F.explode(bands).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(entries.join(shared, "bucket"), "near-members")
-    degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
-    ranked = written(members.drop("n").join(degree, "key"), "near-ranked")
-
-    links: DataFrame | None = None
+    members = written(spread_join(entries, shared, ["bucket"], "id"), "near-members")
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    left = written(members.drop("n").join(degree, "id"), "near-ranked")
     labels: DataFrame | None = None
 
-    def link(pairs: DataFrame) -> None:
-        """Confirm likely pairs (a, b), add their links and find the components anew."""
-        nonlocal links, labels
-        found = written(confirm(pairs, texts_of(pairs, live, classes), how), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = written(components(links, "near-star"), "near-labels")
-
-    def rooted(rows_: DataFrame) -> DataFrame:
-        rows_ = rows_.drop("root")
-        return rows_.withColumn("root", F.col("key")) if labels is None else rows_.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    def link(found: DataFrame) -> DataFrame:
+        """Components with the links found (a, b)."""
+        known = found.select("a", "b") if labels is None else found.select("a", "b").unionByName(labels.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        return written(components(known, "near-star"), "near-labels")
 
-    def unresolved(rows_: DataFrame) -> DataFrame:
-        """Rows of the buckets whose members are in several components."""
-        open_ones = rows_.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        return written(rows_.join(open_ones, "bucket", "left_semi"), "near-left")
+    def unresolved(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets whose members are in several components, with their root."""
+        rows = rows.drop("root")
+        rows = rows.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ones = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+        return written(spread_join(rows, open_ones, ["bucket"], "id"), "near-left")
 
-    left, before = rooted(ranked), None
+    before = None
     while True:
-        cross = left.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg(F.sum("m").alias("s"), F.max("m").alias("most"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        todo = cross.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s"), F.sum((F.col("s") - F.col("most")) * F.col("s") / X_BLOCK)).first()
-        pairs_left, rows_left, copies = (x or 0.0 for x in todo)
-        if pairs_left <= 4 * rows_left or before is not None and (copies <= 8 * rows_left or pairs_left > 0.5 * before):
+        hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", "id"))["id"].alias("b"))
+        at = spread_join(left, hubs, ["bucket"], "id").where("id <> b")
+        likely = written(prune(at.select(F.col("id").alias("a"), "b").distinct(), signs, how), "near-likely")
+        labels = link(written(confirm(likely, live, how), "near-links"))
+        left = unresolved(at.drop("b"))
+        cross = left.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg(F.sum("m").alias("s"), F.max("m").alias("most"))
+        work, rows = (x or 0.0 for x in cross.agg(F.sum((F.col("s") - F.col("most")) * F.col("s")), F.sum("s")).first())
+        if work <= X_BLOCK * rows or before is not None and work > before / 2:
             break
-        before = pairs_left
-        hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("b"))
-        at = left.join(hubs, "bucket").where("key <> b")
-        link(written(prune(at.select(F.col("key").alias("a"), "b").distinct(), classes, how), "near-likely"))
-        left = unresolved(rooted(at.drop("b")))
-    if pairs_left:
-        likely = written(across(left, live, classes, how), "near-likely")
-        link(likely.select("a", "b").distinct())
-        # Where pairs were left out and a is still apart from that component, all its pairs with it are confirmed.
-        mine = [labels.select(F.col("key").alias(k), F.col("root").alias(f"r_{k}")) for k in ("a", "root_b")]
-        apart = likely.where("cut").select("a", "root_b").distinct().join(mine[0], "a", "left").join(mine[1], "root_b", "left")
-        apart = written(apart.where("coalesce(r_a, a) <> coalesce(r_root_b, root_b)").select("a", "root_b"), "near-apart")
-        if apart.limit(1).count():
-            rest = apart.join(left.select("bucket", F.col("key").alias("a")), "a").join(left.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b")), ["bucket", "root_b"])
-            rest = prune(rest.select("a", "b").distinct(), classes, how).select("a", "b").join(likely.select("a", "b").distinct(), ["a", "b"], "left_anti")
-            link(written(rest, "near-rest"))
-
-    reps = classes.select("key", "rep")
-    if labels is not None:
-        rooted = reps.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        joined = labels.join(reps, "key").groupBy("root").agg(F.min("rep").alias("least"))
-        reps = rooted.join(joined, "root", "left").select("key", F.coalesce("least", "rep").alias("rep"))
-    class_key, rep = free_name(rows, "class"), free_name(rows, "rep")
-    out = rows.drop(sig).join(reps.select(F.col("key").alias(class_key), F.col("rep").alias(rep)), F.col(key) == F.col(class_key), "left")
+        before = work
+    return link(written(across(left, signs, live, how), "near-across")) if work else labels
+
+
+def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool = True) -> DataFrame:
+    """docs with n_shingles, component_id (least doc_id reachable by links), kept (it is that document) and chosen (the
+    one row of its component that stands for all, one with a doc_id if there is any; a row without words stands for itself)."""
+    docs = docs.drop("n_shingles", "component_id", "kept", "chosen")
+    key, sig = free_name(docs, "key"), free_name(docs, "sig")
+    signed = with_columns_from_text(docs, "text", [("n_shingles", T.LongType()), (key, T.BinaryType()), (sig, T.BinaryType())], lambda batch: sign(batch, how))
+    rows, part, unit = numbered(signed, "near-rows")
+    narrow = rows.select(F.col(unit).alias("unit"), "doc_id", F.col(key).alias("key"))
+    live = rows.select(F.col(unit).alias("id"), F.col(part).alias("part"), "text", F.col(sig).alias("sig"), "n_shingles")
+    # A class goes by the row number of the member that stands for it.
+    classes = written(narrow.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "unit")).alias("rep")), "near-classes")
+    signs = rows_of_tasks(live.drop("text"), "part", "id", classes.select(F.col("rep.unit").alias("unit")))
+    signs = written(signs.select("id", "sig", "n_shingles"), "near-signs")
+    labels = _linked(signs, live, how)
+
+    reps = classes.select("key", F.col("rep.unit").alias("id"), "rep")
+    rooted = reps.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+    reps = written(spread_join(rooted, least, ["root"], "id").select("key", F.struct(F.col("least.doc_id"), F.col("least.unit")).alias("d")), "near-reps")
+    decided = spread_join(narrow.where("key is not null"), reps, ["key"], "unit").select("unit", "d")
+    decided = decided.unionByName(narrow.where("key is null").select("unit", F.struct("doc_id", "unit").alias("d")))
+    rep = free_name(rows, "rep")
+    out = by_task(rows if keep_text else rows.drop("text"), part, unit, decided, rep)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(f"{rep}.doc_id", "doc_id"))
-    chosen = F.coalesce(F.col(unit) == F.col(f"{rep}.unit"), F.lit(True))
+    chosen = F.col(unit) == F.col(f"{rep}.unit")
     names = [c for c in docs.columns if keep_text or c != "text"]
     return out.select(
         *[F.col(f"`{c}`") for c in names], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, chosen).alias("kept"),

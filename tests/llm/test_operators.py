@@ -73,49 +73,64 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     assert neardup.near_duplicates(empty(spark), how).count() == 0
 
 
-def test_large_bucket_is_completed_by_blocks(spark):
-    rng = random.Random(8)
-    base = prose(rng, 120).split()
-    rows = []
-    for i in range(90):
+def closure(texts, size=4):
+    """Least index reachable by links of similarity 0.8 or more between texts, by all pairs."""
+    index = {}
+    sets = [{index.setdefault(x, len(index)) for x in zip(*[t.split()[k:] for k in range(size)])} for t in texts]
+    rows = np.zeros((len(texts), len(index)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        rows[i, list(s)] = 1
+    both, n = rows @ rows.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    root = np.arange(len(texts))
+    while True:
+        new = np.where(linked, root[None, :], len(texts)).min(axis=1)
+        if (new == root).all():
+            return dict(enumerate(root.tolist()))
+        root = new
+
+
+def near_copies(n, words, changes, seed):
+    rng = random.Random(seed)
+    base = prose(rng, words).split()
+    out = []
+    for i in range(n):
         w = list(base)
-        for k in rng.sample(range(120), 3 + i % 4):
-            w[k] = f"x{rng.randrange(9999)}"
-        rows.append((i, " ".join(w)))
-    how = neardup.NearDup(shingle=4)
-    out = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()}
-    sets = [set(zip(*[t.split()[k:] for k in range(4)])) for _, t in rows]
-    root = list(range(90))
-    for _ in range(90):
-        for i in range(90):
-            for j in range(i):
-                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                    root[i] = root[j] = min(root[i], root[j])
-    assert out == dict(enumerate(root))
-
-
-def test_pairs_left_out_are_confirmed_where_the_best_fail(spark, monkeypatch):
-    """Of 45 near copies 15 are held apart from the hub, and the pairs chosen for them first count as failed."""
-    rng = random.Random(5)
-    base = prose(rng, 300).split()
-    rows = []
-    for i in range(45):
-        w = list(base)
-        w[rng.randrange(300)] = f"apart{i}" if i < 15 else f"x{i}"
-        rows.append((i, " ".join(w)))
-    confirm, calls = neardup.confirm, []
+        for k in rng.sample(range(words), changes(i)):
+            w[k] = f"x{rng.randrange(99999)}"
+        out.append(" ".join(w))
+    return out
+
+
+def drifting(n, words, seed):
+    """Texts of which each is the one before with a few words changed: a chain of links."""
+    rng = random.Random(seed)
+    w, out = prose(rng, words).split(), []
+    for i in range(n):
+        w[(7 * i) % words] = f"y{i}"
+        out.append(" ".join(w))
+    return out
 
-    def failing(pairs, texts, how):
-        calls.append(pairs.count())
-        found = confirm(pairs, texts, how)
-        if len(calls) == 1:
-            held = texts.where("text like '%apart%'").select("key")
-            return found.join(held.select(F.col("key").alias("a")), "a", "left_anti").join(held.select(F.col("key").alias("b")), "b", "left_anti").select("a", "b")
-        return found.where("false") if len(calls) == 2 else found
 
-    monkeypatch.setattr(neardup, "confirm", failing)
-    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDup()).collect()
-    assert {r.component_id for r in out} == {0}, calls
+@pytest.mark.parametrize("texts", [near_copies(90, 120, lambda i: 3 + i % 4, 8), near_copies(600, 100, lambda i: 1 + i % 5, 9), drifting(500, 90, 3)], ids=["group", "large group", "chain"])
+def test_groups_beyond_their_hub_are_completed_by_blocks(spark, monkeypatch, texts):
+    monkeypatch.setattr(neardup, "X_BLOCK", 16)
+    monkeypatch.setattr(neardup, "Y_BLOCK", 64)
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.component_id for r in neardup.near_duplicates(asked, neardup.NearDup(shingle=4)).collect()}
+    assert out == closure(texts)
+
+
+def test_a_block_gives_fewer_links_than_members():
+    rng = np.random.default_rng(4)
+    how = neardup.NearDup()
+    sets = [np.unique(rng.integers(0, 1 << 62, 100, dtype=np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([s[: 95 + i % 5], rng.integers(0, 1 << 62, 3, dtype=np.uint64)])) for i in range(60) for s in sets]
+    flip, times = neardup.seeds(how.size)
+    signature = lambda s: (((s[:, None] ^ flip) * times).min(axis=0) >> np.uint64(32)).astype("<u4").tobytes()
+    members = [(i, i, len(s), signature(s), s.tobytes()) for i, s in enumerate(sets)]
+    links = neardup.forest(members, members, how, neardup.least_matches(how))
+    assert len(links) == len(members) - 3 and {a % 3 == b % 3 for a, b in links} == {True}
 
 
 def test_copies_without_id_leave_one_row(spark):
@@ -138,14 +153,14 @@ def two_stars(n):
 
 
 def in_key_order(graph, seed):
-    """The graph's links between 4-byte keys that a random order gives to its nodes."""
+    """The graph's links between the numbers that a random order gives to its nodes."""
     order = sorted({x for e in graph for x in e})
     random.Random(seed).shuffle(order)
-    return [tuple(bytes([0, 0, 0, order[x]]) for x in e) for e in graph]
+    return [tuple(order[x] for x in e) for e in graph]
 
 
 def roots_of(spark, links):
-    return {bytes(r.key): bytes(r.root) for r in neardup.components(spark.createDataFrame(links, "a binary, b binary"), "star").collect()}
+    return {r.id: r.root for r in neardup.components(spark.createDataFrame(links, "a long, b long"), "star").collect()}
 
 
 #: One of the first orders at which a test for local roots alone ends too early.
@@ -157,13 +172,11 @@ def test_components_are_whole_in_one_key_order(spark, graph, seed):
 
 
 def test_components_by_hand_and_over_many_key_orders(spark):
-    key = lambda *x: bytes(x)
-    hand = [(key(a), key(b)) for a, b in [(1, 5), (5, 4), (4, 3), (3, 2)]]
-    assert roots_of(spark, hand) == {key(i): key(1) for i in range(1, 6)}
+    assert roots_of(spark, [(1, 5), (5, 4), (4, 3), (3, 2)]) == dict.fromkeys(range(1, 6), 1)
     links, want = [], {}
     for n, graph in enumerate([*map(chain, range(5, 11)), two_stars(10), two_stars(50)]):
         for seed in range(60):
-            mine = [tuple(key(seed, n) + k for k in e) for e in in_key_order(graph, seed)]
+            mine = [tuple((60 * n + seed) * 1000 + k for k in e) for e in in_key_order(graph, seed)]
             keys = {k for e in mine for k in e}
             links += mine
             want |= dict.fromkeys(keys, min(keys))
