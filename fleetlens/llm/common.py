@@ -126,15 +126,20 @@ def numbered(rows: DataFrame, name: str) -> tuple[DataFrame, str, str]:
     return written_by_task(out, name, part, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), part, unit
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 64) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str | list[str], how: str = "inner", salts: int = 64) -> DataFrame:
     """many joined with one (a row for each keys) on keys; the rows of a hot key are dealt by `by` over `salts` tasks, to
-    which its row of `one` is copied as far as many has rows there."""
+    which its row of `one` is copied as far as many has rows there. many is read twice, so `by` must be stored columns."""
     salt = free_name(many, "salt")
-    salted = many.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    salted = many.withColumn(salt, F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), F.lit(salts)).cast("int"))
     copies = one.join(salted.select(*keys, salt).distinct(), keys)
     return salted.join(copies, [*keys, salt], how).drop(salt)
 
 
+def plain_columns(df: DataFrame) -> list[str]:
+    """The columns of simple types, quoted: what tells rows apart."""
+    return [f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a shared folder through the cluster's own file system."""
     jvm = spark.sparkContext._jvm

@@ -5,8 +5,11 @@ letters and digits is one blank. SHA-256 of that form is the digest. A document
 each of its lines as an entire notice; lines are hashed only where the canonical length equals that of a known
 notice, which loses nothing as equal digests have equal lengths. DataFrame functions only.
 
-Defined cases: null text is empty, and an empty canonical form matches nothing; repeated rows are scanned each; line
-licences are a sorted set; an empty table gives an empty result. Other columns pass through.
+Each text is normalised once: its digests are written to the shared folder, and both joins read them there.
+
+Defined cases: null text is empty, and an empty canonical form matches nothing; repeated rows are scanned each; of known
+texts with equal digests the smaller id holds; line licences are a sorted set; an empty table gives an empty result. Other
+columns pass through, whatever their names; those named text_digest, license or line_licenses give way to the added ones.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import free_name, table
+from fleetlens.llm.common import free_name, spread_join, table, written
 
 #: Known digests beyond this number are joined by shuffle instead of broadcast.
 BROADCAST_TEXTS = 100_000
@@ -40,6 +43,23 @@ KNOWN_TEXTS = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: SPDX id, canonical length and SHA-256 of the canonical form of entire public licence texts.
+KNOWN_DIGESTS: list[tuple[str, int, str]] = [
+    ("Apache-2.0", 9701, "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Artistic-1.0-Perl", 5702, "fe5e2754088225b53b69f1a45c4eecc5c71ab693ce0f9e07644ce6ceaed93d27"),
+    ("CC0-1.0", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", 19511, "147090646e5214b12c69c17a616c056c0f4daf13cccbecdb5a17f63d9be3c628"),
+    ("GFDL-1.3", 21874, "82a751ff10cbb01febb86b5390413add4d0ffb4072c50249f0757734ac3a93b4"),
+    ("GPL-1.0", 11762, "2d47921d29f008ee550b830feff0fe3dd3797f57cbe7f34fef1ffc1d0ba0d3a5"),
+    ("GPL-2.0", 17049, "a68777380ee9468dbcb12920a70e873d0b01d4322c910d0699c72de63fce64df"),
+    ("GPL-3.0", 33265, "9e383951236fb84891be2d6ae1c518d774dc9cd5d9a08979304f4c2ab7dd9196"),
+    ("LGPL-2.0", 23994, "116de230f9adc9f315ddbd4ab9ed0fd4e404ce08977d315d165cf0fd280f2b65"),
+    ("LGPL-2.1", 25081, "4526497657ce5d416593599152e1495d0b5c6157da49f3ac41aa1bf5aa6f50b7"),
+    ("LGPL-3.0", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 22339, "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", 14271, "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
 #: Lines that start so are copyright lines, after blanks, quote marks and comment signs.
 COPYRIGHT_LINE = r"(?im)^[ \t/*#;>-]*(copyright|\(c\)|©)[ \t:].*$"
 
@@ -61,7 +81,10 @@ def known_licenses(spark, texts: list[tuple[str, str]] | None = None) -> DataFra
     """digest, license and canonical length of each known text; equal digests keep the smaller id."""
     rows = spark.createDataFrame(texts or KNOWN_TEXTS, "license string, text string")
     form = canonical(F.col("text"))
-    return rows.groupBy(F.sha2(form, 256).alias("digest"), F.length(form).alias("length")).agg(F.min("license").alias("license"))
+    rows = rows.select("license", F.length(form).alias("length"), F.sha2(form, 256).alias("digest"))
+    if texts is None:
+        rows = rows.unionByName(spark.createDataFrame(KNOWN_DIGESTS, "license string, length int, digest string"))
+    return rows.groupBy("digest", "length").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -74,8 +97,7 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", keep_text: bool
     small = known.count() <= BROADCAST_TEXTS
     # Of more known texts than that, the lengths aren't collected and lines of any length are hashed.
     lengths = sorted({r.length for r in known.select("length").distinct().collect()}) if small else []
-    near = F.broadcast if small else (lambda x: x)
-    lines, raw, fits = free_name(docs, "lines"), free_name(docs, "raw"), free_name(docs, "fits")
+    lines, raw, fits, unit, name, found_, digest = (free_name(docs, x) for x in ("lines", "raw", "fits", "unit", "known", "found", "digest"))
     whole = F.trim(F.regexp_replace(F.col(lines), r"[ \n]+", " "))
     line = lambda x: F.trim(F.regexp_replace(x, " +", " "))
     near_lines = F.filter(F.split(F.col(lines), "\n"), lambda x: F.length(x) >= (lengths[0] if lengths else 1 << 30 if small else 1))
@@ -84,15 +106,20 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", keep_text: bool
     out = out.withColumn("text_digest", F.sha2(whole, 256)).withColumn(fits, F.array_distinct(F.transform(forms, lambda x: F.sha2(x, 256))))
     out = out.withColumn(raw, F.when(F.size(fits) > 0, F.sha2(F.col(text), 256)))
     kept = [c for c in docs.columns if keep_text or c != text]
-    out = out.select(*[F.col(f"`{c}`") for c in kept], "text_digest", raw, fits)
-    index = known.select(F.col("digest").alias("known_digest"), F.col("license").alias("known_license"))
+    out = written(out.select(*[F.col(f"`{c}`") for c in kept], "text_digest", raw, fits, F.monotonically_increasing_id().alias(unit)), "licenses")
+    index = known.select(F.col("digest").alias(digest), F.col("license").alias(name))
+    # A frequent text's rows, and those without a fitting line, are dealt over tasks.
+    if small:
+        index = F.broadcast(index)
+        out = out.join(index, F.col("text_digest") == F.col(digest), "left").drop(digest)
+    else:
+        out = spread_join(out, index.withColumnRenamed(digest, "text_digest"), ["text_digest"], unit, "left")
     found = (
-        out.where(F.size(fits) > 0).select(raw, fits).distinct().select(raw, F.explode(fits).alias("known_digest"))
-        .join(near(index), "known_digest").groupBy(raw).agg(F.array_sort(F.collect_set("known_license")).alias("line_licenses"))
-        .withColumnRenamed(raw, f"{raw}_found")
+        out.where(F.size(fits) > 0).select(raw, fits).distinct().select(raw, F.explode(fits).alias(digest))
+        .join(index.withColumnRenamed(name, found_), digest).groupBy(raw).agg(F.array_sort(F.collect_set(found_)).alias(found_))
     )
-    out = out.join(near(index), F.col("text_digest") == F.col("known_digest"), "left").join(found, F.col(raw) == F.col(f"{raw}_found"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in kept], "text_digest", F.col("known_license").alias("license"), F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
+    out = spread_join(out, found, [raw], unit, "left")
+    return out.select(*[F.col(f"`{c}`") for c in kept], "text_digest", F.col(name).alias("license"), F.coalesce(found_, F.array().cast("array<string>")).alias("line_licenses"))
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -113,9 +140,10 @@ def oracle() -> str:
 
     flat = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
     values = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN_TEXTS)
+    digests = ", ".join(f"('{i}', '{d}')" for i, _, d in KNOWN_DIGESTS)
     return f"""
 WITH known AS (
-  SELECT sha256({flat(lines('t'))}) AS digest, min(i) AS license FROM (VALUES {values}) AS k(i, t) GROUP BY 1
+  SELECT digest, min(i) AS license FROM (SELECT i, sha256({flat(lines('t'))}) AS digest FROM (VALUES {values}) AS k(i, t) UNION ALL SELECT i, digest FROM (VALUES {digests}) AS e(i, digest)) GROUP BY 1
 ), forms AS (
   SELECT row_number() OVER () AS rid, doc_id, {lines('text')} AS ls FROM documents
 ), hashed AS (

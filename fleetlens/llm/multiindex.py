@@ -3,15 +3,19 @@
 Vectors are normalised and cut in two halves. k-means on a bounded sample (SAMPLE rows, by the hash of their id) gives
 `cells` centroids for each half; every vector is filed under its pair of nearest centroids. A query walks the pairs in
 the order of summed distance with a heap until the pairs it has passed hold `probe` of all vectors, and those
-candidates are reranked by the exact cosine in double precision.
+candidates are reranked by the exact cosine in double precision. Unless given, `probe` is the least share with which
+TUNING queries (by the hash of their id) find `recall` of their true neighbours among all rows, measured beforehand.
 
 Cells are dealt to blocks of about ROWS_A_BLOCK rows; a larger cell is cut into several. A query goes once to each
-block that holds a cell of its walk, with the list of those cells, and a block gives the `k` best for each of its
-queries; so neither hot cells nor equal vectors meet in one task, and no candidate is dropped.
-
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; ties go to the smaller id; rows that share an id are candidates each, but a query never finds its own id; fewer
-candidates than k give fewer rows; an empty table gives an empty result.
+block that holds a cell of its walk, with the list of those cells, in groups of about QUERIES_A_GROUP queries, and a
+group gives the `k` best for each of its queries; so neither hot cells nor equal vectors nor many queries meet in one
+task, and no candidate is dropped.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; a shorter vector counts as
+one with zeros behind (the index files by as many components as most vectors have); extreme sizes neither over- nor
+underflow; ties go to the smaller id; rows that share an id are candidates each, but a query never finds its own id; fewer
+candidates than k give fewer rows; an empty table gives an empty result. The result has its own columns only, so other
+columns of the table, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import table, written
 
 SAMPLE = 20_000
+TUNING = 64
 ROWS_A_BLOCK = 4096
+QUERIES_A_GROUP = 2048
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -86,50 +92,123 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """vec_id and vec (array<double>) of the vectors that take part."""
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = rows.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull() & fine)
-    size = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (size.n if size else 0))
+    return rows.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull() & fine)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def scaled(v) -> np.ndarray:
+    """The vector times a power of two that brings its largest component to 1/2 at least and below 1: exact, and without
+    over- or underflow in squares."""
+    v = np.asarray(v, dtype=np.float64)
+    return np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
 
 
-def _stack(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+def unit(column, size: int) -> np.ndarray:
+    """Unit vectors of `size` components: shorter ones with zeros behind, longer ones cut after normalising."""
+    out = np.zeros((len(column), size))
+    for i, v in enumerate(column):
+        v = scaled(v)
+        v = v[:size] / np.sqrt((v * v).sum())
+        out[i, : len(v)] = v
+    return out
 
 
-def build(rows: DataFrame, cells: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
+def build(rows: DataFrame, cells: int, size: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     """Centroids of either half, from at most `sample` rows."""
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").collect()
     if not chosen:
         return None
-    x = _unit(_stack(r.vec for r in chosen))
-    half = max(1, x.shape[1] // 2)
-    return kmeans(x[:, :half], cells), kmeans(x[:, half:], cells) if x.shape[1] > half else np.zeros((1, 0))
+    x = unit([r.vec for r in chosen], size)
+    half = max(1, size // 2)
+    return kmeans(x[:, :half], cells), kmeans(x[:, half:], cells) if size > half else np.zeros((1, 0))
+
+
+class Vectors:
+    """Rows of one block by length, scaled, with their norms: cosines with a query without padding any of them."""
+
+    def __init__(self, column):
+        lengths = np.array([len(v) for v in column])
+        self.parts = []
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            x = np.stack([scaled(column[i]) for i in at])
+            self.parts.append((at, x, np.sqrt((x * x).sum(axis=1))))
+        self.n = len(lengths)
+
+    def cosines(self, v, wanted: np.ndarray) -> np.ndarray:
+        """Cosine of every row of wanted (a mask) with v; -2 for others."""
+        v, out = scaled(v), np.full(self.n, -2.0)
+        size = np.sqrt((v * v).sum())
+        for at, x, norms in self.parts:
+            mine = np.flatnonzero(wanted[at])
+            few = min(len(v), x.shape[1])
+            out[at[mine]] = (x[mine, :few] * v[:few]).sum(axis=1) / (norms[mine] * size)
+        return out
+
+
+def nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores above -2, ties to the smaller id."""
+    at = np.flatnonzero(scores > -2)
+    if k < len(at):
+        at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
+
+def tuned_probe(index: DataFrame, queries: list[tuple[int, list[float]]], distances, counts: np.ndarray, k: int, recall: float) -> float:
+    """The share of all rows that the cells passed must hold for the queries to find `recall` of their true k neighbours."""
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                block, ids = Vectors(pdf["vec"].tolist()), pdf["vec_id"].to_numpy()
+                for q, v in queries:
+                    s = block.cosines(v, ids != q)
+                    at = nearest(s, ids, k)
+                    yield pd.DataFrame({"query_id": q, "cell": pdf["cell"].to_numpy()[at], "vec_id": ids[at], "score": s[at]})
+
+    found = index.mapInPandas(best, "query_id long, cell int, vec_id long, score double")
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "cell"))), 1, k)
+    shares, vectors = [], dict(queries)
+    for r in found.groupBy("query_id").agg(top.alias("top")).collect():
+        d1, d2 = distances(unit([vectors[r.query_id]], sum(distances.sizes))[0])
+        d = (d1[:, None] + d2[None, :]).ravel()
+        shares += [counts[d <= d[x.cell]].sum() / counts.sum() for x in r.top]
+    return float(np.sort(shares)[min(len(shares) - 1, int(np.ceil(recall * len(shares))) - 1)]) if shares else 0.0
+
+
+class Distances:
+    """Squared distances of a unit vector's halves to the centroids."""
+
+    def __init__(self, c1: np.ndarray, c2: np.ndarray):
+        self.c1, self.c2, self.sizes = c1, c2, (c1.shape[1], c2.shape[1])
+
+    def __call__(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half = self.sizes[0]
+        return ((self.c1 - v[:half]) ** 2).sum(axis=1), ((self.c2 - v[half:]) ** 2).sum(axis=1)
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, cells: int | None = None, probe: float = 0.5, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, cells: int | None = None, probe: float | None = None, recall: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each row for which is_query(vec_id) holds.
 
-    probe: the share of all rows that a query's cells must hold; cells: centroids of a half (by the number of rows).
+    probe: the share of all rows that a query's cells must hold (tuned to `recall` if not given); cells: centroids of a
+    half (by the number of rows, 256 at most).
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
-    n = rows.count()
-    cells = cells or int(min(256, max(32, 2 ** round(np.log2(max(n, 1) / 128 + 1) / 2))))
-    made = build(rows, cells, sample)
+    lengths = rows.groupBy(F.size("vec").alias("size")).count()
+    most = lengths.agg(F.sum("count").alias("n"), F.max_by("size", F.struct("count", -F.col("size"))).alias("size")).first()
+    n, size = most.n or 0, most.size or 0
+    cells = cells or int(min(256, max(16, 2 ** round(np.log2(max(n, 4) / 4) / 2))))
+    made = build(rows, cells, size, sample)
     if made is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     c1, c2 = made
-    half = c1.shape[1]
+    half, distances = c1.shape[1], Distances(c1, c2)
 
     def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
-            x = _unit(_stack(pdf["vec"]))
+            x = unit(pdf["vec"].tolist(), size)
             i = ((c1 * c1).sum(1) - 2 * x[:, :half] @ c1.T).argmin(1)
             j = ((c2 * c2).sum(1) - 2 * x[:, half:] @ c2.T).argmin(1)
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "vec": pdf["vec"], "cell": (i * len(c2) + j).astype(np.int32)})
@@ -139,43 +218,39 @@ def search(vectors: DataFrame, is_query, k: int = 5, cells: int | None = None, p
     counts = np.zeros(len(c1) * len(c2), dtype=np.int64)
     for cell, m in sizes.items():
         counts[cell] = m
-    budget = max(int(probe * n), 64 * k)
+    asked = index.where(is_query(F.col("vec_id"))).select("vec_id", "vec")
+    if probe is None:
+        tuning = [(r.vec_id, list(r.vec)) for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TUNING).collect()]
+        probe = tuned_probe(index, tuning, distances, counts, k, recall)
+    budget = max(int(np.ceil(probe * n)), k + 1)
     first, parts = deal_cells(counts, ROWS_A_BLOCK)
+    groups = max(1, -(-asked.count() // QUERIES_A_GROUP))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            x = _unit(_stack(pdf["vec"])) if len(pdf) else np.zeros((0, 1))
-            for at, q in enumerate(x):
+            for qid, vec, q in zip(pdf["vec_id"], pdf["vec"], unit(pdf["vec"].tolist(), size)):
                 wanted: dict[int, list[int]] = {}
-                for c in walk(((c1 - q[:half]) ** 2).sum(1), ((c2 - q[half:]) ** 2).sum(1), counts, budget):
+                for c in walk(*distances(q), counts, budget):
                     for b in range(first[c], first[c] + parts[c]):
                         wanted.setdefault(int(b), []).append(c)
-                yield pd.DataFrame({"id": pdf["vec_id"].iloc[at], "vec": [pdf["vec"].iloc[at]] * len(wanted), "cells": list(wanted.values()), "block": list(wanted)})
+                yield pd.DataFrame({"id": qid, "vec": [vec] * len(wanted), "cells": list(wanted.values()), "block": list(wanted)})
 
-    queries = index.where(is_query(F.col("vec_id"))).select("vec_id", "vec").mapInPandas(route, "id long, vec array<double>, cells array<int>, block int")
+    by = ["block", "crowd"]
+    queries = asked.repartition("vec_id").mapInPandas(route, "id long, vec array<double>, cells array<int>, block int").withColumn("crowd", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
     places = spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(counts)], "cell int, first int, parts int")
     filed = index.join(F.broadcast(places), "cell").select(F.col("vec_id").alias("id"), "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id", "vec"), F.col("parts"))).cast("int").alias("block"))
+    filed = filed.withColumn("crowd", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            right = right.sort_values(["cell", "id"], kind="stable")
-            x, ids, cell = _stack(right["vec"]), right["id"].to_numpy(), right["cell"].to_numpy()
-            norms = np.sqrt((x * x).sum(1))
+            block, ids, cell = Vectors(right["vec"].tolist()), right["id"].to_numpy(), right["cell"].to_numpy()
             for qid, v, cells_ in zip(left["id"], left["vec"], left["cells"]):
-                v = np.asarray(v, dtype=np.float64)
-                at = np.flatnonzero(np.isin(cell, np.asarray(cells_)) & (ids != qid))
-                if not len(at):
-                    continue
-                s = (x[at] * v).sum(1) / (norms[at] * np.sqrt((v * v).sum()))
-                if k < len(s):
-                    near = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    at, s = at[near], s[near]
-                order = np.lexsort((ids[at], -s))[:k]
-                out += [(qid, int(ids[at[o]]), float(s[o])) for o in order]
+                s = block.cosines(v, np.isin(cell, np.asarray(cells_)) & (ids != qid))
+                out += [(qid, int(ids[at]), float(s[at])) for at in nearest(s, ids, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = queries.groupBy("block").cogroup(filed.groupBy("block")).applyInPandas(rerank, RESULT)
+    found = queries.groupBy(*by).cogroup(filed.groupBy(*by)).applyInPandas(rerank, RESULT)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k)
     return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 

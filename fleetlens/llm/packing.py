@@ -3,13 +3,13 @@
 Documents are tokenised, ended by one id, and cut into pieces of at most `capacity` ids (only the first piece may be
 shorter). Full pieces are sequences already. The others are dealt by hash into blocks of about BLOCK pieces; each
 block is a bin-packing problem of bounded size that `islands` evolve apart. An individual is a list of bins. Crossover
-injects whole well-filled bins of one parent into the other, drops the bins that hold an injected piece twice, and
-best-fits the displaced pieces. After each epoch an island's elite migrates to the next one of its block (a window
+injects whole well-filled bins of one parent into the other, drops the bins that hold an injected piece twice, exchanges
+displaced pieces with shorter ones where that fills a bin better (dominance), and best-fits what is left. After each epoch an island's elite migrates to the next one of its block (a window
 over the block's few island rows), and the block's best individual is taken. Pieces of badly filled bins meet again
 in a second level of blocks, so a block's last bin isn't lost at any size.
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed each; null doc_id is kept; an empty
-table gives an empty result. Other columns pass through with `keep`.
+table gives an empty result. Other columns pass through if named in `keep`.
 
 Ids are those of the tokenizers library. Texts without characters beyond U+024F and without special-token strings
 get them from tiktoken with the same vocabulary, which yields the same ids several times faster (tests compare them).
@@ -18,6 +18,7 @@ get them from tiktoken with the same vocabulary, which yields the same ids sever
 from __future__ import annotations
 
 import base64
+import bisect
 import json
 import random
 import re
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import release, table, text_bytes, written
+from fleetlens.llm.common import free_name, release, table, text_bytes, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -91,8 +92,10 @@ def cut_pieces(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, paths: tuple[str, str | None, str], capacity: int = CAPACITY, end_id: int = END_ID, keep: tuple[str, ...] = ("doc_id",), keep_ids: bool = False) -> DataFrame:
-    """A row for each piece: the kept columns, piece, start, length, ids_crc32 and, if asked for, ids."""
+    """A row for each piece: the kept columns (but for those named as an added one), piece, start, length, ids_crc32 and, if
+    asked for, ids."""
     added = [("piece", T.IntegerType(), pa.int32()), ("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64())] + [("ids", T.BinaryType(), pa.binary())] * keep_ids
+    keep = tuple(k for k in keep if k not in {n for n, _, _ in added})
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(n, t) for n, t, _ in added])
     docs = docs.select(*keep, *(["text"] if "text" not in keep else []))
 
@@ -151,7 +154,30 @@ class Bins:
         self.used |= 1 << (room - need)
 
 
+def exchange(bins: list[list[int]], loose: list[int], lengths: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Bins made fuller by loose pieces in the place of shorter ones, which become loose: in each bin with room the exchange
+    that fills it most. Loose pieces only get shorter, so what is left fits more easily."""
+    rest = sorted((lengths[i], i) for i in loose)
+    out = []
+    for b in bins:
+        room = capacity - sum(lengths[i] for i in b)
+        best = (0, None, None)
+        for place, i in enumerate(b) if room else ():
+            k = bisect.bisect_right(rest, (lengths[i] + room, len(lengths))) - 1
+            if k >= 0 and rest[k][0] - lengths[i] > best[0]:
+                best = (rest[k][0] - lengths[i], place, k)
+        if best[0]:
+            _, place, k = best
+            b = list(b)
+            _, new = rest.pop(k)
+            bisect.insort(rest, (lengths[b[place]], b[place]))
+            b[place] = new
+        out.append(b)
+    return out, [i for _, i in rest]
+
+
 def _build(bins: list[list[int]], loose: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
+    bins, loose = exchange(bins, loose, lengths, capacity)
     made = Bins(lengths, capacity)
     for b in bins:
         made.add_bin(list(b))
@@ -181,16 +207,15 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
 
 
 def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Empty the worst bins and a few others, and best-fit their pieces in random order of equal lengths."""
+    """Empty the few worst bins and an eighth of the others, and place their pieces anew."""
     ranked = sorted(bins, key=lambda x: sum(lengths[i] for i in x))
-    few = max(2, len(ranked) // 20)
-    gone = ranked[:few]
-    rest = ranked[few:]
-    for _ in range(min(few, len(rest))):
-        gone.append(rest.pop(rng.randrange(len(rest))))
-    loose = [i for x in gone for i in x]
-    rng.shuffle(loose)
-    return _build(rest, loose, lengths, capacity)
+    few = max(2, len(ranked) // 200)
+    gone, rest = ranked[:few], ranked[few:]
+    for _ in range(min(max(few, len(ranked) // 8), len(rest))):
+        k = rng.randrange(len(rest))
+        rest[k], rest[-1] = rest[-1], rest[k]
+        gone.append(rest.pop())
+    return _build(rest, [i for x in gone for i in x], lengths, capacity)
 
 
 def evolve(lengths: list[int], capacity: int, rng: random.Random, elite: list[list[int]] | None, immigrant: list[list[int]] | None, generations: int = 12, population: int = 5) -> list[list[int]]:
@@ -261,7 +286,7 @@ def _level(rows: DataFrame, capacity: int, block: int, islands: int, epochs: int
     for e in range(epochs):
         state = state.select("block", "island", "lengths", "elite", "immigrant").mapInPandas(_epoch(capacity, seed * 100 + e, generations), "block long, island int, lengths array<int>, elite array<int>, n_bins int")
         if e + 1 < epochs:
-            state = state.withColumn("immigrant", F.coalesce(F.lag("elite").over(ring), F.last("elite").over(whole)))
+            state = state.withColumn("immigrant", F.coalesce(F.lag("elite").over(ring), F.last("elite").over(whole))).repartition(parts, "block", "island")
     best = state.groupBy("block").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
     placed = grouped.join(best, "block").select("block", F.explode(F.arrays_zip("items", "elite")).alias("x"))
     placed = placed.select(F.col("block").alias("bin_block"), F.col("x.items.unit").alias("unit"), F.col("x.elite").alias("bin"), F.col("x.items.length").alias("length"))
@@ -271,21 +296,24 @@ def _level(rows: DataFrame, capacity: int, block: int, islands: int, epochs: int
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = 2, epochs: int = 2, generations: int = 12, levels: int = 2, seed: int = 1) -> DataFrame:
-    """A table of pieces (with length) with sequence_id and offset; every other column passes through."""
-    rows = written(cut.withColumn("unit", F.monotonically_increasing_id()), "pack-pieces")
-    full = rows.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("unit")).withColumn("offset", F.lit(0).cast("long"))
-    left = rows.where(F.col("length") < capacity).select("unit", "length")
+    """A table of pieces (with length) with sequence_id and offset, to which columns of these names give way; every other
+    column passes through, whatever its name."""
+    cut = cut.drop("sequence_id", "offset")
+    unit, placed_unit = free_name(cut, "unit"), free_name(cut, "placed")
+    rows = written(cut.withColumn(unit, F.monotonically_increasing_id()), "pack-pieces")
+    full = rows.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col(unit)).withColumn("offset", F.lit(0).cast("long"))
+    left = rows.where(F.col("length") < capacity).select(F.col(unit).alias("unit"), "length")
     placed: DataFrame | None = None
     for level in range(levels):
         out = _level(left, capacity, block, islands, epochs, generations, seed + level)
         last = level + 1 == levels
         kept = out if last else out.where(F.col("fill") >= LOOSE * capacity)
         base = F.lit(level).cast("long") * (1 << 60) + F.col("bin_block") * (1 << 24) + F.col("bin")
-        kept = kept.select(F.col("unit").alias("p_unit"), base.alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+        kept = kept.select(F.col("unit").alias(placed_unit), base.alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
         placed = kept if placed is None else placed.unionByName(kept)
         left = out.where(F.col("fill") < LOOSE * capacity).select("unit", "length")
-    short = rows.where(F.col("length") < capacity).join(placed, F.col("unit") == F.col("p_unit")).drop("p_unit")
-    return full.unionByName(short).drop("unit")
+    short = rows.where(F.col("length") < capacity).join(placed, F.col(unit) == F.col(placed_unit)).drop(placed_unit)
+    return full.unionByName(short).drop(unit)
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:

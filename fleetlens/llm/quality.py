@@ -7,7 +7,8 @@ sum, so sketches merge by addition, in any order and with the same result. A sou
 sketch come fences q50 - k*IQR - slack and q50 + k*IQR + slack, which are joined back by (lang, source).
 
 Defined cases: null or empty text has no words and fails the base rule; null lang or source is a group of its own;
-repeated rows are judged alike, each kept as a row; an empty table gives an empty result.
+repeated rows are judged alike, each kept as a row; an empty table gives an empty result. Other columns pass through,
+whatever their names; those named as an added one give way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from fleetlens.llm.tokens import BLANK, BYTE_VALUES, NEWLINE, chunks, mix, shing
 ALPHA = 0.01
 BROADCAST_GROUPS = 100_000
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-MEASURES = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType())]
+MEASURES = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("n_lines", T.LongType())]
 IS_SYMBOL = np.zeros(256, dtype=bool)
 IS_SYMBOL[list(b"#*$%&|<>")] = True
 #: Bytes that begin a code point within a word.
@@ -36,18 +37,20 @@ IN_WORD = ~BLANK & ~((np.arange(256) >= 0x80) & (np.arange(256) < 0xC0))
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Fences: k times the quartile range and a slack by measure, in that measure's unit."""
+    """Fences: k times the quartile range and a slack by measure, in that measure's unit: symbols a word, repeated lines a
+    line with words, words in repeated windows a word, characters a word. A group of fewer than min_documents that pass the
+    base rule takes its language's fences, and a language of fewer those of all."""
 
     k: float = 3.0
     symbol_slack: float = 0.1
-    dup_slack: float = 0.25
+    dup_slack: float = 0.3
     repeat_slack: float = 0.25
     length_slack: float = 1.0
     min_documents: int = 200
 
 
 def measure(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """Words, code points in words, symbols, repeated lines and words in repeated 3-word windows of each text."""
+    """Words, code points in words, symbols, repeated lines, words in repeated 3-word windows and lines with a word of each text."""
     out = [np.zeros(batch.num_rows, dtype=np.int64) for _ in MEASURES]
     for chunk in chunks(batch, "text"):
         starts, ends = chunk.runs(BLANK)
@@ -75,6 +78,7 @@ def measure(batch: pa.RecordBatch) -> list[np.ndarray]:
         out[1][rows] = of_text(IN_WORD[chunk.data])
         out[2][rows] = of_text(IS_SYMBOL[chunk.data])
         out[3][rows] = np.bincount(l_text[worded], weights=dup, minlength=chunk.n).astype(np.int64)
+        out[5][rows] = np.bincount(l_text[worded], minlength=chunk.n)
         out[4][rows] = np.diff(np.concatenate([[0], np.cumsum(covered[: len(hashes)])])[bounds])
     return out
 
@@ -99,7 +103,7 @@ WITH long AS (
   SELECT lang, source, measure, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {lng!r}) AS INT) ELSE -2147483648 END AS bucket, count(*) AS n
   FROM (
     SELECT lang, source, 'symbols' AS measure, CAST(n_symbols AS DOUBLE) / nullif(n_words, 0) AS v FROM {m} WHERE NOT base_failed
-    UNION ALL SELECT lang, source, 'dup', CAST(n_dup_lines AS DOUBLE) / nullif(n_words, 0) FROM {m} WHERE NOT base_failed
+    UNION ALL SELECT lang, source, 'dup', CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0) FROM {m} WHERE NOT base_failed
     UNION ALL SELECT lang, source, 'repeat', CAST(n_repeat_words AS DOUBLE) / nullif(n_words, 0) FROM {m} WHERE NOT base_failed
     UNION ALL SELECT lang, source, 'length', CAST(word_chars AS DOUBLE) / nullif(n_words, 0) FROM {m} WHERE NOT base_failed
   ) x GROUP BY 1, 2, 3, 4
@@ -146,10 +150,10 @@ WITH long AS (
 """
 
 KEPT_SQL = """
-SELECT {columns}, NOT base_failed AND
-    CAST(n_symbols AS DOUBLE) / nullif(n_words, 0) <= symbols_most AND CAST(n_dup_lines AS DOUBLE) / nullif(n_words, 0) <= dup_most AND
-    CAST(n_repeat_words AS DOUBLE) / nullif(n_words, 0) <= repeat_most AND
-    CAST(word_chars AS DOUBLE) / nullif(n_words, 0) <= length_most AND CAST(word_chars AS DOUBLE) / nullif(n_words, 0) >= length_least AS {kept}
+SELECT {columns}, coalesce(NOT d.base_failed AND
+    CAST(d.n_symbols AS DOUBLE) / nullif(d.n_words, 0) <= c.symbols_most AND CAST(d.n_dup_lines AS DOUBLE) / nullif(d.n_lines, 0) <= c.dup_most AND
+    CAST(d.n_repeat_words AS DOUBLE) / nullif(d.n_words, 0) <= c.repeat_most AND
+    CAST(d.word_chars AS DOUBLE) / nullif(d.n_words, 0) <= c.length_most AND CAST(d.word_chars AS DOUBLE) / nullif(d.n_words, 0) >= c.length_least, false) AS kept
 FROM {m} d LEFT JOIN {chosen} c ON d.lang IS NOT DISTINCT FROM c.f_lang AND d.source IS NOT DISTINCT FROM c.f_source
 """
 
@@ -173,8 +177,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), keep_text: bool
     chosen = written(spark.sql(RULES_SQL.format(m="{m}", **_numbers(rules)) + "SELECT * FROM chosen", m=measured), "quality-fences")
     # A row for each (lang, source); shuffled once they are many.
     hint = "/*+ BROADCAST(c) */ " if chosen.count() <= BROADCAST_GROUPS else ""
-    out = spark.sql(KEPT_SQL.format(m="{m}", chosen="{chosen}", columns=hint + columns, kept="kept"), m=measured, chosen=chosen)
-    return out.withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return spark.sql(KEPT_SQL.format(m="{m}", chosen="{chosen}", columns=hint + columns), m=measured, chosen=chosen)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -198,14 +201,13 @@ words AS (
 ), measured AS (
   SELECT l.*, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM lined l LEFT JOIN covered c USING (rid)
 ), base AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM measured)
 """
 
 
-def oracle(docs: str = "documents", rules: QualityRules = QualityRules(), columns: str = "d.doc_id, d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed") -> str:
+def oracle(docs: str = "documents", rules: QualityRules = QualityRules(), columns: str = "d.doc_id, d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.n_lines, d.base_failed") -> str:
     """DuckDB SQL of judge() over a table; one statement."""
-    body = (RULES_SQL.format(m="base", **_numbers(rules)) + KEPT_SQL.format(m="base", chosen="chosen", columns=columns, kept="kept")).strip()
-    body = body.removeprefix("WITH ")
-    return "WITH " + MEASURES_SQL.replace("{docs}", docs).strip() + ", " + body.replace("NOT base_failed AND", "coalesce(NOT base_failed AND", 1).replace(">= length_least AS kept", ">= length_least, false) AS kept")
+    body = (RULES_SQL.format(m="base", **_numbers(rules)) + KEPT_SQL.format(m="base", chosen="chosen", columns=columns)).strip()
+    return "WITH " + MEASURES_SQL.replace("{docs}", docs).strip() + ", " + body.removeprefix("WITH ")

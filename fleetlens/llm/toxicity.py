@@ -7,12 +7,14 @@ ASCII character, and a few for the rest.
 
 Features are scaled by their rarity in clean text, as common ones tell nothing.
 
-Training (on the driver, on a bounded sample of labelled documents): the label of a document is carried to its
-sentences by the word of it that most speaks for the label; those sentence windows, and copies of them with inserted or
-dropped-in characters, are positive, windows of clean documents are negative. Those of either that the
-others explain least (pivoted Cholesky) are landmarks; kernels
-with the landmarks, whitened by their own kernel matrix, are the Nystroem features on which the machine is trained with
-squared hinge loss; then the clean windows that score highest join the negatives, a few times over.
+Training (on the driver, on a bounded sample of the sentences of labelled documents, which executors cut): the label of
+a document is carried to the sentence that holds the word which most speaks for the label. A word speaks for it if its
+log-likelihood ratio exceeds what chance gives the best of all words (Bonferroni, at ALPHA); documents that no such word
+explains are rated anew by themselves, by words that no clean document has, until none is left or no word speaks for them. Windows of those sentences, and
+copies of them with inserted or dropped-in characters, are positive, windows of clean sentences are negative. Those of
+either that the others explain least (pivoted Cholesky) are landmarks; kernels with the landmarks, whitened by their own
+kernel matrix, are the Nystroem features on which the machine is trained with squared hinge loss; then the clean windows
+that score highest join the negatives, a few times over.
 
 Scoring: as the kernel is an inner product of explicit features, the machine folds into one weight for each
 4-subsequence. A window's value is the sum of its subsequences' weights, found for all windows of a batch with a few
@@ -20,7 +22,7 @@ vector operations a character; a document's value is its highest window's, and a
 
 Defined cases: null or empty text has the value of an empty window; unlabelled rows are scored as others; labels that are null
 are ignored, repeated ones taken at their largest; without labels of both kinds every score is 0; an empty table gives
-an empty result. Other columns pass through.
+an empty result. Other columns pass through, whatever their names; score and predicted give way to the added ones.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +45,10 @@ from fleetlens.llm.common import held_out, table, with_columns_from_text
 from fleetlens.llm.tokens import chunks
 
 SPAN, DECAY, WINDOW = 7, 0.8, 14
+#: Chance at which one word at all speaks for a label by accident.
+ALPHA = 0.05
+#: A sentence: up to a mark and a blank, a line's end, the text's end or 400 characters.
+SENTENCE = r"(?s).{1,400}?(?:[.!?](?=\s)|\n|\z)|.{1,400}"
 SHAPES = [(0, *c) for c in combinations(range(1, SPAN), 3)]
 
 
@@ -59,15 +66,15 @@ SYMBOL = _symbols()
 
 @dataclass(frozen=True)
 class ToxicityTraining:
-    """Bounds of the training sample: documents, landmarks and windows of each label. evidence: the least log-likelihood
-    ratio of a word that carries a label to its sentence."""
+    """Bounds of the training sample: documents of each label, sentences of each document (by a hash), landmarks and
+    windows of each label."""
 
     documents: int = 2000
+    sentences: int = 128
     landmarks: int = 96
     windows: int = 3000
     rounds: int = 4
     cost: float = 10.0
-    evidence: float = 24.0
     seed: int = 3
 
 
@@ -86,11 +93,11 @@ def features(text: bytes, rarity: np.ndarray | None = None) -> tuple[np.ndarray,
     return found, summed if rarity is None else summed * rarity[found]
 
 
-def distinct_texts(texts: list[bytes], draws: int = 3) -> list[bytes]:
-    """The texts without near copies: one is dropped if any of a few minima over its 4-word shingles came before."""
+def distinct_texts(texts: list[list[bytes]], draws: int = 3) -> list[list[bytes]]:
+    """The texts (lists of sentences) without near copies: one is dropped if any of a few minima over its 4-word shingles came before."""
     out, seen = [], set()
     for t in texts:
-        w = t.lower().split()
+        w = b" ".join(t).split()
         parts = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
         minima = {(k, min(zlib.crc32(p, k) for p in parts)) for k in range(draws)}
         if seen.isdisjoint(minima):
@@ -116,6 +123,7 @@ def choose_landmarks(found: list[tuple], many: int) -> list[tuple]:
         chosen.append(at)
     return [found[i] for i in chosen]
 
+
 def kernel(a: list, b: list) -> np.ndarray:
     """Kernel matrix of two lists of features."""
     index = {c: i for i, c in enumerate(sorted({int(c) for codes, _ in b for c in codes}))}
@@ -209,35 +217,62 @@ def rating(n: int, toxic: int, m: int, clean: int) -> float:
     return 2 * (part(n, toxic) + part(m, clean))
 
 
-def train(rows: list[tuple[bytes, int]], how: ToxicityTraining = ToxicityTraining()) -> dict | None:
-    """The folded machine from (text, label) rows: weights by code, bias, logistic slope and place."""
+def bar(words: int) -> float:
+    """The log-likelihood ratio that the best of so many words without any meaning exceeds with a chance of ALPHA."""
+    return NormalDist().inv_cdf(1 - ALPHA / max(1, words) / 2) ** 2
+
+
+def witnesses(toxic: list[list[bytes]], clean: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
+    """(word, sentence) pairs that carry the label of toxic documents (lists of sentences), up to three of each."""
+    strip = lambda w: w.strip(b".,;:!?\"'()")
+    held = [{w for s in d for w in _words(s)} for d in toxic]
+    elsewhere = Counter(w for d in clean for w in {w for s in d for w in _words(s)})
+    out: list[tuple[bytes, bytes]] = []
+    unexplained = list(range(len(toxic)))
+    while unexplained:
+        here = Counter(w for i in unexplained for w in held[i])
+        least = bar(len(here | elsewhere))
+        # What speaks for the few documents left over may be their topic or language, unless clean ones never say it.
+        later = len(unexplained) < len(toxic)
+        rated = {w: rating(n, len(unexplained), elsewhere[w], len(clean)) for w, n in here.items() if len(strip(w)) >= 3 and not (later and elsewhere[w])}
+        telling = {w for w, r in rated.items() if r >= least}
+        left = []
+        for i in unexplained:
+            mine = sorted(held[i] & telling, key=lambda w: (-rated[w], w))[:3]
+            out += [(strip(w), next(s for s in toxic[i] if w in s and w in _words(s))) for w in mine]
+            if not mine:
+                left.append(i)
+        if len(left) == len(unexplained):
+            break
+        unexplained = left
+    return out
+
+
+def train(rows: list[tuple[int, bytes, int]], how: ToxicityTraining = ToxicityTraining()) -> dict | None:
+    """The folded machine from (document, sentence, label) rows: weights by code, bias, logistic slope and place."""
     rng = np.random.default_rng(how.seed)
-    toxic, clean = (distinct_texts([t for t, y in rows if y == label]) for label in (1, 0))
+    by_label: list[dict[int, list[bytes]]] = [{}, {}]
+    for doc, sentence, label in rows:
+        by_label[label].setdefault(doc, []).append(sentence.lower())
+    toxic, clean = (distinct_texts(list(by_label[label].values())) for label in (1, 0))
     if not toxic or not clean:
         return None
-    seen = [Counter(w for t in part for w in set(_words(t))) for part in (toxic, clean)]
-    strip = lambda w: w.strip(b".,;:!?\"'()")
-    rated = {w: rating(n, len(toxic), seen[1][w], len(clean)) for w, n in seen[0].items()}
-    telling = {w: r for w, r in rated.items() if r >= how.evidence and len(strip(w)) >= 3}
-    if not telling:
-        telling = {w: rated[w] for w in sorted(rated, key=lambda w: (-rated[w], w))[:3] if rated[w] > 0}
-    positive: list[bytes] = []
-    witnesses: Counter = Counter()
-    for text in toxic:
-        for w in sorted({w for w in _words(text) if w in telling}, key=lambda w: (-telling[w], w))[:3]:
-            witnesses[strip(w)] += 1
-            positive.append(window_of(text, w))
-    strong = [w for w, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))][: 8 * how.landmarks]
+    found = witnesses(toxic, clean)
+    often_seen = Counter(w for w, _ in found)
+    strong = [w for w, _ in sorted(often_seen.items(), key=lambda x: (-x[1], x[0]))][: 8 * how.landmarks]
     if not strong:
         return None
-    positive = [p for p in positive if any(w in p for w in strong)][: how.windows // 2]
+    positive = [window_of(sentence, w) for w, sentence in found if w in set(strong)][: how.windows // 2]
+    clean_docs, clean = clean, [b" ".join(d) for d in clean]
+    toxic = [b" ".join(d) for d in toxic]
+    some_sentence = lambda: (d := clean_docs[int(rng.integers(len(clean_docs)))])[int(rng.integers(len(d)))]
     for w in strong:
         for _ in range(max(1, how.windows // (8 * len(strong)))):
-            around = [_words(clean[int(rng.integers(len(clean)))]) or [b"a"] for _ in range(2)]
+            around = [_words(some_sentence()) or [b"a"] for _ in range(2)]
             before, after = (a[int(rng.integers(len(a)))] for a in around)
             for v in [w, *variants(w, rng)]:
                 positive.append(before[-3:] + b" " + v + b" " + after[:3])
-    random_windows = lambda n: [t[(k := int(rng.integers(max(1, len(t) - WINDOW)))) : k + WINDOW] for t in (clean[int(rng.integers(len(clean)))].lower() for _ in range(n))]
+    random_windows = lambda n: [t[(k := int(rng.integers(max(1, len(t) - WINDOW)))) : k + WINDOW] for t in (some_sentence() for _ in range(n))]
     negative = random_windows(how.windows)
     often = np.zeros(1 << 20)
     for x in random_windows(4 * how.windows):
@@ -263,7 +298,7 @@ def train(rows: list[tuple[bytes, int]], how: ToxicityTraining = ToxicityTrainin
         model = {"codes": np.flatnonzero(table_), "weights": table_[np.flatnonzero(table_)], "bias": bias}
         hard: list[tuple[float, bytes]] = []
         for text in clean:
-            data = np.frombuffer(text.lower(), dtype=np.uint8)
+            data = np.frombuffer(text, dtype=np.uint8)
             if len(data) < 4:
                 continue
             sums = np.concatenate([[0.0], np.cumsum(window_values(data, table_), dtype=np.float64)])
@@ -310,8 +345,9 @@ def score_batch(batch: pa.RecordBatch, model: dict | None) -> list[np.ndarray]:
     return [out]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, how: ToxicityTraining, folds: int = 0) -> list[tuple[bytes, int]]:
-    """At most how.documents labelled texts of each label, by the hash of their id, that fold 0 of `folds` doesn't hold."""
+def training_rows(docs: DataFrame, labels: DataFrame, how: ToxicityTraining, folds: int = 0) -> list[tuple[int, bytes, int]]:
+    """(doc_id, sentence, label) of at most how.documents labelled texts of each label, by the hash of their id, that fold 0
+    of `folds` doesn't hold; at most how.sentences of each, by a hash. Executors cut the texts; only sentences come here."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     if folds:
         known = known.where(~held_out(F.col("doc_id"), folds))
@@ -321,8 +357,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, how: ToxicityTraining, fol
     ids = {r.doc_id: int(r.y) for r in chosen.collect()}
     wanted = docs.sparkSession.createDataFrame([(i, y) for i, y in ids.items()], "doc_id long, y int")
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    rows = sorted((r.doc_id, (r.text or "").encode(), r.y) for r in texts.collect())
-    return [(t, y) for _, t, y in rows]
+    cut = texts.select("doc_id", "y", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("place", "sentence")).where("trim(sentence) <> ''")
+    few = Window.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "place"), "place")
+    cut = cut.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= how.sentences)
+    rows = sorted((r.doc_id, r.place, r.sentence.encode(), r.y) for r in cut.select("doc_id", "place", "sentence", "y").collect())
+    return [(doc, sentence, y) for doc, _, sentence, y in rows]
 
 
 def score_toxicity(docs: DataFrame, model: dict | None, keep_text: bool = True) -> DataFrame:

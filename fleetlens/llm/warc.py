@@ -9,9 +9,12 @@ time. Files are written under an attempt's own name and then moved, so lost and
 Payloads of at least MIN_REVISIT bytes that occur again are stored once: the smallest page_id is the response, the
 others are revisits that refer to it.
 
+Which record is the response is decided on ids and digests alone; payloads stay where they were read and meet the
+decision there, so a frequent page's payload is never moved to one task.
+
 Defined cases: null html is an empty payload; a null url has no target header; rows that share both page_id and
 payload are responses each if theirs is the smallest id; null page_ids count as larger than any; an empty table gives
-an empty result.
+an empty result. Other columns, whatever their names, don't enter the archives and don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import open_fs, put_file, remove_path, shared_path, table, written
+from fleetlens.llm.common import by_task, numbered, open_fs, put_file, remove_path, shared_path, spread_join, table, written
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
@@ -38,13 +41,12 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     """page_id, url, payload, payload_bytes, payload_digest and refers_to (null for responses)."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    again = (
-        rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy(F.col("payload_digest").alias("again_digest"))
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("again_digest", "first")
-    )
-    joined = rows.join(again, F.col("payload_digest") == F.col("again_digest"), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    rows, part, unit = numbered(rows, "warc-pages")
+    narrow = rows.select(F.col(unit).alias("unit"), "page_id", "payload_digest", (F.col("payload_bytes") >= MIN_REVISIT).alias("long"))
+    again = narrow.where("long").groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    refers = F.when(F.col("long") & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    decided = spread_join(narrow, again, ["payload_digest"], "unit", "left").select("unit", refers.alias("d"))
+    return by_task(rows, part, unit, decided, "refers_to").select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
 
 
 def encode_record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
