@@ -13,29 +13,37 @@ from fleetlens.llm import mixing, neardup, packing, quality, toxicity
 from fleetlens.llm.common import recorded, remove_path, table, written
 
 
+NEEDED = ("doc_id", "text", "lang", "source")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with every column that no stage reads under a name of its own, so that no stage's columns replace it."""
+    return docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns if c not in NEEDED})
+
+
 def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return df.select(*[F.col(f"`{c}`" if c in NEEDED else f"`_doc_{c}`").alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _columns(quality.judge(docs).where("kept"), docs)
+    return _columns(quality.judge(_aside(docs)).where("kept"), docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic, by a machine trained on the labelled ones among them."""
     model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), toxicity.ToxicityTraining()))
-    return _columns(toxicity.score_toxicity(docs, model).where("predicted = 0"), docs)
+    return _columns(toxicity.score_toxicity(_aside(docs), model).where("predicted = 0"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return _columns(neardup.near_duplicates(docs).where("chosen"), docs)
+    return _columns(neardup.near_duplicates(_aside(docs)).where("chosen"), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs).where("copies > 0")
+    mixed = mixing.mix(_aside(docs)).where("copies > 0")
     return _columns(mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs)
 
 
@@ -45,30 +53,20 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-_leftover: list[str] = []
-
-
-def _swept(stage):
-    """The stage, which first removes the tables that the stage before wrote for itself: its result is written by now."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _leftover:
-            remove_path(spark, _leftover.pop())
-        with recorded() as made:
-            out = stage(spark, docs, sf_dir)
-        _leftover.extend(made)
-        return out
-
-    return run
-
-
-STAGES = [("quality", _swept(quality_stage)), ("toxicity", _swept(toxicity_stage)), ("near_duplicates", _swept(near_duplicate_stage)), ("mixing", _swept(mixing_stage)), ("packing", _swept(packing_stage))]
-#: The stages past the first can't be expressed in SQL; tests hold run() against brute force.
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+#: The stages past the first can't be expressed in SQL; tests/llm/test_pipeline.py holds each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. A stage's own tables go once its result is written; those that the returned rows read stay."""
     docs = table(spark, sf_dir, "documents")
+    before: str | None = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with recorded() as made:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        result = made.pop()
+        for path in [*made, *([before] if before else [])]:
+            remove_path(spark, path)
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)
