@@ -24,19 +24,82 @@ VIEWS = {
     "catalog": (["lineitem"], """SELECT l_orderkey AS digest, CAST(sum(l_quantity) AS BIGINT) AS size, count(*) AS targets,
         sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS healthy, count(*) % 3 AS refs, min(l_linenumber) AS retain_until,
         CASE l_orderkey % 3 WHEN 0 THEN 'ephemeral' WHEN 1 THEN 'reconstructible' ELSE 'replicated' END AS policy FROM lineitem GROUP BY l_orderkey"""),
-    "reputation_obs": (["lineitem"], """SELECT l_suppkey AS node, l_returnflag AS capability, CASE WHEN l_discount < 0.08 THEN 1.0 ELSE 0.0 END AS succeeded,
-        CASE WHEN l_tax > 0.06 THEN 1.0 ELSE 0.0 END AS mismatch, l_quantity / 10 AS latency_ratio,
-        row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_linestatus DESC) AS age
-        FROM lineitem"""),
     "votes": (["lineitem"], "SELECT l_orderkey AS task_id, l_returnflag AS digest, CASE WHEN l_orderkey % 10 <> 0 THEN 'N' END AS trusted FROM lineitem"),
+    # Placement to the letter: nodes, their variants and requests with every column of the rules.
+    "sched_nodes": (["supplier"], """SELECT s_suppkey AS idx, concat('node-', lpad(CAST(s_suppkey AS VARCHAR(9)), 6, '0')) AS node_id,
+        1 + CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN s_suppkey % 5 = 0 THEN 8 ELSE 0 END + CASE WHEN s_suppkey IN (6, 9) THEN 64 ELSE 0 END AS bits,
+        s_suppkey % 40 AS pressure, CASE WHEN s_suppkey % 17 = 16 THEN 'suspect' ELSE 'healthy' END AS health, CASE WHEN s_suppkey % 23 = 5 THEN 'revoked' ELSE 'active' END AS identity,
+        s_suppkey % 29 <> 3 AS integrity, s_suppkey % 4 + 1 AS trust, CASE WHEN s_suppkey % 3 = 1 THEN 'macos' ELSE 'linux' END AS os, CASE WHEN s_suppkey % 7 = 2 THEN 'arm64' ELSE 'x86_64' END AS abi,
+        1024 * (1 + s_suppkey % 8) AS memory, 512 * (s_suppkey % 4) AS vram, s_suppkey % 5 AS content_a, 5 + s_suppkey % 3 AS content_b FROM supplier"""),
+    "sched_variants": (["supplier"], """SELECT s_suppkey AS idx, v, concat('v', CAST(v AS VARCHAR(9))) AS variant_id, CASE WHEN v = 3 THEN 4 ELSE 1 END AS need, 512 * (1 + v) AS peak_memory,
+        CASE WHEN v = 3 THEN 512 ELSE 0 END AS peak_vram, CASE WHEN s_suppkey % 11 = 4 THEN 8 ELSE 7 END AS generation, CAST(CASE WHEN v = 2 THEN 0.95 ELSE 1.0 END AS DOUBLE) AS quality,
+        CAST(0.01 AS DOUBLE) * (1 + v % 2) AS base_failure, CAST(1.0 AS DOUBLE) AS queue, CAST(1.0 AS DOUBLE) AS rtt, CAST(2 + s_suppkey % 3 AS DOUBLE) AS input_transfer,
+        CAST(10 + v AS DOUBLE) AS execution, CAST(2 + s_suppkey % 3 AS DOUBLE) / 4 AS output_transfer, CAST(1.0 AS DOUBLE) AS prewarm, CAST(1.0 AS DOUBLE) AS commit_cost,
+        CAST(10.0 AS DOUBLE) AS recovery, CAST(1 + s_suppkey % 13 AS DOUBLE) AS jitter, CAST(1 + v % 2 AS DOUBLE) AS energy, CASE WHEN v <> 1 THEN CAST(2 + s_suppkey % 4 AS DOUBLE) END AS ttft, CAST(1.0 AS DOUBLE) AS steady
+        FROM supplier CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(v)"""),
+    "sched_requests": (["orders"], """SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 97 = 0 THEN -1.0 ELSE o_totalprice / 1000 END AS local_cost, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 0 END AS required_bits,
+        CASE k % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END AS task_type, k % 3 AS input_bucket,
+        CASE k % 6 WHEN 0 THEN 'cluster_safety' WHEN 1 THEN 'hard_realtime' WHEN 2 THEN 'soft_realtime' WHEN 3 THEN 'interactive' WHEN 4 THEN 'batch' ELSE 'background' END AS latency_class,
+        k % 3 AS minimum_trust, CASE WHEN k % 7 = 2 THEN 'linux' END AS required_os, CASE WHEN k % 11 = 3 THEN 'x86_64' END AS required_abi, 1024 * (1 + k % 3) AS required_memory,
+        CASE WHEN k % 9 = 4 THEN 512 ELSE 0 END AS required_vram, k % 16 = 7 AS local_only, k % 16 = 11 AS local_bound, 1 + k % 10 AS local_idx, CASE WHEN k % 5 = 1 THEN 7 END AS required_generation,
+        CAST(0.9 AS DOUBLE) AS minimum_quality, k % 3 <> 0 AS exact, k % 4 = 3 AS streaming, CASE WHEN k % 8 = 5 THEN 1 + k % 10 END AS session_idx, CAST(k % 7 AS DOUBLE) AS dag_cross,
+        k % 5 AS content_a, 5 + k % 3 AS content_b FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 240 AS k FROM orders) AS q"""),
+    "priorities": (["orders"], """SELECT o_orderkey AS task_id, o_custkey % 20 AS queue, o_orderkey % 53 = 0 AS safety, o_orderkey % 31 = 0 AS recovery, CAST(substr(o_orderpriority, 1, 1) AS INT) AS class_rank, o_orderkey % 2 = 0 AS local_origin,
+        o_orderkey % 11 AS deadline, o_orderkey % 7 AS dag, o_orderkey % 5 AS unlock, o_orderkey % 3 AS business, CAST(floor(o_totalprice / 10000) AS BIGINT) AS age, o_custkey % 4 AS fair_share FROM orders"""),
+    "reservations": (["lineitem"], """SELECT l_suppkey AS node, concat(CAST(l_orderkey AS VARCHAR(9)), '/', CAST(l_linenumber AS VARCHAR(9))) AS reservation_id, 1 + l_linenumber % 4 AS cpu, CAST(l_quantity AS BIGINT) AS memory,
+        CAST(CASE WHEN l_returnflag = 'A' THEN floor(l_quantity / 2) ELSE 0 END AS BIGINT) AS vram, 1 + l_linenumber % 3 AS threads, l_linestatus = 'O' AS remote, CASE WHEN l_partkey % 41 = 0 THEN 2 ELSE 1 END AS version,
+        CAST(floor(l_extendedprice) AS BIGINT) % 100 AS pressure, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS tick,
+        CASE WHEN l_partkey % 37 = 0 THEN 0 ELSE 2 + l_linenumber END AS lasts FROM lineitem"""),
+    "traffic": (["events"], f"""SELECT user_id AS node, ts, event_id, {K} AS k, CASE event_type WHEN 'signup' THEN 'tick' WHEN 'view' THEN 'enqueue' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'complete' ELSE 'control' END AS op,
+        1 + {K} * 10 AS bytes, event_id % 13 = 0 AS forwarding FROM events"""),
+    "commands": (["events"], """SELECT event_id, user_id * 100000 + CAST(floor(m / 12) AS BIGINT) AS task_id, m % 12 AS pos, CAST(floor(m / 12) AS BIGINT) % 3 = 0 AS fast,
+        CASE m % 12 WHEN 0 THEN 'submit' WHEN 1 THEN 'assign' WHEN 2 THEN 'running' WHEN 3 THEN CASE WHEN event_type = 'error' THEN 'recover' ELSE 'stage' END WHEN 4 THEN 'assign' WHEN 5 THEN 'running' WHEN 6 THEN 'conflict'
+          WHEN 7 THEN 'stage' WHEN 8 THEN CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'cancel' ELSE 'commit' END WHEN 9 THEN 'commit' WHEN 10 THEN 'assign' ELSE 'cancel' END AS mutation,
+        CASE WHEN m % 12 < 4 THEN 1 WHEN m % 12 < 10 THEN 2 ELSE 3 END - CASE WHEN event_type = 'view' AND m % 12 IN (1, 4) THEN 1 WHEN event_type = 'click' AND m % 12 IN (2, 5, 7) THEN 1 ELSE 0 END AS attempt,
+        user_id % 7 + CASE WHEN event_type = 'signup' AND m % 12 IN (3, 7) THEN 1 ELSE 0 END AS node, event_id % 2 AS content
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS m FROM events) AS q"""),
+    "beats": (["events"], f"""SELECT event_id, user_id AS node, CAST(floor(value) AS BIGINT) AS k, CASE WHEN event_type = 'signup' THEN 'register' ELSE 'pulse' END AS op,
+        CASE WHEN event_type = 'signup' THEN 1 + event_id % 2 WHEN {K} >= 80 THEN 2 ELSE 1 END AS version, CASE WHEN event_type = 'error' THEN 'overloaded' WHEN event_type = 'view' AND {K} % 9 = 0 THEN 'draining' ELSE 'healthy' END AS health,
+        CASE WHEN {K} % 3 = 0 THEN 0 ELSE {K} END AS pressure, sum(1 + {K} % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tick FROM events"""),
+    "snapshots": (["events"], f"SELECT event_id, user_id AS node, ts, event_id % 9 + {K} % 5 AS capability_version, {K} % 7 + CAST(floor(event_id / 40) AS BIGINT) AS resource_version, event_type = 'purchase' AS is_pulse, event_type <> 'error' AS valid FROM events"),
+    "leader_obs": (["events"], f"""SELECT event_id, user_id AS cluster, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tick, CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS candidate,
+        CASE WHEN {K} % 23 <> 0 THEN CAST(50 - {K} % 13 AS DOUBLE) END AS current_score, CASE WHEN {K} % 17 <> 0 THEN CAST(floor(value / 4) - {K} % 10 AS DOUBLE) END AS candidate_score FROM events"""),
+    "observers": (["events"], f"""SELECT event_id, user_id AS node, event_type AS operation, {K} % 6 AS reachable, {K} % 31 <> 0 AS alive, event_id % 4 = 0 AS is_leader, event_id % 3 = 0 AS has_grant, event_id % 11 <> 0 AS has_leader,
+        event_id % 5 <> 0 AS connected, event_id % 7 <> 0 AS lease_valid, event_id % 9 <> 0 AS grant_current FROM events"""),
+    "voters": (["supplier"], "SELECT s_suppkey AS node, CAST(floor(s_suppkey / 5) AS BIGINT) AS cluster, s_suppkey % 7 * 3 AS last_index, s_suppkey % 9 <> 4 AS alive, s_suppkey % 6 <> 1 AS is_full FROM supplier"),
+    "recoveries": (["lineitem"], """SELECT l_orderkey * 10 + l_linenumber AS plan_id,
+        CASE WHEN l_partkey % 6 = 0 THEN 'suspect' WHEN l_partkey % 6 = 1 THEN 'speculative' ELSE 'dead' END AS failure, l_partkey % 5 = 0 AS allow_speculative, CASE WHEN l_suppkey % 3 = 0 THEN 40 END AS deadline,
+        CAST(l_quantity AS BIGINT) AS now_tick, l_linenumber - 1 AS attempts, 4 AS max_attempts, 0.85 + l_discount AS quality, l_partkey % 19 <> 0 AS eligible, l_partkey % 13 <> 0 AS inputs_recoverable,
+        1 + l_suppkey % 2 AS wanted_runner, CASE WHEN l_partkey % 4 = 0 THEN 'r2' END AS hint,
+        CASE l_orderkey % 5 WHEN 0 THEN 'ephemeral' WHEN 1 THEN 'non_recoverable' WHEN 2 THEN 'restartable' WHEN 3 THEN 'checkpointed' ELSE 'mirrored' END AS tier, CASE l_orderkey % 4 WHEN 0 THEN 'local_only' WHEN 1 THEN 'portable' WHEN 2 THEN 'restartable' ELSE 'checkpointable' END AS mobility,
+        CASE l_linenumber % 4 WHEN 0 THEN 'idempotent' WHEN 1 THEN 'verifiable' WHEN 2 THEN 'compensatable' ELSE 'unsafe' END AS retry, l_returnflag <> 'R' AS has_checkpoint, l_partkey % 7 <> 0 AS checkpoint_fits, l_linestatus = 'O' AS has_standby FROM lineitem"""),
+    "sessions": (["lineitem"], """SELECT l_suppkey AS host, concat('s', CAST(l_partkey % 40 AS VARCHAR(9))) AS session_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
+        CASE WHEN l_returnflag = 'R' THEN 'release' ELSE 'admit' END AS op, l_partkey % 8 <> 0 AS critical, l_linenumber AS compute, CAST(l_quantity AS BIGINT) AS memory, CAST(l_quantity * 2 AS BIGINT) AS network,
+        l_linestatus = 'O' AS leader_only, l_partkey % 3 = 0 AS dead, CASE WHEN l_partkey % 4 = 0 THEN l_suppkey + 1 END AS standby, l_partkey % 5 <> 0 AS has_checkpoint, l_extendedprice / 1000 AS benefit, l_quantity + l_linenumber AS cost FROM lineitem"""),
+    "checkpoints": (["events"], f"""SELECT event_id, user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, event_id - CASE WHEN {K} % 10 = 0 THEN 5000 ELSE 0 END AS sequence,
+        CASE WHEN {K} % 16 = 3 THEN 2 ELSE 1 END AS schema_version, CASE WHEN {K} % 21 = 5 THEN 8 ELSE 7 END AS generation, CASE WHEN {K} % 18 = 7 THEN 'other' ELSE 'input' END AS input_id, event_type = 'signup' AS baseline FROM events"""),
+    "reputation_events": (["lineitem"], """SELECT l_suppkey AS node, l_returnflag AS capability, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus) AS seq,
+        l_discount < 0.08 AS succeeded, l_linenumber = 7 AS timed_out, l_tax > 0.06 AS mismatch, l_partkey % 9 = 0 AS corruption, l_quantity / 12 AS latency_ratio, l_partkey % 199 = 0 AS forged, l_partkey % 151 = 0 AS cancel_refused, l_partkey % 173 = 0 AS unauthorised FROM lineitem"""),
+    "identities": (["supplier"], """SELECT s_suppkey AS node, CASE s_suppkey % 9 WHEN 4 THEN 'revoked' WHEN 7 THEN 'quarantined' ELSE 'active' END AS status, s_suppkey % 4 + 1 AS trust, s_suppkey % 20 AS valid_from, 60 + s_suppkey % 50 AS valid_until,
+        1 + s_suppkey % 3 AS generation, s_suppkey % 13 <> 2 AS integrity, s_suppkey % 5 <> 1 AS attested, 40 + s_suppkey % 60 AS attested_until FROM supplier"""),
+    "trust_tasks": (["orders"], """SELECT o_orderkey AS task_id, 1 + o_custkey % 90 AS node, o_orderkey % 5 AS minimum_trust, o_orderkey % 3 <> 0 AS allow_external, o_orderkey % 4 = 0 AS require_attestation, 20 + o_orderkey % 60 AS now_tick,
+        CASE o_orderkey % 6 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' WHEN 3 THEN 'restricted' WHEN 4 THEN 'credential' ELSE 'public' END AS sensitivity, 1 + o_orderkey % 2 AS term, 1 + o_custkey % 2 AS epoch,
+        o_orderkey % 40 AS issued, 30 + o_orderkey % 50 AS authorised_until, 1 + o_orderkey % 3 AS generation, o_orderkey % 17 <> 0 AS known, o_orderkey % 100 AS task_value, o_orderkey % 23 = 0 AS irreversible,
+        CASE o_orderkey % 9 WHEN 0 THEN 'none' WHEN 1 THEN 'hash_only' WHEN 2 THEN 'deterministic_replay' WHEN 3 THEN 'spot_check' WHEN 4 THEN 'n_of_m' WHEN 5 THEN 'domain_verifier' WHEN 6 THEN 'replayable' WHEN 7 THEN 'proof_carrying' ELSE 'manual_review' END AS policy,
+        o_orderkey % 12001 AS rate FROM orders"""),
+    "identity_ops": (["events"], f"""SELECT event_id, user_id AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS now_tick, {K} % 5 AS trust, {K} % 7 <> 0 AS key_fine, 4 + {K} % 9 AS lasts, {K} % 3 <> 0 AS attested,
+        CASE event_type WHEN 'signup' THEN 'approve' WHEN 'view' THEN 'rotate' WHEN 'click' THEN 'readmit' WHEN 'purchase' THEN 'set_trust' ELSE CASE WHEN {K} % 2 = 0 THEN 'revoke' ELSE 'quarantine' END END AS op FROM events"""),
+    "samples": (["events"], f"""SELECT event_id, event_id % 3 AS run, user_id % 4 AS workers, event_type AS workload, value AS e2e, {K} * 1.0 AS submit, {K} * 10 AS payload, 100 + {K} AS controller_rss, 50 + {K} * 2 AS worker_rss, 10 + {K} % 7 AS service_rss,
+        CASE {K} % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 16 END AS concurrency, CASE WHEN user_id % 2 = 0 THEN CAST(4294967296 AS BIGINT) ELSE CAST(1048576 AS BIGINT) END AS aggregate_bytes, {K} % 97 = 0 AS stale FROM events"""),
     "chunks": (["documents"], """SELECT doc_id, i AS chunk_index, sha256(substr(text, i * 256 + 1, 256)) AS digest, length(substr(text, i * 256 + 1, 256)) AS size
         FROM (SELECT doc_id, text, UNNEST_RANGE AS i FROM documents) x"""),
 }
-SPARK_CHUNKS = """SELECT doc_id, i AS chunk_index, sha2(substr(text, CAST(i * 256 + 1 AS INT), 256), 256) AS digest, length(substr(text, CAST(i * 256 + 1 AS INT), 256)) AS size
-  FROM documents LATERAL VIEW explode(sequence(0, CAST((greatest(length(text), 1) - 1) div 256 AS INT))) e AS i"""
+#: Each text is cut once, from front to back: substr() at an offset would scan from the start for every chunk.
+SPARK_CHUNKS = """SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, sha2(piece, 256) AS digest, length(piece) AS size FROM documents
+  LATERAL VIEW posexplode(CASE WHEN length(text) > 0 THEN regexp_extract_all(text, '(?s).{{1,256}}', 0) ELSE array(text) END) e AS i, piece"""
 DUCK_CHUNKS = """SELECT doc_id, i AS chunk_index, sha256(substr(text, i * 256 + 1, 256)) AS digest, length(substr(text, i * 256 + 1, 256)) AS size
   FROM (SELECT doc_id, text, unnest(range(0, (greatest(length(text), 1) - 1) // 256 + 1)) AS i FROM documents)"""
-_BASE = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"}
+BASE = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"}
 
 
 def spark_body(name: str) -> str:
@@ -49,7 +112,7 @@ def duck_body(name: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fleet view (or a driver table) as a DataFrame."""
-    if name in _BASE:
+    if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     source = VIEWS[name][0][0]
     body = spark_body(name).replace(f"FROM {source}", "FROM {source}")
@@ -58,4 +121,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(names: list[str], body: str) -> str:
     """DuckDB SQL over the named views."""
-    return "WITH " + ", ".join(f"{n} AS ({duck_body(n)})" for n in names) + ", " * bool(body.startswith(",")) + " " + body.lstrip(",")
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({duck_body(n)})" for n in names) + ", " * bool(body.startswith(",")) + " " + body.lstrip(",")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.fleet import recoverable
+from fleetlens.operators.folds import fold
 
 
 def dedup(chunks: DataFrame) -> DataFrame:
@@ -30,13 +31,17 @@ def changed(chunks: DataFrame, previous: DataFrame) -> DataFrame:
     return rows.where(~same).groupBy("doc_id").agg(F.count("*").alias("changed"))
 
 
-def repair_plan(catalog: DataFrame, lanes: int, budget: int) -> DataFrame:
-    """Per lane, repair bytes planned in digest order; a job over the budget is skipped, later ones may still fit."""
-    jobs = catalog.where("policy = 'replicated' and healthy < 2 and size > 0").select((F.col("digest") % lanes).alias("lane"), "digest", (F.col("size") * (2 - F.col("healthy"))).alias("bytes"))
-    items = F.array_sort(F.collect_list(F.struct("digest", "bytes")))
-    grouped = jobs.groupBy("lane").agg(F.count("*").alias("jobs"), items.alias("items"))
-    planned = F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: F.when(acc + x["bytes"] <= budget, acc + x["bytes"]).otherwise(acc))
-    return grouped.select("lane", "jobs", planned.alias("planned"))
+def repair_plan(catalog: DataFrame, lanes: int, budget: int, most: int | None = None) -> DataFrame:
+    """Per lane, repair jobs and bytes planned in digest order; a job over the budget is skipped, later ones may still fit,
+    and the plan ends with `most` jobs."""
+
+    def step(s: dict, r: dict) -> None:
+        s["jobs"] += 1
+        if (most is None or s["taken"] < most) and s["planned"] + r["bytes"] <= budget:
+            s["planned"], s["taken"] = s["planned"] + r["bytes"], s["taken"] + 1
+
+    jobs = catalog.where("policy = 'replicated' and healthy < 2 and size > 0").select((F.col("digest") % lanes).cast("long").alias("lane"), "digest", (F.col("size") * (2 - F.col("healthy"))).cast("long").alias("bytes"))
+    return fold(jobs, ["lane"], ["digest"], lambda: dict(jobs=0, planned=0, taken=0), step, "lane long, jobs long, planned long, taken long", lambda key, s: [(*key, s["jobs"], s["planned"], s["taken"])])
 
 
 def inputs_recoverable(inputs: DataFrame, catalog: DataFrame, least: int) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.fleet import has_bits
-from fleetlens.operators.aggregates import histogram_quantiles, latency_histogram
+from fleetlens.operators.aggregates import ewma, histogram_quantiles, latency_histogram
+from fleetlens.operators.scheduling import with_required_bits
 
 TOP_K, MARGIN, SMALL_TASK, FALLBACKS, VARIANTS = 8, 5.0, 5.0, 2, 4
 SLO = {"deadline": 500.0, "p95": 300.0, "p99": 600.0, "failure": 0.2}
@@ -22,9 +22,18 @@ def profiles(observations: DataFrame) -> DataFrame:
     return quantiles.join(failures, KEYS)
 
 
+def predictions(observations: DataFrame, samples: int) -> DataFrame:
+    """profiles() with the moving average, peak memory, throughput, and doubt: the share of `samples` that is missing."""
+    average = ewma(observations, KEYS, F.col("latency_ticks"), [F.desc("ts"), F.desc("event_id")], 0.2, None, 200, "ewma").drop("samples")
+    peak = observations.groupBy(*KEYS).agg(F.max("peak_memory_bytes").alias("peak_memory_bytes"))
+    doubt = F.greatest(F.lit(samples) - F.col("samples"), F.lit(0)) / float(samples)
+    rows = profiles(observations).join(average, KEYS).join(peak, KEYS)
+    return rows.withColumn("throughput", 1 / F.greatest(F.col("ewma"), F.lit(2.220446049250313e-16))).withColumn("doubt", doubt)
+
+
 def eligible(needs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Healthy nodes with all required bits, for each distinct requirement; a few requirements by all nodes."""
-    return needs.join(nodes.where("healthy"), has_bits(F.col("bits"), F.col("required_bits")))
+    """Healthy nodes with all required bits, for each distinct requirement, by the inverted index of bits."""
+    return with_required_bits(needs, nodes.where("healthy"))
 
 
 def rank_candidates(requests: DataFrame, nodes: DataFrame, observations: DataFrame) -> DataFrame:
@@ -64,16 +73,6 @@ def place(requests: DataFrame, nodes: DataFrame, observations: DataFrame) -> Dat
     )
 
 
-def candidate_index(needs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
-    """Nodes with all bits of each requirement by an inverted index: bit to nodes, counted; none required takes all."""
-    of = lambda column: F.filter(F.array(*[F.lit(1 << b) for b in range(bits)]), lambda m: F.col(column).bitwiseAND(m) != 0)
-    wanted = needs.withColumn("m", of("required_bits")).withColumn("n", F.size("m"))
-    filed = nodes.select("node_id", F.explode(of("bits")).alias("bit"))
-    found = wanted.select("required_bits", "n", F.explode("m").alias("bit")).join(filed, "bit").groupBy("required_bits", "n", "node_id").agg(F.count("*").alias("hits"))
-    free = wanted.where("n = 0").select("required_bits").join(nodes.select("node_id"))
-    return found.where("hits = n").select("required_bits", "node_id").unionByName(free)
-
-
 def first_outcome(tried: DataFrame, fallbacks: int) -> DataFrame:
     """Where each task's list of candidates ends: at the first one that isn't rejected, among the first fallbacks + 1."""
     final = F.when(F.col("outcome") != "rejected", F.struct("rank", "outcome"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.folds import fold
+
 
 def transition(state: Column, mutation: Column) -> Column:
     """The next state of a task; a mutation that isn't allowed leaves it."""
@@ -42,10 +44,15 @@ def task_states(mutations: DataFrame) -> DataFrame:
 
 def tick_budget(rows: DataFrame, tick: Column, cost: str, order: list[str], limit: float) -> DataFrame:
     """Per tick, cost admitted while the running sum stays within the limit; what is rejected isn't charged."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("double").alias("c"))))
-    grouped = rows.groupBy(tick.alias("tick")).agg(F.count("*").alias("offered"), items.alias("items"))
-    used = F.aggregate("items", F.lit(0.0), lambda acc, x: F.when(acc + x["c"] <= limit, acc + x["c"]).otherwise(acc))
-    return grouped.select("tick", "offered", used.alias("used"))
+
+    def step(s: dict, r: dict) -> None:
+        s["offered"] += 1
+        if s["used"] + r["cost"] <= limit:
+            s["used"] += r["cost"]
+
+    asked = rows.select(F.unix_micros(tick.cast("timestamp")).alias("tick"), *order, F.col(cost).cast("double").alias("cost"))
+    used = fold(asked, ["tick"], order, lambda: dict(offered=0, used=0.0), step, "tick long, offered long, used double", lambda key, s: [(*key, s["offered"], s["used"])])
+    return used.withColumn("tick", F.timestamp_micros("tick").cast("timestamp_ntz"))
 
 
 def failure_timeline(pulses: DataFrame, suspect_s: int, dead_s: int) -> DataFrame:
@@ -85,14 +92,6 @@ def merkle_roots(rows: DataFrame, segment: Column, order: str, leaf: Column, siz
     return out.select("segment", "leaves", F.get("h", F.lit(0)).alias("root"))
 
 
-def chain_check(rows: DataFrame, key: str, order: list[str], own: Column) -> DataFrame:
-    """Links of each key's chain: each row's previous hash is the hash of the row before it; broken ones counted."""
-    at = Window.partitionBy(key).orderBy(*order)
-    rows = rows.withColumn("hash", F.sha2(own, 256)).withColumn("previous", F.lag("hash", 1, "genesis").over(at))
-    last = F.max_by("hash", F.struct(*order))
-    return rows.groupBy(key).agg(F.count("*").alias("links"), F.count_if(F.col("previous") == "genesis").alias("starts"), last.alias("head"))
-
-
 def count_windows(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """rows with batch: their key's fixed windows of `size` rows, the last of which may be short."""
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -111,10 +110,12 @@ def dwell(rows: DataFrame, key: str, order: list[str], candidate: Column, over:
 
 def integer_pressure(pulses: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Pressure of each key after its last pulse: truncating integer average in hundredths, rounded and at most 100."""
-    log = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("long").alias("p"))))
-    grouped = pulses.groupBy(key).agg(log.alias("log"))
-    last = F.aggregate("log", F.lit(0).cast("long"), lambda a, x: F.floor((8 * a + 200 * x["p"]) / 10).cast("long"))
-    return grouped.select(key, F.least(F.lit(100).cast("long"), F.floor((last + 50) / 100)).alias("pressure"))
+
+    def step(s: dict, r: dict) -> None:
+        s["scaled"] = (8 * s["scaled"] + 200 * r["p"]) // 10
+
+    rows = pulses.select(key, *order, F.col(value).cast("long").alias("p"))
+    return fold(rows, [key], order, lambda: {"scaled": 0}, step, f"{key} long, pressure long", lambda k, s: [(*k, min(100, (s["scaled"] + 50) // 100))])
 
 
 def latest_grants(log: DataFrame) -> DataFrame:

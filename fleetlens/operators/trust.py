@@ -1,23 +1,124 @@
-"""Reputation, votes, authorisations and the reach of a compromised node."""
+"""Trust: identities, authorisation, verification, reputation, votes and the reach of a compromised node."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def reputation(observations: DataFrame, alpha: float = 0.05, seed: float = 0.5) -> DataFrame:
-    """Moving averages per node and capability in closed form; `age` counts from the newest row (1)."""
-    keep = F.pow(F.lit(1 - alpha), F.col("age") - 1) * alpha
-    out = observations.groupBy("node", "capability").agg(F.count("*").alias("samples"), F.sum(keep * F.col("succeeded")).alias("reliability"), F.sum(keep * F.col("mismatch")).alias("mismatch"))
-    return out.withColumn("reliability", F.col("reliability") + F.lit(seed) * F.pow(F.lit(1 - alpha), F.col("samples")))
+from fleetlens.operators.folds import fold
+
+#: Trust levels, and the share of mismatches or corruption and the latency ratio that are anomalies.
+QUARANTINED, UNTRUSTED, RESTRICTED, MANAGED, TRUSTED = range(5)
+ANOMALY_SHARE, ANOMALY_LATENCY = 0.2, 4.0
+
+
+def active_at(tick: Column) -> Column:
+    """An identity's status and validity, both ends included."""
+    return (F.col("status") == "active") & tick.between(F.col("valid_from"), F.col("valid_until"))
+
+
+def authorise(restricted_mode: bool) -> Column:
+    """ok, or the first rule by which a node (identity columns) may not run a task (policy columns)."""
+    sensitive = F.col("sensitivity").isin("confidential", "restricted", "credential")
+    verdict = (
+        F.when(~(F.coalesce(active_at(F.col("now_tick")), F.lit(False)) & (F.col("trust") >= F.col("minimum_trust"))), "identity")
+        .when(~F.col("allow_external") & (F.col("trust") < MANAGED), "external").when(sensitive & (F.col("trust") < MANAGED), "sensitivity")
+        .when((F.col("sensitivity") == "credential") & (F.col("trust") != TRUSTED), "credential").when(~F.col("integrity"), "integrity")
+        .when(F.col("require_attestation") & ~(F.col("attested") & (F.col("attested_until") >= F.col("now_tick"))), "attestation")
+    )
+    if restricted_mode:
+        verdict = verdict.when((F.col("trust") == UNTRUSTED) & (F.col("sensitivity") != "public"), "restricted")
+    return verdict.otherwise("ok")
+
+
+def valid_authorisations(grants: DataFrame, identities: DataFrame, term: int, epoch: int, now: Column) -> DataFrame:
+    """grants (node, term, epoch, issued, authorised_until, generation, known) with valid: current, not revoked, and given to
+    the identity that the node has now."""
+    joined = grants.join(identities.select("node", "status", "valid_from", "valid_until", F.col("generation").alias("own_generation")), "node", "left")
+    valid = (
+        (F.col("term") == term) & (F.col("epoch") == epoch) & now.between(F.col("issued"), F.col("authorised_until")) & F.col("known")
+        & F.coalesce(active_at(now) & (F.col("own_generation") == F.col("generation")), F.lit(False))
+    )
+    return joined.withColumn("valid", valid)
+
+
+def identity_life(ops: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """event_id, outcome and the identity's status, generation and trust after each operation (op, now_tick, trust, key_fine:
+    key material that may be used, lasts: ticks that it would be valid, attested)."""
+
+    def fresh(r: dict, trust: int) -> bool:
+        return r["key_fine"] and r["lasts"] > 0 and trust != QUARANTINED
+
+    def step(s: dict, r: dict) -> tuple:
+        op, ok, now = r["op"], False, r["now_tick"]
+        known = s["status"] is not None
+        if op == "approve":
+            ok = not known and fresh(r, r["trust"])
+            if ok:
+                s.update(status="active", generation=1, trust=r["trust"], until=now + r["lasts"])
+        elif known and op == "rotate":
+            ok = s["status"] == "active" and now <= s["until"] and fresh(r, s["trust"])
+            if ok:
+                s.update(generation=s["generation"] + 1, until=now + r["lasts"])
+        elif known and op == "readmit":
+            ok = s["status"] in ("revoked", "quarantined") and r["attested"] and fresh(r, r["trust"])
+            if ok:
+                s.update(status="active", generation=s["generation"] + 1, trust=r["trust"], until=now + r["lasts"])
+        elif known and op == "set_trust":
+            ok = s["status"] == "active"
+            if ok:
+                s["trust"] = r["trust"]
+        elif known and op in ("revoke", "quarantine"):
+            ok, s["status"] = True, "revoked" if op == "revoke" else "quarantined"
+            if op == "quarantine":
+                s["trust"] = QUARANTINED
+        return r["event_id"], ok, s["status"], s["generation"], s["trust"]
+
+    return fold(ops, keys, order, lambda: dict(status=None, generation=0, trust=None, until=0), step, "event_id long, accepted boolean, status string, generation long, trust long")
+
+
+#: The flags of an observation that are averaged, with their seeds, and those that are anomalies at once.
+AVERAGED = {"succeeded": 0.5, "timed_out": 0.0, "mismatch": 0.0, "corruption": 0.0}
+AT_ONCE = {"forged": "forged_capability", "cancel_refused": "cancel_refused", "unauthorised": "unauthorised_access"}
+
+
+def reputations(observations: DataFrame, keys: list[str], order: list[str], minimum: int, alpha: float = 0.05) -> DataFrame:
+    """Per key: samples, slow averages of four flags, doubt (what is missing of `minimum` samples) and anomalies (sorted names),
+    which stay once they are seen from the minimum on. Observations of no finite latency, or a negative one, don't count."""
+
+    def step(s: dict, r: dict) -> None:
+        ratio = r["latency_ratio"]
+        if ratio is None or not 0 <= ratio < float("inf"):
+            return
+        s["n"] += 1
+        for flag in AVERAGED:
+            s[flag] = (1 - alpha) * s[flag] + alpha * r[flag]
+        if s["n"] >= minimum:
+            s["seen"] |= {name for flag, name in AT_ONCE.items() if r[flag]}
+            s["seen"] |= {name for flag, name in (("mismatch", "result_mismatch"), ("corruption", "resource_corruption")) if s[flag] >= ANOMALY_SHARE}
+            if ratio >= ANOMALY_LATENCY:
+                s["seen"].add("abnormal_latency")
+
+    def finish(key: tuple, s: dict) -> list[tuple]:
+        return [(*key, s["n"], *(s[f] for f in AVERAGED), max(minimum - s["n"], 0) / minimum, ",".join(sorted(s["seen"])))] if s["n"] else []
+
+    types = {f.name: f.dataType.simpleString() for f in observations.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", samples long, " + ", ".join(f"{f} double" for f in AVERAGED) + ", doubt double, anomalies string"
+    return fold(observations, keys, order, lambda: dict(n=0, seen=set(), **AVERAGED), step, schema, finish)
+
+
+def decay(known: DataFrame, ticks: int) -> DataFrame:
+    """Reputations after idle ticks: reliability drifts to one half, the others to zero."""
+    kept = 0.99**ticks
+    return known.withColumns({"succeeded": 0.5 + (F.col("succeeded") - 0.5) * kept, **{c: F.col(c) * kept for c in ("timed_out", "mismatch", "corruption")}})
 
 
-def risk(reputations: DataFrame, nodes: DataFrame, capabilities: list[str]) -> DataFrame:
+def risk(known: DataFrame, nodes: DataFrame, capabilities: list[str]) -> DataFrame:
     """Scheduling risk of every node and capability; unknown ones are 1."""
     wanted = nodes.select("idx", "node_id", F.explode(F.array(*[F.lit(c) for c in capabilities])).alias("capability"))
-    known = reputations.select(F.col("node").alias("idx"), "capability", (1 - F.col("reliability") + 2 * F.col("mismatch")).alias("r"))
-    return wanted.join(known, ["idx", "capability"], "left").select("node_id", "capability", F.coalesce("r", F.lit(1.0)).alias("risk"))
+    cost = (1 - F.col("succeeded")) + F.col("timed_out") + F.col("mismatch") * 2 + F.col("corruption") * 2 + F.col("doubt")
+    joined = wanted.join(known.select(F.col("node").alias("idx"), "capability", cost.alias("r")), ["idx", "capability"], "left")
+    return joined.select("node_id", "capability", F.coalesce("r", F.lit(1.0)).alias("risk"))
 
 
 def n_of_m(votes: DataFrame, required: int, total: int) -> DataFrame:
@@ -27,24 +128,56 @@ def n_of_m(votes: DataFrame, required: int, total: int) -> DataFrame:
     return counted.select("task_id", "votes", status.alias("status"))
 
 
-def authorisations(orders: DataFrame, supplier: DataFrame, at: str, days: int) -> DataFrame:
-    """Grants of each node and those valid at a moment, both ends included."""
-    n = supplier.agg(F.count("*").alias("n"))
-    grants = orders.join(F.broadcast(n)).select((F.col("o_custkey") % F.col("n")).alias("node"), F.col("o_orderdate").alias("issued"))
-    moment = F.lit(at).cast("timestamp_ntz")
-    valid = (F.col("issued") <= moment) & (moment <= F.col("issued") + F.expr(f"interval {days} days"))
-    return grants.groupBy("node").agg(F.count("*").alias("grants"), F.count_if(valid).alias("valid"))
+def same_result(expected: Column, observed: Column) -> Column:
+    """accepted where the digests of two results agree, else quarantined."""
+    return F.when(F.sha2(expected, 256) == F.sha2(observed, 256), "accepted").otherwise("quarantined")
 
 
-def impact(attempts: DataFrame) -> DataFrame:
-    """Tasks and outputs that each node's compromise would touch."""
-    return attempts.groupBy("node").agg(F.countDistinct("task_id").alias("tasks"), F.count("*").alias("outputs"), F.min("task_id").alias("first_task"))
+def close_result(expected: Column, observed: Column, tolerance: float) -> Column:
+    """accepted where two vectors of one length are finite and differ by the tolerance at most anywhere, else quarantined."""
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
+    near = F.forall(F.arrays_zip(expected.alias("e"), observed.alias("o")), lambda p: F.coalesce(finite(p["e"]) & finite(p["o"]) & (F.abs(p["e"] - p["o"]) <= tolerance), F.lit(False)))
+    return F.when((F.size(expected) == F.size(observed)) & near, "accepted").otherwise("quarantined")
 
 
-def decay(reputations: DataFrame, ticks: int) -> DataFrame:
-    """Reputations after idle ticks: reliability drifts to one half, mismatch to zero."""
-    kept = 0.99**ticks
-    return reputations.withColumn("reliability", 0.5 + (F.col("reliability") - 0.5) * kept).withColumn("mismatch", F.col("mismatch") * kept)
+def verification_policy(requested: Column, rate: Column, value: Column, trust: Column, irreversible: Column) -> tuple[Column, Column]:
+    """The policy that a task's value, its worker's trust and its effects call for, and its spot-check rate."""
+    grave = irreversible | (value >= 90)
+    checked = ~grave & (trust <= RESTRICTED) & (value >= 50) & (requested == "none")
+    policy = F.when(grave & requested.isin("none", "hash_only"), "manual_review").when(checked, "spot_check").otherwise(requested)
+    return policy, F.when(checked, F.lit(1000).cast("long")).otherwise(rate.cast("long"))
+
+
+def verification_action(policy: Column, rate: Column) -> Column:
+    """What a policy has done; null for a spot check whose rate isn't 1 to 10,000 basis points."""
+    return (
+        F.when(policy.isin("none", "hash_only"), "accept_digest").when(policy == "deterministic_replay", "replay_on_independent_node").when((policy == "spot_check") & rate.between(1, 10_000), "sample")
+        .when(policy == "n_of_m", "collect_independent_results").when(policy == "domain_verifier", "invoke_domain_verifier").when(policy == "replayable", "validate_replay_artifact")
+        .when(policy == "proof_carrying", "validate_proof").when(policy == "manual_review", "require_manual_review")
+    )
+
+
+def hmac_sha256(key: bytes, payload: Column) -> Column:
+    """HMAC-SHA256 in hex by two nested digests; the key is a literal of the plan, never a column."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, payload.cast("binary")), 256))), 256)
+
+
+def decode_hex(value: Column) -> Column:
+    """The bytes of a hex string of even length in either case, else null."""
+    return F.when(value.rlike("^([0-9a-fA-F]{2})*$"), F.unhex(value))
+
+
+def impact(attempts: DataFrame, grants: DataFrame) -> DataFrame:
+    """What isolating each node touches: tasks, outputs, revoked authorisations, and how many actions follow."""
+    work = attempts.groupBy("node").agg(F.countDistinct("task_id").alias("tasks"), F.count("*").alias("outputs"), F.min("task_id").alias("first_task"))
+    held = grants.where("known").groupBy("node").agg(F.count("*").alias("revoked"))
+    out = work.join(held, "node", "full")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("node", n("tasks").alias("tasks"), n("outputs").alias("outputs"), "first_task", n("revoked").alias("revoked"), (F.lit(4) + (n("tasks") > 0).cast("int")).alias("actions"))
 
 
 def quorum(votes: DataFrame, valid, required: int) -> DataFrame:

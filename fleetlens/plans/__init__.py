@@ -1,2 +1,2 @@
 
-from fleetlens.plans import catalog, extended  # noqa: F401
+from fleetlens.plans import catalog, durability, extended, reports, scheduling, trusted  # noqa: F401

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.functions import fleet
-from fleetlens.functions.views import oracle, view
+from fleetlens.functions.oracles import fold_sql
+from fleetlens.functions.views import BASE, oracle, view
 from fleetlens.operators import aggregates, content, placement, state, trust
 
 QUERIES: dict = {}
@@ -16,7 +17,8 @@ BUCKET = "list_sum(list_transform(range(0, 31), lambda b: CASE WHEN {v} > pow(2,
 def query(name: str, views: list[str], sql: str):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views])
-        ORACLES[name] = oracle([v for v in views if v not in ("events", "documents", "lineitem", "orders", "supplier", "customer")], sql) if any(v not in ("events", "documents", "lineitem", "orders", "supplier", "customer") for v in views) else sql
+        derived = [v for v in views if v not in BASE]
+        ORACLES[name] = oracle(derived, sql) if derived else sql
         return f
 
     return add
@@ -66,17 +68,6 @@ def capability_supply(nodes):
     return nodes.select(F.explode(bits).alias("b")).groupBy(F.col("b").cast("long").alias("bit")).agg(F.count("*").alias("nodes"))
 
 
-@query("priority_order", ["requests"], "SELECT task_id, latency_class, place FROM (SELECT *, row_number() OVER (ORDER BY CASE latency_class WHEN 'soft_realtime' THEN 4 WHEN 'interactive' THEN 3 WHEN 'batch' THEN 2 ELSE 1 END DESC, local_cost DESC, submitted, task_id) AS place FROM requests) WHERE place <= 100")
-def priority_order(requests):
-    """The 100 most urgent requests: a top-k report."""
-    rank = F.when(F.col("latency_class") == "soft_realtime", 4).when(F.col("latency_class") == "interactive", 3).when(F.col("latency_class") == "batch", 2).otherwise(1)
-    from pyspark.sql import Window
-
-    order = [F.desc("rank"), F.desc("local_cost"), "submitted", "task_id"]
-    top = requests.withColumn("rank", rank).orderBy(*order).limit(100)
-    return top.select("task_id", "latency_class", F.row_number().over(Window.orderBy(*order)).alias("place"))
-
-
 @query("latency_histogram", ["observations"], HISTOGRAM + " SELECT * FROM hist")
 def latency_histogram(observations):
     return aggregates.latency_histogram(observations, placement.KEYS, "latency_ticks")
@@ -161,10 +152,14 @@ def gc_candidates(catalog):
     return catalog.where("refs = 0 and retain_until <= 1").orderBy("digest").limit(100).select("digest", "size")
 
 
-@query("repair_plan", ["catalog"], """, todo AS (SELECT digest % 64 AS lane, digest, size * (2 - healthy) AS bytes FROM catalog WHERE policy = 'replicated' AND healthy < 2 AND size > 0)
-SELECT lane, count(*) AS jobs, list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(bytes AS BIGINT) ORDER BY digest)), lambda a, x: CASE WHEN a + x <= 500 THEN a + x ELSE a END) AS planned FROM todo GROUP BY 1""")
+FITS = "r.taken < 12 AND r.planned + l.bytes <= 500"
+
+
+@query("repair_plan", ["catalog"], ", todo AS (SELECT digest % 64 AS lane, digest, CAST(size * (2 - healthy) AS BIGINT) AS bytes FROM catalog WHERE policy = 'replicated' AND healthy < 2 AND size > 0), " + fold_sql("todo", "lane", "digest", {
+    "planned": ("CAST(0 AS BIGINT)", f"r.planned + CASE WHEN {FITS} THEN l.bytes ELSE 0 END"), "taken": ("CAST(0 AS BIGINT)", f"r.taken + CASE WHEN {FITS} THEN 1 ELSE 0 END"),
+}, "l.lane, max(r.n) AS jobs, max(r.planned) AS planned, max(r.taken) AS taken", "n > 0 GROUP BY l.lane"))
 def repair_plan(catalog):
-    return content.repair_plan(catalog, lanes=64, budget=500)
+    return content.repair_plan(catalog, lanes=64, budget=500, most=12)
 
 
 STEP = """CASE WHEN m = 'submit' AND s = 'absent' THEN 'persisted' WHEN m = 'assign' AND s NOT IN ('absent', 'committed', 'failed', 'cancelled', 'output_staged') THEN 'assigned'
@@ -212,41 +207,11 @@ def effect_recovery(attempts):
     return attempts.select("task_id", "attempt", action.alias("action"))
 
 
-REPUTATION = ", rep AS (SELECT node, capability, count(*) AS samples, pow(0.95, count(*)) * 0.5 + sum(0.05 * pow(0.95, age - 1) * succeeded) AS reliability, sum(0.05 * pow(0.95, age - 1) * mismatch) AS mismatch FROM reputation_obs GROUP BY 1, 2)"
-
-
-@query("reputation", ["reputation_obs"], REPUTATION + " SELECT node, capability, samples, round(reliability, 6) AS reliability, round(mismatch, 6) AS mismatch FROM rep")
-def reputation(observations):
-    return rounded(trust.reputation(observations), "reliability", "mismatch")
-
-
-@query("scheduling_risk", ["reputation_obs", "nodes"], REPUTATION + " SELECT n.node_id, c.capability, round(coalesce(1 - r.reliability + 2 * r.mismatch, 1.0), 6) AS risk FROM nodes n CROSS JOIN (SELECT unnest(['A', 'N', 'R', 'X']) AS capability) c LEFT JOIN rep r ON r.node = n.idx AND r.capability = c.capability")
-def scheduling_risk(observations, nodes):
-    return rounded(trust.risk(trust.reputation(observations), nodes, ["A", "N", "R", "X"]), "risk")
-
-
 @query("n_of_m_vote", ["votes"], "SELECT task_id, count(*) AS votes, CASE WHEN max(trusted) IS NULL THEN 'manual_review' WHEN count(*) BETWEEN 2 AND 5 AND sum(CASE WHEN digest = trusted THEN 1 ELSE 0 END) >= 2 THEN 'accepted' ELSE 'quarantined' END AS status FROM votes GROUP BY 1")
 def n_of_m_vote(votes):
     return trust.n_of_m(votes, required=2, total=5)
 
 
-@query("authz_interval", ["orders", "supplier"], """, g AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) AS node, o_orderdate AS issued FROM orders)
-SELECT node, count(*) AS grants, CAST(sum(CASE WHEN TIMESTAMP '1997-01-01' BETWEEN issued AND issued + INTERVAL 30 DAY THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM g GROUP BY 1""".lstrip(", ").join(["WITH ", ""]))
-def authz_interval(orders, supplier):
-    return trust.authorisations(orders, supplier, "1997-01-01", 30)
-
-
-@query("compromise_impact", ["attempts"], "SELECT node, count(DISTINCT task_id) AS tasks, count(*) AS outputs, min(task_id) AS first_task FROM attempts GROUP BY 1")
-def compromise_impact(attempts):
-    return trust.impact(attempts)
-
-
-@query("audit_chain_check", ["events"], """, h AS (SELECT user_id, ts, event_id, sha256(concat_ws(';', CAST(user_id AS VARCHAR), event_type, CAST(event_id AS VARCHAR))) AS hash FROM events)
-SELECT user_id, count(*) AS links, CAST(1 AS BIGINT) AS starts, max_by(hash, event_id) AS head FROM h GROUP BY 1""".lstrip(", ").join(["WITH ", ""]))
-def audit_chain_check(events):
-    return state.chain_check(events, "user_id", ["event_id"], F.concat_ws(";", F.col("user_id").cast("string"), "event_type", F.col("event_id").cast("string")))
-
-
 MERKLE = "WITH RECURSIVE leaves AS (SELECT event_id // 64 AS segment, row_number() OVER (PARTITION BY event_id // 64 ORDER BY event_id) - 1 AS i, sha256(event_type) AS h FROM events), up(segment, lev, hs) AS (SELECT segment, 0, list(h ORDER BY i) FROM leaves GROUP BY 1 UNION ALL SELECT segment, lev + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda j: sha256(hs[2 * j + 1] || ':' || coalesce(hs[2 * j + 2], hs[2 * j + 1]))) FROM up WHERE len(hs) > 1) SELECT u.segment, c.leaves, u.hs[1] AS root FROM up u JOIN (SELECT segment, count(*) AS leaves FROM leaves GROUP BY 1) c USING (segment) WHERE len(u.hs) = 1"
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.functions import fleet
-from fleetlens.operators import aggregates, content, placement, state, trust
-from fleetlens.plans.catalog import REPUTATION, query, rounded
+from fleetlens.operators import aggregates, content, placement, scheduling, state, trust
+from fleetlens.plans.catalog import query, rounded
 
 
 @query("mutation_windows", ["mutations"], "SELECT task_id, (rn - 1) // 25 AS batch, count(*) AS n, min(event_id) AS least, max(event_id) AS most FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS rn FROM mutations) GROUP BY 1, 2")
@@ -68,7 +68,7 @@ def granted_results(attempts):
 
 @query("candidate_index", ["requests", "nodes"], "SELECT r.required_bits, n.node_id FROM (SELECT DISTINCT required_bits FROM requests) r JOIN nodes n ON (n.bits & r.required_bits) = r.required_bits")
 def candidate_index(requests, nodes):
-    return placement.candidate_index(requests.select("required_bits").distinct(), nodes, 8)
+    return scheduling.with_required_bits(requests.select("required_bits").distinct(), nodes).select("required_bits", "node_id")
 
 
 @query("governance_quorum", ["votes"], "SELECT task_id, count(*) AS signers, count(*) >= 3 AND bool_and(digest <> 'R') AS passed FROM votes GROUP BY 1")
@@ -86,12 +86,6 @@ def correctness_gate(observations):
     return observations.groupBy("task_type").agg(F.count_if("failed").alias("failures"), F.bool_and(~F.col("failed")).alias("passed"))
 
 
-@query("decayed_reputation", ["reputation_obs"], REPUTATION + " SELECT node, capability, round(0.5 + (reliability - 0.5) * pow(0.99, 10), 6) AS reliability, round(mismatch * pow(0.99, 10), 6) AS mismatch FROM rep")
-def decayed_reputation(observations):
-    """Reputation after ten idle ticks."""
-    return rounded(trust.decay(trust.reputation(observations), 10), "reliability", "mismatch").select("node", "capability", "reliability", "mismatch")
-
-
 @query("audit_segments", ["events"], "SELECT (event_id - 1) // 1000 AS segment, count(*) AS records, min(event_id) AS first_sequence, max(event_id) AS last_sequence FROM events WHERE event_id >= 1 GROUP BY 1")
 def audit_segments(events):
     return events.where("event_id >= 1").groupBy(F.expr("(event_id - 1) div 1000").alias("segment")).agg(F.count("*").alias("records"), F.min("event_id").alias("first_sequence"), F.max("event_id").alias("last_sequence"))
