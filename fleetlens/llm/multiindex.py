@@ -55,21 +55,25 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 9) -> np.ndarray
     return c
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, budget: int) -> list[int]:
-    """Cells (i * len(d2) + j) by summed distance until they hold `budget` rows; a heap over the sorted halves."""
+def walk(d1: np.ndarray, d2: np.ndarray, counts: list[int], budget: int) -> list[int]:
+    """Cells (i * len(d2) + j) by summed distance until they hold `budget` rows; a heap over the sorted halves. A pair comes
+    on the heap once both pairs before it (of a smaller i, of a smaller j) have left it."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    s1, s2 = d1[o1], d2[o2]
-    heap, pushed, out, held = [(s1[0] + s2[0], 0, 0)], {(0, 0)}, [], 0
+    s1, s2, base, step = d1[o1].tolist(), d2[o2].tolist(), (o1 * len(d2)).tolist(), o2.tolist()
+    rows, columns = len(s1), len(s2)
+    passed = [0] * (rows + 1)  # how many pairs of each i have left the heap: they leave in the order of j
+    heap, out, held = [(s1[0] + s2[0], 0, 0)], [], 0
     while heap and held < budget:
         _, i, j = heapq.heappop(heap)
-        cell = int(o1[i]) * len(d2) + int(o2[j])
+        cell = base[i] + step[j]
         if counts[cell]:
             out.append(cell)
-            held += int(counts[cell])
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(s1) and b < len(s2) and (a, b) not in pushed:
-                pushed.add((a, b))
-                heapq.heappush(heap, (s1[a] + s2[b], a, b))
+            held += counts[cell]
+        passed[i] = j + 1
+        if j + 1 < columns and (i == 0 or passed[i - 1] > j + 1):
+            heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
+        if i + 1 < rows and passed[i + 1] == j:
+            heapq.heappush(heap, (s1[i + 1] + s2[j], i + 1, j))
     return out
 
 
@@ -227,10 +231,11 @@ def search(vectors: DataFrame, is_query, k: int = 5, cells: int | None = None, p
     groups = max(1, -(-asked.count() // QUERIES_A_GROUP))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        many = counts.tolist()
         for pdf in frames:
             for qid, vec, q in zip(pdf["vec_id"], pdf["vec"], unit(pdf["vec"].tolist(), size)):
                 wanted: dict[int, list[int]] = {}
-                for c in walk(*distances(q), counts, budget):
+                for c in walk(*distances(q), many, budget):
                     for b in range(first[c], first[c] + parts[c]):
                         wanted.setdefault(int(b), []).append(c)
                 yield pd.DataFrame({"id": qid, "vec": [vec] * len(wanted), "cells": list(wanted.values()), "block": list(wanted)})

@@ -167,6 +167,19 @@ def test_language_model_by_dictionaries(spark, docs):
         assert sum(p(v, w) for w in vocabulary) == pytest.approx(1.0, rel=1e-9)
 
 
+def test_cells_are_walked_in_the_order_of_summed_distance():
+    rng = np.random.default_rng(6)
+    for rows, columns in ((1, 1), (5, 3), (16, 16), (7, 1)):
+        d1, d2 = rng.integers(0, 9, rows).astype(float), rng.integers(0, 9, columns).astype(float)
+        counts = rng.integers(0, 4, rows * columns).tolist()
+        whole = multiindex.walk(d1, d2, counts, 1 << 30)
+        assert sorted(whole) == [c for c, n in enumerate(counts) if n]
+        far = [d1[c // columns] + d2[c % columns] for c in whole]
+        assert far == sorted(far)
+        few = multiindex.walk(d1, d2, counts, sum(counts) // 2)
+        assert few == whole[: len(few)] and sum(counts[c] for c in few) >= sum(counts) // 2 > sum(counts[c] for c in few[:-1]) - (not few)
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_multi_index_recall_by_a_tuned_probe(spark, clustered):
     rng = np.random.default_rng(5)
