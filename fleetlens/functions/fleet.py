@@ -21,7 +21,7 @@ def bit_length_bucket(value: Column) -> Column:
 
 def backoff(attempt: Column, base: int, most: int) -> Column:
     """base * 2^(attempt - 1), at most `most`, without overflow."""
-    power = F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(40))
+    power = F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(63))
     return F.least(F.lit(most).cast("double"), F.lit(base) * F.pow(F.lit(2.0), power)).cast("long")
 
 

@@ -37,22 +37,55 @@ def ewma(rows: DataFrame, keys: list[str], value: Column, newest_first: list[Col
     return out if seed is None else out.withColumn(name, F.col(name) + F.lit(seed) * F.pow(F.lit(1 - alpha), F.col("samples")))
 
 
+def ranked_values(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """keys, n and, for each of places (a 0-based place in terms of n), the exact value at it among the key's sorted ones.
+
+    Two levels, so that a key's values never meet in one task: counts by ranges of values (an exponent and a few bits, so a key
+    has a bounded number) tell which range holds a place, and only the distinct values of that range are ranked.
+    """
+    v = F.col(value).cast("double")
+    counts = rows.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count("*").alias("c")).withColumn("part", part_of("v"))
+    ranges = counts.groupBy(*keys, "part").agg(F.sum("c").alias("c"))
+    at = Window.partitionBy(*keys).orderBy("part")
+    ranges = ranges.withColumns({"below": F.sum("c").over(at) - F.col("c"), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    asked = ranges.withColumn("place", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), p.cast("long").alias("at")) for name, p in places.items()])))
+    asked = asked.where((F.col("place.at") >= F.col("below")) & (F.col("place.at") < F.col("below") + F.col("c")))
+    wanted = asked.groupBy(*keys, "part", "below", "n").agg(F.collect_list("place").alias("wanted"))
+    near = counts.join(wanted, [*keys, "part"])
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v"))
+    hits = near.withColumn("upto", upto).withColumn("w", F.explode("wanted")).where((F.col("w.at") < F.col("upto")) & (F.col("w.at") >= F.col("upto") - F.col("c")))
+    return hits.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("w.name") == name, F.col("v"))).alias(name) for name in places])
+
+
+def part_of(value: str) -> Column:
+    """An ascending number for ranges of values: sixty-four to a doubling, either side of zero."""
+    v = F.col(value)
+    fine = F.floor(F.log2(F.abs(v)) * 64) + 100_000
+    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.when(v < 0, -fine).otherwise(fine))
+
+
+def nearest_rank(percent: int) -> Column:
+    """The 0-based place of a nearest-rank percentile among n."""
+    return F.greatest(F.ceil(F.col("n") * percent / 100) - 1, F.lit(0))
+
+
+def median(rows: DataFrame, keys: list[str], value: str, name: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """keys, n and the median (the mean of the middle two) under `name`; more: further places by their names."""
+    middle = {"m_low": F.floor((F.col("n") - 1) / 2), "m_high": F.floor(F.col("n") / 2)}
+    out = ranked_values(rows, keys, value, {**middle, **(more or {})})
+    return out.withColumn(name, (F.col("m_low") + F.col("m_high")) / 2).drop("m_low", "m_high")
+
+
 def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact min, median, max, median absolute deviation and nearest-rank p95 and p99."""
-    centre = rows.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5)").alias("median"))
-    near = rows.join(centre, keys)
-    ranks = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(q * 100)}") for q in (0.95, 0.99)]
-    return near.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.max("median").alias("median"), F.expr(f"percentile(abs({value} - median), 0.5)").alias("mad"), *ranks)
+    centre = median(rows, keys, value, "median", {"p95": nearest_rank(95), "p99": nearest_rank(99), "least": F.lit(0), "most": F.col("n") - 1})
+    far = rows.join(centre.select(*keys, "median"), keys).withColumn("far", F.abs(F.col(value) - F.col("median")))
+    return centre.join(median(far, keys, "far", "mad").drop("n"), keys)
 
 
 def indexed_percentile(rows: DataFrame, keys: list[str], value: str, percent: int) -> DataFrame:
-    """The value at index (n - 1) * percent // 100 of the sorted ones, from counts of equal values."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(value))
-    total = F.sum("c").over(Window.partitionBy(*keys))
-    ranked = counts.select(*keys, value, upto.alias("upto"), total.alias("total"))
-    wanted = F.expr(f"(total - 1) * {percent} div 100")
-    return ranked.where(F.col("upto") > wanted).groupBy(*keys).agg(F.max("total").alias("n"), F.min(value).alias(f"i{percent}"))
+    """The value at index (n - 1) * percent // 100 of the sorted ones."""
+    return ranked_values(rows, keys, value, {f"i{percent}": F.floor((F.col("n") - 1) * percent / 100)})
 
 
 def bit_length_histogram(rows: DataFrame, value: Column) -> DataFrame:
@@ -71,4 +104,4 @@ def noise_class(summary: DataFrame, gate: Column) -> DataFrame:
 def median_of_most(rows: DataFrame, keys: list[str], run: list[str], value: str) -> DataFrame:
     """The largest value of each run, and the median over the runs."""
     most = rows.groupBy(*keys, *run).agg(F.max(value).alias("most"))
-    return most.groupBy(*keys).agg(F.expr("percentile(most, 0.5)").alias("median_of_most"))
+    return median(most, keys, "most", "median_of_most").drop("n")

@@ -1,18 +1,14 @@
-"""Where work should run: capability filter, coarse top-k, variants, profiles, service levels and risk-adjusted rank."""
+"""Performance profiles of task types and variants, and where a list of candidates ends."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.aggregates import ewma, histogram_quantiles, latency_histogram
 from fleetlens.operators.scheduling import with_required_bits
 
-TOP_K, MARGIN, SMALL_TASK, FALLBACKS, VARIANTS = 8, 5.0, 5.0, 2, 4
-SLO = {"deadline": 500.0, "p95": 300.0, "p99": 600.0, "failure": 0.2}
 KEYS = ["task_type", "variant_id", "input_bucket"]
-#: A variant's cost besides its execution (queue, round trip, prewarm, commit and jitter 1 each).
-OVERHEAD, JITTER, RECOVERY, ENERGY, VARIANT_FAILURE = 5.0, 1.0, 10.0, 1.0, 0.01
 
 
 def profiles(observations: DataFrame) -> DataFrame:
@@ -36,43 +32,6 @@ def eligible(needs: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_required_bits(needs, nodes.where("healthy"))
 
 
-def rank_candidates(requests: DataFrame, nodes: DataFrame, observations: DataFrame) -> DataFrame:
-    """Candidates of each distinct (bits, type, bucket, class) in risk order: a table of bounded size.
-
-    Candidates depend on these columns alone, so the theta join with the nodes and the lossy top-k run once for each
-    kind of request instead of once for each request.
-    """
-    needs = requests.select("required_bits").distinct()
-    near = eligible(needs, nodes).withColumn("place", F.row_number().over(Window.partitionBy("required_bits").orderBy("pressure", "node_id"))).where(F.col("place") <= TOP_K)
-    kinds = requests.select("required_bits", "task_type", "input_bucket", "latency_class").distinct()
-    variants = near.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))).withColumn("variant_id", F.concat(F.lit("v"), F.col("v").cast("string")))
-    rows = kinds.join(variants, "required_bits").join(profiles(observations), KEYS, "left")
-    execution = F.lit(10.0) + F.col("v")
-    failure = F.greatest(F.coalesce("failure", F.lit(VARIANT_FAILURE)), F.lit(VARIANT_FAILURE))
-    p50, p95, p99 = (F.coalesce(p, execution + k * JITTER) for k, p in enumerate(("p50", "p95", "p99")))
-    kept = (execution + OVERHEAD <= SLO["deadline"]) & (p95 <= SLO["p95"]) & (p99 <= SLO["p99"]) & (failure <= SLO["failure"])
-    cost = OVERHEAD + p50 + failure * RECOVERY
-    doubt = F.when(F.col("samples").isNull(), F.when(F.col("latency_class") == "soft_realtime", 50.0).otherwise(10.0)).otherwise(0.0)
-    rows = rows.where(kept).withColumn("remote_cost", cost).withColumn("risk_cost", cost + doubt + ENERGY)
-    order = Window.partitionBy("required_bits", "task_type", "input_bucket", "latency_class").orderBy("risk_cost", "node_id", "v")
-    return rows.withColumn("rank", F.row_number().over(order)).select("required_bits", "task_type", "input_bucket", "latency_class", "rank", "node_id", "variant_id", "remote_cost", "risk_cost")
-
-
-def place(requests: DataFrame, nodes: DataFrame, observations: DataFrame) -> DataFrame:
-    """A row for each request: its best profitable candidate and the fallbacks after it, else local."""
-    kind = ["required_bits", "task_type", "input_bucket", "latency_class"]
-    lists = rank_candidates(requests, nodes, observations).groupBy(*kind).agg(F.array_sort(F.collect_list(F.struct("rank", "node_id", "variant_id", "remote_cost", "risk_cost"))).alias("c"))
-    joined = requests.join(lists, kind, "left")
-    good = F.filter("c", lambda c: F.col("local_cost") > c["remote_cost"] + MARGIN)
-    joined = joined.withColumn("good", F.when(F.col("local_cost") > SMALL_TASK, good))
-    first = F.get("good", F.lit(0))
-    return joined.select(
-        "task_id", F.coalesce(first["node_id"], F.lit("local")).alias("node_id"), first["variant_id"].alias("variant_id"), F.round(first["risk_cost"], 6).alias("risk_cost"),
-        F.coalesce(F.least(F.greatest(F.size("good") - 1, F.lit(0)), F.lit(FALLBACKS)), F.lit(0)).cast("long").alias("fallbacks"),
-        F.round(F.col("local_cost") - first["remote_cost"] - MARGIN, 6).alias("gain"),
-    )
-
-
 def first_outcome(tried: DataFrame, fallbacks: int) -> DataFrame:
     """Where each task's list of candidates ends: at the first one that isn't rejected, among the first fallbacks + 1."""
     final = F.when(F.col("outcome") != "rejected", F.struct("rank", "outcome"))

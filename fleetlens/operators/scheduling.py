@@ -108,6 +108,8 @@ def scarcity(needs: DataFrame, nodes: DataFrame, least: int = 2, penalty: float
 def candidates(kinds: DataFrame, nodes: DataFrame, variants: DataFrame, predictions: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The costed candidates of each kind (a table of kind, ..., number in order of evaluation) and evaluated, how many were looked at."""
     pairs = hard_nodes(with_required_bits(kinds, nodes.withColumnRenamed("content_a", "has_a").withColumnRenamed("content_b", "has_b")))
+    plugins = variants.groupBy("idx").agg(F.collect_set("generation").alias("generations"))  # the plugin index, by node
+    pairs = pairs.join(plugins, "idx").where(F.col("required_generation").isNull() | F.array_contains("generations", F.col("required_generation"))).drop("generations")
     here = (F.col("has_a") == F.col("content_a")).cast("int") + (F.col("has_b") == F.col("content_b")).cast("int")
     coarse = Window.partitionBy("kind").orderBy(F.col("pressure") - 5.0 * here, "node_id")
     near = pairs.withColumn("place", F.row_number().over(coarse)).where(F.col("place") <= min(limits.top_k, limits.max_operations))

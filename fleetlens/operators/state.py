@@ -1,4 +1,4 @@
-"""Event-sourced folds: task states, budgets, failure timelines, fencing and hash chains."""
+"""Event-sourced state: budgets, silences, fencing, Merkle roots, windows and grants."""
 
 from __future__ import annotations
 
@@ -8,40 +8,6 @@ from pyspark.sql import functions as F
 from fleetlens.operators.folds import fold
 
 
-def transition(state: Column, mutation: Column) -> Column:
-    """The next state of a task; a mutation that isn't allowed leaves it."""
-    live = ~state.isin("absent", "committed", "failed", "cancelled")
-    return (
-        F.when((mutation == "submit") & (state == "absent"), F.lit("persisted"))
-        .when((mutation == "assign") & live & (state != "output_staged"), F.lit("assigned"))
-        .when((mutation == "running") & (state == "assigned"), F.lit("running"))
-        .when((mutation == "stage") & state.isin("assigned", "running"), F.lit("output_staged"))
-        .when((mutation == "commit") & (state == "output_staged"), F.lit("committed"))
-        .when((mutation == "fail") & live, F.lit("failed"))
-        .when((mutation == "recover") & live, F.lit("recovery_required"))
-        .when((mutation == "cancel") & live, F.lit("cancelled"))
-        .otherwise(state)
-    )
-
-
-def task_states(mutations: DataFrame) -> DataFrame:
-    """Final state, accepted and rejected mutations of each task, folded in the order of (ts, event_id).
-
-    A task's own log is what the fold holds; logs are short and tasks many, so keys stay fine-grained.
-    """
-    log = F.array_sort(F.collect_list(F.struct("ts", "event_id", "mutation")))
-    start = F.struct(F.lit("absent").alias("state"), F.lit(0).cast("long").alias("accepted"))
-
-    def step(acc: Column, m: Column) -> Column:
-        state = transition(acc["state"], m["mutation"])
-        moved = (state != acc["state"]) | ((m["mutation"] == "assign") & (acc["state"] == "assigned")) | ((m["mutation"] == "recover") & (acc["state"] == "recovery_required"))
-        return F.struct(state.alias("state"), (acc["accepted"] + moved.cast("long")).alias("accepted"))
-
-    grouped = mutations.groupBy("task_id").agg(log.alias("log"))
-    folded = grouped.select("task_id", F.size("log").cast("long").alias("mutations"), F.aggregate("log", start, step).alias("s"))
-    return folded.select("task_id", F.col("s.state").alias("state"), "mutations", F.col("s.accepted").alias("accepted"))
-
-
 def tick_budget(rows: DataFrame, tick: Column, cost: str, order: list[str], limit: float) -> DataFrame:
     """Per tick, cost admitted while the running sum stays within the limit; what is rejected isn't charged."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +141,16 @@ def close_result(expected: Column, observed: Column, tolerance: float) -> Column
     return F.when((F.size(expected) == F.size(observed)) & near, "accepted").otherwise("quarantined")
 
 
+def domain_verifier(verify):
+    """A function of two columns (expected and observed bytes) that asks verify(expected, observed) of a domain: Arrow batches, as
+    only its owner knows the rule. A row with a null on either side isn't verified."""
+
+    def run(expected: pd.Series, observed: pd.Series) -> pd.Series:
+        return pd.Series([None if e is None or o is None else bool(verify(bytes(e), bytes(o))) for e, o in zip(expected, observed)], dtype="object")
+
+    return F.pandas_udf(run, "boolean")
+
+
 def verification_policy(requested: Column, rate: Column, value: Column, trust: Column, irreversible: Column) -> tuple[Column, Column]:
     """The policy that a task's value, its worker's trust and its effects call for, and its spot-check rate."""
     grave = irreversible | (value >= 90)

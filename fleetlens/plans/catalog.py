@@ -34,26 +34,6 @@ PROFILE = HISTOGRAM + """, run AS (SELECT *, sum(n) OVER (PARTITION BY task_type
     pow(2.0, min(CASE WHEN upto >= greatest(1, ceil(total * 50 / 100)) THEN bucket END)) AS p50, pow(2.0, min(CASE WHEN upto >= greatest(1, ceil(total * 95 / 100)) THEN bucket END)) AS p95,
     pow(2.0, min(CASE WHEN upto >= greatest(1, ceil(total * 99 / 100)) THEN bucket END)) AS p99 FROM run GROUP BY 1, 2, 3)
 , profile AS (SELECT q.*, f.failure FROM quant q JOIN (SELECT task_type, variant_id, input_bucket, avg(CAST(failed AS DOUBLE)) AS failure FROM observations GROUP BY 1, 2, 3) f USING (task_type, variant_id, input_bucket))"""
-PLACE = PROFILE + f""", near AS (
-  SELECT * FROM (SELECT r.required_bits, n.node_id, n.pressure, row_number() OVER (PARTITION BY r.required_bits ORDER BY n.pressure, n.node_id) AS place
-    FROM (SELECT DISTINCT required_bits FROM requests) r JOIN nodes n ON n.healthy AND (n.bits & r.required_bits) = r.required_bits) WHERE place <= {placement.TOP_K})
-, cand AS (
-  SELECT k.*, n.node_id, v.v, 'v' || v.v AS variant_id, greatest(coalesce(p.failure, 0.01), 0.01) AS failure, p.samples, coalesce(p.p50, 10.0 + v.v) AS p50, coalesce(p.p95, 11.0 + v.v) AS p95, coalesce(p.p99, 12.0 + v.v) AS p99
-  FROM (SELECT DISTINCT required_bits, task_type, input_bucket, latency_class FROM requests) k JOIN near n USING (required_bits) CROSS JOIN (SELECT unnest(range(0, 4)) AS v) v
-  LEFT JOIN profile p ON p.task_type = k.task_type AND p.variant_id = 'v' || v.v AND p.input_bucket = k.input_bucket)
-, costed AS (
-  SELECT *, 5.0 + p50 + failure * 10.0 AS remote_cost, 5.0 + p50 + failure * 10.0 + CASE WHEN samples IS NULL THEN CASE WHEN latency_class = 'soft_realtime' THEN 50.0 ELSE 10.0 END ELSE 0.0 END + 1.0 AS risk_cost
-  FROM cand WHERE 15.0 + v <= 500 AND p95 <= 300 AND p99 <= 600 AND failure <= 0.2)
-, ranked AS (
-  SELECT r.task_id, r.local_cost, c.node_id, c.variant_id, c.remote_cost, c.risk_cost, row_number() OVER (PARTITION BY r.task_id ORDER BY c.risk_cost, c.node_id, c.v) AS rk, count(*) OVER (PARTITION BY r.task_id) AS many
-  FROM requests r JOIN costed c USING (required_bits, task_type, input_bucket, latency_class) WHERE r.local_cost > 5 AND r.local_cost > c.remote_cost + 5)
-SELECT r.task_id, coalesce(k.node_id, 'local') AS node_id, k.variant_id, round(k.risk_cost, 6) AS risk_cost, CAST(CASE WHEN k.many IS NULL THEN 0 ELSE least(k.many - 1, 2) END AS BIGINT) AS fallbacks, round(r.local_cost - k.remote_cost - 5, 6) AS gain
-FROM requests r LEFT JOIN (SELECT * FROM ranked WHERE rk = 1) k USING (task_id)"""
-
-
-@query("placement_topk", ["requests", "nodes", "observations"], PLACE)
-def placement_topk(requests, nodes, observations):
-    return placement.place(requests, nodes, observations)
 
 
 @query("eligible_nodes", ["requests", "nodes"], "SELECT r.task_id, coalesce(e.n, 0) AS nodes FROM requests r LEFT JOIN (SELECT q.required_bits, count(*) AS n FROM (SELECT DISTINCT required_bits FROM requests) q JOIN nodes n ON n.healthy AND (n.bits & q.required_bits) = q.required_bits GROUP BY 1) e USING (required_bits)")
@@ -162,16 +142,6 @@ def repair_plan(catalog):
     return content.repair_plan(catalog, lanes=64, budget=500, most=12)
 
 
-STEP = """CASE WHEN m = 'submit' AND s = 'absent' THEN 'persisted' WHEN m = 'assign' AND s NOT IN ('absent', 'committed', 'failed', 'cancelled', 'output_staged') THEN 'assigned'
- WHEN m = 'running' AND s = 'assigned' THEN 'running' WHEN m = 'stage' AND s IN ('assigned', 'running') THEN 'output_staged' WHEN m = 'commit' AND s = 'output_staged' THEN 'committed'
- WHEN m = 'fail' AND s NOT IN ('absent', 'committed', 'failed', 'cancelled') THEN 'failed' WHEN m = 'recover' AND s NOT IN ('absent', 'committed', 'failed', 'cancelled') THEN 'recovery_required' ELSE s END"""
-
-
-@query("task_state", ["mutations"], f"SELECT task_id, list_reduce(list_prepend('absent', list(mutation ORDER BY ts, event_id)), lambda s, m: {STEP}) AS state, count(*) AS mutations FROM mutations GROUP BY 1")
-def task_state(mutations):
-    return state.task_states(mutations).select("task_id", "state", "mutations")
-
-
 @query("tick_budget", ["events"], "SELECT date_trunc('hour', ts) AS tick, count(*) AS offered, round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(value ORDER BY ts, event_id)), lambda a, x: CASE WHEN a + x <= 500 THEN a + x ELSE a END), 6) AS used FROM events GROUP BY 1")
 def tick_budget(events):
     return rounded(state.tick_budget(events, F.date_trunc("hour", "ts").cast("timestamp_ntz"), "value", ["ts", "event_id"], 500.0), "used")
@@ -189,7 +159,7 @@ def network_degradation(pulses):
     return pulses.select("event_id", fleet.degradation(F.col("k"), F.lit(0), F.col("health") == "overloaded").alias("degradation"), fleet.remote_load_action(F.col("k"), 70).alias("remote_load"))
 
 
-@query("backoff_schedule", ["attempts"], "SELECT task_id, attempt, CAST(least(20, 5 * pow(2, least(attempt - 1, 40))) AS BIGINT) AS backoff FROM attempts")
+@query("backoff_schedule", ["attempts"], "SELECT task_id, attempt, CAST(least(20, 5 * pow(2, least(attempt - 1, 63))) AS BIGINT) AS backoff FROM attempts")
 def backoff_schedule(attempts):
     return attempts.select("task_id", "attempt", fleet.backoff(F.col("attempt"), 5, 20).alias("backoff"))
 

@@ -33,10 +33,16 @@ def telemetry_counters(events):
     return events.groupBy(F.col("user_id").alias("node"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("tick"), F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("worker_load", ["attempts"], "SELECT node, CAST(sum(CASE WHEN active THEN 1 ELSE 0 END) AS BIGINT) AS running, CAST(sum(CASE WHEN NOT active THEN 1 ELSE 0 END) AS BIGINT) AS done, CASE WHEN max(CASE WHEN active THEN 1 ELSE 0 END) = 0 THEN 'ready' ELSE 'busy' END AS health, sum(CASE WHEN active THEN l_quantity ELSE 0 END) AS reserved FROM attempts GROUP BY 1")
+@query("worker_load", ["attempts"], """SELECT node, CAST(sum(CASE WHEN active AND l_quantity < 30 THEN 1 ELSE 0 END) AS BIGINT) AS running, CAST(sum(CASE WHEN active AND l_quantity >= 30 AND l_returnflag = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS ready,
+ CAST(sum(CASE WHEN active AND l_quantity >= 30 AND l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS waiting, CAST(sum(CASE WHEN active AND l_quantity >= 30 AND l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS blocked,
+ CASE WHEN max(CASE WHEN active AND l_quantity < 30 THEN 1 ELSE 0 END) = 0 THEN 'ready' ELSE 'busy' END AS health, sum(CASE WHEN active THEN l_quantity ELSE 0 END) AS reserved FROM attempts GROUP BY 1""")
 def worker_load(attempts):
-    running = F.count_if("active")
-    return attempts.groupBy("node").agg(running.alias("running"), F.count_if(~F.col("active")).alias("done"), F.when(running == 0, "ready").otherwise("busy").alias("health"), F.sum(F.when(F.col("active"), F.col("l_quantity")).otherwise(0.0)).alias("reserved"))
+    """A worker's tasks by state; it is ready only while none runs."""
+    queued = F.col("active") & (F.col("l_quantity") >= 30)
+    running = F.count_if(F.col("active") & (F.col("l_quantity") < 30))
+    states = [F.count_if(queued & (F.col("l_returnflag") == flag)).alias(name) for flag, name in (("A", "ready"), ("N", "waiting"), ("R", "blocked"))]
+    reserved = F.sum(F.when(F.col("active"), F.col("l_quantity")).otherwise(0.0)).alias("reserved")
+    return attempts.groupBy("node").agg(running.alias("running"), *states, F.when(running == 0, "ready").otherwise("busy").alias("health"), reserved)
 
 
 @query("inputs_recoverable", ["orders", "catalog"], """, inputs AS (SELECT o_custkey, o_orderkey FROM orders)

@@ -18,7 +18,7 @@ KINDS = f"kinds AS (SELECT row_number() OVER () AS kid, * FROM (SELECT DISTINCT
 PREDICTED = """predicted AS (SELECT p.*, greatest(20 - p.samples, 0) / 20.0 AS doubt, e.ewma, e.peak FROM profile p JOIN (SELECT task_type, variant_id, input_bucket, max(peak_memory_bytes) AS peak,
   list_reduce(list(latency_ticks ORDER BY ts, event_id), lambda a, x: a * 0.8 + x * 0.2) AS ewma FROM observations GROUP BY 1, 2, 3) e USING (task_type, variant_id, input_bucket))"""
 RANKED = f"""{KINDS}, {RARE}, {HARD}
-, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kid ORDER BY pressure - 5 * here, node_id) AS place FROM hard) WHERE place <= 4)
+, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kid ORDER BY pressure - 5 * here, node_id) AS place FROM hard h WHERE h.required_generation IS NULL OR h.idx IN (SELECT idx FROM sched_variants p WHERE p.generation = h.required_generation)) WHERE place <= 4)
 , looked AS (SELECT * FROM (SELECT n.*, v.* EXCLUDE (idx), row_number() OVER (PARTITION BY kid ORDER BY place, v) AS number FROM near n JOIN sched_variants v USING (idx)) WHERE number <= 12)
 , fit AS (SELECT l.*, queue + rtt + input_transfer + execution + output_transfer + prewarm + commit_cost + recovery + jitter AS total, greatest(coalesce(p.failure, base_failure), base_failure) AS failure,
   coalesce(p.p50, execution) AS p50, coalesce(p.p95, execution + jitter) AS p95, coalesce(p.p99, execution + 2 * jitter) AS p99, coalesce(p.doubt, 1.0) AS doubt

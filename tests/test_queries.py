@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import fleet
-from fleetlens.operators import content, state
+from fleetlens.operators import content
 from fleetlens.plans import catalog
 from tests.oracle_check import compare
 
@@ -21,13 +21,6 @@ def test_latency_bucket_edges(spark, value, bucket):
     assert spark.createDataFrame([(value,)], "v double").select(fleet.latency_bucket(F.col("v"))).first()[0] == bucket
 
 
-@pytest.mark.parametrize("log,final,accepted", [(["submit", "assign", "running", "stage", "commit"], "committed", 5), (["assign"], "absent", 0), (["submit", "stage"], "persisted", 1), (["submit", "assign", "stage", "assign"], "output_staged", 3), (["submit", "cancel", "assign"], "cancelled", 2), (["submit", "recover", "assign"], "assigned", 3)])
-def test_transitions(spark, log, final, accepted):
-    rows = spark.createDataFrame([(1, i, i, m) for i, m in enumerate(log)], "task_id long, ts long, event_id long, mutation string")
-    out = state.task_states(rows).first()
-    assert (out.state, out.accepted) == (final, accepted)
-
-
 def test_repair_skips_what_overflows_and_goes_on(spark):
     rows = spark.createDataFrame([(0, 8, 1, "replicated"), (1, 9, 1, "replicated"), (2, 2, 1, "replicated")], "digest long, size long, healthy long, policy string")
     assert content.repair_plan(rows, 1, 10).first().planned == 10
