@@ -24,11 +24,16 @@ def next_pulse(health: Column, pressure: Column, detector: Detector) -> Column:
     return F.when(calm, detector.stable).otherwise(detector.active)
 
 
-def detect(rows: DataFrame, keys: list[str], order: list[str], detector: Detector = Detector()) -> DataFrame:
-    """event_id, before (health when the row comes, after the silence until then), disposition, and health and pressure after.
+DETECTED = "event_id long, before string, disposition string, health string, pressure long"
 
-    A pulse of another version makes the member incompatible and doesn't end its silence; an accepted one restores any state.
-    """
+
+def unseen() -> dict:
+    """A member before its first registration."""
+    return dict(health=None, version=None, tick=0, pressure=None)
+
+
+def observe(detector: Detector):
+    """The step of a member's state by a registration or pulse; gives a row of DETECTED."""
 
     def step(s: dict, r: dict) -> tuple:
         if s["health"] is not None:
@@ -47,7 +52,15 @@ def detect(rows: DataFrame, keys: list[str], order: list[str], detector: Detecto
             s.update(health=r["health"], tick=r["tick"], pressure=r["pressure"])
         return r["event_id"], before, disposition, s["health"], s["pressure"]
 
-    return fold(rows, keys, order, lambda: dict(health=None, version=None, tick=0, pressure=None), step, "event_id long, before string, disposition string, health string, pressure long")
+    return step
+
+
+def detect(rows: DataFrame, keys: list[str], order: list[str], detector: Detector = Detector()) -> DataFrame:
+    """event_id, before (health when the row comes, after the silence until then), disposition, and health and pressure after.
+
+    A pulse of another version makes the member incompatible and doesn't end its silence; an accepted one restores any state.
+    """
+    return fold(rows, keys, order, unseen, observe(detector), DETECTED)
 
 
 def leader_score(capacity: Column, p95: Column, sleep_risk: Column, healthy: Column, trusted: Column) -> Column:

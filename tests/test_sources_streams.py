@@ -1,10 +1,12 @@
 """Round trips of log segments, and streams whose final state is the batch result."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.functions.views import view
+from fleetlens.operators import ha
 from fleetlens.sources import wal
-from fleetlens.streaming import pulses
+from fleetlens.streaming import folds, pulses
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +49,15 @@ def test_stream_ends_as_batch(spark, tmp_path, form):
     running.awaitTermination(120)
     assert running.exception() is None
     assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, form(rows).collect()))
+
+
+def test_detector_over_a_stream_ends_as_the_batch(spark, tmp_path):
+    beats = view(spark, SF, "beats").select("node", "event_id", "op", "version", "health", "pressure", F.col("tick").cast("long").alias("tick")).cache()
+    cuts = beats.approxQuantile("tick", [0.5], 0.0)[0]
+    for i, part in enumerate((beats.where(F.col("tick") <= cuts), beats.where(F.col("tick") > cuts))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    query = folds.detect(stream).writeStream.format("memory").queryName("detected").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    batch = ha.detect(beats, ["node"], ["tick", "event_id"])
+    assert sorted(map(repr, spark.table("detected").collect())) == sorted(map(repr, batch.collect()))
