@@ -295,7 +295,7 @@ def _level(rows: DataFrame, capacity: int, block: int, islands: int, epochs: int
     return written(placed, "pack-level")
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = 2, epochs: int = 2, generations: int = 12, levels: int = 2, seed: int = 1) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = 2, epochs: int = 2, generations: int = 5, levels: int = 2, seed: int = 1) -> DataFrame:
     """A table of pieces (with length) with sequence_id and offset, to which columns of these names give way; every other
     column passes through, whatever its name."""
     cut = cut.drop("sequence_id", "offset")
