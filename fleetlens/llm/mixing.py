@@ -13,7 +13,8 @@ word target. All draws are seeded by source and block, and blocks are cut by a h
 cluster.
 
 Defined cases: null text has size 0; null source is a source; null doc_ids are dealt to blocks by row; repeated rows
-are sampled each; an empty table gives an empty result. Other columns pass through.
+are sampled each; an empty table gives an empty result. Other columns pass through, whatever their names; those named as
+an added one give way to it.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ words (the end included) and one unknown:
 A context never seen in training leaves p(w). The first word's context is the text's begin, the last token is its end.
 
 Defined cases: null text is empty, which is the end alone; without training text every token is unknown and has
-p = 1; null doc_ids are trained on; repeated rows count each; an empty table gives an empty result.
+p = 1; null doc_ids are trained on; repeated rows count each; an empty table gives an empty result. Other columns pass
+through, whatever their names; n_tokens, n_known, base_score, score and perplexity give way to the added ones.
 """
 
 from __future__ import annotations

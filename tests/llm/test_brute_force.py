@@ -247,16 +247,19 @@ def test_quality_verdicts_by_plain_quantiles(spark):
     out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rules).collect()
     measures = {"symbols": lambda r: r.n_symbols / r.n_words, "dup": lambda r: r.n_dup_lines / r.n_lines, "repeat": lambda r: r.n_repeat_words / r.n_words, "length": lambda r: r.word_chars / r.n_words}
     slack = {"symbols": rules.symbol_slack, "dup": rules.dup_slack, "repeat": rules.repeat_slack, "length": rules.length_slack}
-    sure = 0
+    sure, quartiles = 0, {}
+    for name, f in measures.items():
+        for lang, source in {(r.lang, r.source) for r in out}:
+            peers = [x for x in out if not x.base_failed and (x.lang, x.source) == (lang, source)]
+            peers = peers if len(peers) >= 120 else [x for x in out if not x.base_failed and x.lang == lang]
+            v = sorted(map(f, peers))
+            quartiles[name, lang, source] = [v[math.floor(q * (len(v) - 1))] for q in (0.25, 0.5, 0.75)]
     for r in out:
         lines = (r.text or "").split("\n")
         assert r.n_lines == len(lines) and r.n_dup_lines == len(lines) - len(set(lines)) and r.n_symbols == len(re.findall(r"[#*$%&|<>]", r.text))
         verdict, near = not r.base_failed, False
         for name, f in measures.items() if verdict else ():
-            peers = [x for x in out if not x.base_failed and (x.lang, x.source) == (r.lang, r.source)]
-            peers = peers if len(peers) >= 120 else [x for x in out if not x.base_failed and x.lang == r.lang]
-            v = sorted(map(f, peers))
-            q25, q50, q75 = (v[math.floor(q * (len(v) - 1))] for q in (0.25, 0.5, 0.75))
+            q25, q50, q75 = quartiles[name, r.lang, r.source]
             reach, error = rules.k * (q75 - q25) + slack[name], quality.ALPHA * (q50 + rules.k * (q25 + q75)) * 1.01 + 1e-9
             excess = abs(f(r) - q50) - reach if name == "length" else f(r) - q50 - reach
             near |= abs(excess) <= error

@@ -79,7 +79,9 @@ def test_stages_by_plain_python(spark, sf_dir):
     assert max(ends.values()) <= 1024 and len(ends) <= np.ceil(1.01 * sum(ends.values()) / 1024) + 1
 
 
-def test_two_runs_are_read_in_either_order_and_agree(spark, sf_dir):
+def test_two_runs_are_read_in_either_order_and_agree(spark, sf_dir, monkeypatch):
+    """What a run writes and removes is its own: shown by the stages that take least time."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [x for x in corpus_pipeline.STAGES if x[0] in ("quality", "mixing", "packing")])
     one, two = corpus_pipeline.run(spark, sf_dir), corpus_pipeline.run(spark, sf_dir)
     pick = lambda df: as_rows(df.select("doc_id", "piece", "start", "length", "ids_crc32"))
     second, first = pick(two), pick(one)
