@@ -44,10 +44,11 @@ def migration(leader_only: Column, dead: Column, standby: Column, has_checkpoint
 
 
 def lineage(checkpoints: DataFrame, key: str, order: list[str], same: list[str]) -> DataFrame:
-    """checkpoints with fits: a baseline stands alone; another needs one before it with a smaller sequence and equal `same`."""
+    """checkpoints with fits: a baseline stands alone; another needs one before it with a smaller sequence and equal `same`,
+    which is a baseline itself or follows one."""
     at = Window.partitionBy(key).orderBy(*order)
     before = lambda c: F.lag(c).over(at)
-    follows = before("sequence").isNotNull() & (before("sequence") < F.col("sequence"))
+    follows = before("sequence").isNotNull() & (before("sequence") < F.col("sequence")) & (before("baseline") | F.lag("sequence", 2).over(at).isNotNull())
     for c in same:
         follows = follows & (before(c) == F.col(c))
     return checkpoints.withColumn("fits", F.col("baseline") | F.coalesce(follows, F.lit(False)))

@@ -213,7 +213,7 @@ def session_migration(sessions):
     return sessions.select("host", "seq", recovery.migration(c("leader_only"), c("dead"), c("standby"), c("has_checkpoint"), c("benefit"), c("cost")).alias("decision"))
 
 
-@query("checkpoint_lineage", ["checkpoints"], """SELECT event_id, baseline OR coalesce(lag(sequence) OVER w < sequence AND lag(schema_version) OVER w = schema_version AND lag(generation) OVER w = generation AND lag(input_id) OVER w = input_id, false) AS fits
+@query("checkpoint_lineage", ["checkpoints"], """SELECT event_id, baseline OR coalesce(lag(sequence) OVER w < sequence AND lag(schema_version) OVER w = schema_version AND lag(generation) OVER w = generation AND lag(input_id) OVER w = input_id AND (lag(baseline) OVER w OR place > 2), false) AS fits
 FROM checkpoints WINDOW w AS (PARTITION BY task_id ORDER BY place)""")
 def checkpoint_lineage(checkpoints):
     return recovery.lineage(checkpoints, "task_id", ["place"], ["schema_version", "generation", "input_id"]).select("event_id", "fits")
