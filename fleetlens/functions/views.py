@@ -59,7 +59,8 @@ VIEWS = {
         user_id % 7 + CASE WHEN event_type = 'signup' AND m % 12 IN (3, 7) THEN 1 ELSE 0 END AS node, event_id % 2 AS content
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS m FROM events) AS q"""),
     "beats": (["events"], f"""SELECT event_id, user_id AS node, CAST(floor(value) AS BIGINT) AS k, CASE WHEN event_type = 'signup' THEN 'register' ELSE 'pulse' END AS op,
-        CASE WHEN event_type = 'signup' THEN 1 + event_id % 2 WHEN {K} >= 80 THEN 2 ELSE 1 END AS version, CASE WHEN event_type = 'error' THEN 'overloaded' WHEN event_type = 'view' AND {K} % 9 = 0 THEN 'draining' ELSE 'healthy' END AS health,
+        CASE WHEN event_type = 'signup' THEN 1 + event_id % 2 WHEN {K} >= 80 THEN 2 ELSE 1 END AS capability_version,
+        CASE WHEN event_type = 'signup' AND {K} = 50 THEN 0 WHEN {K} % 29 = 11 THEN 2 ELSE 1 END AS resource_version, CASE WHEN event_type = 'error' THEN 'overloaded' WHEN event_type = 'view' AND {K} % 9 = 0 THEN 'draining' ELSE 'healthy' END AS health,
         CASE WHEN {K} % 3 = 0 THEN 0 ELSE {K} END AS pressure, sum(1 + {K} % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tick FROM events"""),
     "snapshots": (["events"], f"SELECT event_id, user_id AS node, ts, event_id % 9 + {K} % 5 AS capability_version, {K} % 7 + CAST(floor(event_id / 40) AS BIGINT) AS resource_version, event_type = 'purchase' AS is_pulse, event_type <> 'error' AS valid FROM events"),
     "leader_obs": (["events"], f"""SELECT event_id, user_id AS cluster, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tick, CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS candidate,

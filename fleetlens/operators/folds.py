@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], tuple | None], schema: str, finish: Callable[[tuple, dict], list[tuple]] | None = None) -> DataFrame:
-    """step(state, row) for every row, in `order` within each of keys; a row of `schema` for each result that isn't None, and
-    for each that finish(key, state) gives at the key's end."""
+def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], tuple | list[tuple] | None], schema: str, finish: Callable[[tuple, dict], list[tuple]] | None = None) -> DataFrame:
+    """step(state, row) for every row, in `order` within each of keys; a row of `schema` for each tuple that it gives (one, a
+    list or None), and for each that finish(key, state) gives at the key's end."""
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
@@ -35,7 +35,7 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[],
                     current, state = key, start()
                 result = step(state, row)
                 if result is not None:
-                    found.append(result)
+                    found += result if isinstance(result, list) else [result]
             yield batch_of(found)
         if current is not None and finish:
             yield batch_of(finish(current, state))

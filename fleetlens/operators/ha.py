@@ -25,32 +25,59 @@ def next_pulse(health: Column, pressure: Column, detector: Detector) -> Column:
 
 
 DETECTED = "event_id long, before string, disposition string, health string, pressure long"
+#: A member between rows: what it said last, at which tick it was heard (tick) and at which its health last changed (since).
+MEMBER = "health string, capability_version long, resource_version long, tick long, since long, pressure long"
 
 
 def unseen() -> dict:
     """A member before its first registration."""
-    return dict(health=None, version=None, tick=0, pressure=None)
+    return dict(health=None, capability_version=None, resource_version=None, tick=0, since=0, pressure=None)
+
+
+def next_lapse(s: dict, detector: Detector) -> tuple[int, str] | None:
+    """The tick at which a member that stays silent changes its health next, and to what. A pulse of another version doesn't
+    end a silence: it holds until the tick after it only."""
+    if s["health"] is None or s["health"] == "dead":
+        return None
+    suspect, dead = (max(s["tick"] + after, s["since"] + 1) for after in (detector.suspect, detector.dead))
+    return (suspect, "suspect") if s["health"] != "suspect" and suspect < s["tick"] + detector.dead else (dead, "dead")
+
+
+def lapses(s: dict, now: int, detector: Detector) -> list[tuple[int, str]]:
+    """The changes of health by silence until tick `now`, oldest first; s goes along."""
+    out = []
+    while (due := next_lapse(s, detector)) and due[0] <= now:
+        s["since"], s["health"] = due
+        out.append(due)
+    return out
+
+
+def hear(s: dict, r: dict) -> str:
+    """A registration or pulse (op, capability_version, resource_version, health, pressure, tick) and what becomes of it."""
+    versions = (r["capability_version"], r["resource_version"])
+    if r["op"] == "register":
+        if 0 in versions or None in versions:
+            return "invalid"
+        disposition = "registered"
+        s.update(capability_version=versions[0], resource_version=versions[1])
+    elif s["health"] is None:
+        return "unknown"
+    elif versions != (s["capability_version"], s["resource_version"]):
+        s.update(health="incompatible", since=r["tick"])
+        return "full_snapshot_required"
+    else:
+        disposition = "accepted"
+    s.update(health=r["health"], tick=r["tick"], since=r["tick"], pressure=r["pressure"])
+    return disposition
 
 
 def observe(detector: Detector):
     """The step of a member's state by a registration or pulse; gives a row of DETECTED."""
 
     def step(s: dict, r: dict) -> tuple:
-        if s["health"] is not None:
-            silence = r["tick"] - s["tick"]
-            s["health"] = "dead" if silence >= detector.dead else "suspect" if silence >= detector.suspect else s["health"]
+        lapses(s, r["tick"], detector)
         before = s["health"]
-        if r["op"] == "register":
-            disposition = "registered"
-            s.update(health=r["health"], version=r["version"], tick=r["tick"], pressure=r["pressure"])
-        elif before is None:
-            disposition = "unknown"
-        elif r["version"] != s["version"]:
-            disposition, s["health"] = "full_snapshot_required", "incompatible"
-        else:
-            disposition = "accepted"
-            s.update(health=r["health"], tick=r["tick"], pressure=r["pressure"])
-        return r["event_id"], before, disposition, s["health"], s["pressure"]
+        return r["event_id"], before, hear(s, r), s["health"], s["pressure"]
 
     return step
 
@@ -58,11 +85,35 @@ def observe(detector: Detector):
 def detect(rows: DataFrame, keys: list[str], order: list[str], detector: Detector = Detector()) -> DataFrame:
     """event_id, before (health when the row comes, after the silence until then), disposition, and health and pressure after.
 
-    A pulse of another version makes the member incompatible and doesn't end its silence; an accepted one restores any state.
+    A pulse of other versions makes the member incompatible and doesn't end its silence; an accepted one restores any state. A
+    registration without versions is invalid.
     """
     return fold(rows, keys, order, unseen, observe(detector), DETECTED)
 
 
+def changes(keys: list[str], detector: Detector):
+    """The step that gives a row (keys, tick, health, cause) for every change of a member's health, silences at their tick."""
+
+    def step(s: dict, r: dict) -> list[tuple]:
+        key = tuple(r[k] for k in keys)
+        out = [(*key, *due, "silence") for due in lapses(s, r["tick"], detector)]
+        before, cause = s["health"], hear(s, r)
+        return out + [(*key, r["tick"], s["health"], cause)] * (s["health"] != before)
+
+    return step
+
+
+def timeline_schema(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", tick long, health string, cause string"
+
+
+def timeline(rows: DataFrame, keys: list[str], order: list[str], until: int, detector: Detector = Detector()) -> DataFrame:
+    """keys, tick, health and cause (a disposition or silence) of every change of a member's health until the tick `until`, also
+    of members that are never heard again."""
+    finish = lambda key, s: [(*key, *due, "silence") for due in lapses(s, until, detector)]
+    return fold(rows, keys, order, unseen, changes(keys, detector), timeline_schema(rows, keys), finish)
+
+
 def leader_score(capacity: Column, p95: Column, sleep_risk: Column, healthy: Column, trusted: Column) -> Column:
     return F.when(healthy & trusted, capacity - p95 - sleep_risk * 100)
 

@@ -46,16 +46,25 @@ def apply_mutation(s: dict, r: dict) -> str:
     return "accepted"
 
 
+COMMANDED = "event_id long, outcome string, state string, active long, conflicts long"
+#: A task between commands.
+TASK = "state string, last long, active struct<attempt: long, node: long>, staged long, conflicts long"
+
+
+def new_task() -> dict:
+    return dict(state=None, last=0, active=None, staged=None, conflicts=0)
+
+
+def command(s: dict, r: dict) -> tuple:
+    """The step of a task by a command; gives a row of COMMANDED."""
+    outcome = apply_mutation(s, r)
+    return r["event_id"], outcome, s["state"] or "absent", s["active"][0] if s["active"] else None, s["conflicts"]
+
+
 def task_registry(commands: DataFrame) -> DataFrame:
     """event_id, outcome, and the task's state, active attempt and conflicts after each command (task_id, pos, mutation,
     attempt, node, content, fast), in the order of pos."""
-
-    def step(s: dict, r: dict) -> tuple:
-        outcome = apply_mutation(s, r)
-        return r["event_id"], outcome, s["state"] or "absent", s["active"][0] if s["active"] else None, s["conflicts"]
-
-    start = lambda: dict(state=None, last=0, active=None, staged=None, conflicts=0)
-    return fold(commands, ["task_id"], ["pos"], start, step, "event_id long, outcome string, state string, active long, conflicts long")
+    return fold(commands, ["task_id"], ["pos"], new_task, command, COMMANDED)
 
 
 def versioned_upserts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

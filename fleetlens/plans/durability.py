@@ -60,14 +60,18 @@ def worker_registry(snapshots):
     return registry.worker_registry(snapshots, ["node"], ["ts", "event_id"])
 
 
-QUIET = "(l.tick - r.tick)"
-NOW = f"CASE WHEN r.health IS NULL THEN NULL WHEN {QUIET} >= 20 THEN 'dead' WHEN {QUIET} >= 8 THEN 'suspect' ELSE r.health END"
-FITS = "(r.health IS NOT NULL AND l.version = r.version)"
+DUE_S, DUE_D = "greatest(r.tick + 8, r.since + 1)", "greatest(r.tick + 20, r.since + 1)"
+NOW = f"CASE WHEN r.health IS NULL THEN NULL WHEN l.tick >= {DUE_D} THEN 'dead' WHEN l.tick >= {DUE_S} AND {DUE_S} < r.tick + 20 AND r.health <> 'dead' THEN 'suspect' ELSE r.health END"
+VERSIONED = "(l.capability_version <> 0 AND l.resource_version <> 0)"
+FITS = "(r.health IS NOT NULL AND l.capability_version = r.capability_version AND l.resource_version = r.resource_version)"
+HEARD = f"CASE WHEN l.op = 'register' THEN {VERSIONED} ELSE {FITS} END"
+REGISTERS = f"l.op = 'register' AND {VERSIONED}"
 BEAT = {
-    "before": ("CAST(NULL AS VARCHAR)", NOW), "disposition": ("CAST('' AS VARCHAR)", f"CASE WHEN l.op = 'register' THEN 'registered' WHEN r.health IS NULL THEN 'unknown' WHEN {FITS} THEN 'accepted' ELSE 'full_snapshot_required' END"),
-    "health": ("CAST(NULL AS VARCHAR)", f"CASE WHEN l.op = 'register' OR {FITS} THEN l.health WHEN r.health IS NULL THEN NULL ELSE 'incompatible' END"),
-    "version": ("CAST(NULL AS BIGINT)", "CASE WHEN l.op = 'register' THEN l.version ELSE r.version END"), "tick": ("CAST(0 AS HUGEINT)", f"CASE WHEN l.op = 'register' OR {FITS} THEN l.tick ELSE r.tick END"),
-    "pressure": ("CAST(NULL AS BIGINT)", f"CASE WHEN l.op = 'register' OR {FITS} THEN l.pressure ELSE r.pressure END"),
+    "before": ("CAST(NULL AS VARCHAR)", NOW), "disposition": ("CAST('' AS VARCHAR)", f"CASE WHEN l.op = 'register' THEN CASE WHEN {VERSIONED} THEN 'registered' ELSE 'invalid' END WHEN r.health IS NULL THEN 'unknown' WHEN {FITS} THEN 'accepted' ELSE 'full_snapshot_required' END"),
+    "health": ("CAST(NULL AS VARCHAR)", f"CASE WHEN {HEARD} THEN l.health WHEN l.op = 'register' THEN {NOW} WHEN r.health IS NULL THEN NULL ELSE 'incompatible' END"),
+    "capability_version": ("CAST(NULL AS BIGINT)", f"CASE WHEN {REGISTERS} THEN l.capability_version ELSE r.capability_version END"), "resource_version": ("CAST(NULL AS BIGINT)", f"CASE WHEN {REGISTERS} THEN l.resource_version ELSE r.resource_version END"),
+    "tick": ("CAST(0 AS HUGEINT)", f"CASE WHEN {HEARD} THEN l.tick ELSE r.tick END"), "since": ("CAST(0 AS HUGEINT)", "l.tick"),
+    "pressure": ("CAST(NULL AS BIGINT)", f"CASE WHEN {HEARD} THEN l.pressure ELSE r.pressure END"),
 }
 
 
@@ -81,6 +85,17 @@ def failure_detector(beats):
     return out.select("event_id", "before", "disposition", F.col("health").alias("after"), after.alias("next_pulse"))
 
 
+@query("member_timeline", ["beats"], ", " + fold_sql("beats", "node", "tick, event_id", BEAT, "l.node, l.tick AS since, r.before, r.disposition, r.health, r.tick AS last, lead(l.tick) OVER (PARTITION BY l.node ORDER BY l.n) AS following", into="heard") + """
+, ends AS (SELECT *, coalesce(following, (SELECT max(tick) FROM beats)) AS until, greatest(last + 8, since + 1) AS suspect, greatest(last + 20, since + 1) AS dead FROM heard)
+SELECT node, CAST(since AS BIGINT) AS tick, health, disposition AS cause FROM ends WHERE health IS DISTINCT FROM before
+UNION ALL SELECT node, CAST(suspect AS BIGINT), 'suspect', 'silence' FROM ends WHERE health NOT IN ('suspect', 'dead') AND suspect < last + 20 AND suspect <= until
+UNION ALL SELECT node, CAST(dead AS BIGINT), 'dead', 'silence' FROM ends WHERE health <> 'dead' AND dead <= until""")
+def member_timeline(beats):
+    """Every change of every member's health until the last tick of all, silences of members never heard again included."""
+    until = beats.agg(F.max("tick")).first()[0]
+    return ha.timeline(beats.withColumn("tick", F.col("tick").cast("long")), ["node"], ["tick", "event_id"], until or 0)
+
+
 BETTER = "(r.candidate IS NOT NULL AND r.since IS NOT NULL AND r.candidate = l.candidate)"
 UNDER = "(l.candidate_score IS NULL OR l.candidate_score < l.current_score + 10)"
 
