@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
+#: A number that grows with the date, not one a day: both engines have its functions.
+DAY = "year(l_shipdate) * 372 + month(l_shipdate) * 31 + day(l_shipdate)"
+#: Tells the rows of an order apart.
+LINE = "CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey"
 VIEWS = {
     "observations": (["events"], f"""SELECT event_type AS task_type, concat('v', CAST(user_id % 4 AS VARCHAR(9))) AS variant_id, event_id % 3 AS input_bucket,
         value AS latency_ticks, {K} * 1048576 AS peak_memory_bytes, {K} % 10 = 0 AS failed, ts, event_id FROM events"""),
@@ -83,6 +87,13 @@ VIEWS = {
         l_discount < 0.08 AS succeeded, l_linenumber = 7 AS timed_out, l_tax > 0.06 AS mismatch, l_partkey % 9 = 0 AS corruption, l_quantity / 12 AS latency_ratio, l_partkey % 199 = 0 AS forged, l_partkey % 151 = 0 AS cancel_refused, l_partkey % 173 = 0 AS unauthorised FROM lineitem"""),
     "identities": (["supplier"], """SELECT s_suppkey AS node, CASE s_suppkey % 9 WHEN 4 THEN 'revoked' WHEN 7 THEN 'quarantined' ELSE 'active' END AS status, s_suppkey % 4 + 1 AS trust, s_suppkey % 20 AS valid_from, 60 + s_suppkey % 50 AS valid_until,
         1 + s_suppkey % 3 AS generation, s_suppkey % 13 <> 2 AS integrity, s_suppkey % 5 <> 1 AS attested, 40 + s_suppkey % 60 AS attested_until FROM supplier"""),
+    # Validity of identities in days, some very long, some empty; and moments at which work was done.
+    "validities": (["lineitem"], f"""SELECT l_suppkey AS node, {DAY} AS valid_from, l_orderkey * 10 + l_linenumber AS identity,
+        {DAY} + CASE WHEN l_partkey % 53 = 5 THEN 900 WHEN l_partkey % 7 = 3 THEN -1 ELSE l_linenumber * 3 END AS valid_until FROM lineitem WHERE l_returnflag <> 'N'"""),
+    "moments": (["lineitem"], f"SELECT l_orderkey AS task_id, l_linenumber AS number, l_suppkey AS node, {DAY} + l_partkey % 60 - 30 AS tick FROM lineitem"),
+    # A log of grants by the day they are given, and results by the day they come; both name attempt and node.
+    "grant_log": (["lineitem"], f"SELECT l_orderkey AS task_id, {DAY} + l_partkey % 20 AS tick, {LINE} AS entry, l_linenumber % 3 AS attempt, l_suppkey % 2 AS node, {DAY} + l_partkey % 20 + 60 AS until FROM lineitem"),
+    "late_results": (["lineitem"], f"SELECT l_orderkey AS task_id, {LINE} AS result, {DAY} + l_linenumber * 7 AS tick, l_linenumber % 3 AS attempt, l_partkey % 2 AS node FROM lineitem"),
     "trust_tasks": (["orders"], """SELECT o_orderkey AS task_id, 1 + o_custkey % 90 AS node, o_orderkey % 5 AS minimum_trust, o_orderkey % 3 <> 0 AS allow_external, o_orderkey % 4 = 0 AS require_attestation, 20 + o_orderkey % 60 AS now_tick,
         CASE o_orderkey % 6 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' WHEN 3 THEN 'restricted' WHEN 4 THEN 'credential' ELSE 'public' END AS sensitivity, 1 + o_orderkey % 2 AS term, 1 + o_custkey % 2 AS epoch,
         o_orderkey % 40 AS issued, 30 + o_orderkey % 50 AS authorised_until, 1 + o_orderkey % 3 AS generation, o_orderkey % 17 <> 0 AS known, o_orderkey % 100 AS task_value, o_orderkey % 23 = 0 AS irreversible,

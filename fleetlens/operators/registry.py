@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.operators.folds import fold
 
@@ -67,21 +68,32 @@ def task_registry(commands: DataFrame) -> DataFrame:
     return fold(commands, ["task_id"], ["pos"], new_task, command, COMMANDED)
 
 
+def take_snapshot(s: dict, r: dict) -> str:
+    """What becomes of a snapshot: one is stale if either version goes back; equal ones replace. s keeps the one held."""
+    new = (r["capability_version"], r["resource_version"])
+    if not r["valid"] or None in new or 0 in new:
+        return "invalid"
+    if s["held"] and (s["held"][0] > new[0] or s["held"][1] > new[1]):
+        return "stale"
+    s["held"], s["row"] = new, r
+    return "stored"
+
+
 def versioned_upserts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """event_id, outcome and the versions held after each snapshot: one is stale if either version goes back; equal ones replace."""
+    """event_id, outcome and the versions held after each snapshot."""
+    step = lambda s, r: (r["event_id"], take_snapshot(s, r), *(s["held"] or (None, None)))
+    return fold(rows, keys, order, lambda: dict(held=None, row=None), step, "event_id long, outcome string, capability_version long, resource_version long")
 
-    def step(s: dict, r: dict) -> tuple:
-        new = (r["capability_version"], r["resource_version"])
-        if not r["valid"] or 0 in new:
-            outcome = "invalid"
-        elif s["held"] and (s["held"][0] > new[0] or s["held"][1] > new[1]):
-            outcome = "stale"
-        else:
-            outcome, s["held"] = "stored", new
-        held = s["held"] or (None, None)
-        return r["event_id"], outcome, *held
 
-    return fold(rows, keys, order, lambda: {"held": None}, step, "event_id long, outcome string, capability_version long, resource_version long")
+def current_snapshots(rows: DataFrame, keys: list[str], order: list[str], schema: T.StructType) -> DataFrame:
+    """The snapshot that each key holds after all of its rows, with the columns of schema."""
+    finish = lambda key, s: [tuple(s["row"][c] for c in schema.names)] if s["row"] else []
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+    def step(s: dict, r: dict) -> None:
+        take_snapshot(s, r)
+
+    return fold(rows, keys, order, lambda: dict(held=None, row=None), step, ddl, finish)
 
 
 def worker_registry(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

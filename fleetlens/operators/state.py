@@ -89,6 +89,12 @@ def latest_grants(log: DataFrame) -> DataFrame:
     return log.groupBy("task_id").agg(F.max(F.struct("attempt", "node", "until")).alias("g")).select("task_id", "g.*")
 
 
+def grant_verdict(tick: Column) -> Column:
+    """accepted, or why not, of a result (attempt, node) at `tick` under the grant that was in force (g_attempt, g_node, until)."""
+    same = (F.col("attempt") == F.col("g_attempt")) & (F.col("node") == F.col("g_node"))
+    return F.when(F.col("g_attempt").isNull(), "fenced").when(tick > F.col("until"), "grant_expired").when(F.coalesce(same, F.lit(False)), "accepted").otherwise("fenced")
+
+
 def validate_results(results: DataFrame, grants: DataFrame, now: float) -> DataFrame:
     """results with verdict: an expired grant goes before a fenced attempt or node; without a grant all are fenced."""
     held = grants.select("task_id", F.col("attempt").alias("g_attempt"), F.col("node").alias("g_node"), "until")

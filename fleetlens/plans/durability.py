@@ -48,6 +48,15 @@ def versioned_upsert(snapshots):
     return registry.versioned_upserts(snapshots, ["node"], ["ts", "event_id"])
 
 
+@query("current_snapshots", ["snapshots"], ", " + fold_sql("snapshots", "node", "ts, event_id", {
+    "id": ("CAST(NULL AS BIGINT)", f"CASE WHEN {VALID} AND NOT {OLD} THEN l.event_id ELSE r.id END"),
+    "cv": ("CAST(NULL AS BIGINT)", f"CASE WHEN {VALID} AND NOT {OLD} THEN l.capability_version ELSE r.cv END"), "rv": ("CAST(NULL AS BIGINT)", f"CASE WHEN {VALID} AND NOT {OLD} THEN l.resource_version ELSE r.rv END"),
+}, "l.node, arg_max(r.id, r.n) AS event_id, arg_max(r.cv, r.n) AS capability_version, arg_max(r.rv, r.n) AS resource_version", "n > 0 GROUP BY l.node HAVING arg_max(r.id, r.n) IS NOT NULL"))
+def current_snapshots(snapshots):
+    """The snapshot that each node ends with; a stored table kept up by a stream holds the same rows."""
+    return registry.current_snapshots(snapshots, ["node"], ["ts", "event_id"], snapshots.schema).select("node", "event_id", "capability_version", "resource_version")
+
+
 V = "l.capability_version"
 SAID = f"CASE WHEN l.is_pulse THEN CASE WHEN r.v IS NULL THEN 'unregistered' WHEN r.v <> {V} THEN 'incompatible' ELSE 'accepted' END WHEN {V} = 0 THEN 'unversioned' WHEN coalesce(r.v > {V}, false) THEN 'stale' ELSE 'registered' END"
 
