@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import ctypes
 import os
 import tempfile
@@ -40,18 +41,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_recording: list[list[str]] = []
+#: The lists of the recorded() blocks that this call stands in; another thread's run has its own.
+_recording: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recording", default=())
 
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
     """The folders that written() makes meanwhile, so that their maker can remove them once nothing reads them."""
     made: list[str] = []
-    _recording.append(made)
+    token = _recording.set((*_recording.get(), made))
     try:
         yield made
     finally:
-        _recording.remove(made)
+        _recording.reset(token)
 
 
 def release() -> None:
@@ -67,7 +69,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    for made in _recording:
+    for made in _recording.get():
         made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,7 +83,7 @@ def written_by_task(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    for made in _recording:
+    for made in _recording.get():
         made.append(path)
     entry = "fleetlens_" + uuid.uuid4().hex
     df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(entry)

@@ -96,3 +96,27 @@ def test_stages_bear_empty_and_null_tables(spark, sf_dir, rows):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, bare, sf_dir)
         assert out.count() == {"quality": 0, "mixing": 0}.get(name, rows), name
+
+
+def test_folders_are_recorded_by_block_and_thread(spark):
+    import threading
+
+    from fleetlens.llm.common import recorded, written
+
+    with recorded() as outer:
+        with recorded() as inner:
+            assert outer == inner == []
+        other: list = []
+
+        def elsewhere():
+            with recorded() as own:
+                written(spark.range(1), "other")
+                other.extend(own)
+
+        thread = threading.Thread(target=elsewhere)
+        thread.start()
+        thread.join()
+        with recorded() as second:
+            written(spark.range(1), "both")
+        written(spark.range(1), "outer")
+    assert len(outer) == 2 and outer[:1] == second and inner == [] and len(other) == 1 and other[0] not in outer
