@@ -58,10 +58,12 @@ def ranked_values(rows: DataFrame, keys: list[str], value: str, places: dict[str
 
 
 def part_of(value: str) -> Column:
-    """An ascending number for ranges of values: sixty-four to a doubling, either side of zero."""
+    """An ascending number for ranges of values: sixty-four to a doubling, either side of zero; infinities and, last, NaN have
+    their own."""
     v = F.col(value)
     fine = F.floor(F.log2(F.abs(v)) * 64) + 100_000
-    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.when(v < 0, -fine).otherwise(fine))
+    odd = F.when(F.isnan(v), F.lit(3_000_000)).when(v == float("inf"), F.lit(2_000_000)).when(v == float("-inf"), F.lit(-2_000_000)).when(v == 0, F.lit(0))
+    return odd.when(v < 0, -fine).otherwise(fine).cast("long")
 
 
 def nearest_rank(percent: int) -> Column:

@@ -76,46 +76,12 @@ def traces(events: DataFrame, order: str) -> DataFrame:
     return events.withColumns({"in_task": place("task_id"), "in_attempt": place("task_id", "attempt"), "in_node": place("node")})
 
 
-def pair_hash(left: Column, right: Column) -> Column:
-    return F.sha2(F.concat_ws(":", left, right), 256)
-
-
-def paired(level: str):
-    """The hash above a place's two neighbours; an odd last one is paired with itself."""
-    return lambda i: pair_hash(F.get(level, i * 2), F.coalesce(F.get(level, i * 2 + 1), F.get(level, i * 2)))
-
-
-def inclusion_proofs(rows: DataFrame, segment: Column, order: str, leaf: Column, size: int) -> DataFrame:
-    """A row for each leaf: segment, leaf_index, leaf, siblings (hash, left) from the bottom up, and the segment's root.
-
-    A segment has at most `size` leaves, so its levels are small arrays of one row.
-    """
-    out = rows.groupBy(segment.alias("segment")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), leaf.alias("h")))).alias("x")).select("segment", F.transform("x", lambda x: x["h"]).alias("h0"))
-    levels, width = ["h0"], 1
-    while width < size:
-        below, above = levels[-1], f"h{len(levels)}"
-        halves = F.sequence(F.lit(0), F.expr(f"(size({below}) + 1) div 2 - 1").cast("int"))
-        out = out.withColumn(above, F.when(F.size(below) > 1, F.transform(halves, paired(below))).otherwise(F.col(below)))
-        levels.append(above)
-        width *= 2
-    out = out.select("*", F.posexplode("h0").alias("leaf_index", "leaf"))
-    siblings = []
-    for k, level in enumerate(levels):
-        at = F.expr(f"shiftright(leaf_index, {k})")
-        other = F.when(at % 2 == 0, F.least(at + 1, F.size(level) - 1)).otherwise(at - 1)
-        siblings.append(F.when(F.size(level) > 1, F.struct(F.get(level, other).alias("hash"), (other < at).alias("left"))))
-    return out.select("segment", "leaf_index", "leaf", F.filter(F.array(*siblings), lambda x: x.isNotNull()).alias("siblings"), F.get(levels[-1], F.lit(0)).alias("root"))
-
-
-def proves(leaf: Column, siblings: Column, root: Column) -> Column:
-    """Whether the siblings lead from the leaf to the root."""
-    return F.aggregate(siblings, leaf, lambda h, s: F.when(s["left"], pair_hash(s["hash"], h)).otherwise(pair_hash(h, s["hash"]))) == root
-
-
 def consistent_segments(segments: DataFrame, key: str) -> DataFrame:
-    """segments (segment, first, last, previous_root, root) with consistent: numbers, sequences and roots go on from the segment
-    before; the first one of a log has nothing to go on from."""
-    at = Window.partitionBy(key).orderBy("segment")
-    before = lambda c: F.lag(c).over(at)
-    goes_on = (F.col("segment") == before("segment") + 1) & (F.col("first") == before("last") + 1) & F.col("previous_root").eqNullSafe(before("root"))
-    return segments.withColumn("consistent", F.when(before("segment").isNotNull(), goes_on))
+    """segments (segment, first, last, previous_root, root; numbers are told apart) with consistent: numbers, sequences and roots
+    go on from the segment before; the first one of a log has nothing to go on from. Neighbours meet by number, so a log of any
+    length is dealt over tasks."""
+    before = segments.select(F.col(key).alias("b_key"), (F.col("segment") + 1).alias("b_next"), F.col("last").alias("b_last"), F.col("root").alias("b_root"))
+    firsts = segments.groupBy(F.col(key).alias("f_key")).agg(F.min("segment").alias("f_first"))
+    rows = segments.join(before, F.col(key).eqNullSafe(F.col("b_key")) & (F.col("segment") == F.col("b_next")), "left").join(firsts, F.col(key).eqNullSafe(F.col("f_key")))
+    goes_on = (F.col("first") == F.col("b_last") + 1) & F.col("previous_root").eqNullSafe(F.col("b_root"))
+    return rows.withColumn("consistent", F.when(F.col("segment") > F.col("f_first"), F.coalesce(goes_on, F.lit(False)))).drop("b_key", "b_next", "b_last", "b_root", "f_key", "f_first")

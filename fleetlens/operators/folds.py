@@ -40,4 +40,4 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[],
         if current is not None and finish:
             yield batch_of(finish(current, state))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

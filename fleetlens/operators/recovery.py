@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.fleet import backoff
 from fleetlens.operators.folds import fold
+from fleetlens.operators.places import places
 
 
 def restart_safe(mobility: Column, retry: Column) -> Column:
@@ -88,7 +89,7 @@ def restarts(attempts: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A task has tried few nodes, so its place among the sorted ids is found by counting them, without pairing tasks and nodes.
     """
-    ids = nodes.select(F.col("idx").alias("node"), F.row_number().over(Window.orderBy("idx")).alias("place"))  # nodes of one fleet
+    ids = places(nodes.select(F.col("idx").alias("node")), [], ["node"], 100_000).select("node", (F.col("place") + 1).alias("place"))
     tried = attempts.select("task_id", "node").distinct().join(ids, "node")
     ranked = tried.withColumn("seen", F.row_number().over(Window.partitionBy("task_id").orderBy("place")))
     # The tried nodes that fill the first places without a gap; the one after them is free.

@@ -1,4 +1,4 @@
-"""Event-sourced state: budgets, silences, fencing, Merkle roots, windows and grants."""
+"""Event-sourced state: budgets, silences, fencing, windows and grants."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.folds import fold
+from fleetlens.operators.places import ROWS_A_BLOCK, Machine, block_fold, places
 
 
 def tick_budget(rows: DataFrame, tick: Column, cost: str, order: list[str], limit: float) -> DataFrame:
@@ -44,20 +45,6 @@ def fence(results: DataFrame, active: DataFrame) -> DataFrame:
     return results.join(now, "task_id", "left").withColumn("accepted", F.coalesce(same, F.lit(False))).drop("a_attempt", "a_node")
 
 
-def merkle_roots(rows: DataFrame, segment: Column, order: str, leaf: Column, size: int) -> DataFrame:
-    """Root of each segment of at most `size` leaves: pairs hashed as "left:right", an odd last one with itself."""
-    grouped = rows.groupBy(segment.alias("segment")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.sha2(leaf, 256).alias("h")))).alias("x"))
-    level = F.transform("x", lambda x: x["h"])
-    out = grouped.select("segment", F.size("x").cast("long").alias("leaves"), level.alias("h"))
-    width = 1
-    while width < size:
-        halves = F.sequence(F.lit(0), F.expr("(size(h) + 1) div 2 - 1").cast("int"))
-        pair = F.transform(halves, lambda i: F.sha2(F.concat_ws(":", F.get("h", i * 2), F.coalesce(F.get("h", i * 2 + 1), F.get("h", i * 2))), 256))
-        out = out.withColumn("h", F.when(F.size("h") > 1, pair).otherwise(F.col("h")))
-        width *= 2
-    return out.select("segment", "leaves", F.get("h", F.lit(0)).alias("root"))
-
-
 def count_windows(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """rows with batch: their key's fixed windows of `size` rows, the last of which may be short."""
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -74,14 +61,21 @@ def dwell(rows: DataFrame, key: str, order: list[str], candidate: Column, over:
     return rows.withColumn("due", F.col("over") & (F.col("tick") - start >= ticks)).drop("tick", "over", "candidate", "cut")
 
 
-def integer_pressure(pulses: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Pressure of each key after its last pulse: truncating integer average in hundredths, rounded and at most 100."""
+#: Pressure in hundredths: the average of pressures up to 100 stays within 0 to 10,000.
+SCALED = 10_000
+
+
+def pressure_machine(emit) -> Machine:
+    """The truncating integer average over pulses (p: pressure, taken as 0 to 100)."""
+    return Machine(SCALED + 1, 0, lambda s, r: (8 * s + 200 * min(100, max(0, r["p"] or 0))) // 10, emit)
 
-    def step(s: dict, r: dict) -> None:
-        s["scaled"] = (8 * s["scaled"] + 200 * r["p"]) // 10
 
-    rows = pulses.select(key, *order, F.col(value).cast("long").alias("p"))
-    return fold(rows, [key], order, lambda: {"scaled": 0}, step, f"{key} long, pressure long", lambda k, s: [(*k, min(100, (s["scaled"] + 50) // 100))])
+def integer_pressure(pulses: DataFrame, key: str, order: list[str], value: str, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """Pressure of each key after its last pulse: truncating integer average in hundredths, rounded and at most 100. A busy
+    key's pulses are dealt over tasks."""
+    rows = places(pulses.select(key, *order, F.col(value).cast("long").alias("p")), [key], order, rows_a_block)
+    after = pressure_machine(lambda before, now, r: (r[key], min(100, (now + 50) // 100)) if r["place"] == r["total"] - 1 else None)
+    return block_fold(rows, [key], ["place"], after, f"{key} {rows.schema[key].dataType.simpleString()}, pressure long", rows_a_block)
 
 
 def latest_grants(log: DataFrame) -> DataFrame:

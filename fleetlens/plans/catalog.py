@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import fleet
 from fleetlens.functions.oracles import fold_sql
 from fleetlens.functions.views import BASE, oracle, view
-from fleetlens.operators import aggregates, content, placement, state, trust
+from fleetlens.operators import aggregates, content, merkle, placement, state, trust
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -182,9 +182,26 @@ def n_of_m_vote(votes):
     return trust.n_of_m(votes, required=2, total=5)
 
 
-MERKLE = "WITH RECURSIVE leaves AS (SELECT event_id // 64 AS segment, row_number() OVER (PARTITION BY event_id // 64 ORDER BY event_id) - 1 AS i, sha256(event_type) AS h FROM events), up(segment, lev, hs) AS (SELECT segment, 0, list(h ORDER BY i) FROM leaves GROUP BY 1 UNION ALL SELECT segment, lev + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda j: sha256(hs[2 * j + 1] || ':' || coalesce(hs[2 * j + 2], hs[2 * j + 1]))) FROM up WHERE len(hs) > 1) SELECT u.segment, c.leaves, u.hs[1] AS root FROM up u JOIN (SELECT segment, count(*) AS leaves FROM leaves GROUP BY 1) c USING (segment) WHERE len(u.hs) = 1"
+def levels(size: int, source: str = "events") -> str:
+    """Leaves, all levels and roots of segments of `size` events, as DuckDB tables."""
+    return f"""leaves AS (SELECT event_id // {size} AS segment, row_number() OVER (PARTITION BY event_id // {size} ORDER BY event_id) - 1 AS i, sha256(event_type) AS h FROM {source})
+, up(segment, lev, hs) AS (SELECT segment, 0, list(h ORDER BY i) FROM leaves GROUP BY 1 UNION ALL SELECT segment, lev + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda j: sha256(hs[2 * j + 1] || ':' || coalesce(hs[2 * j + 2], hs[2 * j + 1]))) FROM up WHERE len(hs) > 1)
+, roots AS (SELECT segment, hs[1] AS root FROM up WHERE len(hs) = 1)"""
 
 
-@query("merkle_root", ["events"], MERKLE)
+ROOTS = " SELECT segment, count(*) AS leaves, max(root) AS root FROM leaves JOIN roots USING (segment) GROUP BY segment"
+
+
+def event_roots(events, size: int):
+    return merkle.roots(events, F.expr(f"event_id div {size}"), "event_id", F.sha2("event_type", 256))
+
+
+@query("merkle_root", ["events"], "WITH RECURSIVE " + levels(64) + ROOTS)
 def merkle_root(events):
-    return state.merkle_roots(events, F.expr("event_id div 64"), "event_id", F.col("event_type"), 64)
+    return event_roots(events, 64)
+
+
+@query("merkle_root_large", ["events"], "WITH RECURSIVE " + levels(5000) + ROOTS)
+def merkle_root_large(events):
+    """Segments of several subtrees, the last of which is short."""
+    return event_roots(events, 5000)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.oracles import fold_sql
-from fleetlens.operators import audit, state, trust
-from fleetlens.plans.catalog import query, rounded
+from fleetlens.operators import audit, merkle, trust
+from fleetlens.plans.catalog import levels, query, rounded
 
 BODY = "concat_ws(';', CAST(event_id AS VARCHAR), event_type, CAST(user_id AS VARCHAR))"
 AUDIT = f"audited AS (SELECT user_id AS node, ts, event_id, {BODY} AS body FROM events)"
@@ -41,31 +40,38 @@ def audit_check(events):
     return audit.check_events(log, "node").select("event_id", "fault")
 
 
-LEVELS = """leaves AS (SELECT event_id // 64 AS segment, row_number() OVER (PARTITION BY event_id // 64 ORDER BY event_id) - 1 AS i, sha256(event_type) AS h FROM events)
-, up(segment, lev, hs) AS (SELECT segment, 0, list(h ORDER BY i) FROM leaves GROUP BY 1 UNION ALL SELECT segment, lev + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda j: sha256(hs[2 * j + 1] || ':' || coalesce(hs[2 * j + 2], hs[2 * j + 1]))) FROM up WHERE len(hs) > 1)
-, roots AS (SELECT segment, hs[1] AS root FROM up WHERE len(hs) = 1)"""
+PROOFS = """, steps AS (SELECT l.segment, l.i, u.lev, l.i >> u.lev AS spot, CASE WHEN (l.i >> u.lev) % 2 = 0 THEN least((l.i >> u.lev) + 1, len(u.hs) - 1) ELSE (l.i >> u.lev) - 1 END AS other, u.hs FROM leaves l JOIN up u ON u.segment = l.segment AND len(u.hs) > 1)
+, paths AS (SELECT segment, i, string_agg(CASE WHEN other < spot THEN '<' ELSE '>' END || hs[other + 1], ',' ORDER BY lev) AS path, count(*) AS n FROM steps GROUP BY 1, 2)
+SELECT l.segment, l.i AS leaf_index, coalesce(p.n, 0) AS steps, coalesce(p.path, '') AS path, r.root, l.i % 10 <> 3 AS proved FROM leaves l JOIN roots r USING (segment) LEFT JOIN paths p ON p.segment = l.segment AND p.i = l.i"""
 
 
-@query("inclusion_proof", ["events"], f"""WITH RECURSIVE {LEVELS}
-, steps AS (SELECT l.segment, l.i, u.lev, l.i >> u.lev AS spot, CASE WHEN (l.i >> u.lev) % 2 = 0 THEN least((l.i >> u.lev) + 1, len(u.hs) - 1) ELSE (l.i >> u.lev) - 1 END AS other, u.hs FROM leaves l JOIN up u ON u.segment = l.segment AND len(u.hs) > 1)
-, paths AS (SELECT segment, i, string_agg(CASE WHEN other < spot THEN '<' ELSE '>' END || hs[other + 1], ',' ORDER BY lev) AS path, count(*) AS n FROM steps GROUP BY 1, 2)
-SELECT l.segment, l.i AS leaf_index, coalesce(p.n, 0) AS steps, coalesce(p.path, '') AS path, r.root, l.i % 10 <> 3 AS proved FROM leaves l JOIN roots r USING (segment) LEFT JOIN paths p ON p.segment = l.segment AND p.i = l.i""")
-def inclusion_proof(events):
-    """Each leaf's proof and whether it holds; every tenth leaf is changed, so that its proof must fail."""
-    proofs = audit.inclusion_proofs(events, F.expr("event_id div 64"), "event_id", F.sha2("event_type", 256), 64)
+def event_proofs(events, size: int):
+    proofs = merkle.inclusion_proofs(events, F.expr(f"event_id div {size}"), "event_id", F.sha2("event_type", 256))
     path = F.array_join(F.transform("siblings", lambda s: F.concat(F.when(s["left"], "<").otherwise(">"), s["hash"])), ",")
     leaf = F.when(F.col("leaf_index") % 10 == 3, F.sha2(F.concat("leaf", F.lit("!")), 256)).otherwise(F.col("leaf"))
-    return proofs.select("segment", F.col("leaf_index").cast("long").alias("leaf_index"), F.size("siblings").cast("long").alias("steps"), path.alias("path"), "root", audit.proves(leaf, F.col("siblings"), F.col("root")).alias("proved"))
+    return proofs.select("segment", "leaf_index", F.size("siblings").cast("long").alias("steps"), path.alias("path"), "root", merkle.proves(leaf, F.col("siblings"), F.col("root")).alias("proved"))
+
+
+@query("inclusion_proof", ["events"], f"WITH RECURSIVE {levels(64)} {PROOFS}")
+def inclusion_proof(events):
+    """Each leaf's proof and whether it holds; every tenth leaf is changed, so that its proof must fail."""
+    return event_proofs(events, 64)
+
+
+@query("inclusion_proof_large", ["events"], f"WITH RECURSIVE {levels(700)} {PROOFS}")
+def inclusion_proof_large(events):
+    """Proofs over two rounds of subtrees."""
+    return event_proofs(events, 700)
 
 
-@query("segment_consistency", ["events"], f"""WITH RECURSIVE {LEVELS}, segments AS (SELECT e.segment, min(e.event_id) AS first, max(e.event_id) AS last, max(r.root) AS root FROM (SELECT event_id // 64 AS segment, event_id FROM events WHERE event_id % 640 <> 639) e JOIN roots r USING (segment) GROUP BY 1)
+@query("segment_consistency", ["events"], f"""WITH RECURSIVE {levels(64)}, segments AS (SELECT e.segment, min(e.event_id) AS first, max(e.event_id) AS last, max(r.root) AS root FROM (SELECT event_id // 64 AS segment, event_id FROM events WHERE event_id % 640 <> 639) e JOIN roots r USING (segment) GROUP BY 1)
 SELECT segment, CASE WHEN lag(segment) OVER w IS NOT NULL THEN segment = lag(segment) OVER w + 1 AND first = lag(last) OVER w + 1 AND segment % 7 <> 3 END AS consistent FROM segments WINDOW w AS (ORDER BY segment)""")
 def segment_consistency(events):
     """Segments whose neighbours lost an event or noted another root."""
-    roots = state.merkle_roots(events, F.expr("event_id div 64"), "event_id", F.col("event_type"), 64).select("segment", "root")
+    roots = merkle.roots(events, F.expr("event_id div 64"), "event_id", F.sha2("event_type", 256)).select("segment", "root")
     segments = events.where("event_id % 640 <> 639").groupBy(F.expr("event_id div 64").alias("segment")).agg(F.min("event_id").alias("first"), F.max("event_id").alias("last")).join(roots, "segment").withColumn("log", F.lit(1))
-    noted = F.lag("root").over(Window.partitionBy("log").orderBy("segment"))
-    segments = segments.withColumn("previous_root", F.when(F.col("segment") % 7 == 3, "other").otherwise(noted))
+    noted = roots.select((F.col("segment") + 1).alias("segment"), F.col("root").alias("noted"))  # what a segment would have noted of the one before
+    segments = segments.join(noted, "segment", "left").withColumn("previous_root", F.when(F.col("segment") % 7 == 3, "other").otherwise(F.col("noted")))
     return audit.consistent_segments(segments, "log").select("segment", "consistent")
 
 
