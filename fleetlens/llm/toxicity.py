@@ -7,7 +7,7 @@ ASCII character, and a few for the rest.
 
 Features are scaled by their rarity in clean text, as common ones tell nothing.
 
-Training (on the driver, on a bounded sample of the sentences of labelled documents, which executors cut): the label of
+Training (in one task, on a bounded sample of the sentences of labelled documents): the label of
 a document is carried to the sentence that holds the word which most speaks for the label. A word speaks for it if its
 log-likelihood ratio exceeds what chance gives the best of all words (Bonferroni, at ALPHA); documents that no such word
 explains are rated anew by themselves, by words that no clean document has, until none is left or no word speaks for them. Windows of those sentences, and
@@ -31,6 +31,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from statistics import NormalDist
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import held_out, table, with_columns_from_text
+from fleetlens.llm.common import held_out, release, table, text_bytes, with_columns_from_text
 from fleetlens.llm.tokens import chunks
 
 SPAN, DECAY, WINDOW = 7, 0.8, 14
@@ -345,9 +346,9 @@ def score_batch(batch: pa.RecordBatch, model: dict | None) -> list[np.ndarray]:
     return [out]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, how: ToxicityTraining, folds: int = 0) -> list[tuple[int, bytes, int]]:
-    """(doc_id, sentence, label) of at most how.documents labelled texts of each label, by the hash of their id, that fold 0
-    of `folds` doesn't hold; at most how.sentences of each, by a hash. Executors cut the texts; only sentences come here."""
+def training_sentences(docs: DataFrame, labels: DataFrame, how: ToxicityTraining, folds: int = 0) -> DataFrame:
+    """doc_id, place, sentence and y of at most how.documents labelled texts of each label, by the hash of their id, that fold 0
+    of `folds` doesn't hold; at most how.sentences of each, by a hash. Executors cut the texts."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     if folds:
         known = known.where(~held_out(F.col("doc_id"), folds))
@@ -359,9 +360,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, how: ToxicityTraining, fol
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     cut = texts.select("doc_id", "y", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("place", "sentence")).where("trim(sentence) <> ''")
     few = Window.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "place"), "place")
-    cut = cut.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= how.sentences)
-    rows = sorted((r.doc_id, r.place, r.sentence.encode(), r.y) for r in cut.select("doc_id", "place", "sentence", "y").collect())
-    return [(doc, sentence, y) for doc, _, sentence, y in rows]
+    return cut.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= how.sentences).select("doc_id", "place", "sentence", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, how: ToxicityTraining = ToxicityTraining(), folds: int = 0) -> dict | None:
+    """train() of the bounded sample of training_sentences(), in a task of an executor: only the folded machine comes here."""
+    sample = training_sentences(docs, labels, how, folds).repartition(1).sortWithinPartitions("doc_id", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(batch.column(0).to_pylist(), text_bytes(batch, "sentence"), batch.column(3).to_pylist())]
+        model = train(rows, how)
+        if model is not None:
+            made = [model["codes"].astype("<i4").tobytes(), model["weights"].astype("<f4").tobytes(), model["bias"], model["slope"], model["place"]]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in made], names=["codes", "weights", "bias", "slope", "place"])
+        release()
+
+    for r in sample.mapInArrow(run, "codes binary, weights binary, bias double, slope double, place double").collect():
+        return {"codes": np.frombuffer(r.codes, dtype="<i4"), "weights": np.frombuffer(r.weights, dtype="<f4"), "bias": r.bias, "slope": r.slope, "place": r.place}
+    return None
 
 
 def score_toxicity(docs: DataFrame, model: dict | None, keep_text: bool = True) -> DataFrame:
@@ -373,6 +389,6 @@ def score_toxicity(docs: DataFrame, model: dict | None, keep_text: bool = True)
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(training_rows(docs, table(spark, sf_dir, "labels"), ToxicityTraining(), folds=5))
+    model = fit(docs, table(spark, sf_dir, "labels"), ToxicityTraining(), folds=5)
     out = score_toxicity(docs, model, keep_text=False).withColumn("held_out", held_out(F.col("doc_id"), 5))
     return out.select("doc_id", "held_out", "score", "predicted")

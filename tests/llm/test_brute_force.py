@@ -87,10 +87,25 @@ def test_toxicity_training_cuts_sentences_of_labelled_documents(spark):
     texts = [(1, "One two. Three!  Four\nfive " + "x" * 900, 1), (2, None, 1), (3, "", 0), (5, "Clean one. Clean two.", 0), (5, "Clean one. Clean two.", 0), (6, "unlabelled", None)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
-    out = toxicity.training_rows(docs, labels, toxicity.ToxicityTraining())
-    assert [(d, s.strip(), y) for d, s, y in out if d == 5] == [(5, b"Clean one.", 0), (5, b"Clean two.", 0)]
-    assert [s.strip() for d, s, _ in out if d == 1] == [b"One two.", b"Three!", b"Four", b"five " + b"x" * 395, b"x" * 400, b"x" * 105]
-    assert {d for d, _, _ in out} == {1, 5} and toxicity.training_rows(empty(spark), labels, toxicity.ToxicityTraining()) == []
+    rows = lambda d: [(r.doc_id, r.sentence.strip(), r.y) for r in toxicity.training_sentences(d, labels, toxicity.ToxicityTraining()).orderBy("doc_id", "place").collect()]
+    assert rows(docs) == [(1, s, 1) for s in ("One two.", "Three!", "Four", "five " + "x" * 395, "x" * 400, "x" * 105)] + [(5, "Clean one.", 0), (5, "Clean two.", 0)]
+    assert rows(empty(spark)) == [] and toxicity.fit(empty(spark), labels) is None and toxicity.fit(docs.where("doc_id = 5"), labels) is None
+
+
+def test_a_machine_fitted_in_a_task_finds_held_out_insults(spark):
+    rng = random.Random(8)
+    insults = ["nitwit", "dunderhead", "blockhead"]
+    texts = {i: (prose(rng, 60) + (f" {rng.choice(insults)} " if i % 2 else " ") + prose(rng, 60)) for i in range(400)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    how = toxicity.ToxicityTraining(windows=600, rounds=2)
+    model = toxicity.fit(docs, labels, how, folds=5)
+    rows = [(r.doc_id, r.sentence.encode(), r.y) for r in toxicity.training_sentences(docs, labels, how, 5).orderBy("doc_id", "place").collect()]
+    again = toxicity.train(rows, how)
+    assert all(np.allclose(model[k], again[k]) for k in model) and all(zlib.crc32(str(d).encode()) % 5 for d, _, _ in rows)
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, model).where(F.col("doc_id").isin(held)).collect()}
+    assert np.mean([got[i] == i % 2 for i in held]) >= 0.95 and len(held) > 50
 
 
 def test_words_rarer_than_the_first_tier_still_speak():
