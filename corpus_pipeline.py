@@ -32,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic, by a machine trained on the labelled ones among them."""
-    model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), toxicity.ToxicityTraining()))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return _columns(toxicity.score_toxicity(_aside(docs), model).where("predicted = 0"), docs)
 
 
