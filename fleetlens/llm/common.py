@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextvars
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,13 @@ def release() -> None:
         pass
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffles and broadcasts of rounds that are over: it goes by what the driver's garbage
+    collection finds unreachable, which in a short driver may come late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors."""
     spark = df.sparkSession

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import by_task, free_name, numbered, release, rows_of_tasks, spread_join, table, text_bytes, with_columns_from_text, written
+from fleetlens.llm.common import by_task, free_name, let_go, numbered, release, rows_of_tasks, spread_join, table, text_bytes, with_columns_from_text, written
 from fleetlens.llm.tokens import chunks, shingles, words
 
 #: Rows of the two sides of a block, and shingles in them, about which a larger bucket is cut.
@@ -304,6 +304,7 @@ def _linked(signs: DataFrame, live: DataFrame, how: NearDup) -> DataFrame | None
 
     def link(found: DataFrame) -> DataFrame:
         """Components with the links found (a, b)."""
+        let_go(found.sparkSession)
         known = found.select("a", "b") if labels is None else found.select("a", "b").unionByName(labels.select(F.col("id").alias("a"), F.col("root").alias("b")))
         return written(components(known, "near-star"), "near-labels")
 
