@@ -87,6 +87,10 @@ VIEWS = {
         l_discount < 0.08 AS succeeded, l_linenumber = 7 AS timed_out, l_tax > 0.06 AS mismatch, l_partkey % 9 = 0 AS corruption, l_quantity / 12 AS latency_ratio, l_partkey % 199 = 0 AS forged, l_partkey % 151 = 0 AS cancel_refused, l_partkey % 173 = 0 AS unauthorised FROM lineitem"""),
     "identities": (["supplier"], """SELECT s_suppkey AS node, CASE s_suppkey % 9 WHEN 4 THEN 'revoked' WHEN 7 THEN 'quarantined' ELSE 'active' END AS status, s_suppkey % 4 + 1 AS trust, s_suppkey % 20 AS valid_from, 60 + s_suppkey % 50 AS valid_until,
         1 + s_suppkey % 3 AS generation, s_suppkey % 13 <> 2 AS integrity, s_suppkey % 5 <> 1 AS attested, 40 + s_suppkey % 60 AS attested_until FROM supplier"""),
+    "wide_nodes": (["supplier"], """SELECT s_suppkey AS idx, CAST(1 + CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN s_suppkey % 5 = 0 THEN 1099511627776 ELSE 0 END AS BIGINT) AS lo,
+        CAST(CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 7 = 0 THEN 70368744177664 ELSE 0 END + CASE WHEN s_suppkey % 11 = 0 THEN CAST(-9223372036854775808 AS BIGINT) ELSE 0 END AS BIGINT) AS hi FROM supplier"""),
+    "wide_needs": (["orders"], """SELECT o_orderkey AS task_id, CAST(CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 1099511627780 ELSE 2 END AS BIGINT) AS need_lo,
+        CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 70368744177664 ELSE CAST(-9223372036854775808 AS BIGINT) END AS BIGINT) AS need_hi FROM orders"""),
     # Validity of identities in days, some very long, some empty; and moments at which work was done.
     "validities": (["lineitem"], f"""SELECT l_suppkey AS node, {DAY} AS valid_from, l_orderkey * 10 + l_linenumber AS identity,
         {DAY} + CASE WHEN l_partkey % 53 = 5 THEN 900 WHEN l_partkey % 7 = 3 THEN -1 ELSE l_linenumber * 3 END AS valid_until FROM lineitem WHERE l_returnflag <> 'N'"""),

@@ -1,2 +1,2 @@
 
-from fleetlens.plans import catalog, durability, extended, reports, scheduling, timed, trusted  # noqa: F401
+from fleetlens.plans import catalog, durability, extended, reports, scheduling, stored, timed, trusted  # noqa: F401

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators import audit
+from fleetlens.operators.folds import fold
 from fleetlens.sources import wal
 
 AUDIT = "sequence long, tick long, node long, body string, previous_hash string, event_hash string"
@@ -60,19 +63,37 @@ def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def content_verdicts(parts: DataFrame, keys: list[str], place: str, content: str) -> DataFrame:
+    """keys, digest (SHA-256 of the contents in the order of place; null where one is missing) of parts, a row for each chunk
+    with its bytes. Chunks are sorted within partitions and taken one after the other, so no content stands in one row, and a
+    content larger than a task's memory only spills."""
+
+    def step(s: dict, r: dict) -> None:
+        if r[content] is None:
+            s["gone"] = True
+        elif not s["gone"]:
+            s["hash"].update(r[content])
+
+    finish = lambda key, s: [(*key, None if s["gone"] else s["hash"].hexdigest())]
+    rows = parts.select(*keys, place, F.col(content).cast("binary").alias(content))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return fold(rows, keys, [place], lambda: {"hash": hashlib.sha256(), "gone": False}, step, f"{kinds}, digest string", finish)
+
+
 def read_contents(spark: SparkSession, chunks: str, manifests: DataFrame) -> DataFrame:
     """digest and verdict (whole, missing or corrupt) of each content (digest, chunks: array of chunk digests) whose chunks lie in
-    files named by their digests: every chunk is checked by itself, then the content as a whole.
-
-    Chunks are verified where they are read. The whole needs its bytes in order, so a content is put together in one row.
-    """
+    files named by their digests: every chunk is checked where it is read, then the content as a whole, in order. A content
+    without chunks is whole if its digest is that of no bytes."""
     name = F.element_at(F.split("path", "/"), -1)
     stored = spark.read.format("binaryFile").load(chunks).select(name.alias("chunk"), "content", (F.sha2("content", 256) == name).alias("sound"))
-    wanted = manifests.select("digest", F.posexplode("chunks").alias("place", "chunk")).join(stored, "chunk", "left")
-    parts = F.array_sort(F.collect_list(F.struct("place", "content")))
-    joined = wanted.groupBy("digest").agg(F.bool_or(F.col("sound").isNull()).alias("gone"), F.bool_or(~F.col("sound")).alias("bad"), parts.alias("parts"))
-    whole = F.sha2(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["content"])), "")), 256) == F.col("digest")
-    return joined.select("digest", F.when(F.col("gone"), "missing").when(F.col("bad") | ~whole, "corrupt").otherwise("whole").alias("verdict"))
+    wanted = manifests.select("digest", F.posexplode_outer("chunks").alias("place", "chunk"))
+    found = wanted.join(stored, "chunk", "left")
+    nothing = F.when(F.col("chunk").isNull() & F.col("place").isNull(), F.lit(b""))
+    whole = content_verdicts(found.select(F.col("digest").alias("wanted"), F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("content", nothing).alias("content")), ["wanted"], "place", "content")
+    sound = found.groupBy(F.col("digest").alias("own")).agg(F.bool_or(F.col("place").isNotNull() & F.col("content").isNull()).alias("gone"), F.bool_or(~F.col("sound")).alias("bad"))
+    joined = whole.join(sound, F.col("wanted") == F.col("own"))
+    corrupt = F.coalesce(F.col("bad"), F.lit(False)) | (F.col("digest") != F.col("wanted"))
+    return joined.select(F.col("wanted").alias("digest"), F.when(F.col("gone"), "missing").when(corrupt, "corrupt").otherwise("whole").alias("verdict"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
