@@ -16,6 +16,15 @@ from fleetlens.llm.common import recorded, remove_path, table, written
 NEEDED = ("doc_id", "text", "lang", "source")
 
 
+#: Rows of an Arrow batch: Spark's 10,000 would hold as many texts, however long, in a Python worker and in the JVM beside it.
+BATCH_ROWS = 2000
+
+
+def _bounded(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(BATCH_ROWS, int(spark.conf.get(key)) if int(spark.conf.get(key)) > 0 else BATCH_ROWS)))
+
+
 def _aside(docs: DataFrame) -> DataFrame:
     """docs with every column that no stage reads under a name of its own, so that no stage's columns replace it."""
     return docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns if c not in NEEDED})
@@ -27,28 +36,33 @@ def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    _bounded(spark)
     return _columns(quality.judge(_aside(docs)).where("kept"), docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic, by a machine trained on the labelled ones among them."""
+    _bounded(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return _columns(toxicity.score_toxicity(_aside(docs), model).where("predicted = 0"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    _bounded(spark)
     return _columns(neardup.near_duplicates(_aside(docs)).where("chosen"), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    _bounded(spark)
     mixed = mixing.mix(_aside(docs)).where("copies > 0")
     return _columns(mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece with its sequence and its place there."""
+    _bounded(spark)
     cut = packing.pieces(docs, packing.public_paths())
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
