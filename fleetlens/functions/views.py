@@ -46,8 +46,22 @@ VIEWS = {
         CASE k % 6 WHEN 0 THEN 'cluster_safety' WHEN 1 THEN 'hard_realtime' WHEN 2 THEN 'soft_realtime' WHEN 3 THEN 'interactive' WHEN 4 THEN 'batch' ELSE 'background' END AS latency_class,
         k % 3 AS minimum_trust, CASE WHEN k % 7 = 2 THEN 'linux' END AS required_os, CASE WHEN k % 11 = 3 THEN 'x86_64' END AS required_abi, 1024 * (1 + k % 3) AS required_memory,
         CASE WHEN k % 9 = 4 THEN 512 ELSE 0 END AS required_vram, k % 16 = 7 AS local_only, k % 16 = 11 AS local_bound, 1 + k % 10 AS local_idx, CASE WHEN k % 5 = 1 THEN 7 END AS required_generation,
+        CASE WHEN o_orderkey % 113 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(5.0 AS DOUBLE) END AS small_task, CASE WHEN o_orderkey % 101 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 103 = 0 THEN CAST(-1.0 AS DOUBLE) ELSE CAST(3 + k % 4 AS DOUBLE) END AS safety_margin,
+        CAST(2 + k % 3 AS DOUBLE) AS migration, CAST(3.0 AS DOUBLE) AS dag_benefit, CAST(CASE WHEN k % 12 = 5 THEN 30 ELSE 500 END AS DOUBLE) AS deadline, CAST(CASE WHEN k % 13 = 2 THEN 200 ELSE 600 END AS DOUBLE) AS max_p95, CAST(CASE WHEN k % 17 = 4 THEN 250 ELSE 1100 END AS DOUBLE) AS max_p99,
+        CAST(6 + k % 5 AS DOUBLE) AS max_jitter, CAST(CASE WHEN k % 19 = 6 THEN 0.015 ELSE 0.2 END AS DOUBLE) AS max_failure, CASE WHEN k % 8 <> 7 THEN CAST(3 + k % 2 AS DOUBLE) END AS max_ttft, CASE WHEN k % 16 <> 3 THEN CAST(2.0 AS DOUBLE) END AS max_steady,
         CAST(0.9 AS DOUBLE) AS minimum_quality, k % 3 <> 0 AS exact, k % 4 = 3 AS streaming, CASE WHEN k % 8 = 5 THEN 1 + k % 10 END AS session_idx, CAST(k % 7 AS DOUBLE) AS dag_cross,
         k % 5 AS content_a, 5 + k % 3 AS content_b FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 240 AS k FROM orders) AS q"""),
+    # Requests of which each has its own node, session and contents, so that there are as many kinds as requests.
+    "sched_each": (["orders"], """SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 97 = 0 THEN -1.0 ELSE o_totalprice / 1000 END AS local_cost, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 0 END AS required_bits,
+        CASE k % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END AS task_type, k % 3 AS input_bucket,
+        CASE k % 6 WHEN 0 THEN 'cluster_safety' WHEN 1 THEN 'hard_realtime' WHEN 2 THEN 'soft_realtime' WHEN 3 THEN 'interactive' WHEN 4 THEN 'batch' ELSE 'background' END AS latency_class,
+        k % 3 AS minimum_trust, CASE WHEN k % 7 = 2 THEN 'linux' END AS required_os, CASE WHEN k % 11 = 3 THEN 'x86_64' END AS required_abi, 1024 * (1 + k % 3) AS required_memory,
+        CASE WHEN k % 9 = 4 THEN 512 ELSE 0 END AS required_vram, k % 16 = 7 AS local_only, k % 16 = 11 AS local_bound, 1 + o_orderkey % 97 AS local_idx, CASE WHEN k % 5 = 1 THEN 7 END AS required_generation,
+        CASE WHEN o_orderkey % 113 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(5.0 AS DOUBLE) END AS small_task, CASE WHEN o_orderkey % 101 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 103 = 0 THEN CAST(-1.0 AS DOUBLE) ELSE CAST(3 + k % 4 AS DOUBLE) END AS safety_margin,
+        CAST(2 + k % 3 AS DOUBLE) AS migration, CAST(3.0 AS DOUBLE) AS dag_benefit, CAST(CASE WHEN k % 12 = 5 THEN 30 ELSE 500 END AS DOUBLE) AS deadline, CAST(CASE WHEN k % 13 = 2 THEN 200 ELSE 600 END AS DOUBLE) AS max_p95, CAST(CASE WHEN k % 17 = 4 THEN 250 ELSE 1100 END AS DOUBLE) AS max_p99,
+        CAST(6 + o_orderkey % 7 AS DOUBLE) AS max_jitter, CAST(CASE WHEN k % 19 = 6 THEN 0.015 ELSE 0.2 END AS DOUBLE) AS max_failure, CASE WHEN k % 8 <> 7 THEN CAST(3 + k % 2 AS DOUBLE) END AS max_ttft, CASE WHEN k % 16 <> 3 THEN CAST(2.0 AS DOUBLE) END AS max_steady,
+        CAST(0.9 AS DOUBLE) AS minimum_quality, k % 3 <> 0 AS exact, k % 4 = 3 AS streaming, CASE WHEN k % 8 = 5 THEN 1 + o_orderkey % 89 END AS session_idx, CAST(k % 7 AS DOUBLE) AS dag_cross,
+        CASE WHEN k % 23 <> 1 THEN o_orderkey % 37 END AS content_a, 5 + o_orderkey % 11 AS content_b FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 240 AS k FROM orders) AS q"""),
     "priorities": (["orders"], """SELECT o_orderkey AS task_id, o_custkey % 20 AS queue, o_orderkey % 53 = 0 AS safety, o_orderkey % 31 = 0 AS recovery, CAST(substr(o_orderpriority, 1, 1) AS INT) AS class_rank, o_orderkey % 2 = 0 AS local_origin,
         o_orderkey % 11 AS deadline, o_orderkey % 7 AS dag, o_orderkey % 5 AS unlock, o_orderkey % 3 AS business, CAST(floor(o_totalprice / 10000) AS BIGINT) AS age, o_custkey % 4 AS fair_share FROM orders"""),
     "reservations": (["lineitem"], """SELECT l_suppkey AS node, concat(CAST(l_orderkey AS VARCHAR(9)), '/', CAST(l_linenumber AS VARCHAR(9))) AS reservation_id, 1 + l_linenumber % 4 AS cpu, CAST(l_quantity AS BIGINT) AS memory,

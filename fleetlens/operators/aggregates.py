@@ -12,13 +12,14 @@ def latency_histogram(rows: DataFrame, keys: list[str], value: str) -> DataFrame
     return rows.groupBy(*keys, latency_bucket(F.col(value)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def histogram_quantiles(histogram: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
-    """Upper bound of the first bucket whose running count reaches max(1, ceil(n * p / 100)); a window of 32 rows a key."""
+def histogram_quantiles(histogram: DataFrame, keys: list[str], percents: list[int], more: list[Column] | None = None) -> DataFrame:
+    """Upper bound of the first bucket whose running count reaches max(1, ceil(n * p / 100)); a window of 32 rows a key. more:
+    further aggregates of the buckets."""
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket"))
     total = F.sum("n").over(Window.partitionBy(*keys))
     rows = histogram.withColumn("upto", upto).withColumn("total", total)
     quantile = lambda p: F.pow(F.lit(2.0), F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("total") * p / 100)), F.col("bucket")))).alias(f"p{p}")
-    return rows.groupBy(*keys).agg(F.max("total").alias("samples"), *[quantile(p) for p in percents])
+    return rows.groupBy(*keys).agg(F.max("total").alias("samples"), *[quantile(p) for p in percents], *(more or []))
 
 
 def ewma(rows: DataFrame, keys: list[str], value: Column, newest_first: list[Column], alpha: float, seed: float | None, depth: int, name: str) -> DataFrame:

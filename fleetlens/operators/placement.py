@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.aggregates import ewma, histogram_quantiles, latency_histogram
+from fleetlens.functions.fleet import latency_bucket
+from fleetlens.operators.aggregates import ewma, histogram_quantiles
 from fleetlens.operators.scheduling import with_required_bits
 
 KEYS = ["task_type", "variant_id", "input_bucket"]
 
 
 def profiles(observations: DataFrame) -> DataFrame:
-    """Samples, histogram quantiles and failure share by task type, variant and input bucket."""
-    quantiles = histogram_quantiles(latency_histogram(observations, KEYS, "latency_ticks"), KEYS, [50, 95, 99])
-    failures = observations.groupBy(*KEYS).agg(F.avg(F.col("failed").cast("double")).alias("failure"))
-    return quantiles.join(failures, KEYS)
+    """Samples, histogram quantiles, failure share and peak memory by task type, variant and input bucket: observations are read
+    once, for a row of each key and latency bucket."""
+    bucket = latency_bucket(F.col("latency_ticks"))
+    counts = observations.groupBy(*KEYS, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"), F.max("peak_memory_bytes").alias("peak"))
+    more = [(F.sum("failures") / F.sum("n")).alias("failure"), F.max("peak").alias("peak_memory_bytes")]
+    return histogram_quantiles(counts, KEYS, [50, 95, 99], more)
 
 
 def predictions(observations: DataFrame, samples: int) -> DataFrame:
-    """profiles() with the moving average, peak memory, throughput, and doubt: the share of `samples` that is missing."""
+    """profiles() with the moving average, throughput, and doubt: the share of `samples` that is missing."""
     average = ewma(observations, KEYS, F.col("latency_ticks"), [F.desc("ts"), F.desc("event_id")], 0.2, None, 200, "ewma").drop("samples")
-    peak = observations.groupBy(*KEYS).agg(F.max("peak_memory_bytes").alias("peak_memory_bytes"))
     doubt = F.greatest(F.lit(samples) - F.col("samples"), F.lit(0)) / float(samples)
-    rows = profiles(observations).join(average, KEYS).join(peak, KEYS)
+    rows = profiles(observations).join(average, KEYS)
     return rows.withColumn("throughput", 1 / F.greatest(F.col("ewma"), F.lit(2.220446049250313e-16))).withColumn("doubt", doubt)
 
 

@@ -1,7 +1,11 @@
 """Placement with every rule: hard filters, coarse top-k, operation cap, service levels, costs, risk and profitability.
 
-What a request asks for apart from its own local cost is its kind. Kinds are few, so nodes and variants are filtered, costed
-and ranked once for each kind; requests meet the ranked list of their kind in one equi-join.
+What a request asks of nodes alone is its class (bits, trust, system, memory, plugin). Classes find their nodes by an inverted
+index and keep a short list of the best by pressure, for each set of contents that nodes hold. What else a request asks for, its
+own node, session, contents and service levels, is its kind; there may be as many kinds as requests. A kind looks at the
+short lists of its class and contents only: content is the one bonus that the coarse order knows, so a node of the true top-k is
+among the best k by pressure of those that hold the same of its contents. So what is looked at grows with the kinds, not with
+kinds times nodes.
 """
 
 from __future__ import annotations
@@ -14,35 +18,27 @@ from pyspark.sql import functions as F
 from fleetlens.functions.fleet import has_bits
 from fleetlens.operators.folds import fold
 
+CLASS = ["required_bits", "minimum_trust", "required_os", "required_abi", "required_memory", "required_vram", "required_generation"]
+#: A request's service level; the last two are optional and count for streams only.
+LEVELS = ["deadline", "max_p95", "max_p99", "max_jitter", "max_failure", "max_ttft", "max_steady"]
 KIND = [
-    "required_bits", "task_type", "input_bucket", "latency_class", "minimum_trust", "required_os", "required_abi", "required_memory", "required_vram", "local_only", "local_bound", "local_idx",
-    "required_generation", "minimum_quality", "exact", "streaming", "session_idx", "dag_cross", "content_a", "content_b",
+    *CLASS, "task_type", "input_bucket", "latency_class", "local_only", "local_bound", "local_idx", "minimum_quality", "exact", "streaming", "session_idx", "migration", "dag_cross", "dag_benefit",
+    "content_a", "content_b", *LEVELS,
 ]
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the scheduler and of the service levels that all requests share."""
+    """Bounds of the scheduler, for all requests."""
 
     top_k: int = 4
     max_operations: int = 12
-    margin: float = 5.0
-    small_task: float = 5.0
-    deadline: float = 500.0
-    p95: float = 300.0
-    p99: float = 600.0
-    jitter: float = 10.0
-    failure: float = 0.2
-    ttft: float = 4.0
-    steady: float = 2.0
-    migration: float = 4.0
-    dag_benefit: float = 3.0
     samples: int = 20
 
 
 def bits_of(column: str, width: int) -> Column:
     """The masks of the bits that are set, ascending."""
-    return F.filter(F.array(*[F.lit(1 << b).cast("long") for b in range(width)]), lambda m: F.col(column).cast("long").bitwiseAND(m) != 0)
+    return F.filter(F.array(*[F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long") for b in range(width)]), lambda m: F.col(column).cast("long").bitwiseAND(m) != 0)
 
 
 def supply(nodes: DataFrame, width: int = 8) -> DataFrame:
@@ -59,24 +55,34 @@ def with_required_bits(needs: DataFrame, nodes: DataFrame, width: int = 8) -> Da
     return needs.join(rarest, "required_bits").join(filed, "mask").where(has_bits(F.col("bits"), F.col("required_bits"))).drop("mask")
 
 
-def with_kind(requests: DataFrame) -> DataFrame:
-    """requests with kind, one string for all that a request asks for.
+def as_one(columns: list[str]) -> Column:
+    """One short digest for some columns, nulls included: what is the same in all of them has the same one.
 
     It comes out of an explode() of one element, as the optimiser would otherwise derive constraints from every way of
-    writing its twenty columns through their own definitions.
+    writing its columns through their own definitions.
     """
-    return requests.withColumn("kind", F.explode(F.array(F.to_json(F.struct(*KIND)))))
+    return F.explode(F.array(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))))
+
+
+def with_kind(requests: DataFrame) -> DataFrame:
+    """requests with kind, one digest for all that a request asks of nodes and variants."""
+    return requests.withColumn("kind", as_one(KIND))
 
 
 def hard_nodes(pairs: DataFrame) -> DataFrame:
-    """The pairs of a kind and a node that own the bits which pass the node's hard filter."""
+    """The pairs of a class and a node that own the bits which pass the node's hard filter."""
     optional = lambda need, have: F.col(need).isNull() | (F.col(need) == F.col(have))
     return pairs.where(
         (F.col("health") == "healthy") & (F.col("identity") == "active") & F.col("integrity") & (F.col("trust") >= F.col("minimum_trust")) & optional("required_os", "os") & optional("required_abi", "abi")
-        & (F.col("memory") >= F.col("required_memory")) & (F.col("vram") >= F.col("required_vram")) & (~F.col("local_only") | (F.col("idx") == F.col("local_idx")))
+        & (F.col("memory") >= F.col("required_memory")) & (F.col("vram") >= F.col("required_vram"))
     )
 
 
+def with_plugin(pairs: DataFrame) -> DataFrame:
+    """The pairs whose node has a variant of the plugin generation that is asked for, if one is."""
+    return pairs.where(F.col("required_generation").isNull() | F.array_contains("generations", F.col("required_generation"))).drop("generations")
+
+
 def hard_variants() -> Column:
     """A variant's hard filter: bits, memory, plugin generation, quality."""
     fits = has_bits(F.col("bits"), F.col("need")) & (F.col("peak_memory") <= F.col("memory")) & (F.col("peak_vram") <= F.col("vram"))
@@ -89,71 +95,119 @@ def total_cost() -> Column:
     return F.col("queue") + F.col("rtt") + F.col("input_transfer") + F.col("execution") + F.col("output_transfer") + F.col("prewarm") + F.col("commit_cost") + F.col("recovery") + F.col("jitter")
 
 
-def meets_levels(limits: Limits) -> Column:
-    streaming = F.coalesce(F.col("ttft") <= limits.ttft, F.lit(False)) & F.coalesce(F.col("steady") <= limits.steady, F.lit(False))
+def meets_levels() -> Column:
+    """A candidate within its request's service level; a stream's latencies count where the request bounds them."""
+    bounded = lambda have, most: F.col(most).isNull() | F.coalesce(F.col(have) <= F.col(most), F.lit(False))
     return (
-        (F.col("total") <= limits.deadline) & (F.col("p95") <= limits.p95) & (F.col("p99") <= limits.p99) & (F.col("jitter") <= limits.jitter) & (F.col("failure") <= limits.failure)
-        & (~F.col("streaming") | streaming)
+        (F.col("total") <= F.col("deadline")) & (F.col("p95") <= F.col("max_p95")) & (F.col("p99") <= F.col("max_p99")) & (F.col("jitter") <= F.col("max_jitter")) & (F.col("failure") <= F.col("max_failure"))
+        & (~F.col("streaming") | (bounded("ttft", "max_ttft") & bounded("steady", "max_steady")))
     )
 
 
-def scarcity(needs: DataFrame, nodes: DataFrame, least: int = 2, penalty: float = 25.0) -> DataFrame:
-    """required_bits, idx and what using the node costs: for each bit that it owns beyond the required ones of which no more
-    than `least` nodes have any."""
-    rare = F.broadcast(supply(nodes).where(F.col("nodes") <= least).agg(F.coalesce(F.sum("mask"), F.lit(0)).alias("rare")))  # one row
-    spare = F.bit_count(F.col("bits").cast("long").bitwiseAND(F.col("rare").cast("long")).bitwiseAND(F.bitwise_not(F.col("required_bits").cast("long"))))
-    return with_required_bits(needs, nodes).join(rare).select("required_bits", "idx", (spare * F.lit(penalty)).alias("scarcity"))
+def rare_bits(nodes: DataFrame, least: int = 2) -> int:
+    """The mask of the bits that no more than `least` nodes own: a row for each bit comes to the driver."""
+    return sum(r["mask"] for r in supply(nodes, 64).where(F.col("nodes") <= least).collect())
+
+
+def spare_rare(rare: int, penalty: float = 25.0) -> Column:
+    """What using a node costs for each rare bit that it owns beyond the required ones."""
+    spare = F.bit_count(F.col("bits").cast("long").bitwiseAND(F.lit(rare)).bitwiseAND(F.bitwise_not(F.col("required_bits").cast("long"))))
+    return spare * F.lit(penalty)
+
+
+def scarcity(needs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """required_bits, idx and scarcity of every node that owns the required bits."""
+    return with_required_bits(needs, nodes, 64).select("required_bits", "idx", spare_rare(rare_bits(nodes)).alias("scarcity"))
+
+
+#: Where a node may stand out: by both contents, by either, or by none.
+SPOTS = [(True, True), (True, False), (False, True), (False, False)]
+
+
+def spots(a: str, b: str) -> list[Column]:
+    """A key for each of SPOTS; null where a content that it names is."""
+    return [F.concat(F.lit(f"{int(with_a)}{int(with_b)}"), *[F.concat(F.lit("/"), F.col(c).cast("string")) for c, on in ((a, with_a), (b, with_b)) if on]) for with_a, with_b in SPOTS]
+
+
+def short_lists(kinds: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
+    """kinds (KIND, kind) with the columns of the first `top` nodes of each in the coarse order and their place (from 1): pressure,
+    less 5 for each content that the node holds; ties go to the smaller node_id. nodes have generations, those of their variants."""
+    kinds = kinds.withColumn("class", as_one(CLASS))
+    own = ["idx", "node_id", "pressure", "bits", "memory", "vram", "has_a", "has_b"]
+    fits = with_plugin(hard_nodes(with_required_bits(kinds.select("class", *CLASS).distinct(), nodes, 64))).select("class", *own)
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("pressure", "node_id"))
+    near = fits.withColumn("rank", best("class", "has_a", "has_b")).where(F.col("rank") <= top)
+    listed = [F.lit(True), best("class", "has_a") <= top, best("class", "has_b") <= top, best("class") <= top]
+    near = near.withColumns({f"in_{i}": x for i, x in enumerate(listed)})
+    near = near.withColumn("spot", F.explode(F.array(*[F.when(F.col(f"in_{i}"), key) for i, key in enumerate(spots("has_a", "has_b"))]))).select("class", "spot", *own)
+    asked = kinds.where("not local_only").withColumn("spot", F.explode(F.array(*spots("content_a", "content_b"))))
+    a, b = F.coalesce(F.col("has_a") == F.col("content_a"), F.lit(False)), F.coalesce(F.col("has_b") == F.col("content_b"), F.lit(False))
+    # A node that holds more of the contents than a spot names is found at another spot.
+    found = asked.join(near, ["class", "spot"]).where((F.substring("spot", 1, 2) == F.concat(a.cast("int").cast("string"), b.cast("int").cast("string"))))
+    found = found.withColumn("coarse", F.col("pressure") - 5.0 * (a.cast("int") + b.cast("int")))
+    at_home = kinds.where("local_only").join(nodes, F.col("idx") == F.col("local_idx")).where(has_bits(F.col("bits"), F.col("required_bits")))
+    at_home = with_plugin(hard_nodes(at_home)).withColumn("coarse", F.col("pressure").cast("double"))
+    columns = ["kind", *KIND, *own, "coarse"]
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("coarse", "node_id"))
+    return found.select(*columns).unionByName(at_home.select(*columns)).withColumn("place", place).where(F.col("place") <= top)
 
 
 def candidates(kinds: DataFrame, nodes: DataFrame, variants: DataFrame, predictions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The costed candidates of each kind (a table of kind, ..., number in order of evaluation) and evaluated, how many were looked at."""
-    pairs = hard_nodes(with_required_bits(kinds, nodes.withColumnRenamed("content_a", "has_a").withColumnRenamed("content_b", "has_b")))
+    """The variants that are looked at for each kind (kind, ..., number in order of evaluation) with fits, whether one passes all
+    filters and levels, and their costs."""
     plugins = variants.groupBy("idx").agg(F.collect_set("generation").alias("generations"))  # the plugin index, by node
-    pairs = pairs.join(plugins, "idx").where(F.col("required_generation").isNull() | F.array_contains("generations", F.col("required_generation"))).drop("generations")
-    here = (F.col("has_a") == F.col("content_a")).cast("int") + (F.col("has_b") == F.col("content_b")).cast("int")
-    coarse = Window.partitionBy("kind").orderBy(F.col("pressure") - 5.0 * here, "node_id")
-    near = pairs.withColumn("place", F.row_number().over(coarse)).where(F.col("place") <= min(limits.top_k, limits.max_operations))
-    looked_at = near.join(variants, "idx").withColumn("number", F.row_number().over(Window.partitionBy("kind").orderBy("place", "v"))).where(F.col("number") <= limits.max_operations)
-    evaluated = looked_at.groupBy("kind").agg(F.count("*").alias("evaluated"))
-    rows = looked_at.where(hard_variants()).withColumn("is_local", F.col("idx") == F.col("local_idx")).withColumn("total", total_cost())
+    known = nodes.join(plugins, "idx").withColumnsRenamed({"content_a": "has_a", "content_b": "has_b"})
+    near = short_lists(kinds, known, min(limits.top_k, limits.max_operations))
+    rows = near.join(variants, "idx").withColumn("number", F.row_number().over(Window.partitionBy("kind").orderBy("place", "v"))).where(F.col("number") <= limits.max_operations)
+    rows = rows.withColumn("is_local", F.col("idx") == F.col("local_idx")).withColumn("total", total_cost())
     rows = rows.join(predictions, ["task_type", "variant_id", "input_bucket"], "left")
     rows = rows.withColumns({
         "failure": F.greatest(F.coalesce("failure", "base_failure"), "base_failure"), "p50": F.coalesce("p50", "execution"),
         "p95": F.coalesce("p95", F.col("execution") + F.col("jitter")), "p99": F.coalesce("p99", F.col("execution") + 2 * F.col("jitter")), "doubt": F.coalesce("doubt", F.lit(1.0)),
-    }).where(meets_levels(limits))
-    moved = F.when(F.col("session_idx").isNull(), 0.0).when(F.col("session_idx") == F.col("idx"), -F.least(F.lit(limits.migration), F.col("total") * 0.25)).otherwise(limits.migration)
+    }).withColumn("fits", F.coalesce(hard_variants() & meets_levels(), F.lit(False)))
+    moved = F.when(F.col("session_idx").isNull(), 0.0).when(F.col("session_idx") == F.col("idx"), -F.least(F.col("migration"), F.col("total") * 0.25)).otherwise(F.col("migration"))
     transfer = F.when(F.col("is_local"), 0.0).otherwise(F.col("input_transfer") + F.col("output_transfer"))
-    cost = F.col("queue") + F.col("rtt") + transfer + F.col("prewarm") + F.col("p50") + F.col("commit_cost") + F.col("jitter") + F.col("failure") * F.col("recovery") + moved + F.greatest(F.lit(0.0), F.col("dag_cross") - limits.dag_benefit)
+    cost = F.col("queue") + F.col("rtt") + transfer + F.col("prewarm") + F.col("p50") + F.col("commit_cost") + F.col("jitter") + F.col("failure") * F.col("recovery") + moved + F.greatest(F.lit(0.0), F.col("dag_cross") - F.col("dag_benefit"))
     urgent = F.col("latency_class").isin("cluster_safety", "hard_realtime", "soft_realtime")
-    rows = rows.withColumn("remote_cost", cost).join(scarcity(kinds.select("required_bits").distinct(), nodes), ["required_bits", "idx"])
-    risk = F.col("remote_cost") + F.greatest(F.lit(0.0), 1 - F.col("quality")) * 1000 + F.col("scarcity") + F.col("doubt") * F.when(urgent, 50.0).otherwise(10.0) + F.col("energy")
-    return rows.withColumn("risk_cost", risk).join(evaluated, "kind", "right")
+    risk = F.col("remote_cost") + F.greatest(F.lit(0.0), 1 - F.col("quality")) * 1000 + spare_rare(rare_bits(nodes)) + F.col("doubt") * F.when(urgent, 50.0).otherwise(10.0) + F.col("energy")
+    return rows.withColumn("remote_cost", cost).withColumn("risk_cost", risk)
 
 
 def place(requests: DataFrame, nodes: DataFrame, variants: DataFrame, predictions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """A row for each request: status (placed, unavailable or invalid), the best candidate, its fallbacks and margin."""
+    """A row for each request: status (placed, unavailable or invalid), the best candidate, its fallbacks and margin. A request's
+    margin and the cost up to which it stays local are its own, too."""
     requests = with_kind(requests)
     found = candidates(requests.select("kind", *KIND).distinct(), nodes, variants, predictions, limits)
     item = F.struct("risk_cost", "node_id", "number", "variant_id", "remote_cost", "is_local")
-    lists = found.groupBy("kind").agg(F.first("evaluated").alias("evaluated"), F.array_sort(F.collect_list(F.when(F.col("node_id").isNotNull(), item))).alias("ranked"))
+    lists = found.groupBy("kind").agg(F.count("*").alias("evaluated"), F.array_sort(F.collect_list(F.when(F.col("fits"), item))).alias("ranked"))
     joined = requests.join(lists, "kind", "left").withColumn("valid", finite_request())
-    stays = F.col("local_only") | F.col("local_bound") | (F.col("local_cost") <= limits.small_task) | (F.col("latency_class") == "hard_realtime")
+    stays = F.col("local_only") | F.col("local_bound") | (F.col("local_cost") <= F.col("small_task")) | (F.col("latency_class") == "hard_realtime")
     joined = joined.withColumn("stays", stays)
-    good = F.filter("ranked", lambda c: c["is_local"] | (~F.col("stays") & (F.col("local_cost") > c["remote_cost"] + limits.margin)))
+    good = F.filter("ranked", lambda c: c["is_local"] | (~F.col("stays") & (F.col("local_cost") > c["remote_cost"] + F.col("safety_margin"))))
     joined = joined.withColumn("good", F.when(F.col("valid"), good))
     first = F.get("good", F.lit(0))
     status = F.when(~F.col("valid"), "invalid").when(first.isNull(), "unavailable").otherwise("placed")
     return joined.select(
         "task_id", status.alias("status"), first["node_id"].alias("node_id"), first["variant_id"].alias("variant_id"), first["risk_cost"].alias("risk_cost"), first["remote_cost"].alias("remote_cost"),
         F.when(first.isNotNull(), F.least(F.size("good") - 1, F.lit(limits.top_k))).cast("long").alias("fallbacks"), F.when(F.col("valid"), F.coalesce("evaluated", F.lit(0))).cast("long").alias("evaluated"),
-        (F.col("local_cost") - first["remote_cost"] - limits.margin).alias("margin"),
+        F.when(first.isNotNull(), F.col("local_cost") - first["remote_cost"] - F.col("safety_margin")).alias("margin"),
     )
 
 
+#: The numbers of a request that must be finite, and those of them that may not be negative.
+FINITE = ["local_cost", "safety_margin", "small_task", "migration", "dag_cross", "dag_benefit", "deadline", "max_p95", "max_p99", "max_jitter", "max_failure", "minimum_quality"]
+NOT_NEGATIVE = ["local_cost", "safety_margin", "minimum_quality", "max_failure"]
+
+
 def finite_request() -> Column:
-    """A request's own numbers are finite and not negative."""
-    cost = F.col("local_cost")
-    return F.coalesce(~F.isnan(cost) & (cost >= 0) & (cost < float("inf")) & (F.col("minimum_quality") >= 0), F.lit(False))
+    """All of a request's numbers are there and finite, and those that must be are not negative."""
+    out = F.lit(True)
+    for c in FINITE:
+        v = F.col(c).cast("double")
+        out = out & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    for c in NOT_NEGATIVE:
+        out = out & (F.col(c) >= 0)
+    return F.coalesce(out, F.lit(False))
 
 
 #: The ten keys of scheduling priority, all descending.

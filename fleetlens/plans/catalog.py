@@ -55,7 +55,7 @@ def latency_histogram(observations):
 
 @query("profile_quantiles", ["observations"], PROFILE + " SELECT task_type, variant_id, input_bucket, samples, p50, p95, p99, round(failure, 6) AS failure FROM profile")
 def profile_quantiles(observations):
-    return rounded(placement.profiles(observations), "failure")
+    return rounded(placement.profiles(observations).drop("peak_memory_bytes"), "failure")
 
 
 @query("profile_ewma", ["observations"], "SELECT task_type, variant_id, input_bucket, count(*) AS samples, round(list_reduce(list(latency_ticks ORDER BY ts, event_id), lambda a, x: a * 0.8 + x * 0.2), 6) AS ewma FROM observations GROUP BY 1, 2, 3")

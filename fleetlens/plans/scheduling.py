@@ -14,7 +14,7 @@ RARE = "rare AS (SELECT m, count(*) AS n FROM (SELECT unnest([1, 2, 4, 8, 16, 32
 HARD = """hard AS (SELECT k.*, n.* EXCLUDE (content_a, content_b), CASE WHEN n.content_a = k.content_a THEN 1 ELSE 0 END + CASE WHEN n.content_b = k.content_b THEN 1 ELSE 0 END AS here FROM kinds k JOIN sched_nodes n
   ON (n.bits & k.required_bits) = k.required_bits AND n.health = 'healthy' AND n.identity = 'active' AND n.integrity AND n.trust >= k.minimum_trust AND coalesce(n.os = k.required_os, true) AND coalesce(n.abi = k.required_abi, true)
   AND n.memory >= k.required_memory AND n.vram >= k.required_vram AND (NOT k.local_only OR n.idx = k.local_idx))"""
-KINDS = f"kinds AS (SELECT row_number() OVER () AS kid, * FROM (SELECT DISTINCT {KIND} FROM sched_requests))"
+KINDS = f"kinds AS MATERIALIZED (SELECT row_number() OVER () AS kid, * FROM (SELECT DISTINCT {KIND} FROM sched_requests))"
 PREDICTED = """predicted AS (SELECT p.*, greatest(20 - p.samples, 0) / 20.0 AS doubt, e.ewma, e.peak FROM profile p JOIN (SELECT task_type, variant_id, input_bucket, max(peak_memory_bytes) AS peak,
   list_reduce(list(latency_ticks ORDER BY ts, event_id), lambda a, x: a * 0.8 + x * 0.2) AS ewma FROM observations GROUP BY 1, 2, 3) e USING (task_type, variant_id, input_bucket))"""
 RANKED = f"""{KINDS}, {RARE}, {HARD}
@@ -24,9 +24,9 @@ RANKED = f"""{KINDS}, {RARE}, {HARD}
   coalesce(p.p50, execution) AS p50, coalesce(p.p95, execution + jitter) AS p95, coalesce(p.p99, execution + 2 * jitter) AS p99, coalesce(p.doubt, 1.0) AS doubt
   FROM looked l LEFT JOIN predicted p USING (task_type, variant_id, input_bucket)
   WHERE (bits & need) = need AND peak_memory <= memory AND peak_vram <= vram AND coalesce(generation = required_generation, true) AND quality >= minimum_quality AND (NOT exact OR quality >= 1))
-, levels AS (SELECT *, idx = local_idx AS is_local FROM fit WHERE total <= 500 AND p95 <= 300 AND p99 <= 600 AND jitter <= 10 AND failure <= 0.2 AND (NOT streaming OR (coalesce(ttft <= 4, false) AND coalesce(steady <= 2, false))))
+, levels AS (SELECT *, idx = local_idx AS is_local FROM fit WHERE total <= deadline AND p95 <= max_p95 AND p99 <= max_p99 AND jitter <= max_jitter AND failure <= max_failure AND (NOT streaming OR ((max_ttft IS NULL OR coalesce(ttft <= max_ttft, false)) AND (max_steady IS NULL OR coalesce(steady <= max_steady, false)))))
 , costed AS (SELECT *, queue + rtt + CASE WHEN is_local THEN 0 ELSE input_transfer + output_transfer END + prewarm + p50 + commit_cost + jitter + failure * recovery
-  + CASE WHEN session_idx IS NULL THEN 0 WHEN session_idx = idx THEN -least(4.0, total * 0.25) ELSE 4.0 END + greatest(0.0, dag_cross - 3) AS remote_cost FROM levels)
+  + CASE WHEN session_idx IS NULL THEN 0 WHEN session_idx = idx THEN -least(migration, total * 0.25) ELSE migration END + greatest(0.0, dag_cross - dag_benefit) AS remote_cost FROM levels)
 , risked AS (SELECT *, remote_cost + greatest(0.0, 1 - quality) * 1000 + 25 * (SELECT count(*) FROM rare WHERE bits & m <> 0 AND required_bits & m = 0)
   + doubt * CASE WHEN latency_class IN ('cluster_safety', 'hard_realtime', 'soft_realtime') THEN 50 ELSE 10 END + energy AS risk_cost FROM costed)"""
 SAME_KIND = " AND ".join(f"r.{c} IS NOT DISTINCT FROM k.{c}" for c in scheduling.KIND)
@@ -36,14 +36,26 @@ def predictions(observations):
     return placement.predictions(observations, scheduling.Limits().samples)
 
 
-@query("placement_full", ["sched_requests", "sched_nodes", "sched_variants", "observations"], f"""{PROFILE}, {PREDICTED}, {RANKED}
-, asked AS (SELECT r.*, k.kid, r.local_cost >= 0 AS valid, r.local_only OR r.local_bound OR r.local_cost <= 5 OR r.latency_class = 'hard_realtime' AS stays FROM sched_requests r JOIN kinds k ON {SAME_KIND})
+VALID = " AND ".join([*(f"coalesce(isfinite(CAST({c} AS DOUBLE)), false)" for c in scheduling.FINITE), *(f"{c} >= 0" for c in scheduling.NOT_NEGATIVE)])
+PLACED = f"""{PROFILE}, {PREDICTED}, {RANKED}
+, asked AS (SELECT r.*, k.kid, {VALID.replace("(CAST(", "(CAST(r.").replace(" AND local_cost >=", " AND r.local_cost >=").replace(" AND safety_margin >=", " AND r.safety_margin >=").replace(" AND minimum_quality >=", " AND r.minimum_quality >=").replace(" AND max_failure >=", " AND r.max_failure >=")} AS valid, r.local_only OR r.local_bound OR r.local_cost <= r.small_task OR r.latency_class = 'hard_realtime' AS stays FROM sched_requests r JOIN kinds k ON {SAME_KIND})
 , good AS (SELECT a.task_id, c.node_id, c.variant_id, c.risk_cost, c.remote_cost, row_number() OVER (PARTITION BY a.task_id ORDER BY c.risk_cost, c.node_id, c.number) AS rk, count(*) OVER (PARTITION BY a.task_id) AS many
-  FROM asked a JOIN risked c USING (kid) WHERE a.valid AND (c.is_local OR (NOT a.stays AND a.local_cost > c.remote_cost + 5)))
+  FROM asked a JOIN risked c USING (kid) WHERE a.valid AND (c.is_local OR (NOT a.stays AND a.local_cost > c.remote_cost + a.safety_margin)))
+, counted AS (SELECT kid, count(*) AS n FROM looked GROUP BY 1)
 SELECT a.task_id, CASE WHEN NOT a.valid THEN 'invalid' WHEN g.task_id IS NULL THEN 'unavailable' ELSE 'placed' END AS status, g.node_id, g.variant_id, round(g.risk_cost, 6) AS risk_cost, round(g.remote_cost, 6) AS remote_cost,
-  CASE WHEN g.task_id IS NOT NULL THEN CAST(least(g.many - 1, 4) AS BIGINT) END AS fallbacks, CASE WHEN a.valid THEN (SELECT count(*) FROM looked l WHERE l.kid = a.kid) END AS evaluated, round(a.local_cost - g.remote_cost - 5, 6) AS margin
-FROM asked a LEFT JOIN (SELECT * FROM good WHERE rk = 1) g USING (task_id)""")
+  CASE WHEN g.task_id IS NOT NULL THEN CAST(least(g.many - 1, 4) AS BIGINT) END AS fallbacks, CASE WHEN a.valid THEN coalesce(n.n, 0) END AS evaluated, CASE WHEN g.task_id IS NOT NULL THEN round(a.local_cost - g.remote_cost - a.safety_margin, 6) END AS margin
+FROM asked a LEFT JOIN (SELECT * FROM good WHERE rk = 1) g USING (task_id) LEFT JOIN counted n USING (kid)"""
+
+
+@query("placement_full", ["sched_requests", "sched_nodes", "sched_variants", "observations"], PLACED)
 def placement_full(requests, nodes, variants, observations):
+    """The best candidate of each request, under its own service level, of requests of 240 kinds."""
+    return rounded(scheduling.place(requests, nodes, variants, predictions(observations)), "risk_cost", "remote_cost", "margin")
+
+
+@query("placement_each", ["sched_each", "sched_nodes", "sched_variants", "observations"], PLACED.replace("sched_requests", "sched_each"))
+def placement_each(requests, nodes, variants, observations):
+    """The same with about as many kinds as requests: each has its own node, session and contents."""
     return rounded(scheduling.place(requests, nodes, variants, predictions(observations)), "risk_cost", "remote_cost", "margin")
 
 
@@ -51,8 +63,8 @@ def placement_full(requests, nodes, variants, observations):
 def hard_node_filter(requests, nodes):
     """Requests of each kind and how many nodes pass its hard filter."""
     kinds = scheduling.with_kind(requests.groupBy(*scheduling.KIND).agg(F.count("*").alias("requests")))
-    pairs = scheduling.with_required_bits(kinds.drop("content_a", "content_b"), nodes)
-    passed = scheduling.hard_nodes(pairs).groupBy("kind").agg(F.count("*").alias("nodes"))
+    pairs = scheduling.with_required_bits(kinds.drop("content_a", "content_b"), nodes, 64)
+    passed = scheduling.hard_nodes(pairs).where("not local_only or idx = local_idx").groupBy("kind").agg(F.count("*").alias("nodes"))
     return kinds.join(passed, "kind", "left").withColumn("nodes", F.coalesce("nodes", F.lit(0))).drop("kind")
 
 
@@ -61,7 +73,7 @@ def scarcity_penalty(requests, nodes):
     return scheduling.scarcity(requests.select("required_bits").distinct(), nodes)
 
 
-@query("request_validation", ["sched_requests"], "SELECT task_id, local_cost >= 0 AS valid FROM sched_requests")
+@query("request_validation", ["sched_requests"], f"SELECT task_id, {VALID} AS valid FROM sched_requests")
 def request_validation(requests):
     return requests.select("task_id", scheduling.finite_request().alias("valid"))
 
