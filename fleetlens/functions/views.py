@@ -89,7 +89,7 @@ VIEWS = {
     "recoveries": (["lineitem"], """SELECT l_orderkey * 10 + l_linenumber AS plan_id,
         CASE WHEN l_partkey % 6 = 0 THEN 'suspect' WHEN l_partkey % 6 = 1 THEN 'speculative' ELSE 'dead' END AS failure, l_partkey % 5 = 0 AS allow_speculative, CASE WHEN l_suppkey % 3 = 0 THEN 40 END AS deadline,
         CAST(l_quantity AS BIGINT) AS now_tick, l_linenumber - 1 AS attempts, 4 AS max_attempts, 0.85 + l_discount AS quality, l_partkey % 19 <> 0 AS eligible, l_partkey % 13 <> 0 AS inputs_recoverable,
-        1 + l_suppkey % 2 AS wanted_runner, CASE WHEN l_partkey % 4 = 0 THEN 'r2' END AS hint,
+        1 + l_suppkey % 2 AS wanted_runner, 7 + CASE WHEN l_partkey % 8 = 1 THEN 1 ELSE 0 END AS wanted_plugin, CASE WHEN l_linenumber > 1 THEN l_linenumber - 1 + l_partkey % 2 END AS last_attempt, CASE WHEN l_partkey % 4 = 0 THEN 'r2' END AS hint,
         CASE l_orderkey % 5 WHEN 0 THEN 'ephemeral' WHEN 1 THEN 'non_recoverable' WHEN 2 THEN 'restartable' WHEN 3 THEN 'checkpointed' ELSE 'mirrored' END AS tier, CASE l_orderkey % 4 WHEN 0 THEN 'local_only' WHEN 1 THEN 'portable' WHEN 2 THEN 'restartable' ELSE 'checkpointable' END AS mobility,
         CASE l_linenumber % 4 WHEN 0 THEN 'idempotent' WHEN 1 THEN 'verifiable' WHEN 2 THEN 'compensatable' ELSE 'unsafe' END AS retry, l_returnflag <> 'R' AS has_checkpoint, l_partkey % 7 <> 0 AS checkpoint_fits, l_linestatus = 'O' AS has_standby FROM lineitem"""),
     "sessions": (["lineitem"], """SELECT l_suppkey AS host, concat('s', CAST(l_partkey % 40 AS VARCHAR(9))) AS session_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
@@ -97,6 +97,10 @@ VIEWS = {
         l_linestatus = 'O' AS leader_only, l_partkey % 3 = 0 AS dead, CASE WHEN l_partkey % 4 = 0 THEN l_suppkey + 1 END AS standby, l_partkey % 5 <> 0 AS has_checkpoint, l_extendedprice / 1000 AS benefit, l_quantity + l_linenumber AS cost FROM lineitem"""),
     "checkpoints": (["events"], f"""SELECT event_id, user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, event_id - CASE WHEN {K} % 10 = 0 THEN 5000 ELSE 0 END AS sequence,
         CASE WHEN {K} % 16 = 3 THEN 2 ELSE 1 END AS schema_version, CASE WHEN {K} % 21 = 5 THEN 8 ELSE 7 END AS generation, CASE WHEN {K} % 18 = 7 THEN 'other' ELSE 'input' END AS input_id, event_type = 'signup' AS baseline FROM events"""),
+    # Checkpoints of three chunks, of which two stay for a while, as a store of each user persists them.
+    "persisted": (["events"], f"""SELECT event_id, user_id AS store, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, event_id - CASE WHEN {K} % 10 = 0 THEN 5000 ELSE 0 END AS sequence, CASE WHEN {K} % 31 = 4 THEN 0 ELSE 1 END AS attempt,
+        CASE WHEN {K} % 21 = 5 THEN 8 ELSE 7 END AS generation, CASE WHEN {K} % 18 = 7 THEN 'other' ELSE 'input' END AS input_id, event_type = 'signup' AS baseline, concat('c', CAST(event_id AS VARCHAR(9))) AS content,
+        concat('a', CAST({K} % 3 AS VARCHAR(9))) AS d0, concat('b', CAST(event_id % 4 AS VARCHAR(9))) AS d1, concat('e', CAST(event_id AS VARCHAR(9))) AS d2, {K} AS n2 FROM events"""),
     "reputation_events": (["lineitem"], """SELECT l_suppkey AS node, l_returnflag AS capability, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus) AS seq,
         l_discount < 0.08 AS succeeded, l_linenumber = 7 AS timed_out, l_tax > 0.06 AS mismatch, l_partkey % 9 = 0 AS corruption, l_quantity / 12 AS latency_ratio, l_partkey % 199 = 0 AS forged, l_partkey % 151 = 0 AS cancel_refused, l_partkey % 173 = 0 AS unauthorised FROM lineitem"""),
     "identities": (["supplier"], """SELECT s_suppkey AS node, CASE s_suppkey % 9 WHEN 4 THEN 'revoked' WHEN 7 THEN 'quarantined' ELSE 'active' END AS status, s_suppkey % 4 + 1 AS trust, s_suppkey % 20 AS valid_from, 60 + s_suppkey % 50 AS valid_until,
@@ -115,12 +119,21 @@ VIEWS = {
     "trust_tasks": (["orders"], """SELECT o_orderkey AS task_id, 1 + o_custkey % 90 AS node, o_orderkey % 5 AS minimum_trust, o_orderkey % 3 <> 0 AS allow_external, o_orderkey % 4 = 0 AS require_attestation, 20 + o_orderkey % 60 AS now_tick,
         CASE o_orderkey % 6 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' WHEN 3 THEN 'restricted' WHEN 4 THEN 'credential' ELSE 'public' END AS sensitivity, 1 + o_orderkey % 2 AS term, 1 + o_custkey % 2 AS epoch,
         o_orderkey % 40 AS issued, 30 + o_orderkey % 50 AS authorised_until, 1 + o_orderkey % 3 AS generation, o_orderkey % 17 <> 0 AS known, o_orderkey % 100 AS task_value, o_orderkey % 23 = 0 AS irreversible,
+        o_orderkey % 4 AS required, o_orderkey % 5 AS total, CASE WHEN o_orderkey % 7 <> 3 THEN concat('p', CAST(o_orderkey % 3 AS VARCHAR(9))) ELSE '' END AS protocol, CASE WHEN o_orderkey % 11 <> 2 THEN 'snark' ELSE '' END AS proof,
         CASE o_orderkey % 9 WHEN 0 THEN 'none' WHEN 1 THEN 'hash_only' WHEN 2 THEN 'deterministic_replay' WHEN 3 THEN 'spot_check' WHEN 4 THEN 'n_of_m' WHEN 5 THEN 'domain_verifier' WHEN 6 THEN 'replayable' WHEN 7 THEN 'proof_carrying' ELSE 'manual_review' END AS policy,
         o_orderkey % 12001 AS rate FROM orders"""),
     "identity_ops": (["events"], f"""SELECT event_id, user_id AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS now_tick, {K} % 5 AS trust, {K} % 7 <> 0 AS key_fine, 4 + {K} % 9 AS lasts, {K} % 3 <> 0 AS attested,
         CASE event_type WHEN 'signup' THEN 'approve' WHEN 'view' THEN 'rotate' WHEN 'click' THEN 'readmit' WHEN 'purchase' THEN 'set_trust' ELSE CASE WHEN {K} % 2 = 0 THEN 'revoke' ELSE 'quarantine' END END AS op FROM events"""),
     "samples": (["events"], f"""SELECT event_id, event_id % 3 AS run, user_id % 4 AS workers, event_type AS workload, value AS e2e, {K} * 1.0 AS submit, {K} * 10 AS payload, 100 + {K} AS controller_rss, 50 + {K} * 2 AS worker_rss, 10 + {K} % 7 AS service_rss,
         CASE {K} % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 16 END AS concurrency, CASE WHEN user_id % 2 = 0 THEN CAST(4294967296 AS BIGINT) ELSE CAST(1048576 AS BIGINT) END AS aggregate_bytes, {K} % 97 = 0 AS stale FROM events"""),
+    # Benchmark lanes of which each shows another kind of anomaly, and none; decisions, reports and faults of a benchmark.
+    "bench_samples": (["events"], f"""SELECT event_id, lane, workload, concurrency, faults, CAST(4294967296 AS BIGINT) AS bytes, 1000000000 + 1000000 * (value * CASE WHEN lane = 3 OR (lane = 4 AND workload = 'click') THEN 10 ELSE 0.1 END + CASE WHEN lane = 2 AND concurrency = 16 THEN 300 ELSE 0 END) AS elapsed
+        FROM (SELECT event_id, user_id % 5 AS lane, event_type AS workload, value, CASE WHEN event_id % 2 = 0 THEN 4 ELSE 16 END AS concurrency, CASE WHEN user_id % 5 = 1 AND {K} % 97 = 0 THEN 1 ELSE 0 END AS faults FROM events) AS q"""),
+    "decisions": (["events"], f"SELECT event_id, concat('placement-', CAST(user_id % 6 AS VARCHAR(9))) AS case_id, event_type AS workload, CASE WHEN user_id % 2 = 0 THEN 'batch' ELSE 'interactive' END AS latency_class, user_id % 3 * 16 AS nodes, user_id % 2 + 1 AS variants, 4 AS top_k, value * 1000 AS decision_ns, {K} % 13 AS evaluated FROM events"),
+    "registry_reports": (["events"], f"""SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'durable' ELSE 'critical' END AS acceptance, CASE WHEN user_id % 2 = 0 THEN 1000 ELSE 100000 END AS mutations, value * 1000000 AS mutation_ns, value * 10 AS compact_ns, {K} * 1.5 AS reopen_ns, {K} * 100 AS snapshot_bytes,
+        CASE WHEN {K} = 13 THEN 999 WHEN user_id % 2 = 0 THEN 1000 ELSE 100000 END AS committed, {K} <> 17 AS log_present, {K} <> 19 AS first_present, {K} <> 23 AS last_present, value + 100 * (user_id % 3) AS window_ns, CASE WHEN user_id % 6 = 4 AND {K} = 29 THEN 99 ELSE 100 END AS window_mutations FROM events"""),
+    "content_samples": (["events"], f"""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'fixed-total-scaling' ELSE 'per-transfer' END AS lane, CAST(1048576 AS BIGINT) * (1 + user_id % 3) AS content_bytes, CAST(4194304 AS BIGINT) * (1 + user_id % 3) AS aggregate_bytes, CASE WHEN {K} % 2 = 0 THEN 4 ELSE 16 END AS concurrency, concat('content.localization.', CASE WHEN event_type = 'view' THEN 'hit' ELSE 'miss' END) AS name, value * 1000 AS elapsed FROM events"""),
+    "fault_transitions": (["events"], f"SELECT event_id, concat('after_', event_type) AS stage, value * 100 AS transition_ns, {K} * 2.5 AS reopen_ns FROM events"),
     "chunks": (["documents"], """SELECT doc_id, i AS chunk_index, sha256(substr(text, i * 256 + 1, 256)) AS digest, length(substr(text, i * 256 + 1, 256)) AS size
         FROM (SELECT doc_id, text, UNNEST_RANGE AS i FROM documents) x"""),
 }

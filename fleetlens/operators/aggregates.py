@@ -52,12 +52,21 @@ def ranked_values(rows: DataFrame, keys: list[str], value: str, places: dict[str
     asked = ranges.withColumn("place", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), p.cast("long").alias("at")) for name, p in places.items()])))
     asked = asked.where((F.col("place.at") >= F.col("below")) & (F.col("place.at") < F.col("below") + F.col("c")))
     wanted = asked.groupBy(*keys, "part", "below", "n").agg(F.collect_list("place").alias("wanted"))
-    near = counts.join(wanted, [*keys, "part"])
+    near = null_safe(counts, wanted, [*keys, "part"])
     upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v"))
     hits = near.withColumn("upto", upto).withColumn("w", F.explode("wanted")).where((F.col("w.at") < F.col("upto")) & (F.col("w.at") >= F.col("upto") - F.col("c")))
     return hits.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("w.name") == name, F.col("v"))).alias(name) for name in places])
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys in which nulls are equal; the keys are left's."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def part_of(value: str) -> Column:
     """An ascending number for ranges of values: sixty-four to a doubling, either side of zero; infinities and, last, NaN have
     their own."""
@@ -82,8 +91,8 @@ def median(rows: DataFrame, keys: list[str], value: str, name: str, more: dict[s
 def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact min, median, max, median absolute deviation and nearest-rank p95 and p99."""
     centre = median(rows, keys, value, "median", {"p95": nearest_rank(95), "p99": nearest_rank(99), "least": F.lit(0), "most": F.col("n") - 1})
-    far = rows.join(centre.select(*keys, "median"), keys).withColumn("far", F.abs(F.col(value) - F.col("median")))
-    return centre.join(median(far, keys, "far", "mad").drop("n"), keys)
+    far = null_safe(rows.select(*keys, value), centre.select(*keys, "median"), keys).withColumn("far", F.abs(F.col(value) - F.col("median")))
+    return null_safe(centre, median(far, keys, "far", "mad").drop("n"), keys)
 
 
 def indexed_percentile(rows: DataFrame, keys: list[str], value: str, percent: int) -> DataFrame:

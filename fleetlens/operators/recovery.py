@@ -17,10 +17,11 @@ def restart_safe(mobility: Column, retry: Column) -> Column:
 
 
 def plan(rows: DataFrame, runners: Column, minimum_quality: float, base: int, most: int) -> DataFrame:
-    """rows with action, attempt and not_before. runners: array of (runner_id, generation), of which the first that has the
-    wanted generation runs the task; a hint must name it."""
-    runner = F.get(F.filter(runners, lambda r: r["generation"] == F.col("wanted_runner")), F.lit(0))
-    rows = rows.withColumn("runner", runner["runner_id"]).withColumn("attempt", F.col("attempts") + 1)
+    """rows with action, attempt and not_before. runners: array of (runner_id, generation, plugin), of which the first that has the
+    wanted generations of both runs the task; a hint must name it. The next attempt follows the last one's number, which may
+    be higher than the number of attempts."""
+    runner = F.get(F.filter(runners, lambda r: (r["generation"] == F.col("wanted_runner")) & (r["plugin"] == F.col("wanted_plugin"))), F.lit(0))
+    rows = rows.withColumn("runner", runner["runner_id"]).withColumn("attempt", F.coalesce(F.col("last_attempt") + 1, F.lit(1)).cast("long"))
     usable = (F.col("quality") >= minimum_quality) & F.col("eligible") & F.col("inputs_recoverable")
     by_tier = (
         F.when(F.col("tier") == "ephemeral", "fail").when(F.col("tier") == "restartable", F.when(restart_safe(F.col("mobility"), F.col("retry")), "restart").otherwise("review"))
@@ -55,6 +56,50 @@ def lineage(checkpoints: DataFrame, key: str, order: list[str], same: list[str])
     return checkpoints.withColumn("fits", F.col("baseline") | F.coalesce(follows, F.lit(False)))
 
 
+@dataclass(frozen=True)
+class CheckpointBudget:
+    """Of one store: bytes of a checkpoint, bytes uploaded in all, and checkpoints persisted."""
+
+    checkpoint_bytes: int
+    uploaded_bytes: int
+    operations: int
+
+
+PERSISTED = "event_id long, outcome string, uploaded long, baseline string, previous string, changed array<int>"
+
+
+def persist_checkpoints(rows: DataFrame, keys: list[str], order: list[str], same: list[str], budget: CheckpointBudget) -> DataFrame:
+    """event_id, outcome (baseline, incremental, incompatible or budget_exceeded), bytes uploaded, and the manifest of each checkpoint:
+    the baseline's and the previous content, and the indexes of the chunks that differ from the previous one.
+
+    rows: sequence, attempt, generation, baseline (start anew), content and chunks (array of struct<digest, size>) in the order
+    in which a store (keys) persists them. One that isn't a baseline follows the last one persisted, with a larger sequence and
+    equal `same`. Only chunks that the store doesn't hold are uploaded; a budget that would be exceeded turns the checkpoint
+    away, and nothing of it stays. The budget of uploads bounds the digests that the state remembers.
+    """
+
+    def step(s: dict, r: dict) -> tuple:
+        chunks = [(c["digest"], c["size"]) for c in r["chunks"] or []]
+        fresh = {d: n for d, n in chunks if d not in s["held"]}
+        upload, last = sum(fresh.values()), s["last"]
+        refused = lambda why: (r["event_id"], why, 0, None, None, None)
+        if not r["attempt"] or not r["generation"]:
+            return refused("incompatible")
+        if s["operations"] >= budget.operations or sum(n for _, n in chunks) > budget.checkpoint_bytes or s["uploaded"] + upload > budget.uploaded_bytes:
+            return refused("budget_exceeded")
+        if not r["baseline"] and (last is None or r["sequence"] <= last["sequence"] or any(r[c] != last[c] for c in same)):
+            return refused("incompatible")
+        s["held"].update(fresh)
+        s["uploaded"], s["operations"], s["last"] = s["uploaded"] + upload, s["operations"] + 1, {**r, "pairs": chunks}
+        if r["baseline"]:
+            s["root"] = r["content"]
+            return r["event_id"], "baseline", upload, r["content"], None, list(range(len(chunks)))
+        changed = [i for i, c in enumerate(chunks) if i >= len(last["pairs"]) or last["pairs"][i] != c]
+        return r["event_id"], "incremental", upload, s["root"], last["content"], changed
+
+    return fold(rows, keys, order, lambda: dict(held={}, uploaded=0, operations=0, last=None, root=None), step, PERSISTED)
+
+
 @dataclass(frozen=True)
 class MirrorBudget:
     sessions: int

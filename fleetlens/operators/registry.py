@@ -144,7 +144,7 @@ def little_endian(value: Column) -> Column:
 
 def transaction_id(previous: Column, index: Column, version: Column, payload: Column) -> Column:
     """SHA-256 of the previous id, the log index and previous version (little-endian), and the mutation's bytes."""
-    return F.sha2(F.concat(previous.cast("binary"), little_endian(index), little_endian(version), payload.cast("binary")), 256)
+    return F.sha2(F.concat(previous.cast("binary"), little_endian(index), little_endian(F.coalesce(version, F.lit(0))), F.coalesce(payload.cast("binary"), F.lit(b""))), 256)
 
 
 def chain_transactions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -154,7 +154,7 @@ def chain_transactions(rows: DataFrame, keys: list[str], order: list[str]) -> Da
     def step(s: dict, r: dict) -> tuple:
         s["index"] += 1
         previous = s["id"]
-        s["id"] = hashlib.sha256(previous.encode() + s["index"].to_bytes(8, "little") + r["version"].to_bytes(8, "little") + r["payload"].encode()).hexdigest()
+        s["id"] = hashlib.sha256(previous.encode() + s["index"].to_bytes(8, "little") + (r["version"] or 0).to_bytes(8, "little", signed=True) + (r["payload"] or "").encode()).hexdigest()
         return (*(r[c] for c in names), s["index"], previous, s["id"])
 
     names = rows.columns

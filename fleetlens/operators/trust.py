@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.folds import fold
+from fleetlens.operators.places import places
 
 #: Trust levels, and the share of mismatches or corruption and the latency ratio that are anomalies.
 QUARANTINED, UNTRUSTED, RESTRICTED, MANAGED, TRUSTED = range(5)
@@ -159,12 +160,14 @@ def verification_policy(requested: Column, rate: Column, value: Column, trust: C
     return policy, F.when(checked, F.lit(1000).cast("long")).otherwise(rate.cast("long"))
 
 
-def verification_action(policy: Column, rate: Column) -> Column:
-    """What a policy has done; null for a spot check whose rate isn't 1 to 10,000 basis points."""
+def verification_action(policy: Column, rate: Column, required: Column, total: Column, protocol: Column, proof: Column) -> Column:
+    """What a policy has done; null for one that can't be carried out: a spot check whose rate isn't 1 to 10,000 basis points, a
+    vote of none or of fewer than it requires, a verifier or proof without a name."""
+    named = lambda c: F.coalesce(c != "", F.lit(False))
     return (
         F.when(policy.isin("none", "hash_only"), "accept_digest").when(policy == "deterministic_replay", "replay_on_independent_node").when((policy == "spot_check") & rate.between(1, 10_000), "sample")
-        .when(policy == "n_of_m", "collect_independent_results").when(policy == "domain_verifier", "invoke_domain_verifier").when(policy == "replayable", "validate_replay_artifact")
-        .when(policy == "proof_carrying", "validate_proof").when(policy == "manual_review", "require_manual_review")
+        .when((policy == "n_of_m") & (required > 0) & (total >= required), "collect_independent_results").when((policy == "domain_verifier") & named(protocol), "invoke_domain_verifier").when(policy == "replayable", "validate_replay_artifact")
+        .when((policy == "proof_carrying") & named(proof), "validate_proof").when(policy == "manual_review", "require_manual_review")
     )
 
 
@@ -191,6 +194,13 @@ def impact(attempts: DataFrame, grants: DataFrame) -> DataFrame:
     return out.select("node", n("tasks").alias("tasks"), n("outputs").alias("outputs"), "first_task", n("revoked").alias("revoked"), (F.lit(4) + (n("tasks") > 0).cast("int")).alias("actions"))
 
 
+def provenance(isolated: DataFrame, touched: DataFrame, epoch: int) -> DataFrame:
+    """node, epoch, kind and item of all that isolated nodes (node, isolated in this order) touched (node, kind, item), each once: a
+    list as rows, as one node may have touched a third of everything. Each isolation raises the epoch before it by one."""
+    order = places(isolated.select("node").distinct(), [], ["node"], 100_000).select("node", (F.lit(epoch + 1) + F.col("place")).alias("epoch"))
+    return touched.join(order, "node").select("node", "epoch", "kind", "item").distinct()
+
+
 def quorum(votes: DataFrame, valid, required: int) -> DataFrame:
     """Per task: enough signers, every one of them valid."""
     return votes.groupBy("task_id").agg(F.count("*").alias("signers"), ((F.count("*") >= required) & F.bool_and(valid)).alias("passed"))

@@ -80,11 +80,11 @@ def bit_length_histogram(events):
 
 
 @query("noise_classification", ["events"], """, d AS (SELECT event_type, user_id % 4 AS lane, median(value) AS median FROM events GROUP BY 1, 2)
-, m AS (SELECT e.event_type, e.user_id % 4 AS lane, count(*) AS n, max(d.median) AS median, median(abs(e.value - d.median)) AS mad FROM events e JOIN d ON d.event_type = e.event_type AND d.lane = e.user_id % 4 GROUP BY 1, 2)
-SELECT event_type, lane, n, CASE WHEN NOT n >= 1 THEN 'gate_failed' WHEN (SELECT avg(CASE WHEN mad / median > 0.1 THEN 1.0 ELSE 0.0 END) FROM m) > 0.2 THEN 'environmental' WHEN mad / median > 0.1 THEN 'case_specific' ELSE 'none' END AS noise FROM m""".lstrip(", ").join(["WITH ", ""]))
+, m AS (SELECT e.event_type, e.user_id % 4 AS lane, count(*) AS n, max(e.value) AS most, max(d.median) AS median, median(abs(e.value - d.median)) AS mad FROM events e JOIN d ON d.event_type = e.event_type AND d.lane = e.user_id % 4 GROUP BY 1, 2)
+SELECT event_type, lane, n, CASE WHEN NOT most < 320 THEN 'gate_failed' WHEN (SELECT avg(CASE WHEN mad / median > 0.1 THEN 1.0 ELSE 0.0 END) FROM m) > 0.2 THEN 'environmental' WHEN mad / median > 0.1 THEN 'case_specific' ELSE 'none' END AS noise FROM m""".lstrip(", ").join(["WITH ", ""]))
 def noise_classification(events):
     rows = aggregates.distribution(events.withColumn("lane", F.col("user_id") % 4), ["event_type", "lane"], "value")
-    return aggregates.noise_class(rows, F.col("n") >= 1).select("event_type", "lane", "n", "noise")
+    return aggregates.noise_class(rows, F.col("most") < 320).select("event_type", "lane", "n", "noise")
 
 
 @query("throughput", ["events"], "SELECT event_type, CAST(count(*) AS DOUBLE) AS units, round(count(*) * 1e9 / greatest(1.0, sum(floor(value * 1000))), 6) AS per_second FROM events GROUP BY 1")

@@ -213,16 +213,16 @@ def wal_replay_check(events):
     return registry.check_transactions(log, "node").select("event_id", "fault")
 
 
-RUNNERS = "CASE WHEN wanted_runner = 1 THEN 'r1' ELSE 'r2' END"
+RUNNERS = "CASE WHEN wanted_runner = 1 AND wanted_plugin = 7 THEN 'r1' WHEN wanted_runner = 2 AND wanted_plugin = 7 THEN 'r2' WHEN wanted_runner = 1 THEN 'r3' END"
 
 
-@query("recovery_plan", ["recoveries"], f"""SELECT plan_id, action, CASE WHEN action IN ('restart', 'restore_checkpoint') THEN attempts + 1 END AS attempt, CASE WHEN action IN ('restart', 'restore_checkpoint') THEN now_tick + least(20, 5 * CAST(pow(2, attempts) AS BIGINT)) END AS not_before FROM (
-SELECT *, CASE WHEN failure <> 'dead' AND NOT allow_speculative THEN 'wait' WHEN coalesce(now_tick >= deadline, false) OR attempts >= max_attempts OR quality < 0.88 OR NOT eligible OR NOT inputs_recoverable OR coalesce(hint <> {RUNNERS}, false) THEN 'fail'
+@query("recovery_plan", ["recoveries"], f"""SELECT plan_id, action, CASE WHEN action IN ('restart', 'restore_checkpoint') THEN next END AS attempt, CASE WHEN action IN ('restart', 'restore_checkpoint') THEN now_tick + least(20, 5 * CAST(pow(2, next - 1) AS BIGINT)) END AS not_before FROM (
+SELECT *, coalesce(last_attempt + 1, 1) AS next, CASE WHEN failure <> 'dead' AND NOT allow_speculative THEN 'wait' WHEN coalesce(now_tick >= deadline, false) OR attempts >= max_attempts OR quality < 0.88 OR NOT eligible OR NOT inputs_recoverable OR {RUNNERS} IS NULL OR coalesce(hint <> {RUNNERS}, false) THEN 'fail'
  ELSE CASE tier WHEN 'ephemeral' THEN 'fail' WHEN 'restartable' THEN CASE WHEN mobility IN ('restartable', 'checkpointable') AND retry <> 'unsafe' THEN 'restart' ELSE 'review' END
    WHEN 'checkpointed' THEN CASE WHEN has_checkpoint AND checkpoint_fits THEN 'restore_checkpoint' ELSE 'review' END WHEN 'mirrored' THEN CASE WHEN has_standby THEN 'promote_standby' ELSE 'review' END ELSE 'review' END END AS action FROM recoveries)""")
 def recovery_plan(recoveries):
-    """What becomes of each failed attempt."""
-    runners = F.array(*[F.struct(F.lit(i).alias("runner_id"), F.lit(g).alias("generation")) for i, g in (("r1", 1), ("r2", 2), ("r3", 1))])
+    """What becomes of each failed attempt; no runner has the second plugin generation with the second of its own."""
+    runners = F.array(*[F.struct(F.lit(i).alias("runner_id"), F.lit(g).alias("generation"), F.lit(p).alias("plugin")) for i, g, p in (("r1", 1, 7), ("r2", 2, 7), ("r3", 1, 8), ("r4", 1, 7))])
     return recovery.plan(recoveries, runners, 0.88, 5, 20).select("plan_id", "action", "attempt", "not_before")
 
 
@@ -243,6 +243,27 @@ def checkpoint_lineage(checkpoints):
     return recovery.lineage(checkpoints, "task_id", ["place"], ["schema_version", "generation", "input_id"]).select("event_id", "fits")
 
 
+UPLOAD = "(CASE WHEN list_contains(r.held, l.d0) THEN 0 ELSE 40 END + CASE WHEN list_contains(r.held, l.d1) THEN 0 ELSE 30 END + l.n2)"
+KEPT = f"""CASE WHEN l.attempt = 0 THEN 'incompatible' WHEN r.operations >= 40 OR 70 + l.n2 > 160 OR r.uploaded + {UPLOAD} > 1500 THEN 'budget_exceeded' WHEN l.baseline THEN 'baseline'
+ WHEN r.content IS NULL OR l.sequence <= r.sequence OR l.generation <> r.generation OR l.input_id <> r.input_id THEN 'incompatible' ELSE 'incremental' END"""
+STAYS = f"({KEPT} IN ('baseline', 'incremental'))"
+HELD = {c: (f"CAST(NULL AS {kind})", f"CASE WHEN {STAYS} THEN l.{c} ELSE r.{c} END") for c, kind in (("content", "VARCHAR"), ("sequence", "BIGINT"), ("generation", "BIGINT"), ("input_id", "VARCHAR"), ("d0", "VARCHAR"), ("d1", "VARCHAR"))}
+
+
+@query("checkpoint_artefacts", ["persisted"], ", " + fold_sql("persisted", "store", "place", {
+    "outcome": ("CAST('' AS VARCHAR)", KEPT), "now_up": ("CAST(0 AS BIGINT)", f"CASE WHEN {STAYS} THEN {UPLOAD} ELSE 0 END"), "uploaded": ("CAST(0 AS BIGINT)", f"r.uploaded + CASE WHEN {STAYS} THEN {UPLOAD} ELSE 0 END"), "operations": ("CAST(0 AS BIGINT)", f"r.operations + CASE WHEN {STAYS} THEN 1 ELSE 0 END"),
+    "held": ("CAST([] AS VARCHAR[])", f"CASE WHEN {STAYS} THEN list_distinct(list_concat(r.held, [l.d0, l.d1])) ELSE r.held END"), "root": ("CAST(NULL AS VARCHAR)", f"CASE WHEN {KEPT} = 'baseline' THEN l.content ELSE r.root END"),
+    "shown_root": ("CAST(NULL AS VARCHAR)", f"CASE {KEPT} WHEN 'baseline' THEN l.content WHEN 'incremental' THEN r.root END"), "previous": ("CAST(NULL AS VARCHAR)", f"CASE WHEN {KEPT} = 'incremental' THEN r.content END"),
+    "changed": ("CAST(NULL AS VARCHAR)", f"CASE {KEPT} WHEN 'baseline' THEN '0,1,2' WHEN 'incremental' THEN concat_ws(',', CASE WHEN l.d0 <> r.d0 THEN '0' END, CASE WHEN l.d1 <> r.d1 THEN '1' END, '2') END"), **HELD,
+}, "l.event_id, r.outcome, r.now_up AS uploaded, r.shown_root AS baseline, r.previous, r.changed"))
+def checkpoint_artefacts(rows):
+    """Checkpoints that each store persists, whole or as what changed, within its budgets."""
+    chunk = lambda d, n: F.struct(F.col(d).alias("digest"), n.cast("long").alias("size"))
+    rows = rows.withColumn("chunks", F.array(chunk("d0", F.lit(40)), chunk("d1", F.lit(30)), chunk("d2", F.col("n2")))).drop("d0", "d1", "d2", "n2")
+    out = recovery.persist_checkpoints(rows, ["store"], ["place"], ["generation", "input_id"], recovery.CheckpointBudget(160, 1500, 40))
+    return out.withColumn("changed", F.array_join(F.col("changed").cast("array<string>"), ","))
+
+
 HAS = "len(list_filter(r.live, lambda x: x.s = l.session_id)) > 0"
 USED = lambda f: f"coalesce(list_sum(list_transform(r.live, lambda x: x.{f})), 0)"
 MIRROR = f"""CASE WHEN l.op = 'release' THEN CASE WHEN {HAS} THEN 'released' ELSE 'unknown' END WHEN NOT l.critical OR {HAS} THEN 'refused'

@@ -14,8 +14,7 @@ CASES = """, m AS (SELECT workers, workload, median(e2e) AS median FROM samples
 
 
 def cases(samples):
-    more = samples.groupBy("workers", "workload").agg(F.median("submit").alias("submit"), F.sum("payload").alias("ipc_bytes"))
-    return reports.merge(samples, ["workers", "workload"], "e2e").join(more, ["workers", "workload"])
+    return reports.merge(samples, ["workers", "workload"], "e2e", {"submit": "submit"}, [F.sum("payload").alias("ipc_bytes")])
 
 
 @query("report_merge", ["samples"], f"""{CASES}, u AS (SELECT workers, max(controller_rss) + max(worker_rss) + max(service_rss) AS peak FROM samples GROUP BY 1)
@@ -36,11 +35,49 @@ def content_scaling(samples):
     return rounded(rounded(out, "low", "high", digits=3), "ratio")
 
 
-@query("report_classification", ["samples"], f"""{CASES} SELECT CASE WHEN (SELECT max(CASE WHEN stale THEN 1 ELSE 0 END) FROM samples WHERE workers = 9) > 0 THEN 'framework_suspect' WHEN avg(CASE WHEN mad / median > 0.1 THEN 1.0 ELSE 0.0 END) > 0.2 THEN 'environmental'
- WHEN max(CASE WHEN mad / median > 0.1 THEN 1 ELSE 0 END) = 1 THEN 'case_specific' ELSE 'none' END AS classification FROM cases""")
+DISTRIBUTION = lambda v: f"count(*) AS n, min({v}) AS least, max({v}) AS most, round(median({v}), 6) AS median, round(mad({v}), 6) AS mad, quantile_disc({v}, 0.95) AS p95, quantile_disc({v}, 0.99) AS p99"
+
+
+@query("report_classification", ["bench_samples"], """, c AS (SELECT lane, workload, median(elapsed) AS median, mad(elapsed) AS mad, sum(faults) AS faults FROM bench_samples GROUP BY 1, 2)
+, w AS (SELECT lane, median(bytes * 1e9 / greatest(1.0, elapsed)) FILTER (concurrency = 4) AS low, median(bytes * 1e9 / greatest(1.0, elapsed)) FILTER (concurrency = 16) AS high FROM bench_samples GROUP BY 1)
+SELECT c.lane, CASE WHEN sum(faults) > 0 THEN 'framework_suspect' WHEN NOT coalesce(max(w.high / greatest(1.0, w.low)) >= 0.9, false) THEN 'regression' WHEN avg(CASE WHEN mad / median > 0.1 THEN 1.0 ELSE 0.0 END) > 0.2 THEN 'environmental'
+ WHEN max(CASE WHEN mad / median > 0.1 THEN 1 ELSE 0 END) = 1 THEN 'case_specific' ELSE 'none' END AS classification FROM c JOIN w USING (lane) GROUP BY 1""")
 def report_classification(samples):
-    noisy = cases(samples).select((F.col("mad") / F.col("median") > 0.10).alias("noisy"))
-    return reports.framework_class(noisy, F.lit(False), F.lit(False))
+    """What each lane of a benchmark shows: counted faults, a missed gate of scaling, noise of many or of some cases, or nothing."""
+    cases_ = reports.merge(samples, ["lane", "workload"], "elapsed", None, [F.sum("faults").alias("faults")])
+    gate = reports.scaling(samples, ["lane"], "bytes", "elapsed", 4, 16, 0.90, 4 << 30).select("lane", (~F.col("passed")).alias("regressed"))
+    return reports.classify(cases_.join(gate, "lane").withColumn("noisy", F.col("mad") / F.col("median") > 0.10), ["lane"])
+
+
+@query("placement_merge", ["decisions"], f", x AS (SELECT *, decision_ns AS v FROM decisions) SELECT case_id, workload, latency_class, nodes, variants, top_k, {DISTRIBUTION('v')}, median(evaluated) AS evaluated FROM x GROUP BY ALL")
+def placement_merge(decisions):
+    return rounded(reports.merge_placement(decisions), "median", "mad")
+
+
+@query("registry_merge", ["registry_reports"], f"""SELECT acceptance, mutations, {DISTRIBUTION('mutation_ns')}, round(median(compact_ns), 6) AS compact_median_ns, median(reopen_ns) AS reopen_median_ns, max(snapshot_bytes) AS disk_bytes, count(*) FILTER (committed <> mutations) AS lost_mutations,
+ count(*) FILTER (NOT log_present) AS missing_log, count(*) FILTER (NOT (first_present AND last_present)) AS missing_tasks, round(mutations * 1e9 / greatest(1.0, median(mutation_ns)), 6) AS per_second FROM registry_reports GROUP BY acceptance, mutations""")
+def registry_merge(rows):
+    """Registry reports by acceptance and size, with what they lost."""
+    return rounded(reports.merge_registry(rows), "median", "mad", "compact_median_ns", "per_second")
+
+
+@query("window_jitter", ["registry_reports"], f"""SELECT acceptance, mutations, {DISTRIBUTION('window_ns')}, min(window_mutations) AS window_mutations, min(window_mutations) = max(window_mutations) AS valid, round(mad(window_ns) / greatest(1.0, median(window_ns)), 6) AS jitter,
+ count(*) < 3 OR mad(window_ns) / greatest(1.0, median(window_ns)) <= 0.1 AS steady FROM registry_reports WHERE mutations <= 10000 GROUP BY acceptance, mutations""")
+def window_jitter(rows):
+    """Windows of mutations: whether they are of one size, and how much they vary."""
+    return rounded(reports.merge_windows(rows), "median", "mad", "jitter")
+
+
+@query("content_merge", ["content_samples"], f"""SELECT lane, content_bytes, aggregate_bytes, concurrency, name, {DISTRIBUTION('elapsed')}, CASE WHEN lane = 'fixed-total-scaling' THEN replace(name, 'content.localization.', 'content.localization.fixed-total.') ELSE name END AS case_id,
+ round(aggregate_bytes / 67108864.0, 6) AS pressure, round(aggregate_bytes * 1e9 / greatest(1.0, median(elapsed)), 3) AS per_second FROM content_samples GROUP BY lane, content_bytes, aggregate_bytes, concurrency, name""")
+def content_merge(rows):
+    """Transfers by lane, size and concurrency, on a machine of 64 MiB."""
+    return rounded(rounded(reports.merge_content(rows, 64 << 20), "median", "mad", "pressure"), "per_second", digits=3)
+
+
+@query("fault_merge", ["fault_transitions"], f"SELECT stage, {DISTRIBUTION('transition_ns')}, median(reopen_ns) AS reopen_median_ns, concat('distributed.durability.', replace(stage, '_', '-')) AS case_id FROM fault_transitions GROUP BY stage")
+def fault_merge(rows):
+    return rounded(reports.merge_faults(rows), "median", "mad")
 
 
 @query("rotated_list", ["events"], "SELECT user_id, list_aggregate(CASE WHEN len(x) = 0 THEN x ELSE list_concat(x[(user_id % len(x)) + 1:], x[:(user_id % len(x))]) END, 'string_agg', ',') AS rotated FROM (SELECT user_id, list_sort(list(DISTINCT event_type)) AS x FROM events GROUP BY 1)")

@@ -170,6 +170,16 @@ def compromise_impact(attempts, grants):
     return trust.impact(attempts, grants)
 
 
+@query("compromise_provenance", ["attempts", "trust_tasks", "identities"], """, bad AS (SELECT node, 5 + row_number() OVER (ORDER BY node) AS epoch FROM identities WHERE status = 'quarantined')
+SELECT DISTINCT node, epoch, 'task' AS kind, a.task_id AS item FROM bad JOIN attempts a USING (node) UNION ALL SELECT DISTINCT node, epoch, 'content', a.task_id * 10 + a.attempt FROM bad JOIN attempts a USING (node) WHERE NOT a.active UNION ALL SELECT DISTINCT bad.node, bad.epoch, 'authorisation', t.task_id FROM bad JOIN trust_tasks t USING (node) WHERE t.known""")
+def compromise_provenance(attempts, grants, identities):
+    """What each quarantined node has touched, a row for each task, content and authorisation, and the epoch that fences it."""
+    work = attempts.select("node", F.lit("task").alias("kind"), F.col("task_id").alias("item"))
+    made = attempts.where("not active").select("node", F.lit("content").alias("kind"), (F.col("task_id") * 10 + F.col("attempt")).alias("item"))
+    held = grants.where("known").select("node", F.lit("authorisation").alias("kind"), F.col("task_id").alias("item"))
+    return trust.provenance(identities.where("status = 'quarantined'").select("node"), work.unionByName(made).unionByName(held), 5)
+
+
 @query("result_digests", ["votes"], "SELECT task_id, count(*) AS votes, CAST(sum(CASE WHEN digest = coalesce(trusted, 'A') THEN 1 ELSE 0 END) AS BIGINT) AS accepted FROM votes GROUP BY 1")
 def result_digests(votes):
     verdict = trust.same_result(F.coalesce("trusted", F.lit("A")), F.col("digest"))
@@ -195,14 +205,14 @@ POLICY = "CASE WHEN irreversible OR task_value >= 90 THEN CASE WHEN policy IN ('
 
 
 @query("verification_plan", ["trust_tasks"], f"""SELECT task_id, p AS policy, CASE WHEN p IN ('none', 'hash_only') THEN 'accept_digest' WHEN p = 'deterministic_replay' THEN 'replay_on_independent_node' WHEN p = 'spot_check' THEN CASE WHEN rt BETWEEN 1 AND 10000 THEN 'sample' END
- WHEN p = 'n_of_m' THEN 'collect_independent_results' WHEN p = 'domain_verifier' THEN 'invoke_domain_verifier' WHEN p = 'replayable' THEN 'validate_replay_artifact' WHEN p = 'proof_carrying' THEN 'validate_proof' ELSE 'require_manual_review' END AS action
-FROM (SELECT task_id, {POLICY} AS p, CASE WHEN {POLICY} = 'spot_check' AND policy = 'none' THEN 1000 ELSE rate END AS rt FROM trust_tasks)""")
+ WHEN p = 'n_of_m' THEN CASE WHEN required > 0 AND total >= required THEN 'collect_independent_results' END WHEN p = 'domain_verifier' THEN CASE WHEN protocol <> '' THEN 'invoke_domain_verifier' END WHEN p = 'replayable' THEN 'validate_replay_artifact' WHEN p = 'proof_carrying' THEN CASE WHEN proof <> '' THEN 'validate_proof' END ELSE 'require_manual_review' END AS action
+FROM (SELECT task_id, required, total, protocol, proof, {POLICY} AS p, CASE WHEN {POLICY} = 'spot_check' AND policy = 'none' THEN 1000 ELSE rate END AS rt FROM trust_tasks)""")
 def verification_plan(tasks):
     """The verification that a task's value, its worker's trust and its effects call for, and what it has done."""
     c = F.col
     policy, rate = trust.verification_policy(c("policy"), c("rate"), c("task_value"), c("task_id") % 4 + 1, c("irreversible"))
-    rows = tasks.select("task_id", policy.alias("p"), rate.alias("r"))
-    return rows.select("task_id", c("p").alias("policy"), trust.verification_action(c("p"), c("r")).alias("action"))
+    rows = tasks.select("task_id", "required", "total", "protocol", "proof", policy.alias("p"), rate.alias("r"))
+    return rows.select("task_id", c("p").alias("policy"), trust.verification_action(c("p"), c("r"), c("required"), c("total"), c("protocol"), c("proof")).alias("action"))
 
 
 SECRET = b"0123456789abcdef0123456789abcdef"
@@ -216,11 +226,11 @@ def signed_events(events):
     return events.select("event_id", trust.hmac_sha256(SECRET, body).alias("tag"))
 
 
-@query("canonical_json", ["events"], """SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS declared, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS sorted,
+@query("canonical_json", ["events"], """SELECT event_id, sha256('{"user_id":' || user_id || ',"event_type":"' || event_type || '","event_id":' || event_id || '}') AS declared, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS sorted,
  lower(hex(encode(event_type))) AS hex, event_type AS decoded FROM events""")
 def canonical_json(events):
-    """Digests of an event as compact JSON, with its fields as declared and sorted by name, and its type in hex and back."""
-    declared = F.to_json(F.struct("event_id", "event_type", "user_id"), {"ignoreNullFields": "false"})
+    """Digests of an event as compact JSON, with its fields as declared (the user first) and sorted by name, and its type in hex and back."""
+    declared = F.to_json(F.struct("user_id", "event_type", "event_id"), {"ignoreNullFields": "false"})
     ordered = F.to_json(F.struct(*sorted(["user_id", "event_type", "event_id"])), {"ignoreNullFields": "false"})
     hexed = F.lower(F.hex("event_type"))
     return events.select("event_id", F.sha2(declared, 256).alias("declared"), F.sha2(ordered, 256).alias("sorted"), hexed.alias("hex"), trust.decode_hex(hexed).cast("string").alias("decoded"))

@@ -103,6 +103,20 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return reports.select(*shared, F.explode("cases").alias("case")).select("*", F.col("case.name").alias("name"), F.explode("case.elapsed_ns").alias("elapsed")).drop("case")
 
 
+def write_report(cases: DataFrame, dimensions: list[str], path: str) -> None:
+    """Merged cases as lines of JSON, one a case: case_id, its dimensions, and all other columns as metrics; nulls are left out. The
+    report is replaced as a whole."""
+    metrics = [c for c in cases.columns if c not in ("case_id", *dimensions)]
+    line = F.to_json(F.struct("case_id", F.struct(*dimensions).alias("dimensions"), F.struct(*metrics).alias("metrics")))
+    cases.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str, dimensions: str, metrics: str) -> DataFrame:
+    """The cases of a report with dimensions and metrics (schemas) as columns."""
+    rows = spark.read.schema(f"case_id string, dimensions struct<{dimensions}>, metrics struct<{metrics}>").json(path)
+    return rows.select("case_id", "dimensions.*", "metrics.*")
+
+
 def write_pairs(entries: list[tuple[int, str, bytes]], path: str) -> None:
     """A log segment of prepare and commit frames for (log index, transaction id, payload) entries, for round trips on a local path."""
     with open(path, "wb") as f:
