@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlens.operators.folds import fold
 from fleetlens.operators.places import places
@@ -84,29 +90,71 @@ AVERAGED = {"succeeded": 0.5, "timed_out": 0.0, "mismatch": 0.0, "corruption": 0
 AT_ONCE = {"forged": "forged_capability", "cancel_refused": "cancel_refused", "unauthorised": "unauthorised_access"}
 
 
+#: Rows of a running average that are taken at once: its powers stay well within a double.
+AVERAGE_ROWS = 512
+
+
+def running_average(x: np.ndarray, start: np.ndarray, alpha: float) -> np.ndarray:
+    """The moving averages after each row of x (rows, columns), begun at start."""
+    out = np.empty_like(x)
+    for a in range(0, len(x), AVERAGE_ROWS):
+        part = x[a : a + AVERAGE_ROWS]
+        keep = (1 - alpha) ** np.arange(1, len(part) + 1)[:, None]
+        out[a : a + len(part)] = keep * (start + alpha * np.cumsum(part / keep, axis=0))
+        start = out[a + len(part) - 1]
+    return out
+
+
 def reputations(observations: DataFrame, keys: list[str], order: list[str], minimum: int, alpha: float = 0.05) -> DataFrame:
     """Per key: samples, slow averages of four flags, doubt (what is missing of `minimum` samples) and anomalies (sorted names),
-    which stay once they are seen from the minimum on. Observations of no finite latency, or a negative one, don't count."""
-
-    def step(s: dict, r: dict) -> None:
-        ratio = r["latency_ratio"]
-        if ratio is None or not 0 <= ratio < float("inf"):
-            return
-        s["n"] += 1
-        for flag in AVERAGED:
-            s[flag] = (1 - alpha) * s[flag] + alpha * r[flag]
-        if s["n"] >= minimum:
-            s["seen"] |= {name for flag, name in AT_ONCE.items() if r[flag]}
-            s["seen"] |= {name for flag, name in (("mismatch", "result_mismatch"), ("corruption", "resource_corruption")) if s[flag] >= ANOMALY_SHARE}
-            if ratio >= ANOMALY_LATENCY:
-                s["seen"].add("abnormal_latency")
-
-    def finish(key: tuple, s: dict) -> list[tuple]:
-        return [(*key, s["n"], *(s[f] for f in AVERAGED), max(minimum - s["n"], 0) / minimum, ",".join(sorted(s["seen"])))] if s["n"] else []
+    which stay once they are seen from the minimum on. Observations of no finite latency, or a negative one, don't count.
 
+    A key's rows stream in order by Arrow batches; each run of a key within one is taken by a few vector operations."""
+    flags, once = list(AVERAGED), list(AT_ONCE)
     types = {f.name: f.dataType.simpleString() for f in observations.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", samples long, " + ", ".join(f"{f} double" for f in AVERAGED) + ", doubt double, anomalies string"
-    return fold(observations, keys, order, lambda: dict(n=0, seen=set(), **AVERAGED), step, schema, finish)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", samples long, " + ", ".join(f"{f} double" for f in flags) + ", doubt double, anomalies string"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, averages, seen = None, 0, None, set()
+        found: list[tuple] = []
+
+        def close() -> None:
+            if key is not None and n:
+                found.append((*key, n, *averages.tolist(), max(minimum - n, 0) / minimum, ",".join(sorted(seen))))
+
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            ratio = column("latency_ratio").cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            counts = (ratio >= 0) & (ratio < np.inf)
+            x = np.column_stack([column(c).cast(pa.uint8()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64) for c in flags])
+            sharp = np.column_stack([column(c).cast(pa.uint8()).fill_null(0).to_numpy(zero_copy_only=False) > 0 for c in once])
+            codes = np.column_stack([column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys])
+            cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1).tolist(), len(codes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                own = tuple(column(k)[a].as_py() for k in keys)
+                if own != key:
+                    close()
+                    key, n, averages, seen = own, 0, np.array(list(AVERAGED.values())), set()
+                at = a + np.flatnonzero(counts[a:b])
+                if not len(at):
+                    continue
+                after = running_average(x[at], averages, alpha)
+                late = slice(max(0, minimum - n - 1), None)
+                seen |= {name for i, name in enumerate(AT_ONCE.values()) if sharp[at][late, i].any()}
+                seen |= {name for flag, name in (("mismatch", "result_mismatch"), ("corruption", "resource_corruption")) if (after[late, flags.index(flag)] >= ANOMALY_SHARE).any()}
+                if (ratio[at][late] >= ANOMALY_LATENCY).any():
+                    seen.add("abnormal_latency")
+                n, averages = n + len(at), after[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
+            found.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    rows = observations.select(*keys, *[c for c in order if c not in keys], "latency_ratio", *flags, *once)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def decay(known: DataFrame, ticks: int) -> DataFrame:

@@ -111,3 +111,29 @@ def test_percentiles_with_infinities_and_not_a_number(spark):
     for r in aggregates.distribution(rows.where("k in ('b', 'e')"), ["k"], "v").collect():
         ranked = sorted(sets[r.k])
         assert (r.least, r.most, r.p95) == (ranked[0], ranked[-1], ranked[math.ceil(len(ranked) * 0.95) - 1])
+
+
+def test_reputations_by_vectors_are_those_row_by_row(spark, monkeypatch):
+    from fleetlens.operators import trust
+
+    monkeypatch.setattr(trust, "AVERAGE_ROWS", 7)
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice("ab"), i, rng.choice([0.5, 1.0, 5.0, None, float("nan"), -1.0, math.inf]), *(rng.random() < 0.3 for _ in range(3)), rng.random() < 0.15, *(rng.choice([False] * 30 + [True]) for _ in range(3))) for i in range(500)] + [(3, "a", 0, None, *[True] * 7)]
+    df = spark.createDataFrame(rows, "node long, capability string, seq long, latency_ratio double, succeeded boolean, timed_out boolean, mismatch boolean, corruption boolean, forged boolean, cancel_refused boolean, unauthorised boolean").repartition(3)
+    want = {}
+    for key in {r[:2] for r in rows}:
+        n, seen, average = 0, set(), dict(zip(trust.AVERAGED, trust.AVERAGED.values()))
+        for r in sorted((r for r in rows if r[:2] == key), key=lambda r: r[2]):
+            if r[3] is None or not 0 <= r[3] < math.inf:
+                continue
+            n += 1
+            average = {f: 0.95 * average[f] + 0.05 * v for f, v in zip(average, r[4:8])}
+            if n >= 20:
+                seen |= {name for name, v in zip(trust.AT_ONCE.values(), r[8:]) if v} | ({"abnormal_latency"} if r[3] >= 4 else set())
+                seen |= {name for f, name in (("mismatch", "result_mismatch"), ("corruption", "resource_corruption")) if average[f] >= 0.2}
+        if n:
+            want[key] = (n, *average.values(), max(20 - n, 0) / 20, ",".join(sorted(seen)))
+    found = {(r.node, r.capability): tuple(r)[2:] for r in trust.reputations(df, ["node", "capability"], ["seq"], 20).collect()}
+    assert found.keys() == want.keys()
+    for key, r in found.items():
+        assert r[0] == want[key][0] and r[5:] == want[key][5:] and r[1:5] == pytest.approx(want[key][1:5], rel=1e-12)
