@@ -22,7 +22,8 @@ BYTE_VALUES = np.random.Generator(np.random.PCG64(20240101)).integers(1, 1 << 63
 #: The same with A-Z as a-z.
 LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
-CHUNK_BYTES = 2 << 20
+#: What a worker looks at together; its arrays of 64-bit values take some twenty times as much.
+CHUNK_BYTES = 1 << 19
 
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 

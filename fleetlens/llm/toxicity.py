@@ -226,7 +226,8 @@ def bar(words: int) -> float:
 def witnesses(toxic: list[list[bytes]], clean: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
     """(word, sentence) pairs that carry the label of toxic documents (lists of sentences), up to three of each."""
     strip = lambda w: w.strip(b".,;:!?\"'()")
-    held = [{w for s in d for w in _words(s)} for d in toxic]
+    one: dict[bytes, bytes] = {}
+    held = [{one.setdefault(w, w) for s in d for w in _words(s)} for d in toxic]  # a word is one object, however many hold it
     elsewhere = Counter(w for d in clean for w in {w for s in d for w in _words(s)})
     out: list[tuple[bytes, bytes]] = []
     unexplained = list(range(len(toxic)))
@@ -339,7 +340,7 @@ def score_batch(batch: pa.RecordBatch, model: dict | None) -> list[np.ndarray]:
         return [out]
     table_ = np.zeros(1 << 20, dtype=np.float32)
     table_[model["codes"]] = model["weights"]
-    for chunk in chunks(batch, "text", 1 << 20):
+    for chunk in chunks(batch, "text"):
         values = document_values(chunk.data, chunk.offsets, table_)
         x = np.clip(model["slope"] * (values - model["place"]), -500, 500)
         out[chunk.first : chunk.first + chunk.n] = 1 / (1 + np.exp(-x))
