@@ -52,7 +52,7 @@ def test_genetic_packing_beats_best_fit():
         alone = packing.Bins(lengths, 1024)
         for i in sorted(range(240), key=lambda i: -lengths[i]):
             alone.best_fit(i)
-        best = packing.evolve(lengths, 1024, rng, None, None)
+        best = packing.evolve(lengths, 1024, rng, None, None, generations=12)
         assert sorted(i for b in best for i in b) == list(range(240)) and all(sum(lengths[i] for i in b) <= 1024 for b in best)
         assert len(best) <= len(alone.bins) - 2
 
