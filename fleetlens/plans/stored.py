@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators import bitmaps, profiles
+from fleetlens.operators import bitmaps, profiles, reports
+from fleetlens.plans.trusted import AUDIT, CHAIN, audit_log
 from fleetlens.plans.catalog import PROFILE, query, rounded
 from fleetlens.plans.scheduling import PREDICTED
+from fleetlens.session import shared_path
 from fleetlens.sources import files
 
 
@@ -46,3 +48,37 @@ def content_digests(documents):
 def profiles_by_day(observations):
     """Predictions from the states of days, as a store of profiles merges them on read."""
     return rounded(profiles.predictions(profiles.day_states(observations), 20), "ewma", "failure", "throughput", "doubt")
+
+
+@query("audit_log_stored", ["events"], f"WITH RECURSIVE {AUDIT}, {CHAIN}".replace("SELECT l.event_id, l.node, l.body, r.n AS sequence", "SELECT l.node, l.body, r.n AS sequence"))
+def audit_log_stored(events):
+    """Audit logs written as lines of JSON and read back, their chains checked on the way."""
+    path = shared_path(events.sparkSession, "audit")
+    log = audit_log(events).select("sequence", F.col("sequence").alias("tick"), "node", "body", "previous_hash", "event_hash")
+    files.write_audit(log, path)
+    return files.read_audit(events.sparkSession, path).select("node", "body", "sequence", "previous_hash", "event_hash")
+
+
+@query("snapshot_stored", ["catalog"], "SELECT digest, size, targets, healthy, policy FROM catalog")
+def snapshot_stored(catalog):
+    """A snapshot of the catalogue, replaced as a whole and read by its schema."""
+    spark, path = catalog.sparkSession, shared_path(catalog.sparkSession, "snapshot")
+    files.write_snapshot(catalog.select("digest").where("digest % 2 = 0"), path)
+    files.write_snapshot(catalog.select("digest", "size", "targets", "healthy", "policy"), path)
+    return files.read_snapshot(spark, path, "digest long, size long, targets long, healthy long, policy string")
+
+
+@query("catalog_stored", ["catalog"], "SELECT digest, size, policy, retain_until FROM catalog")
+def catalog_stored(catalog):
+    """The catalogue as JSON and back."""
+    path = shared_path(catalog.sparkSession, "catalog")
+    files.write_catalog(catalog.select("digest", "size", "policy", "retain_until"), path)
+    return files.read_catalog(catalog.sparkSession, path, "digest long, size long, policy string, retain_until int")
+
+
+@query("report_stored", ["fault_transitions"], "SELECT concat('distributed.durability.', replace(stage, '_', '-')) AS case_id, stage, count(*) AS n, round(median(transition_ns), 6) AS median, median(reopen_ns) AS reopen_median_ns FROM fault_transitions GROUP BY stage")
+def report_stored(transitions):
+    """A report of durability cases through its sink and back."""
+    path = shared_path(transitions.sparkSession, "report")
+    files.write_report(rounded(reports.merge_faults(transitions), "median", "mad"), ["stage"], path)
+    return files.read_report(transitions.sparkSession, path, "stage: string", "n: long, median: double, reopen_median_ns: double")

@@ -1,5 +1,8 @@
 """Session settings that the plans rely on; a cluster may override all of them."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,14 @@ def build_session(master: str | None = None, app: str = "fleetlens", shuffle_par
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else, on a local master, one of our own."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='fleetlens-')}")
+        known = spark.sparkContext.getCheckpointDir()
+    return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
