@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.folds import fold
@@ -120,21 +120,16 @@ def leader_score(capacity: Column, p95: Column, sleep_risk: Column, healthy: Col
 
 def leader_transfers(rows: DataFrame, keys: list[str], order: list[str], margin: float, dwell: int) -> DataFrame:
     """event_id and transfer: the same candidate has been better by the margin for `dwell` ticks, or the leader has no score
-    and the candidate has one. A miss, or another candidate, starts anew."""
-
-    def step(s: dict, r: dict) -> tuple:
-        now, other = r["current_score"], r["candidate_score"]
-        if now is None:
-            return r["event_id"], other is not None
-        if other is None or other < now + margin:
-            s["since"] = None
-            return r["event_id"], False
-        if s["since"] is not None and s["candidate"] == r["candidate"]:
-            return r["event_id"], r["tick"] - s["since"] >= dwell
-        s.update(candidate=r["candidate"], since=r["tick"])
-        return r["event_id"], False
-
-    return fold(rows, keys, order, lambda: dict(candidate=None, since=None), step, "event_id long, transfer boolean")
+    and the candidate has one. A miss, or another candidate, starts anew; rows without a leader's score interrupt nothing."""
+    alone = F.col("current_score").isNull()
+    over = F.col("candidate_score").isNotNull() & ~alone & ~(F.col("candidate_score") < F.col("current_score") + margin)
+    at = Window.partitionBy(*keys, "_alone").orderBy(*order)
+    marked = rows.withColumns({"_alone": alone, "_over": over})
+    goes_on = F.col("_over") & F.coalesce(F.lag("_over").over(at), F.lit(False)) & F.lag("candidate").over(at).eqNullSafe(F.col("candidate"))
+    marked = marked.withColumn("_goes_on", goes_on)
+    since = F.max(F.when(F.col("_over") & ~F.col("_goes_on"), F.col("tick"))).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    due = F.col("_goes_on") & (F.col("tick") - since >= dwell)
+    return marked.select("event_id", F.when(F.col("_alone"), F.col("candidate_score").isNotNull()).otherwise(due).alias("transfer"))
 
 
 def availability(voters: int) -> Column:
