@@ -130,10 +130,10 @@ VIEWS = {
     "bench_samples": (["events"], f"""SELECT event_id, lane, workload, concurrency, faults, CAST(4294967296 AS BIGINT) AS bytes, 1000000000 + 1000000 * (value * CASE WHEN lane = 3 OR (lane = 4 AND workload = 'click') THEN 10 ELSE 0.1 END + CASE WHEN lane = 2 AND concurrency = 16 THEN 300 ELSE 0 END) AS elapsed
         FROM (SELECT event_id, user_id % 5 AS lane, event_type AS workload, value, CASE WHEN event_id % 2 = 0 THEN 4 ELSE 16 END AS concurrency, CASE WHEN user_id % 5 = 1 AND {K} % 97 = 0 THEN 1 ELSE 0 END AS faults FROM events) AS q"""),
     "decisions": (["events"], f"SELECT event_id, concat('placement-', CAST(user_id % 6 AS VARCHAR(9))) AS case_id, event_type AS workload, CASE WHEN user_id % 2 = 0 THEN 'batch' ELSE 'interactive' END AS latency_class, user_id % 3 * 16 AS nodes, user_id % 2 + 1 AS variants, 4 AS top_k, value * 1000 AS decision_ns, {K} % 13 AS evaluated FROM events"),
-    "registry_reports": (["events"], f"""SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'durable' ELSE 'critical' END AS acceptance, CASE WHEN user_id % 2 = 0 THEN 1000 ELSE 100000 END AS mutations, value * 1000000 AS mutation_ns, value * 10 AS compact_ns, {K} * 1.5 AS reopen_ns, {K} * 100 AS snapshot_bytes,
+    "registry_reports": (["events"], f"""SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'durable' ELSE 'critical' END AS acceptance, CASE WHEN user_id % 2 = 0 THEN 1000 ELSE 100000 END AS mutations, value * 1000000 AS mutation_ns, value * 10 AS compact_ns, CAST({K} AS DOUBLE) * 1.5e0 AS reopen_ns, {K} * 100 AS snapshot_bytes,
         CASE WHEN {K} = 13 THEN 999 WHEN user_id % 2 = 0 THEN 1000 ELSE 100000 END AS committed, {K} <> 17 AS log_present, {K} <> 19 AS first_present, {K} <> 23 AS last_present, value + 100 * (user_id % 3) AS window_ns, CASE WHEN user_id % 6 = 4 AND {K} = 29 THEN 99 ELSE 100 END AS window_mutations FROM events"""),
     "content_samples": (["events"], f"""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'fixed-total-scaling' ELSE 'per-transfer' END AS lane, CAST(1048576 AS BIGINT) * (1 + user_id % 3) AS content_bytes, CAST(4194304 AS BIGINT) * (1 + user_id % 3) AS aggregate_bytes, CASE WHEN {K} % 2 = 0 THEN 4 ELSE 16 END AS concurrency, concat('content.localization.', CASE WHEN event_type = 'view' THEN 'hit' ELSE 'miss' END) AS name, value * 1000 AS elapsed FROM events"""),
-    "fault_transitions": (["events"], f"SELECT event_id, concat('after_', event_type) AS stage, value * 100 AS transition_ns, {K} * 2.5 AS reopen_ns FROM events"),
+    "fault_transitions": (["events"], f"SELECT event_id, concat('after_', event_type) AS stage, value * 100 AS transition_ns, CAST({K} AS DOUBLE) * 2.5e0 AS reopen_ns FROM events"),
     "chunks": (["documents"], """SELECT doc_id, i AS chunk_index, sha256(substr(text, i * 256 + 1, 256)) AS digest, length(substr(text, i * 256 + 1, 256)) AS size
         FROM (SELECT doc_id, text, UNNEST_RANGE AS i FROM documents) x"""),
 }
