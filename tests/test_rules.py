@@ -66,7 +66,7 @@ def test_admission_keeps_what_is_reserved_for_local_work(spark):
 
 def test_detector_restores_and_outdates(spark):
     rows = [(1, "pulse", 1, "healthy", 0, 1), (2, "register", 1, "healthy", 0, 2), (3, "pulse", 1, "healthy", 5, 11), (4, "pulse", 2, "healthy", 0, 12), (5, "pulse", 1, "overloaded", 9, 40)]
-    table = spark.createDataFrame([(1, *r) for r in rows], "node long, event_id long, op string, version long, health string, pressure long, tick long")
+    table = spark.createDataFrame([(1, *r) for r in rows], "node long, event_id long, op string, capability_version long, health string, pressure long, tick long").withColumn("resource_version", F.lit(3))
     out = {r.event_id: (r.before, r.disposition, r.health) for r in ha.detect(table, ["node"], ["tick"]).collect()}
     assert out == {1: (None, "unknown", None), 2: (None, "registered", "healthy"), 3: ("suspect", "accepted", "healthy"), 4: ("healthy", "full_snapshot_required", "incompatible"), 5: ("dead", "accepted", "overloaded")}
 
