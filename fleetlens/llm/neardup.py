@@ -276,6 +276,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
     """id and root (least id of its component) of every id in links (a, b), by large-star and small-star rounds."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     while True:
+        let_go(edges.sparkSession)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = spread_join(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
