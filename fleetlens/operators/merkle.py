@@ -4,7 +4,7 @@ Leaves are numbered in blocks, so no segment's leaves are sorted in one task. A
 position into subtrees of 2^HEIGHT and hashes each up to one node; the parity rule (an odd last node is paired with itself)
 depends on a level's length only, which follows from the number of leaves. A tree of n leaves takes log(n) / HEIGHT rounds, each
 a shuffle of 1 / 2^HEIGHT of the one before. A leaf's proof is its siblings within its subtree, then those of the subtree's
-node in the next round, joined by position.
+node in the next round, which a subtree fetches once for all of its leaves: proofs are spelt out last and never shuffled.
 
 Defined cases: a segment of one leaf has the leaf as its root and an empty proof; null leaves are hashed as the empty text
 where hashed here; segments don't depend on each other; no rows give no roots (EMPTY is what stands for a tree without leaves).
@@ -35,10 +35,15 @@ def numbered(rows: DataFrame, segment: Column, order: str, leaf: Column, rows_a_
     return places(nodes, ["segment"], ["o"], rows_a_block, "i", "n").select("segment", "i", "n", "h")
 
 
-def climb(nodes: DataFrame) -> DataFrame:
-    """Subtrees of nodes (segment, i, n, h): segment, n, g (the subtree's position) and the arrays h0 to h{HEIGHT} of its levels."""
+def grouped(nodes: DataFrame) -> DataFrame:
+    """Subtrees of nodes (segment, i, n, h): segment, n, g (the subtree's position) and h0, its nodes' hashes in order."""
     out = nodes.groupBy("segment", "n", F.shiftright("i", HEIGHT).alias("g")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"))
-    out = out.select("segment", "n", "g", F.transform("x", lambda x: x["h"]).alias("h0"))
+    return out.select("segment", "n", "g", F.transform("x", lambda x: x["h"]).alias("h0"))
+
+
+def climb(subtrees: DataFrame) -> DataFrame:
+    """subtrees with the arrays h1 to h{HEIGHT} of their further levels."""
+    out = subtrees
     for k in range(HEIGHT):
         below, halves = f"h{k}", F.sequence(F.lit(0), F.expr(f"(size(h{k}) + 1) div 2 - 1").cast("int"))
         above = F.transform(halves, paired(below))
@@ -56,8 +61,8 @@ def tops(subtrees: DataFrame) -> DataFrame:
     return subtrees.select("segment", F.col("g").alias("i"), length_at(HEIGHT).alias("n"), F.get(f"h{HEIGHT}", F.lit(0)).alias("h"))
 
 
-def rounds(nodes: DataFrame) -> int:
-    most = nodes.agg(F.max("n")).first()[0] or 0
+def rounds(rows: DataFrame, segment: Column) -> int:
+    most = rows.groupBy(segment.alias("segment")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     return max(0, -(-(max(most, 1) - 1).bit_length() // HEIGHT))
 
 
@@ -65,38 +70,45 @@ def roots(rows: DataFrame, segment: Column, order: str, leaf: Column, rows_a_blo
     """segment, leaves and root; leaf: the leaves' hashes, which `order` (a whole number) tells apart."""
     nodes = numbered(rows, segment, order, leaf, rows_a_block)
     counts = nodes.groupBy("segment").agg(F.count(F.lit(1)).alias("leaves"))
-    for _ in range(rounds(nodes)):
-        nodes = tops(climb(nodes))
+    for _ in range(rounds(rows, segment)):
+        nodes = tops(climb(grouped(nodes)))
     out = nodes.select(F.col("segment").alias("own"), "h")
     return counts.join(out, F.col("segment").eqNullSafe(F.col("own"))).select("segment", "leaves", F.col("h").alias("root"))
 
 
 def inclusion_proofs(rows: DataFrame, segment: Column, order: str, leaf: Column, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
     """A row for each leaf: segment, leaf_index, leaf, siblings (hash, left) from the bottom up, and the segment's root."""
-    nodes = numbered(rows, segment, order, leaf, rows_a_block)
-    parts = []
-    for _ in range(rounds(nodes)):
-        subtrees = climb(nodes)
-        parts.append(own_siblings(subtrees))
-        nodes = tops(subtrees)
-    out = numbered(rows, segment, order, leaf, rows_a_block).select("segment", F.col("i").alias("leaf_index"), F.col("h").alias("leaf"), F.array().cast("array<struct<hash:string,left:boolean>>").alias("siblings"))
-    for k, part in enumerate(parts):
-        own = part.select(F.col("segment").alias("own"), F.col("i").alias("at"), F.col("siblings").alias("more"))
-        at = F.shiftright("leaf_index", HEIGHT * k)
-        out = out.join(own, F.col("segment").eqNullSafe(F.col("own")) & (at == F.col("at"))).select("segment", "leaf_index", "leaf", F.concat("siblings", "more").alias("siblings"))
-    ends = nodes.select(F.col("segment").alias("own"), F.col("h").alias("root"))
-    return out.join(ends, F.col("segment").eqNullSafe(F.col("own"))).select("segment", "leaf_index", "leaf", "siblings", "root")
-
-
-def own_siblings(subtrees: DataFrame) -> DataFrame:
-    """segment, i and the siblings of each node up to its subtree's top."""
-    nodes = subtrees.select("*", F.posexplode("h0").alias("j", "node"))
+    proofs = node_proofs(numbered(rows, segment, order, leaf, rows_a_block), rounds(rows, segment))
+    return proofs.select("segment", F.col("i").alias("leaf_index"), F.col("h").alias("leaf"), "siblings", "root")
+
+
+def node_proofs(nodes: DataFrame, left: int) -> DataFrame:
+    """segment, i, h, siblings and root of each of nodes (segment, i, n, h), which `left` rounds bring to the top."""
+    if not left:
+        return nodes.select("segment", "i", "h", no_siblings().alias("siblings"), F.col("h").alias("root"))
+    subtrees = grouped(nodes)
+    if left == 1:
+        subtrees = climb(subtrees).withColumns({"more": no_siblings(), "root": F.get(f"h{HEIGHT}", F.lit(0))})
+    else:
+        above = node_proofs(tops(climb(subtrees)), left - 1).select(F.col("segment").alias("own"), F.col("i").alias("at"), F.col("siblings").alias("more"), "root")
+        # Levels are hashed again after the join, which so takes a subtree's leaves along and nothing else.
+        subtrees = climb(subtrees.join(above, F.col("segment").eqNullSafe(F.col("own")) & (F.col("g") == F.col("at"))).select("segment", "n", "g", "h0", "more", "root"))
+    each = F.transform("h0", lambda h, j: F.struct((F.shiftleft("g", HEIGHT) + j).alias("i"), h.alias("h"), F.concat(own_siblings(j), "more").alias("siblings")))
+    return subtrees.select("segment", "root", F.inline(each)).select("segment", "i", "h", "siblings", "root")
+
+
+def no_siblings() -> Column:
+    return F.array().cast("array<struct<hash:string,left:boolean>>")
+
+
+def own_siblings(j: Column) -> Column:
+    """The siblings of a subtree's j-th node up to the subtree's top."""
     found = []
     for k in range(HEIGHT):
-        at = F.expr(f"shiftright(j, {k})")
+        at = F.shiftright(j, k)
         other = F.when(at % 2 == 0, F.least(at + 1, F.size(f"h{k}") - 1)).otherwise(at - 1)
         found.append(F.when(length_at(k) > 1, F.struct(F.get(f"h{k}", other).alias("hash"), (other < at).alias("left"))))
-    return nodes.select("segment", (F.shiftleft("g", HEIGHT) + F.col("j")).alias("i"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("siblings"))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def proves(leaf: Column, siblings: Column, root: Column) -> Column:

@@ -98,6 +98,15 @@ def test_a_segment_of_a_hundred_thousand_and_one_leaves(spark):
     assert merkle.roots(rows.limit(0), F.col("s"), "o", leaf).count() == 0
 
 
+@pytest.mark.parametrize("leaves", [3_000])
+def test_proofs_are_spelt_out_after_the_last_shuffle(spark, leaves):
+    rows = spark.range(leaves).select((F.col("id") % 2).alias("s"), "id")
+    proofs = merkle.inclusion_proofs(rows, F.col("s"), "id", F.sha2(F.col("id").cast("string"), 256))
+    plan = proofs._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("Generate")
+    assert "Exchange" in plan and "Exchange" not in plan[:made] and "Join" not in plan[:made]
+
+
 def test_percentiles_with_infinities_and_not_a_number(spark):
     nan, inf = float("nan"), float("inf")
     sets = {"a": [1.0, 2.0, 5.0, nan], "b": [inf, -inf, 3.0, 0.0, -0.5], "c": [inf] * 3 + [1.0], "d": [nan], "e": [-inf, -1e308, -1e-320, 0.0, 5e-324, 1e308], "f": [nan, nan, inf]}
