@@ -98,7 +98,7 @@ def test_a_segment_of_a_hundred_thousand_and_one_leaves(spark):
     assert merkle.roots(rows.limit(0), F.col("s"), "o", leaf).count() == 0
 
 
-@pytest.mark.parametrize("leaves", [3_000])
+@pytest.mark.parametrize("leaves", [200, 3_000])
 def test_proofs_are_spelt_out_after_the_last_shuffle(spark, leaves):
     rows = spark.range(leaves).select((F.col("id") % 2).alias("s"), "id")
     proofs = merkle.inclusion_proofs(rows, F.col("s"), "id", F.sha2(F.col("id").cast("string"), 256))
