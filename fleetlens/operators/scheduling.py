@@ -1,11 +1,12 @@
 """Placement with every rule: hard filters, coarse top-k, operation cap, service levels, costs, risk and profitability.
 
 What a request asks of nodes alone is its class (bits, trust, system, memory, plugin). Classes find their nodes by an inverted
-index and keep a short list of the best by pressure, for each set of contents that nodes hold. What else a request asks for, its
-own node, session, contents and service levels, is its kind; there may be as many kinds as requests. A kind looks at the
-short lists of its class and contents only: content is the one bonus that the coarse order knows, so a node of the true top-k is
-among the best k by pressure of those that hold the same of its contents. So what is looked at grows with the kinds, not with
-kinds times nodes.
+index and keep a short list of the best by pressure, for each set of contents that nodes hold. A class with the contents asked for
+(or the one node, of a request that stays on its own) and the task's type and bucket is a look: it fixes which candidates are
+evaluated, and all of their costs that don't depend on the request's own session, levels and times. A look reads the short lists
+of its class and contents only: content is the one bonus that the coarse order knows, so a node of the true top-k is among the
+best k by pressure of those that hold the same of its contents. Looks grow with the requests at most, and each request meets its
+look's candidates as one array: it is shuffled once, whatever number of candidates it has.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ KIND = [
     *CLASS, "task_type", "input_bucket", "latency_class", "local_only", "local_bound", "local_idx", "minimum_quality", "exact", "streaming", "session_idx", "migration", "dag_cross", "dag_benefit",
     "content_a", "content_b", *LEVELS,
 ]
+#: What a request's candidates depend on; home is its own node if it has to stay there, and contents count if it hasn't.
+LOOK = [*CLASS, "task_type", "input_bucket", "local_only", "home", "wanted_a", "wanted_b"]
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,12 @@ def as_one(columns: list[str]) -> Column:
     return F.explode(F.array(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))))
 
 
+def with_look(requests: DataFrame) -> DataFrame:
+    """requests with LOOK and look, one digest of it."""
+    own = {"home": F.when(F.col("local_only"), F.col("local_idx")), "wanted_a": F.when(~F.col("local_only"), F.col("content_a")), "wanted_b": F.when(~F.col("local_only"), F.col("content_b"))}
+    return requests.withColumns(own).withColumn("look", as_one(LOOK))
+
+
 def with_kind(requests: DataFrame) -> DataFrame:
     """requests with kind, one digest for all that a request asks of nodes and variants."""
     return requests.withColumn("kind", as_one(KIND))
@@ -84,10 +93,14 @@ def with_plugin(pairs: DataFrame) -> DataFrame:
 
 
 def hard_variants() -> Column:
-    """A variant's hard filter: bits, memory, plugin generation, quality."""
+    """What of a variant's hard filter its look decides: bits, memory, plugin generation."""
     fits = has_bits(F.col("bits"), F.col("need")) & (F.col("peak_memory") <= F.col("memory")) & (F.col("peak_vram") <= F.col("vram"))
-    plugin = F.col("required_generation").isNull() | (F.col("generation") == F.col("required_generation"))
-    return fits & plugin & (F.col("quality") >= F.col("minimum_quality")) & (~F.col("exact") | (F.col("quality") >= 1.0))
+    return fits & (F.col("required_generation").isNull() | (F.col("generation") == F.col("required_generation")))
+
+
+def good_enough(c: Column) -> Column:
+    """What of candidate c's hard filter the request decides: quality."""
+    return (c["quality"] >= F.col("minimum_quality")) & (~F.col("exact") | (c["quality"] >= 1.0))
 
 
 def total_cost() -> Column:
@@ -95,11 +108,13 @@ def total_cost() -> Column:
     return F.col("queue") + F.col("rtt") + F.col("input_transfer") + F.col("execution") + F.col("output_transfer") + F.col("prewarm") + F.col("commit_cost") + F.col("recovery") + F.col("jitter")
 
 
-def meets_levels() -> Column:
-    """A candidate within its request's service level; a stream's latencies count where the request bounds them."""
-    bounded = lambda have, most: F.col(most).isNull() | F.coalesce(F.col(have) <= F.col(most), F.lit(False))
+def meets_levels(c: Column | None = None) -> Column:
+    """A candidate (c, else the row's columns) within its request's service level; a stream's latencies count where the request
+    bounds them."""
+    of = lambda name: F.col(name) if c is None else c[name]
+    bounded = lambda have, most: F.col(most).isNull() | F.coalesce(of(have) <= F.col(most), F.lit(False))
     return (
-        (F.col("total") <= F.col("deadline")) & (F.col("p95") <= F.col("max_p95")) & (F.col("p99") <= F.col("max_p99")) & (F.col("jitter") <= F.col("max_jitter")) & (F.col("failure") <= F.col("max_failure"))
+        (of("total") <= F.col("deadline")) & (of("p95") <= F.col("max_p95")) & (of("p99") <= F.col("max_p99")) & (of("jitter") <= F.col("max_jitter")) & (of("failure") <= F.col("max_failure"))
         & (~F.col("streaming") | (bounded("ttft", "max_ttft") & bounded("steady", "max_steady")))
     )
 
@@ -130,8 +145,10 @@ def spots(a: str, b: str) -> list[Column]:
 
 
 def short_lists(kinds: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
-    """kinds (KIND, kind) with the columns of the first `top` nodes of each in the coarse order and their place (from 1): pressure,
-    less 5 for each content that the node holds; ties go to the smaller node_id. nodes have generations, those of their variants."""
+    """kinds (kind, CLASS, local_only, local_idx, content_a, content_b) with the columns of the first `top` nodes of each in the
+    coarse order and their place (from 1): pressure, less 5 for each content that the node holds; ties go to the smaller node_id.
+    nodes have generations, those of their variants."""
+    names = kinds.columns
     kinds = kinds.withColumn("class", as_one(CLASS))
     own = ["idx", "node_id", "pressure", "bits", "memory", "vram", "has_a", "has_b"]
     fits = with_plugin(hard_nodes(with_required_bits(kinds.select("class", *CLASS).distinct(), nodes, 64))).select("class", *own)
@@ -147,49 +164,64 @@ def short_lists(kinds: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
     found = found.withColumn("coarse", F.col("pressure") - 5.0 * (a.cast("int") + b.cast("int")))
     at_home = kinds.where("local_only").join(nodes, F.col("idx") == F.col("local_idx")).where(has_bits(F.col("bits"), F.col("required_bits")))
     at_home = with_plugin(hard_nodes(at_home)).withColumn("coarse", F.col("pressure").cast("double"))
-    columns = ["kind", *KIND, *own, "coarse"]
+    columns = [*names, *own, "coarse"]
     place = F.row_number().over(Window.partitionBy("kind").orderBy("coarse", "node_id"))
     return found.select(*columns).unionByName(at_home.select(*columns)).withColumn("place", place).where(F.col("place") <= top)
 
 
-def candidates(kinds: DataFrame, nodes: DataFrame, variants: DataFrame, predictions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The variants that are looked at for each kind (kind, ..., number in order of evaluation) with fits, whether one passes all
-    filters and levels, and their costs."""
+#: What a request needs to know of a candidate.
+KNOWN = ["node_id", "number", "variant_id", "idx", "quality", "total", "p95", "p99", "jitter", "failure", "ttft", "steady", "at_home", "away", "doubt", "spare", "energy"]
+
+
+def candidates(looks: DataFrame, nodes: DataFrame, variants: DataFrame, predictions: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """look, evaluated (how many variants are looked at for it, in order of evaluation) and found, KNOWN of those that pass the
+    hard filter as far as the look decides it: costs up to the commit's and the expected recovery's, on the request's own node
+    (at_home) and on another (away)."""
     plugins = variants.groupBy("idx").agg(F.collect_set("generation").alias("generations"))  # the plugin index, by node
     known = nodes.join(plugins, "idx").withColumnsRenamed({"content_a": "has_a", "content_b": "has_b"})
+    kinds = looks.withColumnsRenamed({"look": "kind", "home": "local_idx", "wanted_a": "content_a", "wanted_b": "content_b"})
     near = short_lists(kinds, known, min(limits.top_k, limits.max_operations))
     rows = near.join(variants, "idx").withColumn("number", F.row_number().over(Window.partitionBy("kind").orderBy("place", "v"))).where(F.col("number") <= limits.max_operations)
-    rows = rows.withColumn("is_local", F.col("idx") == F.col("local_idx")).withColumn("total", total_cost())
+    rows = rows.withColumn("total", total_cost())
     rows = rows.join(predictions, ["task_type", "variant_id", "input_bucket"], "left")
     rows = rows.withColumns({
         "failure": F.greatest(F.coalesce("failure", "base_failure"), "base_failure"), "p50": F.coalesce("p50", "execution"),
         "p95": F.coalesce("p95", F.col("execution") + F.col("jitter")), "p99": F.coalesce("p99", F.col("execution") + 2 * F.col("jitter")), "doubt": F.coalesce("doubt", F.lit(1.0)),
-    }).withColumn("fits", F.coalesce(hard_variants() & meets_levels(), F.lit(False)))
-    moved = F.when(F.col("session_idx").isNull(), 0.0).when(F.col("session_idx") == F.col("idx"), -F.least(F.col("migration"), F.col("total") * 0.25)).otherwise(F.col("migration"))
-    transfer = F.when(F.col("is_local"), 0.0).otherwise(F.col("input_transfer") + F.col("output_transfer"))
-    cost = F.col("queue") + F.col("rtt") + transfer + F.col("prewarm") + F.col("p50") + F.col("commit_cost") + F.col("jitter") + F.col("failure") * F.col("recovery") + moved + F.greatest(F.lit(0.0), F.col("dag_cross") - F.col("dag_benefit"))
+        "spare": spare_rare(rare_bits(nodes)),
+    })
+    cost = lambda transfer: F.col("queue") + F.col("rtt") + transfer + F.col("prewarm") + F.col("p50") + F.col("commit_cost") + F.col("jitter") + F.col("failure") * F.col("recovery")
+    rows = rows.withColumns({"at_home": cost(F.lit(0.0)), "away": cost(F.col("input_transfer") + F.col("output_transfer"))})
+    return rows.groupBy(F.col("kind").alias("look")).agg(F.count("*").alias("evaluated"), F.collect_list(F.when(hard_variants(), F.struct(*KNOWN))).alias("found"))
+
+
+def ranked(c: Column) -> Column:
+    """Candidate c as its request sees it, in the order of the best: risk_cost, node_id, number, ..."""
+    is_local = c["idx"] == F.col("local_idx")
+    moved = F.when(F.col("session_idx").isNull(), 0.0).when(F.col("session_idx") == c["idx"], -F.least(F.col("migration"), c["total"] * 0.25)).otherwise(F.col("migration"))
+    remote = F.when(is_local, c["at_home"]).otherwise(c["away"]) + moved + F.greatest(F.lit(0.0), F.col("dag_cross") - F.col("dag_benefit"))
     urgent = F.col("latency_class").isin("cluster_safety", "hard_realtime", "soft_realtime")
-    risk = F.col("remote_cost") + F.greatest(F.lit(0.0), 1 - F.col("quality")) * 1000 + spare_rare(rare_bits(nodes)) + F.col("doubt") * F.when(urgent, 50.0).otherwise(10.0) + F.col("energy")
-    return rows.withColumn("remote_cost", cost).withColumn("risk_cost", risk)
+    beyond = c["doubt"] * F.when(urgent, 50.0).otherwise(10.0)
+    # The sum goes from left to right, as doubles add up differently in another order.
+    risk = remote + F.greatest(F.lit(0.0), 1 - c["quality"]) * 1000 + c["spare"] + beyond + c["energy"]
+    return F.struct(risk.alias("risk_cost"), c["node_id"].alias("node_id"), c["number"].alias("number"), c["variant_id"].alias("variant_id"), remote.alias("remote_cost"), is_local.alias("is_local"))
 
 
 def place(requests: DataFrame, nodes: DataFrame, variants: DataFrame, predictions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """A row for each request: status (placed, unavailable or invalid), the best candidate, its fallbacks and margin. A request's
-    margin and the cost up to which it stays local are its own, too."""
-    requests = with_kind(requests)
-    found = candidates(requests.select("kind", *KIND).distinct(), nodes, variants, predictions, limits)
-    item = F.struct("risk_cost", "node_id", "number", "variant_id", "remote_cost", "is_local")
-    lists = found.groupBy("kind").agg(F.count("*").alias("evaluated"), F.array_sort(F.collect_list(F.when(F.col("fits"), item))).alias("ranked"))
-    joined = requests.join(lists, "kind", "left").withColumn("valid", finite_request())
+    """A row for each request: status (placed, unavailable or invalid), the best candidate, its fallbacks and margin."""
+    requests = with_look(requests)
+    lists = candidates(requests.select("look", *LOOK).distinct(), nodes, variants, predictions, limits)
     stays = F.col("local_only") | F.col("local_bound") | (F.col("local_cost") <= F.col("small_task")) | (F.col("latency_class") == "hard_realtime")
-    joined = joined.withColumn("stays", stays)
-    good = F.filter("ranked", lambda c: c["is_local"] | (~F.col("stays") & (F.col("local_cost") > c["remote_cost"] + F.col("safety_margin"))))
-    joined = joined.withColumn("good", F.when(F.col("valid"), good))
-    first = F.get("good", F.lit(0))
+    needed = ["task_id", "look", "local_idx", "session_idx", "migration", "dag_cross", "dag_benefit", "latency_class", "minimum_quality", "exact", "streaming", *LEVELS, "local_cost", "safety_margin"]
+    joined = requests.select(*needed, finite_request().alias("valid"), stays.alias("stays")).join(lists, "look", "left")
+    fit = F.transform(F.filter("found", lambda c: F.coalesce(good_enough(c) & meets_levels(c), F.lit(False))), ranked)
+    good = F.filter(fit, lambda c: c["is_local"] | (~F.col("stays") & (F.col("local_cost") > c["remote_cost"] + F.col("safety_margin"))))
+    joined = joined.select("task_id", "valid", "local_cost", "safety_margin", "evaluated", F.when(F.col("valid"), good).alias("good"))
+    joined = joined.withColumns({"first": F.array_min("good"), "many": F.size("good")})
+    first = F.col("first")
     status = F.when(~F.col("valid"), "invalid").when(first.isNull(), "unavailable").otherwise("placed")
     return joined.select(
         "task_id", status.alias("status"), first["node_id"].alias("node_id"), first["variant_id"].alias("variant_id"), first["risk_cost"].alias("risk_cost"), first["remote_cost"].alias("remote_cost"),
-        F.when(first.isNotNull(), F.least(F.size("good") - 1, F.lit(limits.top_k))).cast("long").alias("fallbacks"), F.when(F.col("valid"), F.coalesce("evaluated", F.lit(0))).cast("long").alias("evaluated"),
+        F.when(first.isNotNull(), F.least(F.col("many") - 1, F.lit(limits.top_k))).cast("long").alias("fallbacks"), F.when(F.col("valid"), F.coalesce("evaluated", F.lit(0))).cast("long").alias("evaluated"),
         F.when(first.isNotNull(), F.col("local_cost") - first["remote_cost"] - F.col("safety_margin")).alias("margin"),
     )
 

@@ -44,6 +44,20 @@ def test_short_lists_are_those_of_all_pairs(spark):
     assert found == want and sum(len(v) for v in want.values()) > 250
 
 
+def test_sessions_and_levels_add_nothing_to_what_is_looked_at(spark, monkeypatch):
+    from fleetlens.functions.views import view
+    from fleetlens.plans.scheduling import predictions
+
+    seen, real = [], scheduling.candidates
+    monkeypatch.setattr(scheduling, "candidates", lambda asked, *rest: seen.append(asked.count()) or real(asked, *rest))
+    requests, nodes, variants, observations = (view(spark, "/root/testdata/sf0.001", v) for v in ("sched_each", "sched_nodes", "sched_variants", "observations"))
+    others = requests.withColumns({"task_id": F.col("task_id") + 10**9, "session_idx": F.col("task_id") % 7, "deadline": F.col("deadline") - F.col("task_id") % 5, "migration": F.lit(0.5)})
+    few = scheduling.place(requests, nodes, variants, predictions(observations))
+    many = scheduling.place(requests.unionByName(others), nodes, variants, predictions(observations))
+    assert seen[0] == seen[1] and many.count() == 2 * few.count()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.where("task_id < 1000000000").collect()))
+
+
 def test_rare_bits_on_both_ends_of_a_word(spark):
     nodes = spark.createDataFrame([(i, (1 if i < 5 else 0) | (-(1 << 63) if i == 0 else 0) | (1 << 40 if i in (1, 2) else 0)) for i in range(6)], "idx long, bits long")
     rare = scheduling.rare_bits(nodes)
