@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.folds import fold
+from fleetlens.operators.places import dealt
 
 #: What a log's first hash refers to; a parameter, as logs of another origin start from another.
 GENESIS = hashlib.sha256(b"fleetlens-audit").hexdigest()
@@ -71,9 +72,11 @@ def metadata_allowed(metadata: Column, most: int) -> Column:
 
 
 def traces(events: DataFrame, order: str) -> DataFrame:
-    """events with their places in the traces of their task, of its attempt and of their node."""
+    """events with their places in the traces of their task, of its attempt and of their node. Both windows of a task come
+    first, as one shuffle does for them."""
     place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return events.withColumns({"in_task": place("task_id"), "in_attempt": place("task_id", "attempt"), "in_node": place("node")})
+    by_task = events.withColumn("in_task", place("task_id")).withColumn("in_attempt", place("task_id", "attempt"))
+    return dealt(by_task, ["node"]).withColumn("in_node", place("node"))
 
 
 def consistent_segments(segments: DataFrame, key: str) -> DataFrame:

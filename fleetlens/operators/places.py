@@ -20,6 +20,15 @@ from fleetlens.operators.folds import fold
 from fleetlens.operators.temporal import fresh_name, same_keys
 
 ROWS_A_BLOCK = 1_000_000
+#: Rows that a task sorts for a window at a time, of keys that are far smaller than that.
+ROWS_A_TASK = 500_000
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows as they are, or, if the session's partitions would hold more than ROWS_A_TASK on average, hashed by keys into as many
+    as it takes: what a task of a window by keys sorts then doesn't grow with the input. A key is never cut."""
+    many = -(-rows.count() // ROWS_A_TASK)
+    return rows.repartition(many, *keys) if many > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def block_of(rows: DataFrame, keys: list[str], order: str, rows_a_block: int) -> Column | None:

@@ -146,3 +146,17 @@ def test_reputations_by_vectors_are_those_row_by_row(spark, monkeypatch):
     assert found.keys() == want.keys()
     for key, r in found.items():
         assert r[0] == want[key][0] and r[5:] == want[key][5:] and r[1:5] == pytest.approx(want[key][1:5], rel=1e-12)
+
+
+def test_tasks_of_windows_do_not_grow_with_their_rows(spark, monkeypatch):
+    from fleetlens.functions.views import VIEWS, view
+    from fleetlens.plans.trusted import audit_trace
+
+    most = lambda df: df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    plain = sorted(map(tuple, audit_trace(view(spark, "/root/testdata/sf0.01", "attempts")).collect()))
+    monkeypatch.setattr(places, "ROWS_A_TASK", 3_000, raising=False)
+    traced = audit_trace(view(spark, "/root/testdata/sf0.01", "attempts"))
+    assert len(plain) == 60_000 and most(traced) < 6_000 and sorted(map(tuple, traced.collect())) == plain
+    assert sum("PARTITION BY" in body for _, body in VIEWS.values()) == 10
+    for name in ("attempts", "reputation_events"):
+        assert most(view(spark, "/root/testdata/sf0.01", name)) < 9_000
