@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import mixing, neardup, packing, quality, toxicity
-from fleetlens.llm.common import recorded, remove_path, table, written
+from fleetlens.llm.common import let_go, recorded, remove_path, table, written
 
 
 NEEDED = ("doc_id", "text", "lang", "source")
@@ -82,5 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = made.pop()
         for path in [*made, *([before] if before else [])]:
             remove_path(spark, path)
+        let_go(spark)
         before = result
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -60,6 +60,13 @@ class NearDup:
         return self.bands * self.rows
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as written() does, after what earlier tables have left in the driver has gone: a run writes dozens of them, each with
+    plans many times as large as what stays."""
+    let_go(df.sparkSession)
+    return written(df, name)
+
+
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.Generator(np.random.PCG64(77))
     return draw.integers(0, 1 << 63, n, dtype=np.uint64), draw.integers(0, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
@@ -147,7 +154,7 @@ def prune(pairs: DataFrame, signs: DataFrame, how: NearDup) -> DataFrame:
 def texts_of(ids: DataFrame, live: DataFrame) -> DataFrame:
     """id and text of the classes in ids (id), fetched where the rows lie by their numbers."""
     units = ids.select(F.col("id").alias("unit")).distinct()
-    return written(rows_of_tasks(live.select("id", "part", "text"), "part", "id", units).select("id", "text"), "near-texts")
+    return stored(rows_of_tasks(live.select("id", "part", "text"), "part", "id", units).select("id", "text"), "near-texts")
 
 
 def confirm(pairs: DataFrame, live: DataFrame, how: NearDup, salts: int = 64) -> DataFrame:
@@ -188,7 +195,7 @@ def sets_of(ids: DataFrame, live: DataFrame, how: NearDup) -> DataFrame:
                 out[chunk.first + i] = np.unique(windows[bounds[i] : bounds[i + 1]]).tobytes()
         return [out]
 
-    return written(with_columns_from_text(texts_of(ids, live), "text", [("full", T.BinaryType())], rows, keep_text=False), "near-sets")
+    return stored(with_columns_from_text(texts_of(ids, live), "text", [("full", T.BinaryType())], rows, keep_text=False), "near-sets")
 
 
 def forest(one: list[tuple], two: list[tuple], how: NearDup, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,7 +242,7 @@ def across(left: DataFrame, signs: DataFrame, live: DataFrame, how: NearDup) ->
     left = left.select("bucket", "id", "root").join(signs.select("id", "n_shingles"), "id")
     left = left.withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(SIZE_STEP)).cast("int"))
     main = left.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
-    left = written(spread_join(left, main, ["bucket"], "id"), "near-open")
+    left = stored(spread_join(left, main, ["bucket"], "id"), "near-open")
     out_ = F.col("root") != F.col("main")
     blocks = lambda rows, many: F.ceil(F.greatest(F.sum(rows.cast("int")) / many, F.sum(F.when(rows, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
     cuts = left.groupBy("bucket", "c").agg(blocks(out_, X_BLOCK).alias("x"), blocks(F.lit(True), Y_BLOCK).alias("y"))
@@ -274,16 +281,16 @@ def across(left: DataFrame, signs: DataFrame, live: DataFrame, how: NearDup) ->
 
 def components(links: DataFrame, name: str) -> DataFrame:
     """id and root (least id of its component) of every id in links (a, b), by large-star and small-star rounds."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     while True:
-        let_go(edges.sparkSession)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = spread_join(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, f"{name}-large")  # read four times below: a plan with as many copies of it fills the driver
         # Now each u has smaller neighbours v only; all of them and u itself move to the least.
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, low.where("n > 1").select("u", "m"), ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), name)
+        edges = stored(small.where("u <> v").distinct(), name)
         # Done when all are stars: no id has two neighbours below it, or one below and one above.
         ends = edges.select(F.col("u").alias("w"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("w"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         if not ends.groupBy("w").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").limit(1).count():
@@ -298,37 +305,36 @@ def _linked(signs: DataFrame, live: DataFrame, how: NearDup) -> DataFrame | None
     bands = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i))
     entries = signs.select("id", F.explode(bands).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(spread_join(entries, shared, ["bucket"], "id"), "near-members")
+    members = stored(spread_join(entries, shared, ["bucket"], "id"), "near-members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    left = written(members.drop("n").join(degree, "id"), "near-ranked")
+    left = stored(members.drop("n").join(degree, "id"), "near-ranked")
     labels: DataFrame | None = None
 
     def link(found: DataFrame) -> DataFrame:
         """Components with the links found (a, b)."""
-        let_go(found.sparkSession)
         known = found.select("a", "b") if labels is None else found.select("a", "b").unionByName(labels.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        return written(components(known, "near-star"), "near-labels")
+        return stored(components(known, "near-star"), "near-labels")
 
     def unresolved(rows: DataFrame) -> DataFrame:
         """Rows of the buckets whose members are in several components, with their root."""
         rows = rows.drop("root")
         rows = rows.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ones = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        return written(spread_join(rows, open_ones, ["bucket"], "id"), "near-left")
+        return stored(spread_join(rows, open_ones, ["bucket"], "id"), "near-left")
 
     before = None
     while True:
         hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", "id"))["id"].alias("b"))
         at = spread_join(left, hubs, ["bucket"], "id").where("id <> b")
-        likely = written(prune(at.select(F.col("id").alias("a"), "b").distinct(), signs, how), "near-likely")
-        labels = link(written(confirm(likely, live, how), "near-links"))
+        likely = stored(prune(at.select(F.col("id").alias("a"), "b").distinct(), signs, how), "near-likely")
+        labels = link(stored(confirm(likely, live, how), "near-links"))
         left = unresolved(at.drop("b"))
         cross = left.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg(F.sum("m").alias("s"), F.max("m").alias("most"))
         work, rows = (x or 0.0 for x in cross.agg(F.sum((F.col("s") - F.col("most")) * F.col("s")), F.sum("s")).first())
         if work <= X_BLOCK * rows or before is not None and work > before / 2:
             break
         before = work
-    return link(written(across(left, signs, live, how), "near-across")) if work else labels
+    return link(stored(across(left, signs, live, how), "near-across")) if work else labels
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool = True) -> DataFrame:
@@ -341,15 +347,15 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), keep_text: bool =
     narrow = rows.select(F.col(unit).alias("unit"), "doc_id", F.col(key).alias("key"))
     live = rows.select(F.col(unit).alias("id"), F.col(part).alias("part"), "text", F.col(sig).alias("sig"), "n_shingles")
     # A class goes by the row number of the member that stands for it.
-    classes = written(narrow.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "unit")).alias("rep")), "near-classes")
+    classes = stored(narrow.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "unit")).alias("rep")), "near-classes")
     signs = rows_of_tasks(live.drop("text"), "part", "id", classes.select(F.col("rep.unit").alias("unit")))
-    signs = written(signs.select("id", "sig", "n_shingles"), "near-signs")
+    signs = stored(signs.select("id", "sig", "n_shingles"), "near-signs")
     labels = _linked(signs, live, how)
 
     reps = classes.select("key", F.col("rep.unit").alias("id"), "rep")
     rooted = reps.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-    reps = written(spread_join(rooted, least, ["root"], "id").select("key", F.struct(F.col("least.doc_id"), F.col("least.unit")).alias("d")), "near-reps")
+    reps = stored(spread_join(rooted, least, ["root"], "id").select("key", F.struct(F.col("least.doc_id"), F.col("least.unit")).alias("d")), "near-reps")
     decided = spread_join(narrow.where("key is not null"), reps, ["key"], "unit").select("unit", "d")
     decided = decided.unionByName(narrow.where("key is null").select("unit", F.struct("doc_id", "unit").alias("d")))
     rep = free_name(rows, "rep")
