@@ -24,37 +24,44 @@ ROWS_A_BLOCK = 1_000_000
 ROWS_A_TASK = 500_000
 
 
-def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows as they are, or, if the session's partitions would hold more than ROWS_A_TASK on average, hashed by keys into as many
-    as it takes: what a task of a window by keys sorts then doesn't grow with the input. A key is never cut."""
-    many = -(-rows.count() // ROWS_A_TASK)
-    return rows.repartition(many, *keys) if many > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+def dealt(rows: DataFrame, keys: list[str], count: int | None = None) -> DataFrame:
+    """rows (count of them, if known) as they are, or, if a task of the session might hold more than ROWS_A_TASK, hashed by keys into
+    as many as it takes: what a task of a window by keys sorts then doesn't grow with the input. A key is never cut. A session's
+    own partitions are merged by their compressed bytes until there is one a core, however many rows these are."""
+    many = -(-(rows.count() if count is None else count) // ROWS_A_TASK)
+    least = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(many, *keys) if keys and many > least else rows
 
 
 def block_of(rows: DataFrame, keys: list[str], order: str, rows_a_block: int) -> Column | None:
     """The block of each row, or None if every key is small enough to be one."""
+    return block_and_count(rows, keys, order, rows_a_block)[0]
+
+
+def block_and_count(rows: DataFrame, keys: list[str], order: str, rows_a_block: int) -> tuple[Column | None, int]:
+    """The same, and how many rows there are."""
     kind = rows.schema[order].dataType
     place = F.unix_micros(F.col(order).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.unix_date(order) if isinstance(kind, T.DateType) else F.col(order).cast("long")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    most = sizes.agg(F.max("n").alias("n"), F.max(F.col("last") - F.col("first")).alias("span")).first()
+    most = sizes.agg(F.max("n").alias("n"), F.sum("n").alias("all"), F.max(F.col("last") - F.col("first")).alias("span")).first()
     if not most.n or most.n <= rows_a_block or most.span is None:
-        return None
-    return F.floor(place / F.lit(max(1, -(-(int(most.span) + 1) * rows_a_block // most.n))))
+        return None, most["all"] or 0
+    return F.floor(place / F.lit(max(1, -(-(int(most.span) + 1) * rows_a_block // most.n)))), most["all"]
 
 
 def places(rows: DataFrame, keys: list[str], order: list[str], rows_a_block: int = ROWS_A_BLOCK, place: str = "place", total: str = "total") -> DataFrame:
     """rows with their 0-based place among their keys' rows in `order`, and how many these are. Null keys are a key; rows that
     are equal in `order` have places in no particular order, so order should tell rows apart."""
-    block = block_of(rows, keys, order[0], rows_a_block)
+    block, count = block_and_count(rows, keys, order[0], rows_a_block)
     if block is None:
         at = Window.partitionBy(*keys)
-        return rows.withColumns({place: (F.row_number().over(at.orderBy(*order)) - 1).cast("long"), total: F.count(F.lit(1)).over(at)})
+        return dealt(rows, keys, count).withColumns({place: (F.row_number().over(at.orderBy(*order)) - 1).cast("long"), total: F.count(F.lit(1)).over(at)})
     b, before = fresh_name("block", rows), fresh_name("before", rows)
     cut = rows.withColumn(b, block)
     by_key = Window.partitionBy(*keys)
     sums = cut.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("n"))
     sums = sums.select(*keys, b, (F.sum("n").over(by_key.orderBy(b)) - F.col("n")).alias(before), F.sum("n").over(by_key).alias(total))
-    inside = cut.withColumn(place, F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)) - 1)
+    inside = dealt(cut, [*keys, b], count).withColumn(place, F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)) - 1)
     out = inside.join(sums, same_keys(inside, sums, [*keys, b]), "left")
     return out.select(*[inside[c] for c in rows.columns], (F.col(before) + inside[place]).cast("long").alias(place), sums[total])
 

@@ -160,3 +160,22 @@ def test_tasks_of_windows_do_not_grow_with_their_rows(spark, monkeypatch):
     assert sum("PARTITION BY" in body for _, body in VIEWS.values()) == 10
     for name in ("attempts", "reputation_events"):
         assert most(view(spark, "/root/testdata/sf0.01", name)) < 9_000
+
+
+@pytest.mark.parametrize("name", ["inclusion_proof", "merkle_root", "audit_trace"])
+def test_a_session_of_many_partitions_keeps_tasks_small_too(spark, monkeypatch, name):
+    """Its partitions compress well, so that they are merged into a few tasks."""
+    import __spark_entry__ as entry
+
+    run = lambda: entry.queries()[name](spark, "/root/testdata/sf0.01")
+    rows = lambda df: sorted(map(tuple, df.select(*[F.col(c).cast("string") for c in df.columns]).collect()))
+    plain = rows(run())
+    monkeypatch.setattr(places, "ROWS_A_TASK", 1_000)
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        dealt = run()
+        if name != "merkle_root":
+            assert dealt.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0] < 5_000
+        assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString() and rows(dealt) == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
